@@ -79,8 +79,9 @@ def _top_k_rows(D: np.ndarray, cid: np.ndarray, k: int):
     return rows[keep], cols[keep]
 
 
-def _block_result_schema(with_diff: bool, with_qlabel: bool) -> T.StructType:
-    fields = [T.StructField("grp", T.LongType()), T.StructField("qid", T.LongType())]
+def _block_result_schema(with_diff: bool, with_qlabel: bool, keys) -> T.StructType:
+    fields = [T.StructField(c, T.LongType()) for c in keys] + [
+        T.StructField("qid", T.LongType())]
     if with_qlabel:
         fields.append(T.StructField("qlabel", T.LongType()))
     fields += [
@@ -92,8 +93,8 @@ def _block_result_schema(with_diff: bool, with_qlabel: bool) -> T.StructType:
 
 
 def _make_block_fn(k: int, metric: str, per_label: bool, exclude_self: bool,
-                   with_diff: bool, with_qlabel: bool):
-    cols = (["grp", "qid"] + (["qlabel"] if with_qlabel else [])
+                   with_diff: bool, with_qlabel: bool, keys):
+    cols = (list(keys) + ["qid"] + (["qlabel"] if with_qlabel else [])
             + ["cid", "clabel", "dist"] + (["diff"] if with_diff else []))
 
     def fn(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
@@ -118,8 +119,8 @@ def _make_block_fn(k: int, metric: str, per_label: bool, exclude_self: bool,
             picks.append(_top_k_rows(D, cid, k))
         r = np.concatenate([p[0] for p in picks])
         c = np.concatenate([p[1] for p in picks])
-        out = {"grp": np.full(len(r), int(qpdf["grp"].iloc[0]), dtype=np.int64),
-               "qid": qid[r], "cid": cid[c], "clabel": clabel[c], "dist": D[r, c]}
+        out = {key: np.full(len(r), int(qpdf[key].iloc[0]), dtype=np.int64) for key in keys}
+        out.update({"qid": qid[r], "cid": cid[c], "clabel": clabel[c], "dist": D[r, c]})
         if with_qlabel:
             out["qlabel"] = qpdf["qlabel"].to_numpy()[r]
         if with_diff:
@@ -139,32 +140,34 @@ def _make_block_fn(k: int, metric: str, per_label: bool, exclude_self: bool,
 def blocked_top_k(queries: DataFrame, cands: DataFrame, k: int, *,
                   metric: str = "euclidean", per_label: bool = False,
                   exclude_self: bool = True, with_diff: bool = False,
-                  block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                  block_rows: int = DEFAULT_BLOCK_ROWS, keys=("grp",)) -> DataFrame:
     """Top-``k`` candidates per query inside each group.
 
     ``queries``: ``grp, qid, qvec`` (+ ``rng`` array for ``metric="relief"``).
     ``cands``: ``grp, cid, cvec`` (+ ``clabel`` for ``per_label``).
     Returns ``grp, qid, cid, clabel, dist[, diff], rank`` with ``rank`` 1..k per
     ``(grp, qid)`` (per ``(grp, qid, clabel)`` when ``per_label``), ordered by
-    ``(dist, cid)``.
+    ``(dist, cid)``.  ``keys`` are the columns that define a search domain
+    (default ``grp``); the first one is reported as ``grp``.
     """
+    keys = list(keys)
     if "clabel" not in cands.columns:
         cands = cands.withColumn("clabel", F.lit(None).cast("bigint"))
-    qn = queries.groupBy("grp").agg(F.count(F.lit(1)).alias("_qn"))
-    cn = cands.groupBy("grp").agg(F.count(F.lit(1)).alias("_cn"))
-    nb = qn.join(cn, "grp", "inner").select(
-        "grp",
+    qn = queries.groupBy(*keys).agg(F.count(F.lit(1)).alias("_qn"))
+    cn = cands.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cn"))
+    nb = qn.join(cn, keys, "inner").select(
+        *keys,
         F.ceil(F.col("_qn") / F.lit(block_rows)).cast("bigint").alias("_nqb"),
         F.ceil(F.col("_cn") / F.lit(block_rows)).cast("bigint").alias("_ncb"))
     nb = bounded(nb)
 
-    qcols = (["grp", "qid", "qvec"] + (["qlabel"] if "qlabel" in queries.columns else [])
+    qcols = (keys + ["qid", "qvec"] + (["qlabel"] if "qlabel" in queries.columns else [])
              + (["rng"] if metric == "relief" else []))
-    q = (queries.select(*qcols).join(nb, "grp", "inner")
+    q = (queries.select(*qcols).join(nb, keys, "inner")
          .withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("_nqb")))
          .withColumn("cb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_ncb") - 1)))
          .drop("_nqb", "_ncb"))
-    c = (cands.select("grp", "cid", "cvec", "clabel").join(nb, "grp", "inner")
+    c = (cands.select(*keys, "cid", "cvec", "clabel").join(nb, keys, "inner")
          .withColumn("cb", F.pmod(F.xxhash64("cid"), F.col("_ncb")))
          .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nqb") - 1)))
          .drop("_nqb", "_ncb"))
@@ -174,22 +177,168 @@ def blocked_top_k(queries: DataFrame, cands: DataFrame, k: int, *,
     q = q.select(*[F.col(x).alias(x) for x in q.columns])
     c = c.select(*[F.col(x).alias(x) for x in c.columns])
     with_qlabel = "qlabel" in queries.columns
-    fn = _make_block_fn(k, metric, per_label, exclude_self, with_diff, with_qlabel)
-    local = (q.groupBy("grp", "qb", "cb")
-             .cogroup(c.groupBy("grp", "qb", "cb"))
-             .applyInPandas(fn, _block_result_schema(with_diff, with_qlabel)))
-    part = ["grp", "qid"] + (["clabel"] if per_label else [])
+    fn = _make_block_fn(k, metric, per_label, exclude_self, with_diff, with_qlabel, keys)
+    local = (q.groupBy(*keys, "qb", "cb")
+             .cogroup(c.groupBy(*keys, "qb", "cb"))
+             .applyInPandas(fn, _block_result_schema(with_diff, with_qlabel, keys)))
+    part = keys + ["qid"] + (["clabel"] if per_label else [])
     w = Window.partitionBy(*part).orderBy("dist", "cid")
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def knn_exact(df: DataFrame, k: int, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """G1 (exact): ``(id, nbr, rank, dist, sim)`` -- the ``k`` nearest other rows
+    """G1 (exact): ``(id, nbr, grp, rank, dist, sim)`` -- the ``k`` nearest other rows
     of the same group (Euclidean; ties to the smaller id) for every unfinished
     row.  ``sim = 1 / (1 + dist)``."""
     rows = df.where(~F.col("finished")) if "finished" in df.columns else df
     q = rows.select("grp", F.col("id").alias("qid"), F.col("features").alias("qvec"))
     c = rows.select("grp", F.col("id").alias("cid"), F.col("features").alias("cvec"))
     top = blocked_top_k(q, c, k, block_rows=block_rows)
-    return top.select(F.col("qid").alias("id"), F.col("cid").alias("nbr"), "rank", "dist",
-                      (F.lit(1.0) / (F.lit(1.0) + F.col("dist"))).alias("sim"))
+    return top.select(F.col("qid").alias("id"), F.col("cid").alias("nbr"), "grp", "rank",
+                      "dist", (F.lit(1.0) / (F.lit(1.0) + F.col("dist"))).alias("sim"))
+
+
+# ---------------------------------------------------------------------------
+# NN-Descent
+# ---------------------------------------------------------------------------
+
+#: Most sign bits one random-projection table may use (codes fit a bigint
+#: together with the table number).
+_MAX_BITS = 40
+
+
+def _with_rank(edges: DataFrame, k: int) -> DataFrame:
+    """Best ``k`` per id by ``(dist, nbr)``; ``row_number <= k`` is planned with
+    a map-side group limit, so a popular id is pre-trimmed before the shuffle."""
+    w = Window.partitionBy("id").orderBy("dist", "nbr")
+    return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _finish(edges: DataFrame) -> DataFrame:
+    return edges.select("id", "nbr", "grp", "rank", "dist",
+                        (F.lit(1.0) / (F.lit(1.0) + F.col("dist"))).alias("sim"))
+
+
+def _group_means(rows: DataFrame) -> DataFrame:
+    ex = rows.select("grp", F.posexplode("features").alias("pos", "x"))
+    per = ex.groupBy("grp", "pos").agg(F.avg("x").alias("mu"))
+    return per.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("pos", "mu"))).alias("_m")) \
+        .select("grp", F.transform("_m", lambda s: s["mu"]).alias("centre"))
+
+
+def _lsh_buckets(rows: DataFrame, tables: int, seed: int) -> DataFrame:
+    """Random-hyperplane codes around each group's mean, ``tables`` codes per
+    row: ``(grp, bkt, id, features)``; ``nbits`` per row sets the code length."""
+    schema = T.StructType([T.StructField("grp", T.LongType()), T.StructField("bkt", T.LongType()),
+                           T.StructField("id", T.LongType()),
+                           T.StructField("features", T.ArrayType(T.DoubleType()))])
+
+    def fn(batches):
+        planes = {}
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            X = _stack(pdf["features"]) - _stack(pdf["centre"])
+            nbits = pdf["nbits"].to_numpy(np.int64)
+            d = X.shape[1]
+            for t in range(tables):
+                if (t, d) not in planes:
+                    planes[(t, d)] = np.random.default_rng([seed, t, d]).standard_normal(
+                        (d, _MAX_BITS))
+                bits = (X @ planes[(t, d)]) > 0
+                used = np.arange(_MAX_BITS)[None, :] < nbits[:, None]
+                code = ((bits & used).astype(np.int64) << np.arange(_MAX_BITS)).sum(axis=1)
+                yield pd.DataFrame({"grp": pdf["grp"].to_numpy(np.int64),
+                                    "bkt": (np.int64(t) << _MAX_BITS) + code,
+                                    "id": pdf["id"].to_numpy(np.int64),
+                                    "features": pdf["features"]})
+
+    return rows.mapInPandas(fn, schema)
+
+
+def knn_descent(df: DataFrame, k: int, max_iter: int = 5, early_termination: float = 0.001,
+                sample_rate: float = 1.0, buckets: int = 2, seed: int = 0,
+                exact_below: int = 2048, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """G1 (approximate): NN-Descent graph ``(id, nbr, grp, rank, dist, sim)``.
+
+    Groups of at most ``exact_below`` rows take :func:`knn_exact`.  Bigger ones:
+
+    1. ``buckets`` random-projection tables; rows sharing a bucket are scored
+       with :func:`blocked_top_k` (bucket sizes are not capped: a crowded bucket
+       is just more blocks).
+    2. Up to ``max_iter`` rounds: every vertex's neighbours, reverse neighbours
+       and itself form its local set (members kept with probability
+       ``sample_rate``); the blocked top-k inside each local set proposes new
+       neighbours; the best ``k`` per row are kept.  Stops once fewer than
+       ``early_termination * k * n`` list entries change.
+    3. Rows still short of ``k`` neighbours get an exact top-k against their
+       whole group (one query block, candidates streamed once).
+    """
+    from ..session import cut_lineage
+
+    rows = (df.where(~F.col("finished")) if "finished" in df.columns else df) \
+        .select("grp", "id", "features")
+    sizes = bounded(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("_n")))
+    small = sizes.where(F.col("_n") <= exact_below).select("grp")
+    big = sizes.where(F.col("_n") > exact_below)
+    parts = []
+    if not small.isEmpty():
+        parts.append(knn_exact(rows.join(small, "grp").withColumn("finished", F.lit(False)),
+                               k, block_rows))
+    if not big.isEmpty():
+        brows = rows.join(big.select("grp"), "grp")
+        n_big = big.agg(F.sum("_n")).first()[0]
+        half = max(2, block_rows // 2)
+        nbits = big.select("grp", F.least(F.lit(_MAX_BITS), F.greatest(F.lit(0), F.ceil(
+            F.log2(F.col("_n") / F.lit(half))))).cast("bigint").alias("nbits"))
+        coded_in = brows.join(bounded(_group_means(brows)), "grp").join(bounded(nbits), "grp")
+        coded = _lsh_buckets(coded_in, buckets, seed)
+        q = coded.select("grp", "bkt", F.col("id").alias("qid"), F.col("features").alias("qvec"))
+        c = coded.select("grp", "bkt", F.col("id").alias("cid"), F.col("features").alias("cvec"))
+        init = blocked_top_k(q, c, k, keys=("grp", "bkt"), block_rows=block_rows)
+        g = init.groupBy("grp", F.col("qid").alias("id"), F.col("cid").alias("nbr")) \
+            .agg(F.min("dist").alias("dist"))
+        g = cut_lineage(_with_rank(g, k).drop("rank"))
+        feats = brows.select(F.col("id").alias("u"), F.col("features").alias("vec"))
+        for rnd in range(max_iter):
+            mem = (g.select("grp", F.col("id").alias("v"), F.col("nbr").alias("u"))
+                   .unionByName(g.select("grp", F.col("nbr").alias("v"), F.col("id").alias("u")))
+                   .distinct())
+            if sample_rate < 1.0:
+                keep = (F.pmod(F.xxhash64("v", "u", F.lit(seed), F.lit(rnd)), F.lit(1_000_000))
+                        < F.lit(int(sample_rate * 1_000_000)))
+                mem = mem.where(keep)
+            selfs = g.select("grp", F.col("id").alias("v"), F.col("id").alias("u")).distinct()
+            mem = mem.unionByName(selfs).distinct().join(feats, "u")
+            lq = mem.select("grp", "v", F.col("u").alias("qid"), F.col("vec").alias("qvec"))
+            lc = mem.select("grp", "v", F.col("u").alias("cid"), F.col("vec").alias("cvec"))
+            local = blocked_top_k(lq, lc, k, keys=("grp", "v"), block_rows=block_rows)
+            cand = g.select("grp", "id", "nbr", "dist").unionByName(
+                local.select("grp", F.col("qid").alias("id"), F.col("cid").alias("nbr"), "dist"))
+            cand = cand.groupBy("grp", "id", "nbr").agg(F.min("dist").alias("dist"))
+            new_g = cut_lineage(_with_rank(cand, k).drop("rank"))
+            changed = new_g.join(g, ["id", "nbr"], "left_anti").count()
+            g = new_g
+            if changed <= early_termination * k * n_big:
+                break
+        # exact top-k for rows that are still short of neighbours
+        have = g.groupBy("id").agg(F.count(F.lit(1)).alias("_h"))
+        short = (brows.join(bounded(big), "grp").join(have, "id", "left")
+                 .where(F.coalesce(F.col("_h"), F.lit(0)) < F.least(F.lit(k), F.col("_n") - 1))
+                 .select("grp", F.col("id").alias("qid"), F.col("features").alias("qvec")))
+        if not short.isEmpty():
+            cands = brows.select("grp", F.col("id").alias("cid"), F.col("features").alias("cvec"))
+            fix = blocked_top_k(short, cands, k, block_rows=block_rows).select(
+                "grp", F.col("qid").alias("id"), F.col("cid").alias("nbr"), "dist")
+            g = g.join(short.select(F.col("qid").alias("id")), "id", "left_anti").unionByName(
+                fix.select("id", "grp", "nbr", "dist"))
+        parts.append(_finish(_with_rank(g.select("grp", "id", "nbr", "dist"), k)))
+    if not parts:
+        return rows.select(F.col("id"), F.col("id").alias("nbr"), "grp",
+                           F.lit(0).alias("rank"), F.lit(0.0).alias("dist"),
+                           F.lit(0.0).alias("sim")).where(F.lit(False))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
