@@ -62,6 +62,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable, eager checkpoint (survives executor loss, truncates lineage)."""
+    """Reliable, eager checkpoint (survives executor loss, truncates lineage).
+
+    The checkpointed frame keeps the plan's output partitioning, so a table
+    hash-partitioned on its join key stays co-partitioned across steps."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
