@@ -97,13 +97,12 @@ def _make_block_fn(k: int, metric: str, per_label: bool, exclude_self: bool,
     cols = (list(keys) + ["qid"] + (["qlabel"] if with_qlabel else [])
             + ["cid", "clabel", "dist"] + (["diff"] if with_diff else []))
 
-    def fn(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(cpdf) == 0:
-            return pd.DataFrame({c: [] for c in cols})
+    def solve(qpdf: pd.DataFrame, cpdf: pd.DataFrame, keyvals) -> dict:
+        """Local top-k of one domain's query block against one candidate block."""
         Q, C = _stack(qpdf["qvec"]), _stack(cpdf["cvec"])
         qid = qpdf["qid"].to_numpy(np.int64)
         cid = cpdf["cid"].to_numpy(np.int64)
-        clabel = cpdf["clabel"].to_numpy() if "clabel" in cpdf else np.full(len(cid), None)
+        clabel = cpdf["clabel"].to_numpy()
         rng = _stack(qpdf["rng"].iloc[:1])[0] if metric == "relief" else None
         D = _block_distances(Q, C, metric, rng)
         if exclude_self:
@@ -119,7 +118,7 @@ def _make_block_fn(k: int, metric: str, per_label: bool, exclude_self: bool,
             picks.append(_top_k_rows(D, cid, k))
         r = np.concatenate([p[0] for p in picks])
         c = np.concatenate([p[1] for p in picks])
-        out = {key: np.full(len(r), int(qpdf[key].iloc[0]), dtype=np.int64) for key in keys}
+        out = {key: np.full(len(r), val, dtype=np.int64) for key, val in zip(keys, keyvals)}
         out.update({"qid": qid[r], "cid": cid[c], "clabel": clabel[c], "dist": D[r, c]})
         if with_qlabel:
             out["qlabel"] = qpdf["qlabel"].to_numpy()[r]
@@ -128,7 +127,29 @@ def _make_block_fn(k: int, metric: str, per_label: bool, exclude_self: bool,
             rr = np.asarray(rng, dtype=np.float64)
             diff = np.where(rr > 0, diff / np.where(rr > 0, rr, 1.0), 0.0)
             out["diff"] = list(diff)
-        res = pd.DataFrame(out)[cols]
+        return out
+
+    def split(pdf: pd.DataFrame) -> dict:
+        cols_ = [pdf[key].to_numpy(np.int64) for key in keys]
+        groups: dict = {}
+        for i, kv in enumerate(zip(*cols_)):
+            groups.setdefault(kv, []).append(i)
+        return groups
+
+    def fn(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
+        # one task may carry several small domains (packed) or one block pair
+        # of a big domain; either way every domain is solved on its own
+        if len(qpdf) == 0 or len(cpdf) == 0:
+            return pd.DataFrame({c: [] for c in cols})
+        cgroups = split(cpdf)
+        parts = []
+        for kv, qi in split(qpdf).items():
+            ci = cgroups.get(kv)
+            if ci:
+                parts.append(pd.DataFrame(solve(qpdf.iloc[qi], cpdf.iloc[ci], kv)))
+        if not parts:
+            return pd.DataFrame({c: [] for c in cols})
+        res = pd.concat(parts, ignore_index=True)[cols]
         res["clabel"] = res["clabel"].astype("Int64")
         if with_qlabel:
             res["qlabel"] = res["qlabel"].astype("Int64")
@@ -141,14 +162,19 @@ def blocked_top_k(queries: DataFrame, cands: DataFrame, k: int, *,
                   metric: str = "euclidean", per_label: bool = False,
                   exclude_self: bool = True, with_diff: bool = False,
                   block_rows: int = DEFAULT_BLOCK_ROWS, keys=("grp",)) -> DataFrame:
-    """Top-``k`` candidates per query inside each group.
-
-    ``queries``: ``grp, qid, qvec`` (+ ``rng`` array for ``metric="relief"``).
-    ``cands``: ``grp, cid, cvec`` (+ ``clabel`` for ``per_label``).
-    Returns ``grp, qid, cid, clabel, dist[, diff], rank`` with ``rank`` 1..k per
-    ``(grp, qid)`` (per ``(grp, qid, clabel)`` when ``per_label``), ordered by
-    ``(dist, cid)``.  ``keys`` are the columns that define a search domain
-    (default ``grp``); the first one is reported as ``grp``.
+    """Top-``k`` candidates per query inside each search domain.
+
+    ``queries``: ``keys..., qid, qvec`` (+ ``qlabel``; + ``rng`` array for
+    ``metric="relief"``).  ``cands``: ``keys..., cid, cvec`` (+ ``clabel`` for
+    ``per_label``).  Returns ``keys..., qid[, qlabel], cid, clabel, dist[, diff],
+    rank`` with ``rank`` 1..k per ``(keys, qid)`` (per ``(keys, qid, clabel)``
+    when ``per_label``), ordered by ``(dist, cid)``.  ``keys`` (default
+    ``grp``) define a search domain.
+
+    Domains bigger than ``block_rows`` on either side are split into block
+    pairs (one task each); domains that fit one block are packed together,
+    about ``2 * block_rows`` rows per task, so many small groups do not cost
+    one task each.
     """
     keys = list(keys)
     if "clabel" not in cands.columns:
@@ -156,10 +182,16 @@ def blocked_top_k(queries: DataFrame, cands: DataFrame, k: int, *,
     qn = queries.groupBy(*keys).agg(F.count(F.lit(1)).alias("_qn"))
     cn = cands.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cn"))
     nb = qn.join(cn, keys, "inner").select(
-        *keys,
+        *keys, "_qn", "_cn",
         F.ceil(F.col("_qn") / F.lit(block_rows)).cast("bigint").alias("_nqb"),
         F.ceil(F.col("_cn") / F.lit(block_rows)).cast("bigint").alias("_ncb"))
     nb = bounded(nb)
+    single = (F.col("_nqb") == 1) & (F.col("_ncb") == 1)
+    small_rows = nb.where(single).agg(F.sum(F.col("_qn") + F.col("_cn"))).first()[0] or 0
+    n_pack = max(1, -(-int(small_rows) // (2 * block_rows)))
+    dom = F.xxhash64(*[F.col(x) for x in keys])
+    nb = nb.withColumn("_big", ~single).withColumn(
+        "_task", F.when(single, F.pmod(dom, F.lit(n_pack))).otherwise(dom)).drop("_qn", "_cn")
 
     qcols = (keys + ["qid", "qvec"] + (["qlabel"] if "qlabel" in queries.columns else [])
              + (["rng"] if metric == "relief" else []))
@@ -178,8 +210,8 @@ def blocked_top_k(queries: DataFrame, cands: DataFrame, k: int, *,
     c = c.select(*[F.col(x).alias(x) for x in c.columns])
     with_qlabel = "qlabel" in queries.columns
     fn = _make_block_fn(k, metric, per_label, exclude_self, with_diff, with_qlabel, keys)
-    local = (q.groupBy(*keys, "qb", "cb")
-             .cogroup(c.groupBy(*keys, "qb", "cb"))
+    task = ["_big", "_task", "qb", "cb"]
+    local = (q.groupBy(*task).cogroup(c.groupBy(*task))
              .applyInPandas(fn, _block_result_schema(with_diff, with_qlabel, keys)))
     part = keys + ["qid"] + (["clabel"] if per_label else [])
     w = Window.partitionBy(*part).orderBy("dist", "cid")

@@ -129,7 +129,7 @@ def q_relief_priors(spark, sf):
 def _relief_nbrs(spark, sf):
     lab = R.labelled_rows(base(spark, sf))
     rng = R.range_vectors(R.feature_ranges(lab))
-    return R.relief_neighbours(lab, lab, rng, RELIEF_K, block_rows=16)
+    return R.relief_neighbours(lab, lab, rng, RELIEF_K)
 
 
 def q_relief_hits(spark, sf):
@@ -146,13 +146,13 @@ def q_relief_misses(spark, sf):
 
 
 def q_relief_weights(spark, sf):
-    w = R.relief_weights(base(spark, sf), m=None, k=RELIEF_K, block_rows=16)
+    w = R.relief_weights(base(spark, sf), m=None, k=RELIEF_K)
     return w.select("grp", F.col("pos").cast("bigint").alias("pos"), r6("weight").alias("weight"))
 
 
 def q_apply_weights(spark, sf):
     b = base(spark, sf)
-    out = R.apply_weights(b, R.relief_weights(b, m=None, k=RELIEF_K, block_rows=16))
+    out = R.apply_weights(b, R.relief_weights(b, m=None, k=RELIEF_K))
     return out.select("id", F.posexplode("features").alias("pos", "value")).select(
         "id", F.col("pos").cast("bigint").alias("pos"), r6("value").alias("value"))
 
@@ -165,7 +165,7 @@ def q_relief_sample(spark, sf):
 # --- graph ------------------------------------------------------------------
 
 def _knn(spark, sf):
-    return knn_exact(base(spark, sf), K, block_rows=48)
+    return knn_exact(base(spark, sf), K)
 
 
 def q_knn_exact(spark, sf):
@@ -174,14 +174,14 @@ def q_knn_exact(spark, sf):
 
 
 def q_knn_descent(spark, sf):
-    g = knn_descent(base(spark, sf), K, exact_below=0, block_rows=64)
+    g = knn_descent(base(spark, sf), K, exact_below=0)
     return g.select("id", "nbr", "grp", F.col("rank").cast("bigint").alias("rank"))
 
 
 def q_neighbour_recall(spark, sf):
     b = base(spark, sf)
-    return M.neighbour_recall(knn_descent(b, K, exact_below=0, block_rows=64),
-                              knn_exact(b, K, block_rows=48))
+    return M.neighbour_recall(knn_descent(b, K, exact_below=0),
+                              knn_exact(b, K))
 
 
 def q_edges_symmetric(spark, sf):
