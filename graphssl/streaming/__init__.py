@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The reference library has no streaming sources, watermarks or stateful
+operators, so nothing is built here (see README, "Not built").
+"""
