@@ -30,8 +30,8 @@ def confusion(df: DataFrame) -> DataFrame:
     checked = F.when(p.isin(0, 1) & t.isin(0, 1), F.lit(1)).otherwise(
         F.raise_error(F.lit("confusion/g_mean only work in two-class problems")))
 
-    def n(cond):
-        return F.sum(F.when(cond, checked).otherwise(0)).cast("bigint")
+    def n(cond):      # ``checked`` is evaluated for every row, so a third class raises
+        return F.sum(F.when(cond, 1).otherwise(0) * checked).cast("bigint")
 
     return df.agg(n((t == 1) & (p == 1)).alias("tp"), n((t == 0) & (p == 1)).alias("fp"),
                   n((t == 0) & (p == 0)).alias("tn"), n((t == 1) & (p == 0)).alias("fn"))

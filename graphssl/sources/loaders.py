@@ -106,9 +106,10 @@ def read_graph(spark: SparkSession, path: str) -> DataFrame:
     """Saved graph ``(id, neighbors array<struct<id, similarity>>)`` -> long
     edge table ``(id, nbr, sim)``."""
     g = spark.read.parquet(path).select("id", "neighbors")
+    nid, nsim = g.schema["neighbors"].dataType.elementType.fieldNames()[:2]
     return g.select("id", F.explode("neighbors").alias("n")).select(
-        "id", F.col("n")[0].cast("bigint").alias("nbr"),
-        F.col("n")[1].cast("double").alias("sim"))
+        "id", F.col("n").getField(nid).cast("bigint").alias("nbr"),
+        F.col("n").getField(nsim).cast("double").alias("sim"))
 
 
 def load_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
