@@ -25,7 +25,7 @@ from ..session import cut_lineage
 from .graph import (centre, degrees, gradient, laplacian, moments, scaled_edges,
                     sign_changes, symmetric_edges)
 from .labels import seed_signs
-from .sizing import bounded, join_small
+from .sizing import bounded, join_small, small_hint
 
 DEFAULT_LOCAL_GROUP_ROWS = 20_000
 
@@ -153,8 +153,10 @@ def score_groups(df: DataFrame, knn: DataFrame, max_steps: int = 1000, max_stabl
     v, e = build_graph(df, knn)
     sizes = bounded(v.groupBy("grp").agg(F.count(F.lit(1)).alias("_n")))
     n_groups = sizes.count()
-    small = sizes.where(F.col("_n") <= local_group_rows).select("grp")
-    big = sizes.where(F.col("_n") > local_group_rows).select("grp")
+    # explicit hints: joining rows to a group list on ``grp`` must never shuffle
+    # the rows by group (the first iteration has a single group)
+    small = small_hint(sizes.where(F.col("_n") <= local_group_rows).select("grp"), n_groups)
+    big = small_hint(sizes.where(F.col("_n") > local_group_rows).select("grp"), n_groups)
     parts = []
     if not small.isEmpty():
         parts.append(bisect_local(v.join(small, "grp"), e.join(small, "grp"),

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sizing import bounded
+from .sizing import bounded, small_hint
 
 DEFAULT_BLOCK_ROWS = 1024
 # float64 cells one distance chunk may hold (rows x candidates x features)
@@ -311,8 +311,9 @@ def knn_descent(df: DataFrame, k: int, max_iter: int = 5, early_termination: flo
     rows = (df.where(~F.col("finished")) if "finished" in df.columns else df) \
         .select("grp", "id", "features")
     sizes = bounded(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("_n")))
-    small = sizes.where(F.col("_n") <= exact_below).select("grp")
-    big = sizes.where(F.col("_n") > exact_below)
+    n_groups = sizes.count()
+    small = small_hint(sizes.where(F.col("_n") <= exact_below).select("grp"), n_groups)
+    big = small_hint(sizes.where(F.col("_n") > exact_below), n_groups)
     parts = []
     if not small.isEmpty():
         parts.append(knn_exact(rows.join(small, "grp").withColumn("finished", F.lit(False)),
@@ -323,7 +324,9 @@ def knn_descent(df: DataFrame, k: int, max_iter: int = 5, early_termination: flo
         half = max(2, block_rows // 2)
         nbits = big.select("grp", F.least(F.lit(_MAX_BITS), F.greatest(F.lit(0), F.ceil(
             F.log2(F.col("_n") / F.lit(half))))).cast("bigint").alias("nbits"))
-        coded_in = brows.join(bounded(_group_means(brows)), "grp").join(bounded(nbits), "grp")
+        dim = brows.select(F.size("features")).first()[0]
+        coded_in = brows.join(bounded(_group_means(brows), row_cells=dim), "grp") \
+            .join(bounded(nbits), "grp")
         coded = _lsh_buckets(coded_in, buckets, seed)
         q = coded.select("grp", "bkt", F.col("id").alias("qid"), F.col("features").alias("qvec"))
         c = coded.select("grp", "bkt", F.col("id").alias("cid"), F.col("features").alias("cvec"))
@@ -355,7 +358,7 @@ def knn_descent(df: DataFrame, k: int, max_iter: int = 5, early_termination: flo
                 break
         # exact top-k for rows that are still short of neighbours
         have = g.groupBy("id").agg(F.count(F.lit(1)).alias("_h"))
-        short = (brows.join(bounded(big), "grp").join(have, "id", "left")
+        short = (brows.join(big, "grp").join(have, "id", "left")
                  .where(F.coalesce(F.col("_h"), F.lit(0)) < F.least(F.lit(k), F.col("_n") - 1))
                  .select("grp", F.col("id").alias("qid"), F.col("features").alias("qvec")))
         if not short.isEmpty():

@@ -91,9 +91,11 @@ def relief_neighbours(lab: DataFrame, probes: DataFrame, rng: DataFrame, k: int,
     """R7 + R8: for every probe the ``k`` nearest labelled rows of each class
     (its own class = hits, the probe itself excluded by id; other classes =
     misses).  ``(grp, qid, qlabel, cid, clabel, dist, diff, rank)``."""
+    dim = lab.select(F.size("features")).first()
     q = join_small(probes.select("grp", F.col("id").alias("qid"),
                                  F.col("label").alias("qlabel"),
-                                 F.col("features").alias("qvec")), rng, "grp", "inner")
+                                 F.col("features").alias("qvec")), rng, "grp", "inner",
+                   row_cells=dim[0] if dim else 1)
     c = lab.select("grp", F.col("id").alias("cid"), F.col("label").alias("clabel"),
                    F.col("features").alias("cvec"))
     return blocked_top_k(q, c, k, metric="relief", per_label=True, exclude_self=True,
@@ -162,7 +164,8 @@ def apply_weights(df: DataFrame, weights: DataFrame) -> DataFrame:
     """``features * weights`` of the row's group; groups without weights
     (finished, single-class, no labels) keep their features (weights of one)."""
     vec = weight_vectors(weights)
-    j = join_small(df, vec, "grp", "left")
+    dim = df.select(F.size("features")).first()
+    j = join_small(df, vec, "grp", "left", row_cells=dim[0] if dim else 1)
     w = F.coalesce(F.col("weights"), ones(F.size("features")))
     return j.withColumn("features", multiply("features", w)).drop("weights")
 

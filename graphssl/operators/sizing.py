@@ -18,19 +18,30 @@ from pyspark.sql import functions as F
 #: one feature vector) per row, so 2M rows stay well under the default
 #: ``spark.sql.autoBroadcastJoinThreshold``-style budgets of executors.
 BROADCAST_MAX_ROWS = 2_000_000
+#: Array cells (e.g. one feature-length vector per group) a broadcast side may
+#: carry in total: 32M doubles = 256 MB.
+BROADCAST_MAX_CELLS = 32_000_000
 
 
-def bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Return ``broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df``.
+def bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, row_cells: int = 1) -> DataFrame:
+    """Return ``broadcast(df)`` if ``df`` has at most ``max_rows`` rows (and at
+    most ``BROADCAST_MAX_CELLS`` cells when each row carries ``row_cells``
+    array entries), else ``df``.
 
     ``df`` is persisted first so the count and the later join read it once.
     """
     df = df.persist()
     n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    limit = min(max_rows, max(1, BROADCAST_MAX_CELLS // max(1, row_cells)))
+    return F.broadcast(df) if n <= limit else df
+
+
+def small_hint(df: DataFrame, n_rows: int, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast hint for a table whose row count the caller already measured."""
+    return F.broadcast(df) if n_rows <= max_rows else df
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+               max_rows: int = BROADCAST_MAX_ROWS, row_cells: int = 1) -> DataFrame:
     """Join a per-group table ``small`` onto ``big`` with a size-checked broadcast."""
-    return big.join(bounded(small, max_rows), on, how)
+    return big.join(bounded(small, max_rows, row_cells), on, how)
