@@ -290,7 +290,8 @@ def _lsh_buckets(rows: DataFrame, tables: int, seed: int) -> DataFrame:
 
 def knn_descent(df: DataFrame, k: int, max_iter: int = 5, early_termination: float = 0.001,
                 sample_rate: float = 1.0, buckets: int = 2, seed: int = 0,
-                exact_below: int = 2048, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                exact_below: int = 2048, block_rows: int = DEFAULT_BLOCK_ROWS,
+                pool: int | None = None) -> DataFrame:
     """G1 (approximate): NN-Descent graph ``(id, nbr, grp, rank, dist, sim)``.
 
     Groups of at most ``exact_below`` rows take :func:`knn_exact`.  Bigger ones:
@@ -305,7 +306,13 @@ def knn_descent(df: DataFrame, k: int, max_iter: int = 5, early_termination: flo
        ``early_termination * k * n`` list entries change.
     3. Rows still short of ``k`` neighbours get an exact top-k against their
        whole group (one query block, candidates streamed once).
+
+    The rounds keep ``pool`` (default ``4k``) neighbours per row and the best
+    ``k`` of them are returned: a longer working list is what lets NN-Descent
+    escape poor local graphs in high intrinsic dimension.
     """
+    kk = k
+    k = max(kk, pool if pool is not None else 4 * kk)
     from ..session import cut_lineage
 
     rows = (df.where(~F.col("finished")) if "finished" in df.columns else df) \
@@ -317,7 +324,7 @@ def knn_descent(df: DataFrame, k: int, max_iter: int = 5, early_termination: flo
     parts = []
     if not small.isEmpty():
         parts.append(knn_exact(rows.join(small, "grp").withColumn("finished", F.lit(False)),
-                               k, block_rows))
+                               kk, block_rows))
     if not big.isEmpty():
         brows = rows.join(big.select("grp"), "grp")
         n_big = big.agg(F.sum("_n")).first()[0]
@@ -359,15 +366,15 @@ def knn_descent(df: DataFrame, k: int, max_iter: int = 5, early_termination: flo
         # exact top-k for rows that are still short of neighbours
         have = g.groupBy("id").agg(F.count(F.lit(1)).alias("_h"))
         short = (brows.join(big, "grp").join(have, "id", "left")
-                 .where(F.coalesce(F.col("_h"), F.lit(0)) < F.least(F.lit(k), F.col("_n") - 1))
+                 .where(F.coalesce(F.col("_h"), F.lit(0)) < F.least(F.lit(kk), F.col("_n") - 1))
                  .select("grp", F.col("id").alias("qid"), F.col("features").alias("qvec")))
         if not short.isEmpty():
             cands = brows.select("grp", F.col("id").alias("cid"), F.col("features").alias("cvec"))
-            fix = blocked_top_k(short, cands, k, block_rows=block_rows).select(
+            fix = blocked_top_k(short, cands, kk, block_rows=block_rows).select(
                 "grp", F.col("qid").alias("id"), F.col("cid").alias("nbr"), "dist")
             g = g.join(short.select(F.col("qid").alias("id")), "id", "left_anti").unionByName(
                 fix.select("id", "grp", "nbr", "dist"))
-        parts.append(_finish(_with_rank(g.select("grp", "id", "nbr", "dist"), k)))
+        parts.append(_finish(_with_rank(g.select("grp", "id", "nbr", "dist"), kk)))
     if not parts:
         return rows.select(F.col("id"), F.col("id").alias("nbr"), "grp",
                            F.lit(0).alias("rank"), F.lit(0.0).alias("dist"),

@@ -39,6 +39,7 @@ class Params:
     graph_early_termination: float = 0.001
     graph_sample_rate: float = 1.0
     graph_buckets: int = 2
+    graph_pool: int | None = None   # NN-Descent working list (default 4k)
     seed: int = 0
     block_rows: int = DEFAULT_BLOCK_ROWS
     local_group_rows: int = DEFAULT_LOCAL_GROUP_ROWS
@@ -55,7 +56,7 @@ def build_knn(state: DataFrame, p: Params, iteration: int = 0) -> DataFrame:
                            early_termination=p.graph_early_termination,
                            sample_rate=p.graph_sample_rate, buckets=p.graph_buckets,
                            seed=p.seed + iteration, exact_below=p.exact_below,
-                           block_rows=p.block_rows)
+                           block_rows=p.block_rows, pool=p.graph_pool)
     raise ValueError(f"unknown graph method {p.graph!r}")
 
 
