@@ -145,12 +145,25 @@ def scale_weights(raw: DataFrame, bias: float = RELIEF_BIAS) -> DataFrame:
 def relief_weights(df: DataFrame, m: int | None = None, k: int = 3, seed: int = 0,
                    bias: float = RELIEF_BIAS,
                    block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """``(grp, pos, weight)`` for every unfinished group with >= 2 classes."""
-    lab = labelled_rows(df)
-    probes = sample_probes(lab, m, seed)
-    rng = range_vectors(feature_ranges(lab))
-    nbrs = relief_neighbours(lab, probes, rng, k, block_rows)
-    return scale_weights(raw_weights(nbrs, probes, class_priors(lab)), bias)
+    """``(grp, pos, weight)`` for every unfinished group with >= 2 classes.
+
+    The labelled rows (a small share of the state) and the per-class priors
+    are persisted for the duration of the computation, so the size checks and
+    the several consumers do not re-read the whole state; the result (one row
+    per group and feature) is materialised before they are released.
+    """
+    lab = labelled_rows(df).persist()
+    priors = class_priors(lab).persist()
+    try:
+        probes = sample_probes(lab, m, seed)
+        rng = range_vectors(feature_ranges(lab))
+        nbrs = relief_neighbours(lab, probes, rng, k, block_rows)
+        out = scale_weights(raw_weights(nbrs, probes, priors), bias).persist()
+        out.count()
+    finally:
+        priors.unpersist()
+        lab.unpersist()
+    return out
 
 
 def weight_vectors(weights: DataFrame) -> DataFrame:
