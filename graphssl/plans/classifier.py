@@ -2,8 +2,9 @@
 
 Each outer iteration: ReliefF weights per unfinished group -> kNN graph inside
 the groups -> bisection of every unfinished group -> stopping rule.  Lineage is
-cut with reliable checkpoints after each stage, so a lost executor only
-recomputes the current stage.  The loop body never collects rows; the driver
+cut after each stage by writing the state (and the kNN table) as parquet into
+the shared checkpoint folder, so a lost executor only recomputes the current
+stage and the many scans of the state read only the columns they need.  The loop body never collects rows; the driver
 only reads scalars (is anything unfinished? the maximum group id).
 """
 
@@ -19,7 +20,7 @@ from ..operators.knn import DEFAULT_BLOCK_ROWS, knn_descent, knn_exact
 from ..operators.labels import assign_labels, class_weights
 from ..operators.purity import compute_finished, init_state, is_finished
 from ..operators.relief import weight_features
-from ..session import cut_lineage
+from ..session import cut_lineage, write_table
 
 
 @dataclass
@@ -73,7 +74,7 @@ def classify(df: DataFrame, params: Params | None = None, **overrides):
     weights = cut_lineage(class_weights(df))
     if weights.isEmpty():
         raise ValueError("the input has no labelled row")
-    state = cut_lineage(compute_finished(init_state(df), weights, p.gini_impurity, p.k))
+    state = write_table(compute_finished(init_state(df), weights, p.gini_impurity, p.k), "state")
     n0 = state.count() if p.validate else None
 
     def check(frame, stage):
@@ -83,13 +84,13 @@ def classify(df: DataFrame, params: Params | None = None, **overrides):
     i = 0
     while i < p.max_iter and not is_finished(state):
         if p.weight_features:
-            state = cut_lineage(weight_features(state, p.relief_m, p.relief_k, p.seed + i,
-                                                p.block_rows))
+            state = write_table(weight_features(state, p.relief_m, p.relief_k, p.seed + i,
+                                                p.block_rows), "weighted")
             check(state, "feature weighting")
-        knn = cut_lineage(build_knn(state, p, i))
+        knn = write_table(build_knn(state, p, i), "knn")
         state = divide_groups(state, knn, p.max_steps, p.max_stable, p.tol,
                               p.local_group_rows)
-        state = cut_lineage(compute_finished(state, weights, p.gini_impurity, p.k))
+        state = write_table(compute_finished(state, weights, p.gini_impurity, p.k), "state")
         check(state, "graph division")
         i += 1
     if p.validate and i < p.max_iter and not is_finished(state):   # C4

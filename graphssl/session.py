@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,3 +69,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     hash-partitioned on its join key stays co-partitioned across steps."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_table(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut lineage by writing ``df`` as parquet under the checkpoint folder and
+    reading it back.
+
+    Unlike an RDD checkpoint, the result is columnar: later scans read only the
+    columns they use (the thin ``grp/label/finished`` part of a state table
+    instead of its feature vectors) and push filters such as ``finished =
+    false`` into the scan.  The files live in the shared checkpoint folder, so
+    they survive the loss of an executor.
+    """
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
