@@ -4,9 +4,8 @@ then split each group by the sign of its score.
 Two executions of the same loop, chosen per group by its vertex count:
 
 * **distributed** (groups above ``local_group_rows``): one lock-step DataFrame
-  plan per step (:mod:`graphssl.operators.graph`), reliable checkpoints cut the
-  lineage twice per step, per-group counters live in a small checkpointed
-  table.  This is what the first iteration's single, all-rows group runs.
+  plan per step (:mod:`graphssl.operators.graph`); vertex and edge tables are
+  bucketed on their join keys (no exchange of the edges for the message join); per-group counters live in a small checkpointed table.  This is what the first iteration's single, all-rows group runs.
 * **per group** (small groups): all steps of one group inside one
   ``cogroup(...).applyInPandas`` task over its vertices and edges (numpy).
   Edges never leave a group and frozen groups never change, so running a group
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..session import cut_lineage, write_bucketed
 from .graph import (centre, degrees, gradient, laplacian, moments, scaled_edges,
                     sign_changes, symmetric_edges)
 from .labels import seed_signs
@@ -101,23 +100,33 @@ def bisect_local(v: DataFrame, e: DataFrame, max_steps: int = 1000, max_stable:
 
 
 def bisect_distributed(v: DataFrame, e: DataFrame, n_groups: int, max_steps: int = 1000,
-                       max_stable: int = 10, tol: float = 0.005) -> DataFrame:
+                       max_stable: int = 10, tol: float = 0.005,
+                       buckets: int | None = None) -> DataFrame:
     """B7-B9 in lock-step over all groups: ``(id, grp, m, steps)``.
 
-    Per step: a checkpoint after the message pass and gradient, a checkpoint
-    after centring, and a checkpointed per-group counter table; the loop ends
+    The edges are written once bucketed on ``src``; per step the vertex table
+    is checkpointed after the message pass and gradient and written bucketed on
+    ``id`` after centring (``buckets`` defaults to
+    ``spark.sql.shuffle.partitions``; one file per bucket), plus a checkpointed
+    per-group counter table; the loop ends
     when every group has had ``max_stable`` consecutive steps with a sign-change
     ratio of at most ``tol`` (B8), or after ``max_steps``.
     """
-    v = cut_lineage(v.repartition("id"))
-    e = cut_lineage(e.select("src", "dst", "a").repartition("src"))
+    spark = v.sparkSession
+    nb = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # edges bucketed on src and vertices bucketed on id: the message join of
+    # every step reads both without an exchange
+    e = write_bucketed(e.select("src", "dst", "a").repartition(nb, "src"), "src", nb, "edges")
+    v = write_bucketed(v.repartition(nb, "id"), "id", nb, "vertices")
     groups = cut_lineage(v.select("grp").distinct().select(
         "grp", F.lit(0).cast("bigint").alias("stable"), F.lit(False).alias("frozen")))
     steps = 0
     while steps < max_steps and not groups.where(F.col("stable") < max_stable).isEmpty():
         steps += 1
+        # v2 is only read through broadcast joins (its partitioning carries
+        # over), so a plain checkpoint is enough; v3 feeds the next message join
         v2 = cut_lineage(gradient(laplacian(v, e), moments(v), n_groups))
-        v3 = cut_lineage(centre(v2, n_groups))
+        v3 = write_bucketed(centre(v2, n_groups).repartition(nb, "id"), "id", nb, "step")
         ch = sign_changes(v3).select("grp", "ratio")
         stable = F.when(F.col("ratio") > tol, F.lit(0).cast("bigint")).otherwise(
             F.col("stable") + 1)

@@ -86,3 +86,21 @@ def write_table(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
+
+
+def write_bucketed(df: DataFrame, key: str, buckets: int, name: str = "table") -> DataFrame:
+    """Cut lineage by writing ``df`` as a table bucketed (and sorted) on ``key``
+    under the checkpoint folder.
+
+    Two tables bucketed on their join keys with the same bucket count join
+    without an exchange: an iterative job that joins a big static table (the
+    graph's edges) with a per-step table (the vertices) shuffles neither of
+    them for that join.  The table is registered in the session catalog only;
+    its files live in the shared checkpoint folder.
+    """
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    table = f"graphssl_{name}_{uuid.uuid4().hex}"
+    (df.write.bucketBy(buckets, key).sortBy(key)
+     .option("path", f"{base}/tables/{table}").saveAsTable(table))
+    return spark.table(table)
