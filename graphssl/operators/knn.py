@@ -313,7 +313,7 @@ def knn_descent(df: DataFrame, k: int, max_iter: int = 5, early_termination: flo
     """
     kk = k
     k = max(kk, pool if pool is not None else 4 * kk)
-    from ..session import cut_lineage
+    from ..session import cut_lineage, write_bucketed
 
     rows = (df.where(~F.col("finished")) if "finished" in df.columns else df) \
         .select("grp", "id", "features")
@@ -341,7 +341,12 @@ def knn_descent(df: DataFrame, k: int, max_iter: int = 5, early_termination: flo
         g = init.groupBy("grp", F.col("qid").alias("id"), F.col("cid").alias("nbr")) \
             .agg(F.min("dist").alias("dist"))
         g = cut_lineage(_with_rank(g, k).drop("rank"))
-        feats = brows.select(F.col("id").alias("u"), F.col("features").alias("vec"))
+        # written once, bucketed on the membership key: every round's join of
+        # (v, u) memberships to their vectors shuffles only the memberships
+        nbk = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        feats = write_bucketed(
+            brows.select(F.col("id").alias("u"), F.col("features").alias("vec"))
+            .repartition(nbk, "u"), "u", nbk, "features")
         for rnd in range(max_iter):
             mem = (g.select("grp", F.col("id").alias("v"), F.col("nbr").alias("u"))
                    .unionByName(g.select("grp", F.col("nbr").alias("v"), F.col("id").alias("u")))
