@@ -34,15 +34,6 @@ def _join_known(big: DataFrame, small: DataFrame, on, how: str, small_rows: int)
     return big.join(F.broadcast(small) if small_rows <= BROADCAST_MAX_ROWS else small, on, how)
 
 
-def vertex_table(df: DataFrame, signs: DataFrame, n_groups: int) -> DataFrame:
-    """G2 + G5: unfinished rows as vertices; labelled -> seed sign, else 0."""
-    v = df.where(~F.col("finished")).select("id", "grp", "label")
-    v = _join_known(v, signs, ["grp", "label"], "left", n_groups * 64)
-    return v.select("id", "grp", F.col("label").isNotNull().alias("lab"),
-                    F.coalesce(F.col("sign"), F.lit(0.0)).alias("m"),
-                    F.lit(0.0).alias("l"), F.lit(False).alias("frozen"))
-
-
 def symmetric_edges(knn: DataFrame) -> DataFrame:
     """Both directions of every kNN edge; a mutual pair keeps both copies,
     summed into one edge (``(src, dst, grp, w)``)."""

@@ -28,12 +28,17 @@ def bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, row_cells: int =
     most ``BROADCAST_MAX_CELLS`` cells when each row carries ``row_cells``
     array entries), else ``df``.
 
-    ``df`` is persisted first so the count and the later join read it once.
+    ``df`` is persisted first so the count and the later broadcast read it
+    once; a table too large to broadcast is released again (it is then joined
+    by shuffle and recomputed there rather than held in executor memory).
     """
     df = df.persist()
     n = df.count()
     limit = min(max_rows, max(1, BROADCAST_MAX_CELLS // max(1, row_cells)))
-    return F.broadcast(df) if n <= limit else df
+    if n <= limit:
+        return F.broadcast(df)
+    df.unpersist()
+    return df
 
 
 def small_hint(df: DataFrame, n_rows: int, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:

@@ -13,7 +13,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators.bisect import DEFAULT_LOCAL_GROUP_ROWS, divide_groups
 from ..operators.knn import DEFAULT_BLOCK_ROWS, knn_descent, knn_exact
