@@ -346,7 +346,7 @@ def knn_descent(df: DataFrame, k: int, max_iter: int = 5, early_termination: flo
         nbk = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         feats = write_bucketed(
             brows.select(F.col("id").alias("u"), F.col("features").alias("vec"))
-            .repartition(nbk, "u"), "u", nbk, "features")
+            .repartition(nbk, "u"), "u", nbk, "features") if max_iter > 0 else None
         for rnd in range(max_iter):
             mem = (g.select("grp", F.col("id").alias("v"), F.col("nbr").alias("u"))
                    .unionByName(g.select("grp", F.col("nbr").alias("v"), F.col("id").alias("u")))
@@ -389,3 +389,14 @@ def knn_descent(df: DataFrame, k: int, max_iter: int = 5, early_termination: flo
         out = out.unionByName(p)
     return out
 
+
+
+def knn_lsh(df: DataFrame, k: int, buckets: int = 2, seed: int = 0,
+            block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """G1 (random-projection LSH): the best ``k`` per row among the rows that
+    share one of its ``buckets`` random-hyperplane buckets (exact inside each
+    bucket, crowded buckets split into blocks); rows left with fewer than ``k``
+    get an exact top-k against their group.  This is NN-Descent's seeding stage
+    without refinement rounds."""
+    return knn_descent(df, k, max_iter=0, buckets=buckets, seed=seed, exact_below=0,
+                       block_rows=block_rows, pool=k)

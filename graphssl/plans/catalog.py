@@ -24,7 +24,7 @@ from ..operators import purity as P
 from ..operators import relief as R
 from ..operators.bisect import (bisect_distributed, bisect_local, build_graph, merge_groups,
                                 new_group_ids)
-from ..operators.knn import knn_descent, knn_exact
+from ..operators.knn import knn_descent, knn_exact, knn_lsh
 from ..sources.loaders import load_embeddings, mask_labels
 from .classifier import Params, classify
 
@@ -178,6 +178,11 @@ def q_knn_descent(spark, sf):
     return g.select("id", "nbr", "grp", F.col("rank").cast("bigint").alias("rank"))
 
 
+def q_knn_lsh(spark, sf):
+    g = knn_lsh(base(spark, sf), K, block_rows=64)
+    return g.select("id", "nbr", "grp", F.col("rank").cast("bigint").alias("rank"))
+
+
 def q_neighbour_recall(spark, sf):
     b = base(spark, sf)
     return M.neighbour_recall(knn_descent(b, K, exact_below=0),
@@ -320,6 +325,7 @@ QUERIES = {
     "relief_sample": q_relief_sample,
     "knn_exact": q_knn_exact,
     "knn_descent": q_knn_descent,
+    "knn_lsh": q_knn_lsh,
     "neighbour_recall": q_neighbour_recall,
     "edges_symmetric": q_edges_symmetric,
     "seed_signs": q_seed_signs,

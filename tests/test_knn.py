@@ -58,3 +58,16 @@ def test_descent_every_row_has_k(iris_state):
     counts = {r["count"] for r in approx.groupBy("id").count().collect()}
     assert counts == {5}
     assert approx.where("id = nbr").count() == 0
+
+
+def test_lsh_graph_has_k_per_row(spark):
+    df = load_embeddings(spark, SF).withColumn("grp", F.pmod("id", F.lit(2))) \
+        .withColumn("finished", F.lit(False))
+    from graphssl.operators.knn import knn_lsh
+    g = knn_lsh(df, 4, block_rows=32)
+    counts = {r["count"] for r in g.groupBy("id").count().collect()}
+    assert counts == {4}
+    assert g.where("id = nbr").count() == 0
+    # every edge stays inside its group
+    j = g.join(df.select(F.col("id").alias("nbr"), F.col("grp").alias("ngrp")), "nbr")
+    assert j.where("grp != ngrp").count() == 0
