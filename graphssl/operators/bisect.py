@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage, write_bucketed
+from ..session import bucket_count, cut_lineage, write_bucketed
 from .graph import (centre, degrees, gradient, laplacian, moments, scaled_edges,
                     sign_changes, symmetric_edges)
 from .labels import seed_signs
@@ -106,14 +106,14 @@ def bisect_distributed(v: DataFrame, e: DataFrame, n_groups: int, max_steps: int
 
     The edges are written once bucketed on ``src``; per step the vertex table
     is checkpointed after the message pass and gradient and written bucketed on
-    ``id`` after centring (``buckets`` defaults to
-    ``spark.sql.shuffle.partitions``; one file per bucket), plus a checkpointed
+    ``id`` after centring (``buckets`` defaults to about one per million vertices,
+    at most ``spark.sql.shuffle.partitions``; one file per bucket), plus a checkpointed
     per-group counter table; the loop ends
     when every group has had ``max_stable`` consecutive steps with a sign-change
     ratio of at most ``tol`` (B8), or after ``max_steps``.
     """
     spark = v.sparkSession
-    nb = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    nb = buckets or bucket_count(spark, v.count())
     # edges bucketed on src and vertices bucketed on id: the message join of
     # every step reads both without an exchange
     e = write_bucketed(e.select("src", "dst", "a").repartition(nb, "src"), "src", nb, "edges")

@@ -313,7 +313,7 @@ def knn_descent(df: DataFrame, k: int, max_iter: int = 5, early_termination: flo
     """
     kk = k
     k = max(kk, pool if pool is not None else 4 * kk)
-    from ..session import cut_lineage, write_bucketed
+    from ..session import bucket_count, cut_lineage, write_bucketed
 
     rows = (df.where(~F.col("finished")) if "finished" in df.columns else df) \
         .select("grp", "id", "features")
@@ -343,7 +343,7 @@ def knn_descent(df: DataFrame, k: int, max_iter: int = 5, early_termination: flo
         g = cut_lineage(_with_rank(g, k).drop("rank"))
         # written once, bucketed on the membership key: every round's join of
         # (v, u) memberships to their vectors shuffles only the memberships
-        nbk = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        nbk = bucket_count(df.sparkSession, n_big)
         feats = write_bucketed(
             brows.select(F.col("id").alias("u"), F.col("features").alias("vec"))
             .repartition(nbk, "u"), "u", nbk, "features") if max_iter > 0 else None

@@ -9,6 +9,7 @@ without that setting gets a scratch folder of its own.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -104,3 +105,36 @@ def write_bucketed(df: DataFrame, key: str, buckets: int, name: str = "table") -
     (df.write.bucketBy(buckets, key).sortBy(key)
      .option("path", f"{base}/tables/{table}").saveAsTable(table))
     return spark.table(table)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``graphssl`` importable in the Python workers (``addPyFile``).
+
+    The pandas kernels (block distances, per-group bisection, LSH codes) are
+    module functions that workers unpickle by reference, so the package must be
+    on every executor's path.  When it is not installed there, this zips the
+    package once per application and ships it with the job.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="graphssl-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out, "graphssl"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="graphssl")
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
+
+
+#: Rows per bucket aimed at when a bucket count is derived from the data.
+BUCKET_ROWS = 1_000_000
+
+
+def bucket_count(spark: SparkSession, n_rows: int) -> int:
+    """Buckets for a table of ``n_rows``: about one per ``BUCKET_ROWS`` rows,
+    at least 1, at most ``spark.sql.shuffle.partitions``."""
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(cap, -(-int(n_rows) // BUCKET_ROWS)))
