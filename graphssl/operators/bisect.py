@@ -116,8 +116,17 @@ def bisect_distributed(v: DataFrame, e: DataFrame, n_groups: int, max_steps: int
     nb = buckets or bucket_count(spark, v.count())
     # edges bucketed on src and vertices bucketed on id: the message join of
     # every step reads both without an exchange
-    e = write_bucketed(e.select("src", "dst", "a").repartition(nb, "src"), "src", nb, "edges")
-    v = write_bucketed(v.repartition(nb, "id"), "id", nb, "vertices")
+    if nb > 1:
+        e = write_bucketed(e.select("src", "dst", "a").repartition(nb, "src"), "src", nb, "edges")
+
+        def keep(frame):
+            return write_bucketed(frame.repartition(nb, "id"), "id", nb, "step")
+    else:
+        # below a million vertices one bucket would bring no co-location;
+        # plain checkpoints are cheaper
+        e = cut_lineage(e.select("src", "dst", "a"))
+        keep = cut_lineage
+    v = keep(v)
     groups = cut_lineage(v.select("grp").distinct().select(
         "grp", F.lit(0).cast("bigint").alias("stable"), F.lit(False).alias("frozen")))
     steps = 0
@@ -126,7 +135,7 @@ def bisect_distributed(v: DataFrame, e: DataFrame, n_groups: int, max_steps: int
         # v2 is only read through broadcast joins (its partitioning carries
         # over), so a plain checkpoint is enough; v3 feeds the next message join
         v2 = cut_lineage(gradient(laplacian(v, e), moments(v), n_groups))
-        v3 = write_bucketed(centre(v2, n_groups).repartition(nb, "id"), "id", nb, "step")
+        v3 = keep(centre(v2, n_groups))
         ch = sign_changes(v3).select("grp", "ratio")
         stable = F.when(F.col("ratio") > tol, F.lit(0).cast("bigint")).otherwise(
             F.col("stable") + 1)

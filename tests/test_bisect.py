@@ -53,3 +53,11 @@ def test_divide_groups_invariants(state, graph):
     groups = {r.grp for r in out.select("grp").distinct().collect()}
     assert groups <= {0, 1, 2, 3, 4}          # new ids = old + max(2) + 1
     assert out.where("grp = 2").count() == state.where("grp = 2").count()   # finished kept
+
+
+def test_bucketed_tables_give_the_same_scores(graph):
+    _, (v, e) = graph
+    a = {r.id: r.m for r in bisect_distributed(v, e, 2, max_steps=4, buckets=3).collect()}
+    b = {r.id: r.m for r in bisect_local(v, e, max_steps=4).collect()}
+    assert a.keys() == b.keys()
+    assert all(abs(a[i] - b[i]) < 1e-9 for i in a)
