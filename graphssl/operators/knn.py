@@ -344,9 +344,10 @@ def knn_descent(df: DataFrame, k: int, max_iter: int = 5, early_termination: flo
         # written once, bucketed on the membership key: every round's join of
         # (v, u) memberships to their vectors shuffles only the memberships
         nbk = bucket_count(df.sparkSession, n_big)
-        feats = write_bucketed(
-            brows.select(F.col("id").alias("u"), F.col("features").alias("vec"))
-            .repartition(nbk, "u"), "u", nbk, "features") if max_iter > 0 else None
+        feats = brows.select(F.col("id").alias("u"), F.col("features").alias("vec"))
+        if max_iter > 0:
+            feats = (write_bucketed(feats.repartition(nbk, "u"), "u", nbk, "features")
+                     if nbk > 1 else cut_lineage(feats))
         for rnd in range(max_iter):
             mem = (g.select("grp", F.col("id").alias("v"), F.col("nbr").alias("u"))
                    .unionByName(g.select("grp", F.col("nbr").alias("v"), F.col("id").alias("u")))
