@@ -2,7 +2,7 @@
 
 The reference collects every labelled row to the driver and loops there.  Here:
 
-* R2 ranges: ``posexplode`` + partial ``min``/``max`` per (group, feature).
+* R2 ranges: element-wise ``min``/``max`` per group as a JVM vector aggregate.
 * R5 priors: counts per (group, class).
 * R6 probes: the ``m`` rows with the smallest seeded hash per group, found by a
   salted two-phase top-m (no window ever spans a whole hot group).
@@ -20,6 +20,8 @@ all-ones weights; the probe sample is seeded and deterministic.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,9 +44,17 @@ def labelled_rows(df: DataFrame) -> DataFrame:
 
 
 def feature_ranges(lab: DataFrame) -> DataFrame:
-    """R2: ``(grp, pos, min, max, range)`` per feature over labelled rows."""
-    ex = lab.select("grp", F.posexplode("features").alias("pos", "x"))
-    return ex.groupBy("grp", "pos").agg(F.min("x").alias("min"), F.max("x").alias("max")) \
+    """R2: ``(grp, pos, min, max, range)`` per feature over labelled rows.
+
+    Element-wise min/max run as one JVM vector aggregate per group
+    (``Summarizer``, partial aggregation) -- rows are not exploded per feature;
+    only the small per-group result is."""
+    summ = lab.groupBy("grp").agg(
+        Summarizer.metrics("min", "max").summary(array_to_vector("features")).alias("_s"))
+    per_grp = summ.select("grp", vector_to_array("_s.min").alias("_mn"),
+                          vector_to_array("_s.max").alias("_mx"))
+    ex = per_grp.select("grp", F.posexplode(F.arrays_zip("_mn", "_mx")).alias("pos", "_p"))
+    return ex.select("grp", "pos", F.col("_p._mn").alias("min"), F.col("_p._mx").alias("max")) \
         .withColumn("range", F.col("max") - F.col("min"))
 
 
