@@ -252,10 +252,12 @@ def _finish(edges: DataFrame) -> DataFrame:
 
 
 def _group_means(rows: DataFrame) -> DataFrame:
-    ex = rows.select("grp", F.posexplode("features").alias("pos", "x"))
-    per = ex.groupBy("grp", "pos").agg(F.avg("x").alias("mu"))
-    return per.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("pos", "mu"))).alias("_m")) \
-        .select("grp", F.transform("_m", lambda s: s["mu"]).alias("centre"))
+    """``(grp, centre)``: element-wise mean per group, one JVM vector aggregate."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    m = rows.groupBy("grp").agg(Summarizer.mean(array_to_vector("features")).alias("_m"))
+    return m.select("grp", vector_to_array("_m").alias("centre"))
 
 
 def _lsh_buckets(rows: DataFrame, tables: int, seed: int) -> DataFrame:
