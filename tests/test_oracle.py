@@ -20,9 +20,18 @@ def con():
     return c
 
 
+_CROSS = ("CartesianProduct", "BroadcastNestedLoopJoin")
+
+
+def _no_cross_join(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not any(m in plan for m in _CROSS), plan
+
+
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
     sdf = E.queries()[name](spark, SF)
+    _no_cross_join(sdf)
     cols = sorted(sdf.columns)
     got = sorted((tuple(_norm(r[c]) for c in cols) for r in sdf.collect()), key=repr)
     res = con.execute(E.oracle_sql()[name])
@@ -41,3 +50,10 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert {"id", "grp", "prediction"} <= set(df.columns)
+
+
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql()) - {"classify"}))
+def test_rows_only_queries_run(spark, name):
+    df = E.queries()[name](spark, SF)
+    _no_cross_join(df)
+    assert df.count() > 0
