@@ -70,3 +70,17 @@ def test_constant_feature_gets_bias_weight(spark):
 def test_weight_vectors_in_feature_order(iris_all_labelled):
     v = weight_vectors(relief_weights(iris_all_labelled, k=1)).first()["weights"]
     assert v == pytest.approx([0.4284405, 0.4893602, 0.9571119, 1.0], abs=1e-6)
+
+
+def test_salted_sampling_equals_plain_top_m(spark, iris_all_labelled, monkeypatch):
+    from pyspark.sql import Window
+
+    import graphssl.operators.relief as R
+    monkeypatch.setattr(R, "_SAMPLE_SALT_ROWS", 8)        # ~19 salts for 150 rows
+    lab = labelled_rows(iris_all_labelled).withColumn("grp", F.col("label"))
+    got = sorted((r.grp, r.id) for r in sample_probes(lab, 7, seed=11).collect())
+    h = F.xxhash64(F.col("id"), F.lit(11))
+    w = Window.partitionBy("grp").orderBy(h, "id")
+    exp = sorted((r.grp, r.id) for r in
+                 lab.withColumn("_r", F.row_number().over(w)).where("_r <= 7").collect())
+    assert got == exp and len(got) == 21
