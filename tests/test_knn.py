@@ -71,3 +71,14 @@ def test_lsh_graph_has_k_per_row(spark):
     # every edge stays inside its group
     j = g.join(df.select(F.col("id").alias("nbr"), F.col("grp").alias("ngrp")), "nbr")
     assert j.where("grp != ngrp").count() == 0
+
+
+def test_packed_small_groups_match_brute_force(spark):
+    # 40 groups of ~12 rows with 16-row blocks: every group fits one block and
+    # groups are packed several per task, over many tasks
+    df = load_embeddings(spark, SF).withColumn("grp", F.pmod("id", F.lit(40))) \
+        .withColumn("finished", F.lit(False))
+    g = knn_exact(df, 3, block_rows=16).toPandas()
+    exp = _brute(df.toPandas(), 3)
+    got = {i: list(s.sort_values("rank").nbr) for i, s in g.groupby("id")}
+    assert got == exp
