@@ -31,6 +31,10 @@ def main() -> None:
         C.QUERIES[name](spark, sf_dir).collect()
         times[name] = round(time.perf_counter() - t, 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    try:
+        sf = float(sf)
+    except ValueError:
+        pass
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "sf": sf}))
     spark.stop()
