@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphssl.operators.sizing import small_hint
 from graphssl.session import write_table
 
 #: Fixed value: the white-space class of the contract (a run becomes one space).
@@ -142,20 +143,20 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), "text_sha256")
     rows = write_table(split.filter("maybe_repeated").select("doc_id", "text_sha256"), "maybe_repeated")
-    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("f"), F.col("doc_id").alias("d")))
-    groups = (rows.groupBy("text_sha256").agg(first.alias("m"), F.count(F.lit(1)).alias("group_size"))
-              .select("text_sha256", F.col("m.d").alias("keep_id"), "group_size"))
-    met = rows.join(groups, "text_sha256").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    # First per (text, doc_id), then per text; both sums start inside the map tasks.
+    same = rows.groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("f"), F.col("doc_id").alias("d"), F.col("n").alias("n")))
+    groups = (same.groupBy("text_sha256").agg(first.alias("m"), F.sum("n").alias("group_size"))
+              .select("text_sha256", F.col("m.d").alias("keep_id"), F.col("m.n").alias("_ties"), "group_size"))
+    groups = write_table(groups, "groups")
+    met = (rows.join(small_hint(groups, groups.count(), BROADCAST_ROWS // 8), "text_sha256")
+           .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))))
     # Rows that share text and doc_id with the kept one: the first of them stays.
-    ties = (rows.groupBy("text_sha256", "doc_id").count().filter("count > 1")
-            .select("text_sha256", "doc_id"))
-    same = [F.col("a.text_sha256") == F.col("t.text_sha256"), F.col("a.doc_id").eqNullSafe(F.col("t.doc_id"))]
-    tied = (met.alias("a").join(ties.alias("t"), same, "left_semi")
-            .withColumn("kept", F.col("kept") & (F.row_number().over(
-                Window.partitionBy("text_sha256", "doc_id").orderBy("group_size")) == 1)))
-    free = met.alias("a").join(ties.alias("t"), same, "left_anti")
+    tied = (met.filter("kept and _ties > 1").withColumn("kept", F.row_number().over(
+        Window.partitionBy("text_sha256").orderBy("group_size")) == 1))
     cols = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
-    return alone.select(cols).unionByName(free.select(cols)).unionByName(tied.select(cols))
+    return (alone.select(cols).unionByName(met.filter("not kept or _ties = 1").select(cols))
+            .unionByName(tied.select(cols)))
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
