@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from graphssl.llm.bloom_dedup import exact_duplicates
+from graphssl.llm.bpe import encode_decode_digests
 from graphssl.llm.common import table
+from graphssl.llm.mixing import mix_report
 
 
 def op8_bloom_exact_dedup(spark, sf_dir):
@@ -11,7 +15,17 @@ def op8_bloom_exact_dedup(spark, sf_dir):
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_bloom_exact_dedup,)}
+def op3_hypergeometric_mix(spark, sf_dir):
+    """What the mix takes of all ``documents``."""
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
+def op5_automaton_bpe(spark, sf_dir):
+    """All ``documents`` encoded and decoded."""
+    return encode_decode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op3_hypergeometric_mix, op5_automaton_bpe, op8_bloom_exact_dedup)}
 
 SQL = {
     "op8_bloom_exact_dedup": r"""
