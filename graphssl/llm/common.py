@@ -83,9 +83,11 @@ def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, np.cumprod(inv, dtype=np.uint64)
 
 
-def words(data: np.ndarray, offsets: np.ndarray):
-    """``(start, end, row)`` of every white-space separated word."""
-    solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
+def words(data: np.ndarray, offsets: np.ndarray, solid: np.ndarray | None = None):
+    """``(start, end, row)`` of every run of ``solid`` bytes within a row (default: of
+    every white-space separated word)."""
+    if solid is None:
+        solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     last = solid.copy()

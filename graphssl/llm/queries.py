@@ -7,7 +7,9 @@ import public_tokenizers
 from graphssl.llm.bloom_dedup import exact_duplicates
 from graphssl.llm.bpe import encode_decode_digests
 from graphssl.llm.common import table
+from graphssl.llm.dart_minhash import near_duplicates
 from graphssl.llm.mixing import mix_report
+from graphssl.llm.toxicity import score
 
 
 def op8_bloom_exact_dedup(spark, sf_dir):
@@ -20,12 +22,23 @@ def op3_hypergeometric_mix(spark, sf_dir):
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op4_dart_minhash(spark, sf_dir):
+    """Near-duplicate classes of all ``documents``."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_automaton_bpe(spark, sf_dir):
     """All ``documents`` encoded and decoded."""
     return encode_decode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_hypergeometric_mix, op5_automaton_bpe, op8_bloom_exact_dedup)}
+def op9_toxicity_bigru(spark, sf_dir):
+    """Toxicity of all ``documents``, learnt from ``labels``."""
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op3_hypergeometric_mix, op4_dart_minhash, op5_automaton_bpe, op8_bloom_exact_dedup, op9_toxicity_bigru)}
 
 SQL = {
     "op8_bloom_exact_dedup": r"""
