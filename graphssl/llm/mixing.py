@@ -127,9 +127,10 @@ def split_tree(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
         per = nodes.groupBy("node").agg(
             F.sort_array(F.collect_list(F.struct("ord", "n"))).alias("parts"), F.sum("n").alias("total"))
         half = F.floor(F.col("total") / 2).cast("long")
+        coin = F.lit(level)
 
-        def draw(z, x, level=level):
-            u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(level), F.col("node"), x["ord"]), 11) / float(1 << 53)
+        def draw(z, x):
+            u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), coin, F.col("node"), x["ord"]), 11) / float(1 << 53)
             got = F.when(z["rest"] == x["n"], z["left"]).otherwise(hypergeometric(z["rest"], x["n"], z["left"], u))
             return F.transform(F.array(got.cast("long")), lambda g: F.struct(
                 (z["rest"] - x["n"]).alias("rest"), (z["left"] - g).alias("left"),
