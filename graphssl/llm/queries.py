@@ -8,6 +8,7 @@ from graphssl.llm.bloom_dedup import exact_duplicates
 from graphssl.llm.bpe import encode_decode_digests
 from graphssl.llm.common import table
 from graphssl.llm.dart_minhash import near_duplicates
+from graphssl.llm.edit_fingerprint import fingerprints
 from graphssl.llm.mixing import mix_report
 from graphssl.llm.toxicity import score
 
@@ -17,6 +18,11 @@ def op8_bloom_exact_dedup(spark, sf_dir):
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_edit_fingerprints(spark, sf_dir):
+    """Fingerprints of all ``documents`` and of their edited texts."""
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_hypergeometric_mix(spark, sf_dir):
     """What the mix takes of all ``documents``."""
     return mix_report(table(spark, sf_dir, "documents"))
@@ -38,7 +44,7 @@ def op9_toxicity_bigru(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_hypergeometric_mix, op4_dart_minhash, op5_automaton_bpe, op8_bloom_exact_dedup, op9_toxicity_bigru)}
+    op1_edit_fingerprints, op3_hypergeometric_mix, op4_dart_minhash, op5_automaton_bpe, op8_bloom_exact_dedup, op9_toxicity_bigru)}
 
 SQL = {
     "op8_bloom_exact_dedup": r"""

@@ -1,6 +1,6 @@
 """Links between items that collide in hash buckets, and their components.
 
-``verified_links`` never forms all pairs of a bucket.  In each round every bucket
+``bucket_links`` never forms all pairs of a bucket.  In each round every bucket
 names a few leaders; a leader is compared with every other item of the bucket
 that is not yet in its component, and then leaves the bucket.  Buckets whose
 items are all in one component are done.  The loop ends when no bucket has two
@@ -11,7 +11,7 @@ to round, so there are few rounds.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -101,8 +101,14 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int, least: float)
 
 
 def verified_links(buckets: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """``bucket_links`` with the Jaccard similarity of ``texts(item, text)``."""
+    return bucket_links(buckets, lambda pairs: similar_pairs(pairs, texts, width, least))
+
+
+def bucket_links(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``(a, b)`` links between similar items that share a bucket, enough of them to
-    connect every component; ``buckets(bucket, item)``, ``texts(item, text)``."""
+    connect every component; ``buckets(bucket, item)``; ``alike`` keeps the similar
+    rows of ``(a, b)``."""
     full = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("item").alias("low"),
                                          F.max("item").alias("high")).filter("low != high")
     rows = write_table(buckets.join(full.select("bucket"), "bucket").distinct(), "buckets")
@@ -113,7 +119,7 @@ def verified_links(buckets: DataFrame, texts: DataFrame, width: int, least: floa
     rows = rows.join(first.withColumnRenamed("a", "item"), ["bucket", "item"], "left_anti")
     leaders = 1
     while True:
-        new = write_table(similar_pairs(pairs, texts, width, least), "verified")
+        new = write_table(alike(pairs), "verified")
         links = new if links is None else links.unionByName(new)
         label = components(links)
         known = rows.join(small_hint(label, label.count(), BROADCAST_ROWS), "item", "left").select(
