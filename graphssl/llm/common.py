@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on (a longer text is a step alone).
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -149,32 +149,31 @@ def range_of(col, bounds: list[int]):
     return F.when(col.isNull(), F.lit(0)).otherwise(coarse * step + fine)
 
 
-def with_next(df: DataFrame, key: str, order: list, n: int | None = None) -> DataFrame:
-    """Deal ``df`` into ranges of ``key`` (a long), each followed by the first row
-    of the next range; the last range is followed by the first row of all.
+def ranges_with_next(df: DataFrame, key: str, n: int) -> DataFrame:
+    """``df`` in at most ``n`` ranges of ``key`` (a long), each with the first row of
+    the next range as a guest; the last range has the first row of all.
 
-    Adds ``_range`` and ``_guest`` (1 for the row lent by the next range).  The
-    rows of one range lie in one partition, sorted by ``_range, _guest, key,
-    order``.  Every row moves once.  Rows with equal keys share a range."""
-    spark = df.sparkSession
-    n = n or partitions(spark)
+    Adds ``_range`` and ``_guest`` (1 for the row lent by the next range).  Rows
+    with equal keys share a range; a null key is the smallest."""
     bounds = splitters(df, key, n)
     placed = df.withColumn("_range", range_of(F.col(key), bounds).cast("int"))
+    own = F.coalesce(F.col(key), F.lit(-(1 << 63)))
     # One row per range (at most n): where each range begins.
-    begins = sorted((r["_range"], r["k"]) for r in
-                    placed.groupBy("_range").agg(F.min(F.coalesce(F.col(key), F.lit(-(1 << 63)))).alias("k")).collect())
-    host = {r: begins[i - 1][0] for i, (r, _) in enumerate(begins)}
-    if begins:
-        first = F.coalesce(F.col(key), F.lit(-(1 << 63)))
-        lent = F.lit(None).cast("int")
-        at = F.create_map(*[x for r, k in begins for x in (F.lit(r), F.lit(k).cast("long"))])
-        to = F.create_map(*[x for r, k in begins for x in (F.lit(r), F.lit(host[r]))])
-        lent = F.when(first == F.element_at(at, F.col("_range")), F.element_at(to, F.col("_range")))
-        placed = placed.withColumn("_to", F.explode(F.filter(
-            F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("g")),
-                    F.struct(lent.alias("r"), F.lit(1).alias("g"))), lambda x: x.r.isNotNull())))
-        placed = placed.withColumn("_range", F.col("_to.r")).withColumn("_guest", F.col("_to.g")).drop("_to")
-    else:
-        placed = placed.withColumn("_guest", F.lit(0))
-    return (placed.repartitionById(n, F.pmod(F.col("_range"), F.lit(n)).cast("int"))
+    begins = sorted((r["_range"], r["k"]) for r in placed.groupBy("_range").agg(F.min(own).alias("k")).collect())
+    if not begins:
+        return placed.withColumn("_guest", F.lit(0))
+    at = F.create_map(*[x for r, k in begins for x in (F.lit(r), F.lit(k).cast("long"))])
+    to = F.create_map(*[x for i, (r, _) in enumerate(begins) for x in (F.lit(r), F.lit(begins[i - 1][0]))])
+    host = F.when(own == F.element_at(at, F.col("_range")), F.element_at(to, F.col("_range")))
+    copies = F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("g")),
+                     F.struct(host.alias("r"), F.lit(1).alias("g")))
+    placed = placed.withColumn("_to", F.explode(F.filter(copies, lambda x: x.r.isNotNull())))
+    return placed.withColumn("_range", F.col("_to.r")).withColumn("_guest", F.col("_to.g")).drop("_to")
+
+
+def with_next(df: DataFrame, key: str, order: list) -> DataFrame:
+    """``ranges_with_next`` with the rows of a range in one partition, sorted by
+    ``_range, _guest, key, order``.  Every row moves once."""
+    n = partitions(df.sparkSession)
+    return (ranges_with_next(df, key, n).repartitionById(n, F.pmod(F.col("_range"), F.lit(n)).cast("int"))
             .sortWithinPartitions("_range", "_guest", key, *order))

@@ -4,15 +4,29 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from graphssl.llm.backoff import backoff_scores
 from graphssl.llm.bloom_dedup import exact_duplicates
 from graphssl.llm.bpe import encode_decode_digests
 from graphssl.llm.common import table
 from graphssl.llm.dart_minhash import near_duplicates
 from graphssl.llm.edit_fingerprint import fingerprints
 from graphssl.llm.mixing import mix_report
+from graphssl.llm.paragraphs import remove_paragraphs
+from graphssl.llm.preference import preference_rows, swapped_replies
+from graphssl.llm.suffix_levels import remove_repeats
 from graphssl.llm.toxicity import score
 
 
+def op6_paragraph_minhash(spark, sf_dir):
+    """All ``documents`` without the paragraphs that nearly repeat earlier ones."""
+    return remove_paragraphs(table(spark, sf_dir, "documents"))
+
+
+def op7_suffix_levels(spark, sf_dir):
+    """All ``documents`` without the bytes that repeat earlier 100-byte strings."""
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_bloom_exact_dedup(spark, sf_dir):
     """Exact duplicates of all ``documents``."""
     return exact_duplicates(table(spark, sf_dir, "documents"))
@@ -23,6 +37,11 @@ def op1_edit_fingerprints(spark, sf_dir):
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_preference_format(spark, sf_dir):
+    """All ``conversations`` against themselves with the next one's last reply."""
+    return preference_rows(swapped_replies(table(spark, sf_dir, "conversations")))
+
+
 def op3_hypergeometric_mix(spark, sf_dir):
     """What the mix takes of all ``documents``."""
     return mix_report(table(spark, sf_dir, "documents"))
@@ -43,8 +62,14 @@ def op9_toxicity_bigru(spark, sf_dir):
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_stupid_backoff(spark, sf_dir):
+    """Leave-one-out backoff scores of all ``documents``."""
+    return backoff_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_edit_fingerprints, op3_hypergeometric_mix, op4_dart_minhash, op5_automaton_bpe, op8_bloom_exact_dedup, op9_toxicity_bigru)}
+    op1_edit_fingerprints, op2_preference_format, op3_hypergeometric_mix, op4_dart_minhash, op5_automaton_bpe, op6_paragraph_minhash, op7_suffix_levels,
+    op8_bloom_exact_dedup, op9_toxicity_bigru, op10_stupid_backoff)}
 
 SQL = {
     "op8_bloom_exact_dedup": r"""
@@ -53,4 +78,50 @@ WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = min(doc_id) OVER w AS kept, text_sha256
 FROM t WINDOW w AS (PARTITION BY text_sha256)""",
+    "op10_stupid_backoff": r"""
+WITH a AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id,
+                               regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM a),
+b AS (SELECT *, lag(word) OVER (PARTITION BY r ORDER BY i) AS prev FROM t),
+u AS (SELECT r, word, count(*) AS own, sum(count(*)) OVER (PARTITION BY word) AS n FROM t GROUP BY r, word),
+g AS (SELECT r, prev, word, count(*) AS own, sum(count(*)) OVER (PARTITION BY prev, word) AS n
+      FROM b WHERE prev IS NOT NULL GROUP BY r, prev, word),
+s AS (SELECT b.r, b.prev, coalesce(g.n - g.own, 0) AS two, u.n - u.own AS one, v.n - v.own AS ctx
+      FROM b JOIN u ON u.r = b.r AND u.word = b.word LEFT JOIN u v ON v.r = b.r AND v.word = b.prev
+      LEFT JOIN g ON g.r = b.r AND g.prev = b.prev AND g.word = b.word),
+d AS (SELECT r, count(*) AS n_words, count(*) FILTER (two = 0) AS n_short,
+             sum(CASE WHEN two > 0 THEN ln(two / ctx)
+                      ELSE ln(greatest(one, 0.5)) + CASE WHEN prev IS NULL THEN 0 ELSE ln(0.4) END END) AS part
+      FROM s GROUP BY r),
+x AS (SELECT a.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_short, 0) AS n_short,
+             coalesce(part - n_short * ln(greatest((SELECT count(*) FROM t) - n_words, 1)), 0) AS l
+      FROM a LEFT JOIN d USING (r))
+SELECT doc_id, n_words, n_short, round(l, 4) AS log_score,
+       CASE WHEN n_words > 0 THEN round(l / n_words, 6) END AS mean_log_score FROM x""",
+    "op2_preference_format": r"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p,
+                  coalesce(role, '') AS role, coalesce(text, '') AS txt
+           FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, max(p) FILTER (WHERE role = 'assistant') AS la, count(*) AS n FROM t GROUP BY conv_id),
+r AS (SELECT l.*, coalesce(t.txt, '') AS reply FROM l LEFT JOIN t ON t.conv_id = l.conv_id AND t.p = l.la),
+x AS (SELECT conv_id, la, n, reply, coalesce(lead(reply) OVER (ORDER BY conv_id),
+                                             first_value(reply) OVER (ORDER BY conv_id)) AS other FROM r),
+y AS (SELECT *, CASE WHEN la IS NULL THEN n WHEN other = reply THEN n ELSE la - 1 END AS n_shared FROM x),
+s AS (SELECT y.conv_id, 'c' AS side, p, p > n_shared AS after, role, txt FROM y JOIN t USING (conv_id)
+      UNION ALL
+      SELECT y.conv_id, 'r', p, p > n_shared, role, CASE WHEN p = la THEN other ELSE txt END FROM y JOIN t USING (conv_id)
+      UNION ALL
+      SELECT conv_id, 'r', n + 1, true, 'assistant', other FROM y WHERE la IS NULL),
+q AS (SELECT *, '<|turn|>' || role || chr(10) || txt || '<|end|>' || chr(10) AS piece FROM s),
+z AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY conv_id, side, after ORDER BY p
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(role) + 9 AS b FROM q),
+a AS (SELECT conv_id, side, string_agg(piece, '' ORDER BY p) FILTER (WHERE NOT after) AS prompt,
+             string_agg(piece, '' ORDER BY p) FILTER (WHERE after) AS done,
+             string_agg(b::BIGINT || '-' || (b + length(txt) + 7)::BIGINT, ';' ORDER BY p)
+                 FILTER (WHERE after AND role = 'assistant') AS mask
+      FROM z GROUP BY conv_id, side)
+SELECT y.conv_id AS pair_id, n_shared, coalesce(c.prompt, '') AS prompt,
+       coalesce(c.done, '') AS chosen, coalesce(c.mask, '') AS chosen_mask,
+       coalesce(r.done, '') AS rejected, coalesce(r.mask, '') AS rejected_mask
+FROM y JOIN a c ON c.conv_id = y.conv_id AND c.side = 'c' JOIN a r ON r.conv_id = y.conv_id AND r.side = 'r'""",
 }
