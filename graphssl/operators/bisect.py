@@ -4,29 +4,33 @@ then split each group by the sign of its score.
 Two executions of the same loop, chosen per group by its vertex count:
 
 * **distributed** (groups above ``local_group_rows``): one lock-step DataFrame
-  plan per step (:mod:`graphssl.operators.graph`); vertex and edge tables are
-  bucketed on their join keys (no exchange of the edges for the message join); per-group counters live in a small checkpointed table.  This is what the first iteration's single, all-rows group runs.
+  plan per step; vertex and edge tables are bucketed on their join keys, and
+  per-group counters live in a small table.  This is what the first iteration's
+  single, all-rows group runs.
 * **per group** (small groups): all steps of one group inside one
   ``cogroup(...).applyInPandas`` task over its vertices and edges (numpy).
-  Edges never leave a group and frozen groups never change, so running a group
-  alone or in lock-step with the others gives the same scores.
+
+Edges never leave a group, a group counts its own steps and a frozen group never
+changes, so both give the same scores and step counts (tested).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import bucket_count, cut_lineage, write_bucketed
-from .graph import (centre, degrees, gradient, laplacian, moments, scaled_edges,
-                    sign_changes, symmetric_edges)
+from ..functions.vectors import sign
+from ..session import bucket_count, cut_lineage, discard, write_bucketed, write_table
+from .graph import degrees, scaled_edges, symmetric_edges
 from .labels import seed_signs
 from .sizing import bounded, join_small, small_hint
 
 DEFAULT_LOCAL_GROUP_ROWS = 20_000
+#: A source with more edges is a hub (its edges are dealt by target).
+HUB_EDGES = 100_000
 
 
 def build_graph(df: DataFrame, knn: DataFrame):
@@ -68,7 +72,8 @@ def _make_local_fn(max_steps: int, max_stable: int, tol: float):
                 steps += 1
                 s = np.bincount(dst, weights=a * m[src], minlength=n)
                 l_new = np.where(has_msg, m - s, l)
-                m2 = 1.0 / np.sum(m * m)
+                mass = np.sum(m * m)
+                m2 = 1.0 / mass if mass > 0 else 0.0
                 l2 = np.sum(m * l)
                 raw = m - 2.0 * (m2 * l_new - m2 * m2 * l2 * m)
                 new_m = raw.copy()
@@ -99,54 +104,120 @@ def bisect_local(v: DataFrame, e: DataFrame, max_steps: int = 1000, max_stable:
     return vv.groupBy("grp").cogroup(ee.groupBy("grp")).applyInPandas(fn, _SCORE_SCHEMA)
 
 
+def _split_hubs(e: DataFrame, nb: int):
+    """``(edges of ordinary sources, edges of hub sources, hub ids)``; the last two
+    are None without hubs.  A hub has more than ``HUB_EDGES`` edges, so there are at
+    most ``#edges / HUB_EDGES`` of them; their edges are never dealt by source."""
+    hubs = cut_lineage(e.groupBy("src").agg(F.count(F.lit(1)).alias("_n"))
+                       .where(F.col("_n") > HUB_EDGES).select("src"))
+    n_hubs = hubs.count()
+    if not n_hubs:
+        return e, None, None
+    hubs = small_hint(hubs, n_hubs)
+    return (e.join(hubs, "src", "left_anti"),
+            cut_lineage(e.join(hubs, "src").repartition(max(nb, 2), "dst")), hubs)
+
+
+def _messages(v: DataFrame, e: DataFrame, e_hub: DataFrame | None, hubs: DataFrame | None) -> DataFrame:
+    """B1: ``(id, s)``: the scaled sum of the neighbours' scores."""
+    act = v.select(F.col("id").alias("src"), F.col("m").alias("_mk"))
+    parts = [e.join(act, "src").select("dst", (F.col("a") * F.col("_mk")).alias("_x"))]
+    if e_hub is not None:
+        parts.append(e_hub.join(F.broadcast(act.join(hubs, "src")), "src")
+                     .select("dst", (F.col("a") * F.col("_mk")).alias("_x")))
+    msg = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return msg.groupBy(F.col("dst").alias("id")).agg(F.sum("_x").alias("_s"))
+
+
 def bisect_distributed(v: DataFrame, e: DataFrame, n_groups: int, max_steps: int = 1000,
                        max_stable: int = 10, tol: float = 0.005,
                        buckets: int | None = None) -> DataFrame:
     """B7-B9 in lock-step over all groups: ``(id, grp, m, steps)``.
 
-    The edges are written once bucketed on ``src``; per step the vertex table
-    is checkpointed after the message pass and gradient and written bucketed on
-    ``id`` after centring (``buckets`` defaults to about one per million vertices,
-    at most ``spark.sql.shuffle.partitions``; one file per bucket), plus a checkpointed
-    per-group counter table; the loop ends
-    when every group has had ``max_stable`` consecutive steps with a sign-change
-    ratio of at most ``tol`` (B8), or after ``max_steps``.
+    One vertex table is written per step: scores, old and new Laplacian values
+    after the message pass.  The uncentred score is linear in ``m`` and ``l_new``
+    with one pair of factors per group, so its means per (group, labelled) follow
+    from the sums of ``m``, ``l_new``, ``m^2`` and ``m l`` -- one aggregate -- and the
+    centred score and its sign test are column expressions over the written table.
+
+    A group's counter (B8) counts its own steps.  A group with ``max_stable``
+    consecutive steps of a sign-change ratio of at most ``tol`` is moved to the
+    output, and later steps do not read its vertices or edges any more.  Tables
+    of superseded steps are dropped.
     """
     spark = v.sparkSession
     nb = buckets or bucket_count(spark, v.count())
-    # edges bucketed on src and vertices bucketed on id: the message join of
-    # every step reads both without an exchange
+    e, e_hub, hubs = _split_hubs(e.select("src", "dst", "a", "grp"), nb)
     if nb > 1:
-        e = write_bucketed(e.select("src", "dst", "a").repartition(nb, "src"), "src", nb, "edges")
+        # edges bucketed on src, vertices on id: the message join reads both
+        # without an exchange
+        e = write_bucketed(e.repartition(nb, "src"), "src", nb, "edges")
 
         def keep(frame):
             return write_bucketed(frame.repartition(nb, "id"), "id", nb, "step")
     else:
-        # below a million vertices one bucket would bring no co-location;
-        # plain checkpoints are cheaper
-        e = cut_lineage(e.select("src", "dst", "a"))
-        keep = cut_lineage
-    v = keep(v)
-    groups = cut_lineage(v.select("grp").distinct().select(
-        "grp", F.lit(0).cast("bigint").alias("stable"), F.lit(False).alias("frozen")))
-    steps = 0
-    while steps < max_steps and not groups.where(F.col("stable") < max_stable).isEmpty():
+        e = write_table(e, "edges")
+
+        def keep(frame):
+            return write_table(frame, "step")
+    written = keep(v.select("id", "grp", "lab", "m", F.col("l").cast("double").alias("l")))
+    v = written
+    groups = write_table(v.select("grp").distinct().select(
+        "grp", F.lit(0).cast("bigint").alias("stable"), F.lit(0).cast("bigint").alias("steps")), "groups")
+    done, steps, factors = [], 0, None
+    while steps < max_steps:
         steps += 1
-        # v2 is only read through broadcast joins (its partitioning carries
-        # over), so a plain checkpoint is enough; v3 feeds the next message join
-        v2 = cut_lineage(gradient(laplacian(v, e), moments(v), n_groups))
-        v3 = keep(centre(v2, n_groups))
-        ch = sign_changes(v3).select("grp", "ratio")
-        stable = F.when(F.col("ratio") > tol, F.lit(0).cast("bigint")).otherwise(
-            F.col("stable") + 1)
-        groups = cut_lineage(groups.join(F.broadcast(ch) if n_groups < 2_000_000 else ch,
-                                         "grp").select("grp", stable.alias("stable"))
-                             .withColumn("frozen", F.col("stable") >= max_stable))
-        fr = groups.select("grp", "frozen")
-        v = v3.select("id", "grp", "lab", F.col("new_m").alias("m"),
-                      F.col("l_new").alias("l")).join(
-            F.broadcast(fr) if n_groups < 2_000_000 else fr, "grp")
-    return v.select("id", "grp", "m", F.lit(steps).cast("bigint").alias("steps"))
+        j = keep(v.join(_messages(v, e, e_hub, hubs), "id", "left").select(
+            "id", "grp", "lab", "m", "l", F.coalesce(F.col("m") - F.col("_s"), F.col("l")).alias("l_new")))
+        discard(written)
+        if factors is not None:
+            discard(factors)
+        written = j
+        sums = j.groupBy("grp", "lab").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("m").alias("sm"), F.sum("l_new").alias("sl"),
+            F.sum(F.col("m") * F.col("m")).alias("smm"), F.sum(F.col("m") * F.col("l")).alias("sml"))
+        per = Window.partitionBy("grp")                   # two rows a group
+        mass = F.sum("smm").over(per)
+        m2 = F.when(mass > 0, F.lit(1.0) / mass).otherwise(F.lit(0.0))
+        sums = (sums.withColumn("b", F.lit(-2.0) * m2)
+                .withColumn("a", F.lit(1.0) + F.lit(2.0) * m2 * m2 * F.sum("sml").over(per)))
+        mu = (F.col("a") * F.col("sm") + F.col("b") * F.col("sl")) / F.col("n")
+        factors = write_table(sums.select("grp", "lab", "a", "b", mu.alias("mu")), "factors")
+        new = j.join(small_hint(factors, 2 * n_groups), ["grp", "lab"]).select(
+            "id", "grp", "lab", "m", (F.col("a") * F.col("m") + F.col("b") * F.col("l_new") - F.col("mu")).alias("new_m"),
+            "l_new")
+        ratio = new.groupBy("grp").agg(
+            F.avg((sign("m") != sign("new_m")).cast("double")).alias("ratio"))
+        stable = F.when(F.col("ratio") > tol, F.lit(0).cast("bigint")).otherwise(F.col("stable") + 1)
+        now = write_table(groups.join(small_hint(ratio, n_groups), "grp").select(
+            "grp", stable.alias("stable"), (F.col("steps") + 1).alias("steps")), "groups")
+        discard(groups)
+        v = new.select("id", "grp", "lab", F.col("new_m").alias("m"), F.col("l_new").alias("l"))
+        count = now.agg(F.count(F.lit(1)).alias("n"),
+                        F.sum((F.col("stable") >= max_stable).cast("bigint")).alias("k")).first()
+        if count["k"] == count["n"] or steps == max_steps:
+            done.append(write_table(v.join(small_hint(now.select("grp", "steps"), n_groups), "grp")
+                                    .select("id", "grp", "m", "steps"), "scores"))
+            break
+        groups = now
+        if count["k"]:
+            ended = small_hint(now.where(F.col("stable") >= max_stable).select("grp", "steps"), n_groups)
+            done.append(write_table(v.join(ended, "grp").select("id", "grp", "m", "steps"), "scores"))
+            groups = now.where(F.col("stable") < max_stable)
+            live = small_hint(groups.select("grp"), n_groups)
+            v, old = v.join(live, "grp"), e
+            left = e.join(live, "grp")
+            if nb > 1:
+                e = write_bucketed(left.repartition(nb, "src"), "src", nb, "edges")
+            else:
+                e = write_table(left, "edges")
+            discard(old)
+            if e_hub is not None:
+                e_hub = cut_lineage(e_hub.join(live, "grp"))
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def new_group_ids(scores: DataFrame, max_grp: int) -> DataFrame:

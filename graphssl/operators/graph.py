@@ -70,9 +70,11 @@ def laplacian(v: DataFrame, e: DataFrame) -> DataFrame:
 
 
 def moments(v: DataFrame) -> DataFrame:
-    """B2: ``(grp, m2 = 1/sum(m^2), l2 = sum(m * l))`` with the *stored* l."""
+    """B2: ``(grp, m2 = 1/sum(m^2), l2 = sum(m * l))`` with the *stored* l; a group
+    without mass has ``m2 = 0`` (its scores do not move)."""
+    mass = F.sum(F.col("m") * F.col("m"))
     return v.groupBy("grp").agg(
-        F.try_divide(F.lit(1.0), F.sum(F.col("m") * F.col("m"))).alias("m2"),
+        F.when(mass > 0, F.lit(1.0) / mass).otherwise(F.lit(0.0)).alias("m2"),
         F.sum(F.col("m") * F.col("l")).alias("l2"))
 
 

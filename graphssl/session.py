@@ -108,6 +108,26 @@ def write_bucketed(df: DataFrame, key: str, buckets: int, name: str = "table") -
     return spark.table(table)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that :func:`write_table` or :func:`write_bucketed` has written
+    and that no live frame reads any more (a superseded step)."""
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/") + "/tables/"
+    files = [f for f in df.inputFiles() if "/tables/" in f]
+    folders = {f[:f.index("/tables/") + len("/tables/")] + f.split("/tables/", 1)[1].split("/")[0] for f in files}
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    own = base.split(":", 1)[-1].lstrip("/")
+    for folder in folders:
+        if own not in folder:
+            continue
+        name = folder.rsplit("/", 1)[1]
+        if name.startswith("graphssl_") and spark.catalog.tableExists(name):
+            spark.sql(f"DROP TABLE {name}")
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -30,11 +30,32 @@ def test_distributed_equals_local(graph):
     assert all(abs(a[i] - b[i]) < 1e-9 for i in a)
 
 
-def test_converged_local_equals_distributed(graph):
+@pytest.mark.parametrize("max_stable,buckets", [(2, None), (4, None), (2, 3)])
+def test_converged_local_equals_distributed(graph, max_stable, buckets):
+    """Equal scores and equal step counts; the groups freeze at their own steps."""
     _, (v, e) = graph
-    a = {r.id: (r.m < 0) for r in bisect_distributed(v, e, 2, max_steps=14, max_stable=2).collect()}
-    b = {r.id: (r.m < 0) for r in bisect_local(v, e, max_steps=14, max_stable=2).collect()}
-    assert a == b
+    a = {r.id: (r.m, r.steps) for r in
+         bisect_distributed(v, e, 2, max_steps=60, max_stable=max_stable, buckets=buckets).collect()}
+    b = {r.id: (r.m, r.steps) for r in bisect_local(v, e, max_steps=60, max_stable=max_stable).collect()}
+    assert a.keys() == b.keys()
+    assert all(abs(a[i][0] - b[i][0]) < 1e-8 and a[i][1] == b[i][1] for i in a)
+
+
+def test_a_group_without_mass_does_not_move(spark):
+    v = spark.createDataFrame([(i, 0, False, 0.0, 0.0, False) for i in range(4)],
+                              "id bigint, grp bigint, lab boolean, m double, l double, frozen boolean")
+    e = spark.createDataFrame([(i, (i + 1) % 4, 0, 0.5) for i in range(4)], "src bigint, dst bigint, grp bigint, a double")
+    for s in (bisect_distributed(v, e, 1, max_steps=5, max_stable=2), bisect_local(v, e, max_steps=5, max_stable=2)):
+        assert [(r.m, r.steps) for r in s.collect()] == [(0.0, 2)] * 4
+
+
+def test_hub_sources_give_the_same_scores(graph, monkeypatch):
+    from graphssl.operators import bisect
+    _, (v, e) = graph
+    a = {r.id: r.m for r in bisect_distributed(v, e, 2, max_steps=3).collect()}
+    monkeypatch.setattr(bisect, "HUB_EDGES", 9)
+    b = {r.id: r.m for r in bisect_distributed(v, e, 2, max_steps=3).collect()}
+    assert a.keys() == b.keys() and all(abs(a[i] - b[i]) < 1e-9 for i in a)
 
 
 def test_both_sides_get_labelled_rows(state, graph):
