@@ -2,8 +2,8 @@
 
 Blocked top-k
 -------------
-Query rows and candidate rows of one group are hashed into blocks of at most
-``block_rows`` rows.  Each (group, query block, candidate block) triple is one
+Query rows and candidate rows of one group are hashed into blocks of
+``block_rows`` rows on average.  Each (group, query block, candidate block) triple is one
 cogroup task: numpy computes the block's distances in Arrow batches and emits
 only the local top-k per query (and per candidate label when asked).  A final
 ``row_number`` window over ``(grp, qid[, clabel])`` -- a window over at most
@@ -27,13 +27,15 @@ scored with the same blocked top-k, so a hub vertex never lands in one task.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sizing import bounded, small_hint
+from .sizing import bounded, join_small, small_hint
 
 DEFAULT_BLOCK_ROWS = 1024
 # float64 cells one distance chunk may hold (rows x candidates x features)
@@ -97,13 +99,11 @@ def _make_block_fn(k: int, metric: str, per_label: bool, exclude_self: bool,
     cols = (list(keys) + ["qid"] + (["qlabel"] if with_qlabel else [])
             + ["cid", "clabel", "dist"] + (["diff"] if with_diff else []))
 
-    def solve(qpdf: pd.DataFrame, cpdf: pd.DataFrame, keyvals) -> dict:
+    def solve(Q, q, qi, C, c_, ci, rngs, keyvals) -> dict:
         """Local top-k of one domain's query block against one candidate block."""
-        Q, C = _stack(qpdf["qvec"]), _stack(cpdf["cvec"])
-        qid = qpdf["qid"].to_numpy(np.int64)
-        cid = cpdf["cid"].to_numpy(np.int64)
-        clabel = cpdf["clabel"].to_numpy()
-        rng = _stack(qpdf["rng"].iloc[:1])[0] if metric == "relief" else None
+        qid = q["qid"][qi].astype(np.int64)
+        cid, clabel = c_["cid"][ci].astype(np.int64), c_["clabel"][ci]
+        rng = np.asarray(rngs[qi[0]], dtype=np.float64) if metric == "relief" else None
         D = _block_distances(Q, C, metric, rng)
         if exclude_self:
             D[qid[:, None] == cid[None, :]] = np.inf
@@ -121,7 +121,7 @@ def _make_block_fn(k: int, metric: str, per_label: bool, exclude_self: bool,
         out = {key: np.full(len(r), val, dtype=np.int64) for key, val in zip(keys, keyvals)}
         out.update({"qid": qid[r], "cid": cid[c], "clabel": clabel[c], "dist": D[r, c]})
         if with_qlabel:
-            out["qlabel"] = qpdf["qlabel"].to_numpy()[r]
+            out["qlabel"] = q["qlabel"][qi][r]
         if with_diff:
             diff = np.abs(Q[r] - C[c])
             rr = np.asarray(rng, dtype=np.float64)
@@ -130,26 +130,35 @@ def _make_block_fn(k: int, metric: str, per_label: bool, exclude_self: bool,
         return out
 
     def split(pdf: pd.DataFrame) -> dict:
+        """Row numbers of every domain: one sort, then the segments between keys."""
         cols_ = [pdf[key].to_numpy(np.int64) for key in keys]
-        groups: dict = {}
-        for i, kv in enumerate(zip(*cols_)):
-            groups.setdefault(kv, []).append(i)
-        return groups
+        order = np.lexsort(cols_[::-1])
+        sorted_ = [c[order] for c in cols_]
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for c in sorted_:
+            new[1:] |= c[1:] != c[:-1]
+        heads = np.flatnonzero(new)
+        return dict(zip(zip(*(c[heads].tolist() for c in sorted_)), np.split(order, heads[1:])))
 
     def fn(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
         # one task may carry several small domains (packed) or one block pair
         # of a big domain; either way every domain is solved on its own
         if len(qpdf) == 0 or len(cpdf) == 0:
             return pd.DataFrame({c: [] for c in cols})
-        cgroups = split(cpdf)
-        parts = []
+        cgroups, parts = split(cpdf), []
+        qvec, cvec = _stack(qpdf["qvec"]), _stack(cpdf["cvec"])
+        q = {c: qpdf[c].to_numpy() for c in qpdf.columns if c not in ("qvec", "rng")}
+        c = {x: cpdf[x].to_numpy() for x in ("cid", "clabel")}
+        rngs = qpdf["rng"].to_numpy() if metric == "relief" else None
         for kv, qi in split(qpdf).items():
             ci = cgroups.get(kv)
-            if ci:
-                parts.append(pd.DataFrame(solve(qpdf.iloc[qi], cpdf.iloc[ci], kv)))
+            if ci is not None:
+                parts.append(solve(qvec[qi], q, qi, cvec[ci], c, ci, rngs, kv))
         if not parts:
             return pd.DataFrame({c: [] for c in cols})
-        res = pd.concat(parts, ignore_index=True)[cols]
+        res = pd.DataFrame({name: (list(chain.from_iterable(p[name] for p in parts)) if name == "diff" else
+                                   np.concatenate([p[name] for p in parts])) for name in cols})
         res["clabel"] = res["clabel"].astype("Int64")
         if with_qlabel:
             res["qlabel"] = res["qlabel"].astype("Int64")
@@ -234,9 +243,10 @@ def knn_exact(df: DataFrame, k: int, block_rows: int = DEFAULT_BLOCK_ROWS) -> Da
 # NN-Descent
 # ---------------------------------------------------------------------------
 
-#: Most sign bits one random-projection table may use (codes fit a bigint
-#: together with the table number).
-_MAX_BITS = 40
+#: Rows that one random-projection bucket holds on average (sets the code length).
+CODE_ROWS = 512
+#: Rows per slot that padding draws from.
+PAD_ROWS = 64
 
 
 def _with_rank(edges: DataFrame, k: int) -> DataFrame:
@@ -262,8 +272,9 @@ def _group_means(rows: DataFrame) -> DataFrame:
 
 def _lsh_buckets(rows: DataFrame, tables: int, seed: int) -> DataFrame:
     """Random-hyperplane codes around each group's mean, ``tables`` codes per
-    row: ``(grp, bkt, id, features)``; ``nbits`` per row sets the code length."""
-    schema = T.StructType([T.StructField("grp", T.LongType()), T.StructField("bkt", T.LongType()),
+    row: ``(grp, tbl, bkt, id, features)``; ``nbits`` per row sets the code length."""
+    schema = T.StructType([T.StructField("grp", T.LongType()), T.StructField("tbl", T.LongType()),
+                           T.StructField("bkt", T.LongType()),
                            T.StructField("id", T.LongType()),
                            T.StructField("features", T.ArrayType(T.DoubleType()))])
 
@@ -274,16 +285,15 @@ def _lsh_buckets(rows: DataFrame, tables: int, seed: int) -> DataFrame:
                 continue
             X = _stack(pdf["features"]) - _stack(pdf["centre"])
             nbits = pdf["nbits"].to_numpy(np.int64)
-            d = X.shape[1]
+            d, most = X.shape[1], int(nbits.max())
             for t in range(tables):
-                if (t, d) not in planes:
-                    planes[(t, d)] = np.random.default_rng([seed, t, d]).standard_normal(
-                        (d, _MAX_BITS))
-                bits = (X @ planes[(t, d)]) > 0
-                used = np.arange(_MAX_BITS)[None, :] < nbits[:, None]
-                code = ((bits & used).astype(np.int64) << np.arange(_MAX_BITS)).sum(axis=1)
+                code = np.zeros(len(X), np.int64)
+                for b in range(most):           # at most log2(rows / CODE_ROWS) planes
+                    if (t, b, d) not in planes:
+                        planes[(t, b, d)] = np.random.default_rng([seed, t, b, d]).standard_normal(d)
+                    code |= (((X @ planes[(t, b, d)]) > 0) & (b < nbits)).astype(np.int64) << b
                 yield pd.DataFrame({"grp": pdf["grp"].to_numpy(np.int64),
-                                    "bkt": (np.int64(t) << _MAX_BITS) + code,
+                                    "tbl": np.full(len(X), t, np.int64), "bkt": code,
                                     "id": pdf["id"].to_numpy(np.int64),
                                     "features": pdf["features"]})
 
@@ -292,114 +302,121 @@ def _lsh_buckets(rows: DataFrame, tables: int, seed: int) -> DataFrame:
 
 def knn_descent(df: DataFrame, k: int, max_iter: int = 5, early_termination: float = 0.001,
                 sample_rate: float = 1.0, buckets: int = 2, seed: int = 0,
-                exact_below: int = 2048, block_rows: int = DEFAULT_BLOCK_ROWS,
-                pool: int | None = None) -> DataFrame:
-    """G1 (approximate): NN-Descent graph ``(id, nbr, grp, rank, dist, sim)``.
-
-    Groups of at most ``exact_below`` rows take :func:`knn_exact`.  Bigger ones:
-
-    1. ``buckets`` random-projection tables; rows sharing a bucket are scored
-       with :func:`blocked_top_k` (bucket sizes are not capped: a crowded bucket
-       is just more blocks).
+                block_rows: int = DEFAULT_BLOCK_ROWS, pool: int | None = None,
+                code_rows: int = CODE_ROWS) -> DataFrame:
+    """G1 (approximate): NN-Descent graph ``(id, nbr, grp, rank, dist, sim)``, the same
+    method for groups of every size.
+
+    1. ``buckets`` random-projection tables whose buckets hold ``code_rows`` rows on
+       average; rows sharing a bucket are scored with :func:`blocked_top_k` (a
+       crowded bucket is just more blocks).  Rows short of neighbours get random
+       ones of their group (padding).
     2. Up to ``max_iter`` rounds: every vertex's neighbours, reverse neighbours
        and itself form its local set (members kept with probability
        ``sample_rate``); the blocked top-k inside each local set proposes new
-       neighbours; the best ``k`` per row are kept.  Stops once fewer than
-       ``early_termination * k * n`` list entries change.
-    3. Rows still short of ``k`` neighbours get an exact top-k against their
-       whole group (one query block, candidates streamed once).
+       neighbours; the best ``pool`` per row are kept.  An entry is new in the round
+       after it came in; only local sets with a new entry are scored again, so
+       later rounds are cheaper.  Stops once fewer than ``early_termination * k *
+       n`` entries are new.
 
     The rounds keep ``pool`` (default ``4k``) neighbours per row and the best
     ``k`` of them are returned: a longer working list is what lets NN-Descent
-    escape poor local graphs in high intrinsic dimension.
+    escape poor local graphs in high intrinsic dimension.  ``block_rows`` only
+    sizes tasks; it never changes the result.
     """
     kk = k
     k = max(kk, pool if pool is not None else 4 * kk)
-    from ..session import bucket_count, cut_lineage, write_bucketed
+    from ..session import bucket_count, cut_lineage, discard, write_bucketed, write_table
 
     rows = (df.where(~F.col("finished")) if "finished" in df.columns else df) \
         .select("grp", "id", "features")
     sizes = bounded(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("_n")))
-    n_groups = sizes.count()
-    small = small_hint(sizes.where(F.col("_n") <= exact_below).select("grp"), n_groups)
-    big = small_hint(sizes.where(F.col("_n") > exact_below), n_groups)
-    parts = []
-    if not small.isEmpty():
-        parts.append(knn_exact(rows.join(small, "grp").withColumn("finished", F.lit(False)),
-                               kk, block_rows))
-    if not big.isEmpty():
-        brows = rows.join(big.select("grp"), "grp")
-        n_big = big.agg(F.sum("_n")).first()[0]
-        half = max(2, block_rows // 2)
-        nbits = big.select("grp", F.least(F.lit(_MAX_BITS), F.greatest(F.lit(0), F.ceil(
-            F.log2(F.col("_n") / F.lit(half))))).cast("bigint").alias("nbits"))
-        dim = brows.select(F.size("features")).first()[0]
-        coded_in = brows.join(bounded(_group_means(brows), row_cells=dim), "grp") \
-            .join(bounded(nbits), "grp")
-        coded = _lsh_buckets(coded_in, buckets, seed)
-        q = coded.select("grp", "bkt", F.col("id").alias("qid"), F.col("features").alias("qvec"))
-        c = coded.select("grp", "bkt", F.col("id").alias("cid"), F.col("features").alias("cvec"))
-        init = blocked_top_k(q, c, k, keys=("grp", "bkt"), block_rows=block_rows)
-        g = init.groupBy("grp", F.col("qid").alias("id"), F.col("cid").alias("nbr")) \
-            .agg(F.min("dist").alias("dist"))
-        g = cut_lineage(_with_rank(g, k).drop("rank"))
-        # written once, bucketed on the membership key: every round's join of
-        # (v, u) memberships to their vectors shuffles only the memberships
-        nbk = bucket_count(df.sparkSession, n_big)
-        feats = brows.select(F.col("id").alias("u"), F.col("features").alias("vec"))
-        if max_iter > 0:
-            feats = (write_bucketed(feats.repartition(nbk, "u"), "u", nbk, "features")
-                     if nbk > 1 else cut_lineage(feats))
-        for rnd in range(max_iter):
-            mem = (g.select("grp", F.col("id").alias("v"), F.col("nbr").alias("u"))
-                   .unionByName(g.select("grp", F.col("nbr").alias("v"), F.col("id").alias("u")))
-                   .distinct())
-            if sample_rate < 1.0:
-                keep = (F.pmod(F.xxhash64("v", "u", F.lit(seed), F.lit(rnd)), F.lit(1_000_000))
-                        < F.lit(int(sample_rate * 1_000_000)))
-                mem = mem.where(keep)
-            selfs = g.select("grp", F.col("id").alias("v"), F.col("id").alias("u")).distinct()
-            mem = mem.unionByName(selfs).distinct().join(feats, "u")
-            lq = mem.select("grp", "v", F.col("u").alias("qid"), F.col("vec").alias("qvec"))
-            lc = mem.select("grp", "v", F.col("u").alias("cid"), F.col("vec").alias("cvec"))
-            local = blocked_top_k(lq, lc, k, keys=("grp", "v"), block_rows=block_rows)
-            cand = g.select("grp", "id", "nbr", "dist").unionByName(
-                local.select("grp", F.col("qid").alias("id"), F.col("cid").alias("nbr"), "dist"))
-            cand = cand.groupBy("grp", "id", "nbr").agg(F.min("dist").alias("dist"))
-            new_g = cut_lineage(_with_rank(cand, k).drop("rank"))
-            changed = new_g.join(g, ["id", "nbr"], "left_anti").count()
-            g = new_g
-            if changed <= early_termination * k * n_big:
-                break
-        # exact top-k for rows that are still short of neighbours
-        have = g.groupBy("id").agg(F.count(F.lit(1)).alias("_h"))
-        short = (brows.join(big, "grp").join(have, "id", "left")
-                 .where(F.coalesce(F.col("_h"), F.lit(0)) < F.least(F.lit(kk), F.col("_n") - 1))
-                 .select("grp", F.col("id").alias("qid"), F.col("features").alias("qvec")))
-        if not short.isEmpty():
-            cands = brows.select("grp", F.col("id").alias("cid"), F.col("features").alias("cvec"))
-            fix = blocked_top_k(short, cands, kk, block_rows=block_rows).select(
-                "grp", F.col("qid").alias("id"), F.col("cid").alias("nbr"), "dist")
-            g = g.join(short.select(F.col("qid").alias("id")), "id", "left_anti").unionByName(
-                fix.select("id", "grp", "nbr", "dist"))
-        parts.append(_finish(_with_rank(g.select("grp", "id", "nbr", "dist"), kk)))
-    if not parts:
-        return rows.select(F.col("id"), F.col("id").alias("nbr"), "grp",
-                           F.lit(0).alias("rank"), F.lit(0.0).alias("dist"),
-                           F.lit(0.0).alias("sim")).where(F.lit(False))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-
-def knn_lsh(df: DataFrame, k: int, buckets: int = 2, seed: int = 0,
-            block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    total = sizes.agg(F.count(F.lit(1)).alias("g"), F.sum("_n").alias("n")).first()
+    if not total["n"]:
+        return _finish(rows.select("grp", "id", F.col("id").alias("nbr"), F.lit(0).alias("rank"), F.lit(0.0).alias("dist")))
+    n_rows = total["n"]
+    nbits = sizes.select("grp", F.greatest(F.lit(0), F.ceil(F.log2(F.col("_n") / F.lit(code_rows))))
+                         .cast("bigint").alias("nbits"))
+    dim = rows.select(F.size("features")).first()[0]
+    coded_in = join_small(rows.join(small_hint(nbits, total["g"]), "grp"), _group_means(rows), "grp", "inner",
+                          row_cells=dim)
+    coded = _lsh_buckets(coded_in, buckets, seed)
+    key = ["grp", "tbl", "bkt"]
+    q = coded.select(*key, F.col("id").alias("qid"), F.col("features").alias("qvec"))
+    c = coded.select(*key, F.col("id").alias("cid"), F.col("features").alias("cvec"))
+    init = blocked_top_k(q, c, k, keys=tuple(key), block_rows=block_rows)
+    g = init.groupBy("grp", F.col("qid").alias("id"), F.col("cid").alias("nbr")).agg(F.min("dist").alias("dist"))
+    # a group that is one bucket has had all its pairs compared: nothing new there
+    open_ = small_hint(nbits.select("grp", (F.col("nbits") > 0).alias("new")), total["g"])
+    g = write_table(_with_rank(g, k).drop("rank").join(open_, "grp").select("grp", "id", "nbr", "dist", "new"), "graph")
+    # written once, bucketed on the membership key: every round's join of
+    # (v, u) memberships to their vectors shuffles only the memberships
+    nbk = bucket_count(df.sparkSession, n_rows)
+    feats = rows.select(F.col("id").alias("u"), F.col("features").alias("vec"))
+    feats = (write_bucketed(feats.repartition(nbk, "u"), "u", nbk, "features")
+             if nbk > 1 else write_table(feats, "features"))
+    padded = _padding(rows, sizes, total["g"], g, kk, seed).join(feats, "u").withColumnRenamed("vec", "uvec")
+    padded = padded.join(feats.select(F.col("u").alias("id"), "vec"), "id").select(
+        "grp", "id", F.col("u").alias("nbr"),
+        F.sqrt(F.aggregate(F.zip_with("vec", "uvec", lambda x, y: (x - y) * (x - y)), F.lit(0.0),
+                           lambda z, x: z + x)).alias("dist"), F.lit(True).alias("new"))
+    g = write_table(g.unionByName(padded), "graph")
+    for rnd in range(max_iter if g.where("new").limit(1).count() else 0):
+        both = (g.select("grp", F.col("id").alias("v"), F.col("nbr").alias("u"), "new")
+                .unionByName(g.select("grp", F.col("nbr").alias("v"), F.col("id").alias("u"), "new")))
+        if sample_rate < 1.0:
+            both = both.where(F.pmod(F.xxhash64("v", "u", F.lit(seed), F.lit(rnd)), F.lit(1_000_000))
+                              < F.lit(int(sample_rate * 1_000_000)))
+        mem = both.groupBy("grp", "v", "u").agg(F.max("new").alias("new"))
+        fresh = mem.where("new").select("v").distinct()       # local sets with a new member
+        mem = mem.join(fresh, "v", "left_semi").select("grp", "v", "u")
+        mem = mem.unionByName(mem.select("grp", "v", F.col("v").alias("u")).distinct()).join(feats, "u")
+        mem = write_table(mem, "members")
+        lq = mem.select("grp", "v", F.col("u").alias("qid"), F.col("vec").alias("qvec"))
+        lc = mem.select("grp", "v", F.col("u").alias("cid"), F.col("vec").alias("cvec"))
+        local = blocked_top_k(lq, lc, k, keys=("grp", "v"), block_rows=block_rows)
+        cand = g.select("grp", "id", "nbr", "dist", F.lit(1).alias("old")).unionByName(
+            local.select("grp", F.col("qid").alias("id"), F.col("cid").alias("nbr"), "dist", F.lit(0).alias("old")))
+        cand = cand.groupBy("grp", "id", "nbr").agg(F.min("dist").alias("dist"), F.max("old").alias("old"))
+        nxt = write_table(_with_rank(cand, k).select("grp", "id", "nbr", "dist", (F.col("old") == 0).alias("new")), "graph")
+        discard(mem)
+        discard(g)
+        g = nxt
+        if g.where("new").count() <= early_termination * k * n_rows:
+            break
+    return _finish(_with_rank(g.select("grp", "id", "nbr", "dist"), kk))
+
+
+def _padding(rows: DataFrame, sizes: DataFrame, n_groups: int, g: DataFrame, k: int, seed: int) -> DataFrame:
+    """``(grp, id, u)``: for rows with fewer than ``min(k, group - 1)`` neighbours, as
+    many random rows of their group as are missing.
+
+    The rows of a group are dealt to about ``n / PAD_ROWS`` slots by hash; a short row
+    looks at the ``k + 1`` first rows of a random slot and of the next ones until it
+    has enough, so no group is ever gathered or multiplied out."""
+    have = g.groupBy("id").agg(F.count(F.lit(1)).alias("_h"), F.collect_set("nbr").alias("_has"))
+    need = F.least(F.lit(k), F.col("_n") - 1)
+    base = rows.select("grp", "id").join(small_hint(sizes, n_groups), "grp")
+    short = (base.join(have, "id", "left").withColumn("_h", F.coalesce("_h", F.lit(0)))
+             .where(F.col("_h") < need).withColumn("_has", F.coalesce("_has", F.array().cast("array<bigint>"))))
+    slots = F.ceil(F.col("_n") / F.lit(PAD_ROWS)).cast("bigint")
+    slot = base.select("grp", F.col("id").alias("u"), F.pmod(F.xxhash64("id", F.lit(seed)), slots).alias("slot"))
+    first = (slot.withColumn("_r", F.row_number().over(Window.partitionBy("grp", "slot").orderBy("u")))
+             .where(F.col("_r") <= 2 * k + 1).drop("_r"))
+    looks = short.select("grp", "id", "_has", (need - F.col("_h")).alias("_need"), F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(0), F.lit(k)), lambda i: F.pmod(F.xxhash64("id", F.lit(seed + 1)) + i, slots)))).alias("slot"))
+    met = looks.join(first, ["grp", "slot"]).where((F.col("u") != F.col("id")) & ~F.array_contains("_has", F.col("u")))
+    pick = Window.partitionBy("id").orderBy(F.xxhash64("id", "u", F.lit(seed)), "u")
+    return (met.withColumn("_r", F.row_number().over(pick)).where(F.col("_r") <= F.col("_need"))
+            .select("grp", "id", "u"))
+
+
+def knn_lsh(df: DataFrame, k: int, buckets: int = 8, seed: int = 0,
+            block_rows: int = DEFAULT_BLOCK_ROWS, code_rows: int = CODE_ROWS) -> DataFrame:
     """G1 (random-projection LSH): the best ``k`` per row among the rows that
-    share one of its ``buckets`` random-hyperplane buckets (exact inside each
-    bucket, crowded buckets split into blocks); rows left with fewer than ``k``
-    get an exact top-k against their group.  This is NN-Descent's seeding stage
-    without refinement rounds."""
-    return knn_descent(df, k, max_iter=0, buckets=buckets, seed=seed, exact_below=0,
-                       block_rows=block_rows, pool=k)
+    share one of its ``buckets`` random-hyperplane buckets of ``code_rows`` rows on
+    average (exact inside each bucket, crowded buckets split into blocks), padded
+    as in NN-Descent.  This is NN-Descent's seeding stage without rounds; its
+    recall grows with ``buckets`` and ``code_rows``, never with ``block_rows``."""
+    return knn_descent(df, k, max_iter=0, buckets=buckets, seed=seed, block_rows=block_rows, pool=k,
+                       code_rows=code_rows)

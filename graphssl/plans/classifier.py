@@ -19,7 +19,7 @@ from ..operators.knn import DEFAULT_BLOCK_ROWS, knn_descent, knn_exact
 from ..operators.labels import assign_labels, class_weights
 from ..operators.purity import compute_finished, init_state, is_finished
 from ..operators.relief import weight_features
-from ..session import cut_lineage, write_table
+from ..session import cut_lineage, discard, write_table
 
 
 @dataclass
@@ -43,8 +43,8 @@ class Params:
     seed: int = 0
     block_rows: int = DEFAULT_BLOCK_ROWS
     local_group_rows: int = DEFAULT_LOCAL_GROUP_ROWS
-    exact_below: int = 2048         # groups this small use exact kNN in "descent" mode
     validate: bool = False          # C3: assert the row count after every stage
+    original_features: bool = False  # return the input's features, not the weighted ones
 
 
 def build_knn(state: DataFrame, p: Params, iteration: int = 0) -> DataFrame:
@@ -55,14 +55,17 @@ def build_knn(state: DataFrame, p: Params, iteration: int = 0) -> DataFrame:
         return knn_descent(state, p.k, max_iter=p.graph_max_iter,
                            early_termination=p.graph_early_termination,
                            sample_rate=p.graph_sample_rate, buckets=p.graph_buckets,
-                           seed=p.seed + iteration, exact_below=p.exact_below,
-                           block_rows=p.block_rows, pool=p.graph_pool)
+                           seed=p.seed + iteration, block_rows=p.block_rows,
+                           pool=p.graph_pool)
     raise ValueError(f"unknown graph method {p.graph!r}")
 
 
 def classify(df: DataFrame, params: Params | None = None, **overrides):
     """``(predictions, iterations)``.
 
+    With ``original_features`` the output carries the input's features instead of
+    the weighted ones (a join on ``id``).
+
     ``df``: ``id bigint, features array<double>, label bigint`` (NULL label =
     unlabelled).  Output rows: ``id, features (weighted), label, grp, finished,
     prediction``.
@@ -83,15 +86,23 @@ def classify(df: DataFrame, params: Params | None = None, **overrides):
     i = 0
     while i < p.max_iter and not is_finished(state):
         if p.weight_features:
-            state = write_table(weight_features(state, p.relief_m, p.relief_k, p.seed + i,
-                                                p.block_rows), "weighted")
+            weighted = write_table(weight_features(state, p.relief_m, p.relief_k, p.seed + i,
+                                                   p.block_rows), "weighted")
+            discard(state)
+            state = weighted
             check(state, "feature weighting")
         knn = write_table(build_knn(state, p, i), "knn")
-        state = divide_groups(state, knn, p.max_steps, p.max_stable, p.tol,
-                              p.local_group_rows)
-        state = write_table(compute_finished(state, weights, p.gini_impurity, p.k), "state")
+        divided = divide_groups(state, knn, p.max_steps, p.max_stable, p.tol,
+                                p.local_group_rows)
+        divided = write_table(compute_finished(divided, weights, p.gini_impurity, p.k), "state")
+        discard(state)
+        discard(knn)
+        state = divided
         check(state, "graph division")
         i += 1
     if p.validate and i < p.max_iter and not is_finished(state):   # C4
         raise AssertionError("loop ended with unfinished rows")
-    return assign_labels(state), i
+    out = assign_labels(state)
+    if p.original_features:
+        out = out.drop("features").join(df.select("id", "features"), "id").select(out.columns)
+    return out, i

@@ -11,7 +11,7 @@ from graphssl.sources.loaders import load_iris
 @pytest.mark.parametrize("graph", ["exact", "descent"])
 def test_iris_accuracy(spark, graph):
     inp, truth = load_iris(spark, IRIS, 0, 8)
-    out, iters = classify(inp, Params(k=10, max_iter=5, graph=graph, exact_below=0,
+    out, iters = classify(inp, Params(k=10, max_iter=5, graph=graph,
                                       block_rows=64, validate=True))
     res = success_rate(with_truth(out, truth)).first()
     assert 1 <= iters <= 5

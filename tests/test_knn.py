@@ -48,13 +48,13 @@ def test_descent_recall_iris(iris_state):
     # the reference's NN-Descent test: k=5, 5 rounds, early termination 0.001,
     # sample rate 1, 2 buckets; > 95 % of neighbours shared with the true graph
     approx = knn_descent(iris_state, 5, max_iter=5, early_termination=0.001, sample_rate=1.0,
-                         buckets=2, exact_below=0, block_rows=32)
+                         buckets=2, code_rows=16, block_rows=32)
     rec = neighbour_recall(approx, knn_exact(iris_state, 5)).first()
     assert rec.n_rows == 150 and rec.recall > 0.95
 
 
 def test_descent_every_row_has_k(iris_state):
-    approx = knn_descent(iris_state, 5, max_iter=1, exact_below=0, block_rows=16, sample_rate=0.5)
+    approx = knn_descent(iris_state, 5, max_iter=1, code_rows=16, block_rows=16, sample_rate=0.5)
     counts = {r["count"] for r in approx.groupBy("id").count().collect()}
     assert counts == {5}
     assert approx.where("id = nbr").count() == 0
@@ -64,7 +64,7 @@ def test_lsh_graph_has_k_per_row(spark):
     df = load_embeddings(spark, SF).withColumn("grp", F.pmod("id", F.lit(2))) \
         .withColumn("finished", F.lit(False))
     from graphssl.operators.knn import knn_lsh
-    g = knn_lsh(df, 4, block_rows=32)
+    g = knn_lsh(df, 4, code_rows=32)
     counts = {r["count"] for r in g.groupBy("id").count().collect()}
     assert counts == {4}
     assert g.where("id = nbr").count() == 0
