@@ -8,8 +8,8 @@ The reference collects every labelled row to the driver and loops there.  Here:
   salted two-phase top-m (no window ever spans a whole hot group).
 * R7/R8 hits and misses: :func:`graphssl.operators.knn.blocked_top_k` with the
   range-normalised Manhattan distance, top-k per (probe, class).
-* R9 accumulation: one signed coefficient per selected neighbour, then
-  ``posexplode(diff)`` and a partial ``sum`` per (group, feature).
+* R9 accumulation: one signed coefficient per selected neighbour, then one vector
+  sum of the scaled differences per group.
 * R10 scaling/bias and R12 application: per-group tables joined back with a
   size-checked broadcast.
 
@@ -72,9 +72,17 @@ def class_priors(lab: DataFrame) -> DataFrame:
     return counts.withColumn("prior", F.col("n") / tot)
 
 
+def sample_key(id_col, seed: int):
+    """A multiplicative mix of ``id`` and ``seed`` modulo the prime 2^31 - 1 (integer
+    arithmetic only, so plain SQL can reproduce the sample)."""
+    p = F.lit(2147483647).cast("bigint")
+    first = F.pmod(F.pmod(id_col, p) * F.lit(48271) + F.lit(seed % 2147483647 + 1), p)
+    return F.pmod(first * F.lit(69621), p)
+
+
 def sample_probes(lab: DataFrame, m: int | None, seed: int = 0) -> DataFrame:
     """``min(m, n)`` rows per group without replacement, chosen by the
-    smallest ``xxhash64(id, seed)`` (deterministic; ``m=None`` keeps all).
+    smallest :func:`sample_key` (deterministic; ``m=None`` keeps all).
 
     Phase 1 keeps the best ``m`` per (group, salt) where the salt count grows
     with the group, phase 2 the best ``m`` of those per group; so the widest
@@ -82,8 +90,7 @@ def sample_probes(lab: DataFrame, m: int | None, seed: int = 0) -> DataFrame:
     """
     if m is None:
         return lab
-    h = F.xxhash64(F.col("id"), F.lit(seed))
-    sized = lab.withColumn("_h", h)
+    sized = lab.withColumn("_h", sample_key(F.col("id"), seed))
     nsalt = lab.groupBy("grp").agg(
         F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(_SAMPLE_SALT_ROWS)))
         .cast("bigint").alias("_ns"))
@@ -137,8 +144,11 @@ def raw_weights(nbrs: DataFrame, probes: DataFrame, priors: DataFrame) -> DataFr
     coef = F.when(F.col("_hit"), F.lit(-1.0) / (F.col("m_eff") * F.col("n_hits"))).otherwise(
         F.when(avg > 0, F.col("p_c") / (F.lit(1.0) - F.col("p_q"))
                / (F.col("m_eff") * avg)).otherwise(F.lit(0.0)))
-    ex = x.select("grp", coef.alias("coef"), F.posexplode("diff").alias("pos", "d"))
-    return ex.groupBy("grp", "pos").agg(F.sum(F.col("coef") * F.col("d")).alias("w"))
+    # One vector sum per group: the rows are never exploded by feature.
+    x = x.select("grp", coef.alias("coef"), "diff")
+    scaled = array_to_vector(F.transform("diff", lambda d: d * F.col("coef")))
+    per = x.groupBy("grp").agg(vector_to_array(Summarizer.metrics("sum").summary(scaled)["sum"]).alias("_w"))
+    return per.select("grp", F.posexplode("_w").alias("pos", "w"))
 
 
 def scale_weights(raw: DataFrame, bias: float = RELIEF_BIAS) -> DataFrame:

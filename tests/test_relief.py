@@ -1,9 +1,9 @@
-"""ReliefF goldens (reference RelieffSpec) and edge cases."""
+"""ReliefF goldens (survey tables) and edge cases."""
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import IRIS
-from graphssl.operators.relief import (apply_weights, labelled_rows, relief_weights,
+from graphssl.operators.relief import (apply_weights, labelled_rows, relief_weights, sample_key,
                                        sample_probes, weight_vectors)
 from graphssl.sources.loaders import from_rows, load_iris
 
@@ -79,7 +79,7 @@ def test_salted_sampling_equals_plain_top_m(spark, iris_all_labelled, monkeypatc
     monkeypatch.setattr(R, "_SAMPLE_SALT_ROWS", 8)        # ~19 salts for 150 rows
     lab = labelled_rows(iris_all_labelled).withColumn("grp", F.col("label"))
     got = sorted((r.grp, r.id) for r in sample_probes(lab, 7, seed=11).collect())
-    h = F.xxhash64(F.col("id"), F.lit(11))
+    h = sample_key(F.col("id"), 11)
     w = Window.partitionBy("grp").orderBy(h, "id")
     exp = sorted((r.grp, r.id) for r in
                  lab.withColumn("_r", F.row_number().over(w)).where("_r <= 7").collect())
