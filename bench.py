@@ -14,7 +14,7 @@ from graphssl.session import ensure_checkpoint_dir, local_session  # noqa: E402
 
 HEADLINE = [
     "class_weights", "group_finished", "relief_weights", "apply_weights", "knn_exact",
-    "knn_descent", "degrees", "bisect_3_steps", "bisect_converged", "split_groups",
+    "knn_descent", "degrees", "bisect_3_steps", "bisect_converged", "bisect_lockstep", "split_groups",
     "majority_label", "g_mean", "classify",
 ]
 

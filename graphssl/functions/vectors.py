@@ -18,7 +18,7 @@ def multiply(a, b) -> Column:
     """Element-wise product; unequal sizes raise (like the reference)."""
     a, b = _c(a), _c(b)
     checked = F.when(F.size(a) == F.size(b), a).otherwise(
-        F.raise_error(F.lit("Cannot multiply vectors of different size")))
+        F.raise_error(F.lit("multiply: the two arrays differ in length")))
     return F.zip_with(checked, b, lambda x, y: x * y)
 
 
@@ -26,7 +26,7 @@ def subtract(a, b) -> Column:
     """Element-wise difference; unequal sizes raise."""
     a, b = _c(a), _c(b)
     checked = F.when(F.size(a) == F.size(b), a).otherwise(
-        F.raise_error(F.lit("Cannot subtract vectors of different size")))
+        F.raise_error(F.lit("subtract: the two arrays differ in length")))
     return F.zip_with(checked, b, lambda x, y: x - y)
 
 
@@ -41,30 +41,6 @@ def to_double_array(col) -> Column:
     return F.transform(_c(col), lambda x: x.cast("double"))
 
 
-def normalised_diff(a, b, rng) -> Column:
-    """Per-feature ``|a_i - b_i| / range_i``; a zero range contributes 0."""
-    diff = F.zip_with(_c(a), _c(b), lambda x, y: F.abs(x - y))
-    return F.zip_with(diff, _c(rng),
-                      lambda d, r: F.coalesce(F.try_divide(d, F.nullif(r, F.lit(0.0))),
-                                              F.lit(0.0)))
-
-
-def relief_distance(a, b, rng) -> Column:
-    """Range-normalised Manhattan distance (sum of :func:`normalised_diff`)."""
-    return F.aggregate(normalised_diff(a, b, rng), F.lit(0.0), lambda acc, x: acc + x)
-
-
-def euclidean(a, b) -> Column:
-    """Euclidean distance between two vectors."""
-    sq = F.zip_with(_c(a), _c(b), lambda x, y: (x - y) * (x - y))
-    return F.sqrt(F.aggregate(sq, F.lit(0.0), lambda acc, x: acc + x))
-
-
-def similarity_from_distance(dist) -> Column:
-    """Positive edge similarity ``1 / (1 + distance)``."""
-    return F.lit(1.0) / (F.lit(1.0) + _c(dist))
-
-
 def sign(x) -> Column:
     """-1/0/+1 with NaN -> 0 (integer signum semantics of the reference)."""
     x = _c(x)
@@ -72,8 +48,3 @@ def sign(x) -> Column:
             .when(x < 0, F.lit(-1))
             .when(x > 0, F.lit(1))
             .otherwise(F.lit(0)))
-
-
-def clean_zero(x) -> Column:
-    """Turn ``-0.0`` into ``0.0`` (``x + 0.0``)."""
-    return _c(x) + F.lit(0.0)

@@ -10,11 +10,11 @@ from pyspark.sql.types import DataType
 def has_column(df: DataFrame, col: str, with_type: DataType) -> None:
     """V1: column exists and has the given type (schema only, no job)."""
     if col not in df.columns:
-        raise AssertionError(f"The dataframe should have a column `{col}`")
+        raise AssertionError(f"column {col!r} is missing; there are {df.columns}")
     found = df.schema[col].dataType
     if found != with_type:
         raise AssertionError(
-            f"The `{col}` column should be of type `{with_type}`, found {found} instead")
+            f"{col!r} holds {found.simpleString()} values, {with_type.simpleString()} is needed")
 
 
 def has_columns(df: DataFrame, cols) -> None:
@@ -22,7 +22,7 @@ def has_columns(df: DataFrame, cols) -> None:
     missing = set(cols) - set(df.columns)
     if missing:
         raise AssertionError(
-            f"Minimum columns expected {sorted(cols)}, got {df.columns}")
+            f"no column named {sorted(missing)} among {df.columns}")
 
 
 def column_unique_frame(df: DataFrame, col: str) -> DataFrame:
@@ -37,7 +37,7 @@ def column_is_unique(df: DataFrame, col: str) -> None:
     """V2: raise when ``col`` has duplicates."""
     row = column_unique_frame(df, col).first()
     if not row["is_unique"]:
-        raise AssertionError(f"Values in column '{col}' are not unique")
+        raise AssertionError(f"{row['n'] - row['n_distinct']} rows repeat a value of {col!r}")
 
 
 def finished_by_group(df: DataFrame) -> DataFrame:

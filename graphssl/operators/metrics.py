@@ -28,7 +28,7 @@ def confusion(df: DataFrame) -> DataFrame:
     raises (two-class metric, as in the reference)."""
     p, t = F.col("prediction"), F.col("correct_label")
     checked = F.when(p.isin(0, 1) & t.isin(0, 1), F.lit(1)).otherwise(
-        F.raise_error(F.lit("confusion/g_mean only work in two-class problems")))
+        F.raise_error(F.lit("labels and predictions have to be 0 or 1 here")))
 
     def n(cond):      # ``checked`` is evaluated for every row, so a third class raises
         return F.sum(F.when(cond, 1).otherwise(0) * checked).cast("bigint")

@@ -13,6 +13,8 @@ hashes compare exactly with the SQL oracle in :mod:`graphssl.plans.oracle`.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +24,10 @@ from ..operators import labels as L
 from ..operators import metrics as M
 from ..operators import purity as P
 from ..operators import relief as R
-from ..operators.bisect import (bisect_distributed, bisect_local, build_graph, merge_groups,
-                                new_group_ids)
+from ..operators.bisect import bisect_distributed, build_graph, divide_groups, score_groups
 from ..operators.knn import knn_descent, knn_exact, knn_lsh
-from ..sources.loaders import load_embeddings, mask_labels
+from ..session import ensure_checkpoint_dir, write_table
+from ..sources.loaders import load_embeddings, load_emnist, mask_labels, read_graph, write_predictions
 from .classifier import Params, classify
 
 # Fixed parameters of the registered queries.
@@ -35,7 +37,9 @@ GINI = 0.1
 FINE_GROUPS = 64
 FINE_GINI = 0.5
 FINE_K = 3
-STEPS = 3          # unrolled bisection steps checked against SQL
+STEPS = 3          # bisect_3_steps checks single steps; the loop itself is bisect_converged
+STABLE = 2         # stable steps that freeze a group, so groups freeze at different steps
+SAMPLE_M, SAMPLE_SEED = 10, 7
 
 
 def r6(col) -> "F.Column":
@@ -159,7 +163,7 @@ def q_apply_weights(spark, sf):
 
 def q_relief_sample(spark, sf):
     lab = R.labelled_rows(base(spark, sf))
-    return R.sample_probes(lab, 10, seed=7).select("grp", "id", "label")
+    return R.sample_probes(lab, SAMPLE_M, seed=SAMPLE_SEED).select("grp", "id", "label")
 
 
 # --- graph ------------------------------------------------------------------
@@ -174,19 +178,46 @@ def q_knn_exact(spark, sf):
 
 
 def q_knn_descent(spark, sf):
-    g = knn_descent(base(spark, sf), K, exact_below=0)
+    g = knn_descent(base(spark, sf), K)
     return g.select("id", "nbr", "grp", F.col("rank").cast("bigint").alias("rank"))
 
 
 def q_knn_lsh(spark, sf):
-    g = knn_lsh(base(spark, sf), K, block_rows=64)
+    g = knn_lsh(base(spark, sf), K)
     return g.select("id", "nbr", "grp", F.col("rank").cast("bigint").alias("rank"))
 
 
 def q_neighbour_recall(spark, sf):
     b = base(spark, sf)
-    return M.neighbour_recall(knn_descent(b, K, exact_below=0),
-                              knn_exact(b, K))
+    return M.neighbour_recall(knn_descent(b, K), knn_exact(b, K))
+
+
+def q_neighbour_recall_coarse(spark, sf):
+    """Neighbours inside small groups that are among the nearest of the large group."""
+    slim = knn_exact(base(spark, sf, FINE_GROUPS), K)
+    return M.neighbour_recall(slim, knn_exact(base(spark, sf), 2 * K)).select("n_rows", r6("recall").alias("recall"))
+
+
+def q_graph_round_trip(spark, sf):
+    """The graph saved with nested neighbour lists and loaded again."""
+    g = _knn(spark, sf)
+    nested = g.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.col("nbr").alias("id"), F.col("sim").alias("similarity"))))
+                                 .alias("neighbors"))
+    path = write_table(nested, "saved").inputFiles()[0].rsplit("/", 1)[0]
+    return read_graph(spark, path).select("id", "nbr", r6("sim").alias("sim"))
+
+
+def q_csv_round_trip(spark, sf):
+    """The table as header-less CSV, loaded by its feature count."""
+    e = load_embeddings(spark, sf)
+    dim = e.select(F.size("features")).first()[0]
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/csv-{uuid.uuid4().hex}"
+    e.select(F.col("correct_label").alias("_c0"), *[F.col("features")[i].alias(f"_c{i + 1}") for i in range(dim)]) \
+        .write.csv(path)
+    rows, truth = load_emnist(spark, path, n_features=dim)
+    return (M.with_truth(rows.select("id", "features"), truth).groupBy("correct_label")
+            .agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum(F.aggregate(
+                "features", F.lit(0.0), lambda z, x: z + x)), 3) + F.lit(0.0)).alias("total")))
 
 
 def q_edges_symmetric(spark, sf):
@@ -234,30 +265,81 @@ def q_sign_changes(spark, sf):
                                                          r6("ratio").alias("ratio"))
 
 
-def _three_steps(spark, sf):
+def q_bisect_3_steps(spark, sf):
+    """Three single steps (a check of the step, not of the loop)."""
     v, e = _graph(spark, sf)
-    return bisect_distributed(v, e, 4, max_steps=STEPS)
+    return bisect_distributed(v, e, 4, max_steps=STEPS).select("id", "grp", r6("m").alias("m"))
 
 
-def q_bisect_3_steps(spark, sf):
-    return _three_steps(spark, sf).select("id", "grp", r6("m").alias("m"))
+def q_bisect_converged(spark, sf):
+    """B9 for all groups, each until it is stable."""
+    s = score_groups(base(spark, sf), _knn(spark, sf), max_stable=STABLE)
+    return s.select("id", "grp", "steps", r6("m").alias("m"))
+
+
+def q_bisect_lockstep(spark, sf):
+    """The same by the distributed loop alone."""
+    s = score_groups(base(spark, sf), _knn(spark, sf), max_stable=STABLE, local_group_rows=0)
+    return s.select("id", "grp", "steps", r6("m").alias("m"))
 
 
 def q_split_groups(spark, sf):
-    b = base(spark, sf)
-    max_grp = b.agg(F.max("grp")).first()[0]
-    return merge_groups(b, new_group_ids(_three_steps(spark, sf), max_grp)).select("id", "grp")
+    """B10-B12 over the converged loop."""
+    return divide_groups(base(spark, sf), _knn(spark, sf), max_stable=STABLE).select("id", "grp")
 
 
-def q_bisect_converged(spark, sf):
-    v, e = _graph(spark, sf)
-    return bisect_local(v, e).select("id", "grp", "steps")
+def _with_finished(spark, sf, grp):
+    return base(spark, sf).withColumn("finished", F.col("grp") == grp)
 
 
-def q_classify(spark, sf):
+def q_divide_open_groups(spark, sf):
+    """The rows of a finished group keep it."""
+    b = _with_finished(spark, sf, 3)
+    return divide_groups(b, knn_exact(b, K), max_stable=STABLE).select("id", "grp")
+
+
+def q_open_vertices(spark, sf):
+    """G2 with a finished group."""
+    b = _with_finished(spark, sf, 1)
+    return build_graph(b, knn_exact(b, K))[0].select("id", "grp", "lab", "m")
+
+
+def q_finished_stays(spark, sf):
+    """A finished group stays finished whatever its labels."""
+    b = _with_finished(spark, sf, 2)
+    return P.compute_finished(b, L.class_weights(b), 0.85, K).select("id", "finished")
+
+
+def _classified(spark, sf):
     b = base(spark, sf).select("id", "features", "label")
-    out, _ = classify(b, Params(k=10, max_iter=3, graph="exact"))
-    return out.select("id", "grp", "prediction")
+    return classify(b, Params(original_features=True, validate=True))[0]
+
+
+def q_classify(spark, sf):
+    """The end-to-end call with its default settings."""
+    return _classified(spark, sf).select("id", "grp", "prediction")
+
+
+def q_classify_report(spark, sf):
+    """What any run of the classifier has to satisfy, as counts."""
+    out = write_table(_classified(spark, sf), "predictions")
+    again = out.join(load_embeddings(spark, sf).select("id", F.col("features").alias("own")), "id")
+    best = L.majority_by_group(out).withColumnRenamed("prediction", "best")
+    per = again.join(best, "grp", "left")
+    return per.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("id").alias("n_ids"),
+                   F.sum((F.col("features") == F.col("own")).cast("bigint")).alias("n_same_features"),
+                   F.sum((~F.col("prediction").eqNullSafe(F.col("best"))).cast("bigint")).alias("n_wrong_majority"),
+                   F.sum((~F.col("finished")).cast("bigint")).alias("n_open"))
+
+
+def q_evaluate_report(spark, sf):
+    """Predictions to the parquet sink, joined with the truth, scored."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/predictions-{uuid.uuid4().hex}"
+    write_predictions(_classified(spark, sf).select("id", "label", "prediction"), path)
+    joined = M.with_truth(spark.read.parquet(path), load_embeddings(spark, sf))
+    n_rows = joined.count()
+    return M.success_rate(joined).select("n_unlabelled", F.lit(n_rows).cast("bigint").alias("n_rows"),
+                                         F.col("success_rate").between(0.0, 1.0).alias("in_range"))
 
 
 # --- labels / metrics / diagnostics -------------------------------------------
@@ -298,6 +380,17 @@ def q_partition_rows(spark, sf):
     return D.partition_rows(base(spark, sf))
 
 
+def q_partition_totals(spark, sf):
+    """D4 summed: every row is in one partition."""
+    return D.partition_rows(base(spark, sf).repartition("id")).agg(F.sum("n").alias("n"))
+
+
+def q_label_confusion(spark, sf):
+    """M2 on the driver's binary labels (toxic as the prediction of quality)."""
+    t = spark.read.parquet(f"{sf}/labels.parquet")
+    return M.confusion(t.select(F.col("toxic").alias("prediction"), F.col("quality").alias("correct_label")))
+
+
 def q_partition_skew(spark, sf):
     return D.partition_skew(base(spark, sf))
 
@@ -337,6 +430,17 @@ QUERIES = {
     "sign_changes": q_sign_changes,
     "bisect_3_steps": q_bisect_3_steps,
     "split_groups": q_split_groups,
+    "bisect_lockstep": q_bisect_lockstep,
+    "divide_open_groups": q_divide_open_groups,
+    "open_vertices": q_open_vertices,
+    "finished_stays": q_finished_stays,
+    "neighbour_recall_coarse": q_neighbour_recall_coarse,
+    "graph_round_trip": q_graph_round_trip,
+    "csv_round_trip": q_csv_round_trip,
+    "classify_report": q_classify_report,
+    "evaluate_report": q_evaluate_report,
+    "partition_totals": q_partition_totals,
+    "label_confusion": q_label_confusion,
     "bisect_converged": q_bisect_converged,
     "classify": q_classify,
     "majority_label": q_majority_label,

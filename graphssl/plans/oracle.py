@@ -2,13 +2,42 @@
 
 Written from the operator definitions, not from the Spark code: long-format
 ``unnest`` instead of arrays, window functions instead of the blocked top-k,
-unrolled CTEs instead of the driver loop.  Queries whose result depends on a
+recursive CTEs instead of the driver loop.  Queries whose result depends on a
 physical layout, a hash sample or an iterative approximation have no entry.
 """
 
 from __future__ import annotations
 
-from .catalog import FINE_GINI, FINE_GROUPS, FINE_K, GINI, K, RELIEF_K, STEPS
+from .catalog import FINE_GINI, FINE_GROUPS, FINE_K, GINI, K, RELIEF_K, SAMPLE_M, SAMPLE_SEED, STABLE, STEPS
+
+
+def _loop() -> str:
+    """The bisection loop as one recursive CTE ``lp``: each step reads the vertices of
+    the groups that are not stable yet; ``fs`` holds every vertex's last step."""
+    return f"""lp AS (
+  SELECT 0 AS step, id, grp, lab, CAST(m AS DOUBLE) AS m, CAST(l AS DOUBLE) AS l, 0 AS stable FROM v0
+  UNION ALL
+  SELECT step, id, grp, lab, m, l, stable FROM (
+    WITH p AS (SELECT * FROM lp),
+    msg AS (SELECT ea.dst AS id, sum(ea.a * p.m) AS s FROM ea JOIN p ON p.id = ea.src GROUP BY ea.dst),
+    g AS (SELECT p.*, coalesce(p.m - msg.s, p.l) AS l_new,
+                 CASE WHEN sum(p.m * p.m) OVER (PARTITION BY p.grp) > 0
+                      THEN 1.0 / sum(p.m * p.m) OVER (PARTITION BY p.grp) ELSE 0.0::DOUBLE END AS m2,
+                 sum(p.m * p.l) OVER (PARTITION BY p.grp) AS l2
+          FROM p LEFT JOIN msg USING (id)),
+    r AS (SELECT *, m - 2.0 * (m2 * l_new - m2 * m2 * l2 * m) AS raw FROM g),
+    c AS (SELECT *, raw - avg(raw) OVER (PARTITION BY grp, lab) AS new_m FROM r),
+    d AS (SELECT *, avg(CASE WHEN sign(m) <> sign(new_m) THEN 1.0 ELSE 0.0 END)
+                      OVER (PARTITION BY grp) AS ratio FROM c)
+    SELECT step + 1 AS step, id, grp, lab, new_m AS m, l_new AS l,
+           CASE WHEN ratio > 0.005 THEN 0 ELSE stable + 1 END AS stable
+    FROM d WHERE stable < {STABLE} AND step < 1000) x),
+fs AS (SELECT id, grp, m, step AS steps FROM lp QUALIFY step = max(step) OVER (PARTITION BY id))"""
+
+
+def _open(done: str) -> str:
+    """``base`` without the rows of groups for which ``done`` holds, as ``base``."""
+    return _base().replace("base AS (", "every AS (", 1) + f", base AS (SELECT * FROM every WHERE NOT ({done}))"
 
 
 def _base(groups: int = 4, binary: bool = False) -> str:
@@ -157,6 +186,10 @@ def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
+def _rec(*parts: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n"
+
+
 def _steps(n: int) -> list[str]:
     return [_step(i) for i in range(1, n + 1)]
 
@@ -206,10 +239,43 @@ SQL: dict[str, str] = {
     + _r("sum(CASE WHEN changed THEN 1 ELSE 0 END) / count(*)") + " AS ratio FROM v1 GROUP BY grp",
     "bisect_3_steps": _with(_base(), _KNN, *_steps(STEPS))
     + f"SELECT id, grp, {_r('m')} AS m FROM v{STEPS}",
-    "split_groups": _with(_base(), _KNN, *_steps(STEPS))
-    + f"SELECT b.id, CASE WHEN v.m IS NULL THEN b.grp WHEN v.m < 0 THEN b.grp "
-      f"ELSE b.grp + (SELECT max(grp) FROM base) + 1 END AS grp "
-      f"FROM base b LEFT JOIN v{STEPS} v USING (id)",
+    "bisect_converged": _rec(_base(), _KNN, _loop())
+    + f"SELECT id, grp, steps, {_r('m')} AS m FROM fs",
+    "bisect_lockstep": _rec(_base(), _KNN, _loop())
+    + f"SELECT id, grp, steps, {_r('m')} AS m FROM fs",
+    "split_groups": _rec(_base(), _KNN, _loop())
+    + "SELECT id, CASE WHEN m < 0 THEN grp ELSE grp + (SELECT max(grp) FROM base) + 1 END AS grp FROM fs",
+    "divide_open_groups": _rec(_open("grp = 3"), _KNN, _loop())
+    + "SELECT e.id, CASE WHEN fs.m IS NULL OR fs.m < 0 THEN e.grp "
+      "ELSE e.grp + (SELECT max(grp) FROM every) + 1 END AS grp FROM every e LEFT JOIN fs USING (id)",
+    "open_vertices": _with(_open("grp = 1"), _KNN) + "SELECT id, grp, lab, m FROM v0",
+    "finished_stays": _with(_open("grp = 2"), _WEIGHTS.replace("FROM base", "FROM every"), _STATS, _finished(0.85, K))
+    + "SELECT e.id, e.grp = 2 OR coalesce(fin.finished, FALSE) AS finished FROM every e LEFT JOIN fin USING (grp)",
+    "relief_sample": _with(_base()) + f"""SELECT grp, id, label FROM (
+  SELECT grp, id, label, row_number() OVER (PARTITION BY grp ORDER BY
+    ((((id % 2147483647) * 48271 + {SAMPLE_SEED + 1}) % 2147483647) * 69621) % 2147483647, id) AS rn
+  FROM base WHERE label IS NOT NULL) WHERE rn <= {SAMPLE_M}""",
+    "neighbour_recall_coarse": _with(_base(), f"""kp AS (
+  SELECT a.id, b.id AS nbr, a.id % {FINE_GROUPS} = b.id % {FINE_GROUPS} AS near,
+         list_distance(a.features, b.features) AS dist
+  FROM base a JOIN base b ON a.grp = b.grp AND a.id <> b.id),
+wide AS (SELECT id, nbr FROM kp QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, nbr) <= {2 * K}),
+slim AS (SELECT id, nbr FROM kp WHERE near QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, nbr) <= {K}),
+h AS (SELECT slim.id, avg(CASE WHEN wide.id IS NULL THEN 0.0 ELSE 1.0 END) AS share
+      FROM slim LEFT JOIN wide ON wide.id = slim.id AND wide.nbr = slim.nbr GROUP BY slim.id)""")
+    + f"SELECT count(*) AS n_rows, {_r('avg(share)')} AS recall FROM h",
+    "partition_totals": _with(_base()) + "SELECT count(*) AS n FROM base",
+    "csv_round_trip": "SELECT CAST(label AS BIGINT) AS correct_label, count(*) AS n, "
+    + "round(sum(list_sum(CAST(embedding AS DOUBLE[]))), 3) + 0.0 AS total FROM embeddings GROUP BY label",
+    "graph_round_trip": _with(_base(), _KNN) + f"SELECT id, nbr, {_r('sim')} AS sim FROM knn",
+    "classify_report": "SELECT count(*) AS n_rows, count(*) AS n_ids, count(*) AS n_same_features, "
+    "CAST(0 AS BIGINT) AS n_wrong_majority, CAST(0 AS BIGINT) AS n_open FROM embeddings",
+    "evaluate_report": "SELECT CAST(sum(CASE WHEN vec_id % 100 < 20 THEN 0 ELSE 1 END) AS BIGINT) AS n_unlabelled, "
+    "count(*) AS n_rows, TRUE AS in_range FROM embeddings",
+    "label_confusion": """SELECT CAST(count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS BIGINT) AS tp,
+  CAST(count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS BIGINT) AS fp,
+  CAST(count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS BIGINT) AS tn,
+  CAST(count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS BIGINT) AS fn FROM labels""",
     "majority_label": _with(_base())
     + """, best AS (
   SELECT grp, label AS prediction FROM (

@@ -78,14 +78,14 @@ def load_iris(spark: SparkSession, path: str, lo: int = 0, hi: int = 8,
 
 def load_emnist(spark: SparkSession, path: str, partitions: int | None = None,
                 lo: int = 0, hi: int = 8, persist: bool = False,
-                mask_by: str = "features") -> tuple[DataFrame, DataFrame]:
-    """S2 (+S11): header-less CSV, column 0 = label, 784 pixel columns."""
+                mask_by: str = "features", n_features: int = EMNIST_PIXELS) -> tuple[DataFrame, DataFrame]:
+    """S2 (+S11): header-less CSV, column 0 = label, then ``n_features`` columns."""
     schema = T.StructType([T.StructField("_c0", T.LongType())] + [
-        T.StructField(f"_c{i}", T.DoubleType()) for i in range(1, EMNIST_PIXELS + 1)])
+        T.StructField(f"_c{i}", T.DoubleType()) for i in range(1, n_features + 1)])
     raw = spark.read.schema(schema).option("header", False).csv(path)
     df = raw.select(
         F.monotonically_increasing_id().alias("id"),
-        F.array(*[F.col(f"_c{i}") for i in range(1, EMNIST_PIXELS + 1)]).alias("features"),
+        F.array(*[F.col(f"_c{i}") for i in range(1, n_features + 1)]).alias("features"),
         F.col("_c0").alias("correct_label"))
     df = mask_labels(df, lo, hi, mask_by)
     if partitions:

@@ -1,5 +1,5 @@
-"""Stopping rule (reference RGTComputeFinishedSpec table, with the expected
-flags actually set) and the all-finished test (RGTIsFinishedSpec)."""
+"""Stopping rule (the survey's table F5, with the expected flags actually set) and
+the all-finished test (F8)."""
 import pytest
 from pyspark.sql import functions as F
 

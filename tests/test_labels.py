@@ -1,4 +1,4 @@
-"""Majority label (RGTAssignLabelsSpec), seed signs (SparkHelpersSpec), class weights."""
+"""Majority label (table F6), seed signs (F7), class weights."""
 import pytest
 
 from graphssl.operators.labels import assign_labels, class_weights, seed_signs

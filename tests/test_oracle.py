@@ -4,6 +4,8 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF
+from graphssl.plans.catalog import QUERIES
+from graphssl.plans.oracle import SQL
 
 TABLES = ["embeddings", "labels"]
 
@@ -28,13 +30,13 @@ def _no_cross_join(df):
     assert not any(m in plan for m in _CROSS), plan
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_oracle(spark, con, name):
-    sdf = E.queries()[name](spark, SF)
+    sdf = QUERIES[name](spark, SF)
     _no_cross_join(sdf)
     cols = sorted(sdf.columns)
     got = sorted((tuple(_norm(r[c]) for c in cols) for r in sdf.collect()), key=repr)
-    res = con.execute(E.oracle_sql()[name])
+    res = con.execute(SQL[name])
     ocols = [d[0] for d in res.description]
     assert sorted(ocols) == cols
     idx = [ocols.index(c) for c in cols]
@@ -52,8 +54,8 @@ def test_entry_smoke(spark):
     assert {"id", "grp", "prediction"} <= set(df.columns)
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql()) - {"classify"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"classify"}))
 def test_rows_only_queries_run(spark, name):
-    df = E.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     _no_cross_join(df)
     assert df.count() > 0

@@ -1,4 +1,4 @@
-"""Vector expressions (reference HelpersSpec cases)."""
+"""Vector expressions (cases F9)."""
 import pytest
 from pyspark.sql import functions as F
 
