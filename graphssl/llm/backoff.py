@@ -40,6 +40,18 @@ ORDER = 2
 FINER = 4
 
 
+def pack(counts: np.ndarray) -> bytes:
+    """A byte per count below 255; larger ones follow in full."""
+    counts = counts.astype(np.uint64)
+    return np.minimum(counts, np.uint64(255)).astype(np.uint8).tobytes() + counts[counts >= 255].tobytes()
+
+
+def unpack(raw: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(raw, np.uint8, n).astype(np.uint64)
+    counts[counts == 255] = np.frombuffer(raw[n:], np.uint64)
+    return counts
+
+
 class Grams:
     """All n-grams (1 to ``order`` words) of some texts."""
 
@@ -95,7 +107,7 @@ class Grams:
             s[open_ & (longest >= m)] += np.log(ALPHA)
         s[open_] += np.log(np.maximum(others[0][open_], 0.5))
         rows = len(self.n_words)
-        return np.bincount(self.row, s, rows), np.bincount(self.row[open_], minlength=rows)
+        return np.bincount(self.row, s, rows).astype(float), np.bincount(self.row[open_], minlength=rows)
 
 
 def _send(table: pa.Table, order: int, buckets: int) -> pa.Table:
@@ -106,19 +118,19 @@ def _send(table: pa.Table, order: int, buckets: int) -> pa.Table:
     return pa.table({
         "bucket": pa.array([b for b, _ in groups], pa.int32()), "chunk": pa.array([chunk] * len(groups), pa.int32()),
         "hashes": pa.array([grams.hash[g].tobytes() for _, g in groups], pa.binary()),
-        "counts": pa.array([grams.count[g].astype(np.uint32).tobytes() for _, g in groups], pa.binary())})
+        "counts": pa.array([pack(grams.count[g]) for _, g in groups], pa.binary())})
 
 
 def _total(table: pa.Table) -> pa.Table:
     """A hash partition of the count tables, joined to what the chunks have sent."""
     table = table.sort_by("chunk")
     hashes = [np.frombuffer(b, np.uint64) for b in table.column("hashes").to_pylist()]
-    counts = [np.frombuffer(b, np.uint32) for b in table.column("counts").to_pylist()]
+    counts = [unpack(b, len(h)) for b, h in zip(table.column("counts").to_pylist(), hashes)]
     _, which = np.unique(np.concatenate(hashes), return_inverse=True)
     total = np.bincount(which, np.concatenate(counts)).astype(np.uint64)[which]
     cut = np.cumsum([len(h) for h in hashes])[:-1]
     return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"),
-                     "totals": pa.array([t.tobytes() for t in np.split(total, cut)], pa.binary())})
+                     "totals": pa.array([pack(t) for t in np.split(total, cut)], pa.binary())})
 
 
 def _score(docs: pa.Table, totals: pa.Table, order: int, buckets: int) -> pa.Table:
@@ -126,7 +138,7 @@ def _score(docs: pa.Table, totals: pa.Table, order: int, buckets: int) -> pa.Tab
     of = dict(zip(totals.column("bucket").to_pylist(), totals.column("totals").to_pylist()))
     total = np.zeros(len(grams.hash))
     for b, g in grams.by_bucket(buckets):
-        total[g] = np.frombuffer(of[b], np.uint64)
+        total[g] = unpack(of[b], len(g))
     s, n_uni = grams.scores(total)
     return pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array(grams.n_words, pa.int64()),
                      "part": pa.array(s), "n_short": pa.array(n_uni, pa.int64())})
