@@ -33,6 +33,8 @@ from .sizing import join_small
 RELIEF_BIAS = 0.1
 #: Rows per salt bucket in the two-phase probe sampling.
 _SAMPLE_SALT_ROWS = 1 << 16
+#: Salts that one phase merges.
+_SALT_FAN = 64
 
 
 def labelled_rows(df: DataFrame) -> DataFrame:
@@ -85,8 +87,9 @@ def sample_probes(lab: DataFrame, m: int | None, seed: int = 0) -> DataFrame:
     smallest :func:`sample_key` (deterministic; ``m=None`` keeps all).
 
     Phase 1 keeps the best ``m`` per (group, salt) where the salt count grows
-    with the group, phase 2 the best ``m`` of those per group; so the widest
-    window holds ``#salts * m`` rows, never a whole hot group.
+    with the group; each further phase keeps the best ``m`` of ``_SALT_FAN`` salts,
+    until one is left.  So the widest window holds ``_SALT_FAN * m`` rows for every
+    ``m``, never a whole hot group.
     """
     if m is None:
         return lab
@@ -94,13 +97,16 @@ def sample_probes(lab: DataFrame, m: int | None, seed: int = 0) -> DataFrame:
     nsalt = lab.groupBy("grp").agg(
         F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(_SAMPLE_SALT_ROWS)))
         .cast("bigint").alias("_ns"))
-    sized = join_small(sized, nsalt, "grp", "inner").withColumn(
+    salts = nsalt.agg(F.max("_ns")).first()[0] or 1
+    kept = join_small(sized, nsalt, "grp", "inner").withColumn(
         "_salt", F.pmod(F.col("_h"), F.col("_ns")))
-    w1 = Window.partitionBy("grp", "_salt").orderBy("_h", "id")
-    phase1 = sized.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= m)
-    w2 = Window.partitionBy("grp").orderBy("_h", "id")
-    phase2 = phase1.withColumn("_r", F.row_number().over(w2)).where(F.col("_r") <= m)
-    return phase2.drop("_h", "_ns", "_salt", "_r")
+    w = Window.partitionBy("grp", "_salt").orderBy("_h", "id")
+    while True:
+        kept = kept.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= m)
+        if salts == 1:
+            return kept.drop("_h", "_ns", "_salt", "_r")
+        salts = -(-salts // _SALT_FAN)
+        kept = kept.withColumn("_salt", F.floor(F.col("_salt") / _SALT_FAN))
 
 
 def relief_neighbours(lab: DataFrame, probes: DataFrame, rng: DataFrame, k: int,
