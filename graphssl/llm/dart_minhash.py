@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphssl.llm.common import id_text, mix64, shingles, steps, utf8, word_hashes
-from graphssl.llm.similar import BROADCAST_ROWS, components, verified_links
+from graphssl.llm.similar import BROADCAST_ROWS, components, texts_of, verified_links
 from graphssl.operators.sizing import small_hint
 from graphssl.session import write_table
 
@@ -139,7 +139,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = LEAST,
         F.col("item").alias("a"), F.col("doc_id").alias("b")), "shared")
     buckets = (known.filter("doc_id is not null").filter("item is null or item = doc_id")
                .select(F.col("doc_id").alias("item"), F.explode("bands").alias("bucket")))
-    links = verified_links(buckets, texts.withColumnRenamed("doc_id", "item"), width, least)
+    links = verified_links(buckets, texts_of(texts.withColumnRenamed("doc_id", "item")), width, least)
     label = components(links.unionByName(shared))
     out = banded.select("doc_id").join(
         small_hint(label, label.count(), BROADCAST_ROWS).withColumnRenamed("item", "doc_id"), "doc_id", "left")

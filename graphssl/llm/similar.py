@@ -1,29 +1,34 @@
 """Links between items that collide in hash buckets, and their components.
 
-``bucket_links`` never forms all pairs of a bucket.  In each round every bucket
-names a few leaders; a leader is compared with every other item of the bucket
-that is not yet in its component, and then leaves the bucket.  Buckets whose
-items are all in one component are done.  The loop ends when no bucket has two
-components with an untested pair, so the components are those that testing all
-colliding pairs would give.  The number of leaders per bucket grows from round
-to round, so there are few rounds.
+``bucket_links`` never forms all pairs of a bucket.  First every bucket's smallest
+item is compared with its other items.  A bucket whose items are then all in one
+component is done; that settles groups of near copies, however large.  In the
+others (texts around a common passage, copies with many changes) the items meet
+again in the finer buckets of an exact prefix filter (with place and bitmap
+filters), and only items of different components are compared there: some leaders per bucket and round with the items
+outside their component, after which they lead no more.  The end is reached when
+no bucket has two components with an untested pair, so the components are those
+that testing all colliding pairs would give.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphssl.llm.common import shingles, steps, utf8, word_hashes
+from graphssl.llm.common import mix64, shingles, steps, utf8, word_hashes
 from graphssl.operators.sizing import small_hint
 from graphssl.session import write_table
 
 #: Rows of a few longs that may be broadcast.
 BROADCAST_ROWS = 500_000
+#: Words of 64 bits of an item's parity sketch.
+SKETCH = [f"s{i}" for i in range(16)]
 #: Comparisons with one item that travel together (more are salted).
 PER_SALT = 256
 
@@ -31,23 +36,25 @@ PER_SALT = 256
 def components(links: DataFrame) -> DataFrame:
     """``(item, label)`` of every item in ``links(a, b)``: the smallest item of its
     component.  Each round takes the neighbours' smallest label, then the label's
-    label; labels are a written table per round."""
+    label; labels are a written table per round, broadcast while it is small."""
     both = write_table(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-                       .filter("a != b").distinct(), "links")
-    label = write_table(both.groupBy("a").agg(F.min("b").alias("m"))
-                        .select(F.col("a").alias("item"), F.least("a", "m").alias("label")), "labels")
-    while True:
-        near = (both.join(label.withColumnRenamed("item", "b"), "b")
-                .groupBy("a").agg(F.min("label").alias("near")))
-        low = (label.join(near.withColumnRenamed("a", "item"), "item")
-               .select("item", F.col("label").alias("old"), F.least("label", "near").alias("low")))
-        up = label.select(F.col("item").alias("low"), F.col("label").alias("up"))
-        new = write_table(low.join(up, "low", "left")
-                          .select("item", "old", F.least("low", F.coalesce("up", "low")).alias("label")), "labels")
+                       .filter("a != b"), "links")
+    label = write_table(both.groupBy(F.col("a").alias("item")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
+    n = label.count()
+
+    def of(key: str, value: str) -> DataFrame:
+        return small_hint(label.select(F.col("item").alias(key), F.col("label").alias(value)), n, BROADCAST_ROWS)
+
+    while n:
+        near = both.join(of("b", "near"), "b").groupBy(F.col("a").alias("item")).agg(F.min("near").alias("near"))
+        low = near.join(of("item", "old"), "item").select("item", "old", F.least("old", "near").alias("low"))
+        new = write_table(low.join(of("low", "up"), "low", "left").select(
+            "item", "old", F.least("low", F.coalesce("up", "low")).alias("label")), "labels")
         moved = new.filter("label != old").limit(1).count()
         label = new.select("item", "label")
         if not moved:
-            return label
+            break
+    return label
 
 
 def overlap(batches: Iterator[pa.RecordBatch], width: int, least: float) -> Iterator[pa.RecordBatch]:
@@ -82,12 +89,18 @@ def overlap(batches: Iterator[pa.RecordBatch], width: int, least: float) -> Iter
             [batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """The rows of ``pairs(a, b)`` whose ``texts(item, text)`` are similar.  An item
-    with many partners is salted: its text travels once per ``PER_SALT`` pairs."""
+def texts_of(texts: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """``fetch`` for a table ``(item, text)``."""
+    return lambda need: texts.join(small_hint(need, need.count(), BROADCAST_ROWS), "item")
+
+
+def similar_pairs(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], width: int, least: float) -> DataFrame:
+    """The rows of ``pairs(a, b)`` whose texts are similar.  ``fetch`` adds ``text`` to a
+    table of items.  An item with many partners is salted: its text travels once
+    per ``PER_SALT`` pairs."""
     need = write_table(pairs.select(F.col("a").alias("item")).unionByName(pairs.select(F.col("b").alias("item")))
                        .groupBy("item").agg(F.count(F.lit(1)).alias("n")), "need")
-    held = write_table(texts.join(small_hint(need, need.count(), BROADCAST_ROWS), "item"), "held")
+    held = write_table(fetch(need).select("item", "n", "text"), "held")
     salts = F.ceil(F.col("n") / PER_SALT).cast("int")
     many = need.filter(F.col("n") > PER_SALT).select(F.col("item").alias("a"), salts.alias("salts"))
     left = (pairs.join(small_hint(many, many.count(), BROADCAST_ROWS), "a", "left")
@@ -100,44 +113,121 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int, least: float)
             .mapInArrow(lambda it: overlap(it, width, least), "a long, b long").distinct())
 
 
-def verified_links(buckets: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """``bucket_links`` with the Jaccard similarity of ``texts(item, text)``."""
-    return bucket_links(buckets, lambda pairs: similar_pairs(pairs, texts, width, least))
+def verified_links(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], width: int, least: float) -> DataFrame:
+    """``bucket_links`` with the Jaccard similarity of the items' texts, refined by
+    ``prefix_elements``."""
+    return bucket_links(buckets, lambda pairs: similar_pairs(pairs, fetch, width, least),
+                        lambda items: prefix_elements(items, fetch, width, least), least)
 
 
-def bucket_links(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _elements(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """``(item, element, size)``: a shingle's k-th occurrence in a text is one element."""
+    for batch in batches:
+        ids = batch.column("item").to_numpy(zero_copy_only=False)
+        _, off = utf8(batch.column("text"))
+        for i, j in steps(off):
+            data, o = utf8(batch.column("text").slice(i, j - i))
+            h, row = shingles(*word_hashes(data, o), j - i, width)
+            order = np.lexsort((h, row))
+            h, row = h[order], row[order]
+            head = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])[:len(h)]
+            nth = np.arange(len(h)) - np.maximum.accumulate(np.where(head, np.arange(len(h)), 0)) if len(h) else h
+            element = mix64(h + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            size = np.bincount(row, minlength=j - i)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i + row]), pa.array(element), pa.array(size[row])],
+                                             names=["item", "element", "size"])
+
+
+def prefix_elements(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], width: int, least: float) -> DataFrame:
+    """``(bucket, item, size, place, rare, lead, s0, ...)``: an exact cover of the
+    similar pairs among ``items(item)``.
+
+    Order all elements by how many of the items have them, the rarest first.  If two
+    multisets have a Jaccard similarity of ``least``, one of the first ``size -
+    ceil(2 least / (1 + least) size) + 1`` elements of the smaller one (its ``lead``
+    rows) is one of the first ``size - ceil(least size) + 1`` elements of the larger
+    (prefix filter).  Items that share a common passage only have other, rarer
+    elements first and do not meet.  ``place`` is the element's place in the item's
+    order, ``rare`` the number of elements that no other item has.  The sketch ``s0,
+    ...`` has one bit per hash value, the parity of the item's elements there."""
+    texts = fetch(items.select("item", F.lit(1).cast("long").alias("n")))
+    every = write_table(texts.select("item", "text").mapInArrow(
+        lambda it: _elements(it, width), "item long, element long, size long"), "elements")
+    shared = every.groupBy("element").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    per = Window.partitionBy("item")                        # a text's own elements
+    rare = F.col("size") - F.count(F.lit(1)).over(per)
+
+    def prefix(share: float):
+        return F.col("size") - F.ceil(F.lit(share) * F.col("size") - F.lit(1e-9)) + 1
+
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("element").bitwiseAND(F.lit(63)).cast("int"))
+    word = F.pmod(F.shiftright("element", 6), F.lit(len(SKETCH)))
+    parity = every.groupBy("item").agg(*[
+        F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(c) for i, c in enumerate(SKETCH)])
+    return (every.join(shared, "element").withColumn("rare", rare)
+            .withColumn("place", F.col("rare") + F.row_number().over(per.orderBy("n", "element")))
+            .filter(F.col("place") <= prefix(least))
+            .select(F.col("element").alias("bucket"), "item", "size", "place", "rare",
+                    (F.col("place") <= prefix(2 * least / (1 + least))).alias("lead")).join(parity, "item"))
+
+
+def _open(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """``rows`` with their component as ``label``, of the buckets that hold two
+    components and a row that may lead."""
+    known = rows.drop("label").join(small_hint(label, label.count(), BROADCAST_ROWS), "item", "left").withColumn(
+        "label", F.coalesce("label", "item"))
+    mixed = (known.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("lead").alias("z"))
+             .filter("x != y and z").select("bucket"))
+    return write_table(known.join(mixed, "bucket"), "open")
+
+
+def _between(rows: DataFrame, heads: DataFrame, tested: DataFrame, least: float) -> DataFrame:
+    """The untested pairs of a leader and an item of another component that is not
+    smaller, without those that cannot be similar: what two items have in common
+    from a shared element on is at most one more than what either has left (their
+    first shared element always passes), and they differ in at least as many
+    elements as their sketches do in bits."""
+    lead = heads.select("bucket", *[F.col(c).alias(f"_{c}") for c in ("item", "label", "size", "place", *SKETCH)])
+    both = F.col("size") + F.col("_size")
+    common = F.least(F.col("size") - F.col("place"), F.col("_size") - F.col("_place")) + 1
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in SKETCH), F.lit(0))
+    met = (rows.join(lead, "bucket")
+           .filter((F.col("label") != F.col("_label")) & (F.col("size") >= F.col("_size"))
+                   & (common >= F.lit(least / (1 + least)) * both - F.lit(1e-9))
+                   & (differ <= F.lit((1 - least) / (1 + least)) * both + F.lit(1e-9)))
+           .select(F.least("item", "_item").alias("a"), F.greatest("item", "_item").alias("b")).distinct())
+    return write_table(met.join(tested, ["a", "b"], "left_anti"), "pairs")
+
+
+def bucket_links(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame],
+                 refine: Callable[[DataFrame], DataFrame] | None = None, least: float = 0.0) -> DataFrame:
     """``(a, b)`` links between similar items that share a bucket, enough of them to
     connect every component; ``buckets(bucket, item)``; ``alike`` keeps the similar
-    rows of ``(a, b)``."""
-    full = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("item").alias("low"),
-                                         F.max("item").alias("high")).filter("low != high")
-    rows = write_table(buckets.join(full.select("bucket"), "bucket").distinct(), "buckets")
-    first = rows.groupBy("bucket").agg(F.min("item").alias("a"))
-    pairs = write_table(rows.join(first, "bucket").filter("a != item")
-                        .select("a", F.col("item").alias("b")).distinct(), "pairs")
-    tested, links = pairs, None
-    rows = rows.join(first.withColumnRenamed("a", "item"), ["bucket", "item"], "left_anti")
-    leaders = 1
-    while True:
-        new = write_table(alike(pairs), "verified")
-        links = new if links is None else links.unionByName(new)
-        label = components(links)
-        known = rows.join(small_hint(label, label.count(), BROADCAST_ROWS), "item", "left").select(
-            "bucket", "item", F.coalesce("label", "item").alias("label"))
-        known = write_table(known, "open")
-        mixed = known.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y")
-        rows = write_table(known.join(mixed.select("bucket"), "bucket"), "open")
-        leaders *= 4
-        # Partial limits leave at most `leaders` rows of a bucket per task.
-        heads = (rows.withColumn("_r", F.row_number().over(Window.partitionBy("bucket").orderBy("item")))
-                 .filter(F.col("_r") <= min(leaders, 512))
-                 .select("bucket", F.col("item").alias("a"), F.col("label").alias("label_a"), "_r"))
-        heads = write_table(heads, "leaders")
-        if not heads.limit(1).count():
+    rows of ``(a, b)``; ``refine`` gives the rows of ``prefix_elements`` for the items
+    that it is given."""
+    full = buckets.groupBy("bucket").agg(F.min("item").alias("low"), F.max("item").alias("high")).filter("low != high")
+    rows = write_table(buckets.join(full.select("bucket", F.col("low").alias("a")), "bucket").distinct(), "buckets")
+    tested = write_table(rows.filter("a != item").select("a", F.col("item").alias("b")).distinct(), "pairs")
+    links = write_table(alike(tested), "verified")
+    label = components(links)
+    zero = F.lit(0).cast("long")
+    rows = _open(rows.filter("a != item").select(
+        "bucket", "item", *[zero.alias(c) for c in ("size", "place", "rare", *SKETCH)], F.lit(True).alias("lead")), label)
+    if refine is not None and rows.limit(1).count():
+        rows = _open(refine(write_table(rows.select("item").distinct(), "crowd")), label)
+    for leaders in chain([64], repeat(512)):            # partial limits need fewer than 1000
+        if not rows.limit(1).count():
             return links
-        met = (rows.join(heads, "bucket").filter("label != label_a and a != item")
-               .select(F.least("a", "item").alias("a"), F.greatest("a", "item").alias("b")).distinct())
-        pairs = write_table(met.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(pairs)
-        rows = rows.select("bucket", "item").join(
-            heads.select("bucket", F.col("a").alias("item")), ["bucket", "item"], "left_anti")
+        # The items with the fewest elements of their own first: what others were made
+        # from connects most.  Partial limits leave at most `leaders` rows per task.
+        in_order = Window.partitionBy("bucket").orderBy("rare", "item")
+        heads = write_table(rows.filter("lead").withColumn("_r", F.row_number().over(in_order))
+                            .filter(F.col("_r") <= leaders), "leaders")
+        pairs = _between(rows, heads, tested, least)
+        if pairs.limit(1).count():
+            links = links.unionByName(write_table(alike(pairs), "verified"))
+            tested = tested.unionByName(pairs)
+            label = components(links)
+        done = heads.select("bucket", "item", F.lit(True).alias("_led"))
+        rows = _open(rows.join(done, ["bucket", "item"], "left").withColumn(
+            "lead", F.col("lead") & F.col("_led").isNull()).drop("_led"), label)

@@ -145,7 +145,7 @@ def test_hot_bucket_loses_no_component(spark, refined):
     calls = []
     refine = lambda x: calls.append(1) or similar.prefix_elements(x, similar.texts_of(table), 5, 0.8)
     alike_pairs = lambda p: similar.similar_pairs(p, similar.texts_of(table), 5, 0.8)
-    links = similar.bucket_links(items, alike_pairs, refine if refined else None)
+    links = similar.bucket_links(items, alike_pairs, refine if refined else None, 0.8 if refined else 0.0)
     assert len(calls) == refined
     label = {r["item"]: r["label"] for r in similar.components(links).collect()}
     s = {i: shingles(t) for i, t in texts.items()}
