@@ -19,7 +19,7 @@ table.
 Encoding a pre-split word walks its bytes once: for each end position it takes
 the label whose arc leaves the state reached where the label begins (exactly one
 exists), then reads the path back.  Words repeat, so a worker keeps the ids of
-the words it has met, at most ``CACHE_WORDS`` of them.  Decoding emits the arc
+the first words it has met, at most ``CACHE_WORDS`` of them.  Decoding emits the arc
 labels' bytes.
 
 Defined results: null and empty texts have no ids and decode to ""; special
@@ -39,12 +39,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from graphssl.llm.common import id_text
+from graphssl.llm.common import held, id_text
 
 #: Fixed value: the pre-tokenizer's pattern of byte-level BPE files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words whose ids a worker keeps before it starts anew.
-CACHE_WORDS = 500_000
+#: Words, and strings between spaces, whose ids a worker keeps; the first ones it
+#: meets are the frequent ones.
+CACHE_WORDS, CACHE_PIECES = 600_000, 250_000
 #: Marks a string that begins a label but is none.
 PREFIX = -1
 #: Arcs in the transition table before it starts anew.
@@ -169,9 +170,9 @@ class Tokenizer:
         # A space between two other characters always begins a word of the pattern;
         # so does the last one of a run of white space.  No other space is cut at.
         self._inner_space = regex.compile(r"\s (?:\s|\Z)")
-        self._word_ids = _Known(lambda w: np.array(self.automaton.path(w.encode("utf-8")), np.int32).tobytes())
-        self._piece_ids = _Known(self._piece)
-        self._spaced_ids = _Known(lambda piece: self._piece(" " + piece))
+        self._word_ids = _Known(
+            lambda w: np.array(self.automaton.path(w.encode("utf-8")), np.int32).tobytes(), CACHE_WORDS)
+        self._spaced_ids = _Known(lambda piece: self._piece(" " + piece), CACHE_PIECES)
 
     def _piece(self, piece: str) -> bytes:
         return b"".join(map(self._word_ids.__getitem__, self._words.findall(piece)))
@@ -187,7 +188,7 @@ class Tokenizer:
                 out.append(self._piece(part))
             else:
                 pieces = part.split(" ")
-                out.append(self._piece_ids[pieces[0]])
+                out.append(self._piece(pieces[0]))
                 out.extend(map(self._spaced_ids.__getitem__, pieces[1:]))
         return np.frombuffer(b"".join(out), np.int32)
 
@@ -218,28 +219,23 @@ class _Emitter:
 
 
 class _Known(dict):
-    """Ids of the strings met so far, as int32 bytes; starts anew when full."""
+    """Ids of the first ``most`` strings met, as int32 bytes; later ones are encoded
+    whenever they come."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        out = self[key] = self.make(key)
+        out = self.make(key)
+        if len(self) < self.most:
+            self[key] = out
         return out
 
 
-_LOADED: dict[str, Tokenizer] = {}
-
-
 def _tokenizer(text: str) -> Tokenizer:
-    """One compiled tokenizer per worker process."""
-    key = hashlib.sha256(text.encode()).hexdigest()
-    if key not in _LOADED:
-        _LOADED[key] = Tokenizer(text)
-    return _LOADED[key]
+    """One compiled tokenizer per worker process, until it turns to another operator."""
+    return held("tokenizer " + hashlib.sha256(text.encode()).hexdigest(), lambda: Tokenizer(text))
 
 
 def _over_texts(docs: DataFrame, path: str, schema: str, row) -> DataFrame:

@@ -20,6 +20,23 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
+#: What this worker process keeps between tasks (at most one object).
+_HELD: dict = {}
+
+
+def held(key: str, make):
+    """The object of ``key``, made once per worker and kept until another is asked for."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Frees what another operator has kept in this worker."""
+    _HELD.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

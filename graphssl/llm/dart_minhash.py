@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphssl.llm.common import id_text, mix64, shingles, steps, utf8, word_hashes
+from graphssl.llm.common import id_text, mix64, release, shingles, steps, utf8, word_hashes
 from graphssl.llm.similar import BROADCAST_ROWS, components, texts_of, verified_links
 from graphssl.operators.sizing import small_hint
 from graphssl.session import write_table
@@ -105,6 +105,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _banded(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         _, off = utf8(batch.column("text"))
         for i, j in steps(off):

@@ -26,12 +26,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphssl.llm.common import _BASE, id_text, mix64, prefix_hash, steps, utf8, words
+from graphssl.llm.common import _BASE, id_text, mix64, prefix_hash, release, steps, utf8, words
 
 #: Window length and distance of window starts, in words.
 WINDOW, STRIDE = 48, 32
@@ -274,6 +273,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             out = [model.value.score(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
@@ -290,10 +290,12 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with their columns as they are."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
-    @F.pandas_udf("double")
-    def of(text: pd.Series) -> pd.Series:
-        data, offsets = utf8(pa.array(text.fillna(""), pa.large_string()))
-        out = [model.value.score(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]) for i, j in steps(offsets)]
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            _, offsets = utf8(batch.column("text"))
+            for i, j in steps(offsets):
+                part = batch.slice(i, j - i)
+                yield part.filter(pa.array(model.value.score(*utf8(part.column("text"))) < 0.5))
 
-    return docs.filter(of(F.coalesce(F.col("text").cast("string"), F.lit(""))) < 0.5)
+    return docs.mapInArrow(run, docs.schema)
