@@ -215,7 +215,7 @@ def bucket_links(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame],
         "bucket", "item", *[zero.alias(c) for c in ("size", "place", "rare", *SKETCH)], F.lit(True).alias("lead")), label)
     if refine is not None and rows.limit(1).count():
         rows = _open(refine(write_table(rows.select("item").distinct(), "crowd")), label)
-    for leaders in chain([64], repeat(512)):            # partial limits need fewer than 1000
+    for leaders in chain([2, 16, 128], repeat(512)):    # partial limits need fewer than 1000
         if not rows.limit(1).count():
             return links
         # The items with the fewest elements of their own first: what others were made
