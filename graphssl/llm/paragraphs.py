@@ -1,17 +1,19 @@
 """Substring dedup by MinHash banding of paragraphs.
 
-A paragraph is a line with at least ``LEAST_WORDS`` words.  Its MinHash signature
-over five-word shingles is banded; ``tuned`` picks the bands so that a pair at the
-threshold shares one with probability ``RECALL`` or more.  Paragraphs that share a
-band are compared exactly (Jaccard similarity of their shingles), and the links'
+A paragraph is a line with a word.  Its MinHash signature over five-word shingles is
+banded; ``tuned`` picks the bands so that a pair at the threshold shares one with
+probability ``RECALL`` or more.  A line of so few shingles that only equal shingles
+reach the threshold has one band, a hash of them all; a line of fewer than five words
+is one shingle, so that it is like equal lines only.  Paragraphs that share a band are
+compared exactly (Jaccard similarity of their shingles), and the links'
 components are clusters.  Of a cluster the first paragraph (smallest doc_id, then
 place) stays; the others are removed from their documents.
 
 Equal paragraphs (same words) are one item from the start, so a line that many
 documents share never forms pairs.
 
-Defined results: null text counts as empty; lines end at ``\\n``; shorter lines are
-never removed; rows that share a doc_id are one document given more than once: a
+Defined results: null text counts as empty; lines end at ``\\n``; lines without
+words are never removed; rows that share a doc_id are one document given more than once: a
 line at the same place of it repeats nothing; a null doc_id sorts first; an empty
 table gives an empty table; other columns never matter; texts are read whole.
 """
@@ -34,8 +36,8 @@ from graphssl.session import write_table
 
 #: Words per shingle, similarity of near-duplicates, recall at that similarity.
 WIDTH, LEAST, RECALL = 5, 0.8, 0.995
-#: Shorter lines are left alone (headings, boilerplate of a few words).
-LEAST_WORDS = 20
+#: Shorter lines are left alone (lines without words).
+LEAST_WORDS = 1
 #: Bands that a paragraph may have at most.
 MOST_BANDS = 8
 
@@ -91,13 +93,18 @@ def _lines(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator
                 for r in range(rows):
                     key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, b * rows + r])
                 keys[:, b] = key
+            n_shingles = np.bincount(line_of, minlength=len(keep))
+            whole = np.add.reduceat(mix64(s), np.searchsorted(line_of, np.arange(len(keep))))
+            few = n_shingles < (LEAST - 1e-9) * (n_shingles + 1)
+            shared = np.where(n_words[keep] < WIDTH, 0, np.where(few, 1, bands))     # equal lines are one item
+            keys[few, 0] = whole[few]
             at = np.searchsorted(line, np.arange(len(keep) + 1))
             key = [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() for a, b in zip(at, at[1:])]
             row = line_row[keep]
             yield pa.RecordBatch.from_arrays([
                 pa.array(ids[i + row]), pa.array(cut[keep] - o[row]), pa.array(cut[keep] - o[row]),
                 pa.array(cut[keep + 1] - cut[keep]), pa.array(key, pa.binary()),
-                pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))], names=names)
+                pa.array([k[:n] for k, n in zip(keys.view(np.int64), shared)], pa.list_(pa.int64()))], names=names)
 
 
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:

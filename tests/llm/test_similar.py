@@ -214,6 +214,23 @@ def test_paragraphs(which, request):
     assert got == want
 
 
+def test_short_lines(make):
+    """Lines under 20 words: equal ones of any length, and near ones."""
+    r = np.random.default_rng(4)
+    lines = [" ".join(f"v{x}" for x in r.integers(0, 500, n)) for n in range(1, 20) for _ in range(6)]
+    near = [" ".join([*x.split()[:-1], "other"]) for x in lines]
+    rows = [(0, "\n".join(lines), "s"), (1, "\n".join(["new", *lines, "", " "]), "s"), (2, "\n".join(near), "s"),
+            (3, "x y x y x y", "s"), (4, "y x y x y x", "s"), (5, "a b c d", "s"), (6, "a  b c\td", "s"), (7, "d c b a", "s")]
+    found = [(i, len("\n".join(t.split("\n")[:k]).encode()) + (k > 0), x)
+             for i, t, _ in rows for k, x in enumerate(t.split("\n")) if x.strip()]
+    grams = [shingles(x) for _, _, x in found]
+    label = classes(range(len(found)), [(a, b) for a in range(len(found)) for b in range(a) if alike(grams[a], grams[b])])
+    want = {(found[k][0], found[k][1]) for k, c in label.items() if k != c}
+    got = {(x["doc_id"], x["begin"]) for x in paragraphs.repeated_paragraphs(make(rows)).collect()}
+    assert {(4, 0), (6, 0)} <= want and not {(5, 0), (7, 0)} & want and sum(i == 2 for i, _ in want) > 20
+    assert got == want
+
+
 def test_bands_reach_the_recall():
     bands, rows = paragraphs.tuned()
     assert bands <= paragraphs.MOST_BANDS and 1 - (1 - 0.8 ** rows) ** bands >= paragraphs.RECALL
