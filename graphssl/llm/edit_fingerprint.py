@@ -3,7 +3,8 @@
 All documents share one source of coins.  A pointer starts at the first character;
 at step ``j`` the embedding emits the character under the pointer, and coin
 ``(j, character)`` decides whether the pointer moves on.  A text of ``n``
-characters is emitted within ``3 n`` steps, and texts at a small edit distance
+characters takes about ``2 n`` steps; its walk ends where the text does, however long
+it waits.  Texts at a small edit distance
 have embeddings at a small Hamming distance: once the pointers of two walks meet
 on equal text, they stay together.
 
@@ -94,12 +95,15 @@ def walk(texts: list[str]) -> list[bytes]:
         mine = np.flatnonzero((scale == s) & (length > 0))
         pointer, taken, step = start[mine].copy(), [], 0
         alive = np.arange(len(mine))
-        most = 3 * int(length[mine].max())
-        while len(alive) and step < most:
-            coins, levels = _coins(step // BLOCK), _levels(step, BLOCK)
+        most = 3 * int(length[mine].max())      # few walks are longer
+        while len(alive):
+            first = step % BLOCK
+            if not step or not first:
+                coins, levels = _coins(step // BLOCK), _levels(step, BLOCK)
+            last = min(BLOCK, first + max(most - step, 64))
             at = pointer[alive]
             symbol, move = np.empty(len(at), np.uint8), np.empty(len(at), np.int64)
-            for j in range(min(BLOCK, most - step)):
+            for j in range(first, last):
                 np.take(symbols, at, out=symbol, mode="clip")
                 if levels[j] >= s:
                     taken.append((alive, symbol.copy()))
@@ -107,7 +111,7 @@ def walk(texts: list[str]) -> list[bytes]:
                 at += move
             pointer[alive] = at
             alive = alive[symbols[at] != 0]
-            step += BLOCK
+            step += last - first
         if taken:
             who = np.concatenate([a for a, _ in taken])
             what = np.concatenate([b for _, b in taken])

@@ -88,6 +88,27 @@ def test_walk_step_by_step():
     assert edit_fingerprint.walk(texts) == [slow_walk(t) for t in texts]
 
 
+def whole_walk(text):
+    """The embedding a step at a time, up to the text's end."""
+    symbols, out, at, step = edit_fingerprint._symbols(text), bytes([0]), 0, 0
+    coins, levels = edit_fingerprint._coins(0), edit_fingerprint._levels(0, edit_fingerprint.BLOCK)
+    while symbols[at]:
+        out += bytes([symbols[at]]) if levels[step] >= 0 else b""
+        at += coins[step][symbols[at]]
+        step += 1
+    return out
+
+
+def test_short_texts_are_walked_whole():
+    r = np.random.default_rng(5)
+    texts = ["n/a", *"cjnqryQ", *("".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 1 + k % 12)) for k in range(300))]
+    want = [whole_walk(t) for t in texts]
+    assert any(len(w) - 1 > 3 * len(t) for w, t in zip(want, texts))
+    assert [edit_fingerprint.walk([t])[0] for t in texts] == want
+    beside = ["x" * 60, "a longer text of one level", "z" * 5000]
+    assert edit_fingerprint.walk([*texts, *beside])[:len(texts)] == want
+
+
 def test_likeness_falls_with_edits():
     r = np.random.default_rng(1)
     base = "".join(r.choice(list("abcdefghij "), 3000))
