@@ -46,12 +46,12 @@ SHARD_BLOCKS = 16
 LEVELS_PER_CUT = 4
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """``(doc_id, source, size)``: words of every document."""
+def sized(docs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, source, size)``: words of every document, with its ``keys``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.col("source").cast("string").alias("source"),
-                       F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
+                       F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), *keys)
 
 
 def ranked_sources(rows: DataFrame) -> DataFrame:
@@ -148,18 +148,19 @@ def split_tree(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     return nodes.withColumnRenamed("node", "shard")
 
 
-def plan_mix(docs: DataFrame, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def plan_mix(docs: DataFrame, seed: int = 7, keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """``(rows, draws)``: every document with its place in its source's permuted
-    blocks, and every block draw with its shard, pass and word limit."""
-    base = write_table(sized(docs), "sized")
+    blocks, and every block draw with its shard, pass and word limit.  ``keys`` are
+    columns that go with the documents and order those of equal doc_id and size."""
+    base = write_table(sized(docs, keys), "sized")
     sources = write_table(with_targets(ranked_sources(base)), "targets")
     small = small_hint(sources, sources.count())
     perm = F.xxhash64(F.lit(seed), F.col("doc_id"))
     n_blocks = F.ceil(F.col("docs") / BLOCK_ROWS).cast("long")
     placed = (base.alias("d").join(small.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-              .select("d.doc_id", "d.size", "s.ord", "s.source_size", "s.target", perm.alias("perm"),
+              .select("d.doc_id", "d.size", *[f"d.{k}" for k in keys], "s.ord", "s.source_size", "s.target", perm.alias("perm"),
                       F.pmod(F.xxhash64(F.lit(seed + 1), F.col("d.doc_id")), n_blocks).alias("block")))
-    inside = Window.partitionBy("ord", "block").orderBy("perm", "doc_id", "size")
+    inside = Window.partitionBy("ord", "block").orderBy("perm", "doc_id", "size", *keys)
     rows = write_table(placed.withColumn("place", F.row_number().over(inside))
                        .withColumn("begin", F.sum("size").over(
                            inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")), "permuted")
@@ -184,15 +185,15 @@ def plan_mix(docs: DataFrame, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     return rows, draws.join(dealt, ["ord", "draw"])
 
 
-def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 7, keys: tuple[str, ...] = ()) -> DataFrame:
     """One row per taken document and draw: ``(ord, block, place, doc_id, size,
-    words, shard, position)``; ``words`` below ``size`` only where a quota ends.
-    Sorting a shard by ``position`` is its local shuffle."""
-    rows, draws = plan_mix(docs, seed)
+    words, shard, position)`` and the ``keys``; ``words`` below ``size`` only where a
+    quota ends.  Sorting a shard by ``position`` is its local shuffle."""
+    rows, draws = plan_mix(docs, seed, keys)
     words = F.least(F.col("size"), F.col("limit") - F.col("begin"))
     return (rows.join(draws, ["ord", "block"]).withColumn("words", words).filter("words > 0")
             .select("ord", "block", "place", "doc_id", "size", "words", "shard",
-                    F.xxhash64(F.lit(seed + 2), "shard", "ord", "block", "place", "pass").alias("position")))
+                    F.xxhash64(F.lit(seed + 2), "shard", "ord", "block", "place", "pass").alias("position"), *keys))
 
 
 def mix_report(docs: DataFrame, seed: int = 7) -> DataFrame:
@@ -207,13 +208,16 @@ def mix_report(docs: DataFrame, seed: int = 7) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The mixed corpus: the columns of ``docs``, a row per draw, in shards shuffled
-    locally.  Where a quota ends inside a document, its row keeps the first words."""
+    locally.  Where a quota ends inside a document, its row keeps the first words.
+    A written row number tells the rows of one doc_id (or of none) apart."""
     spark = docs.sparkSession
-    plan = mix(docs, seed).select(F.col("doc_id").alias("_id"), "words", F.col("size").alias("_size"),
-                                  F.col("shard").alias("_shard"), F.col("position").alias("_pos"))
+    digest = F.md5(F.to_json(F.struct("*")).cast("binary"))     # so that numbers order equal rows only
+    keyed = write_table(docs.select("*", digest.alias("_digest"), F.monotonically_increasing_id().alias("_row")), "rows")
+    plan = mix(keyed, seed, ("_digest", "_row")).select("_row", "words", F.col("size").alias("_size"),
+                                                        F.col("shard").alias("_shard"), F.col("position").alias("_pos"))
     # The draws of one document (at most four) travel as one row.
-    per = plan.groupBy("_id", "_size").agg(F.collect_list(F.struct("words", "_shard", "_pos")).alias("_draws"))
-    met = docs.join(per, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    per = plan.groupBy("_row", "_size").agg(F.collect_list(F.struct("words", "_shard", "_pos")).alias("_draws"))
+    met = keyed.join(per, "_row")
     met = met.withColumn("_d", F.explode("_draws"))
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)),
                                F.lit(1), F.col("_d.words").cast("int")), "")

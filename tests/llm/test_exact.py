@@ -248,6 +248,23 @@ def test_mixed_rows_hold_the_taken_words(some, monkeypatch):
     assert words == Counter({r["doc_id"]: r["taken"] for r in mixing.mix_report(some).collect() if r["taken"]})
 
 
+def test_mixed_rows_of_one_doc_id_stay_apart(make, odd):
+    rows = [(1, "a b c", "s"), (1, "d e f", "s"), (1, "g h", "s"), (2, "i", "s"), (2, "i", "s"),
+            *((None, f"n{k} m", "s") for k in range(6)), (None, "n0 m", "s"), (None, None, "s")]
+    got = Counter((r["doc_id"], r["text"]) for r in mixing.mixed_documents(make(rows)).collect())
+    assert got == Counter((i, t) for i, t, _ in rows if t)          # the one source is taken once
+    got = mixing.mixed_documents(odd).collect()
+    words = Counter()
+    for r in got:
+        words[r["doc_id"]] += len(WORD.findall(r["text"]))
+    taken = Counter()
+    for r in mixing.mix_report(odd).collect():
+        taken[r["doc_id"]] += r["taken"]
+    assert words == +taken
+    texts = {(r["doc_id"], r["source"]): r["text"] for r in odd.collect() if r["text"]}
+    assert all(texts[r["doc_id"], r["source"]].startswith(r["text"]) for r in got)
+
+
 def test_tree_keeps_quotas_and_draws_hypergeometrically(spark):
     quotas = spark.createDataFrame([(o, n) for o, n in enumerate([300, 100, 7, 1])], "ord long, n long")
     got = mixing.split_tree(quotas, 3, 1).collect()
