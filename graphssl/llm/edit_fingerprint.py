@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphssl.llm.common import id_text, mix64, with_next
-from graphssl.llm.similar import bucket_links, components
+from graphssl.llm.similar import BROADCAST_ROWS, bucket_links, components
+from graphssl.operators.sizing import small_hint
 from graphssl.session import write_table
 
 #: Expected samples of a text that has more characters than this.
@@ -201,42 +203,55 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return dealt.select("_range", "_guest", "doc_id", "text").mapInArrow(_rows, COLUMNS)
 
 
+@cache
+def _places(size: int) -> np.ndarray:
+    """``(size, BANDS, BAND_SAMPLES)`` places for fingerprints of 1 to ``size`` samples.
+
+    Every slot ranks all places by a hash and takes the first one that a fingerprint
+    has.  Of two lengths both take the same place, or the longer one takes a place
+    beyond the shorter's end: a slot agrees as often as the likeness says."""
+    place = np.arange(size, dtype=np.uint64)[:, None]
+    slot = mix64(np.arange(1, BANDS * BAND_SAMPLES + 1, dtype=np.uint64))
+    rank = mix64(mix64(place + np.uint64(1)) ^ slot)
+    low = np.minimum.accumulate(rank, axis=0)
+    at = np.maximum.accumulate(np.where(rank == low, np.arange(size)[:, None], 0), axis=0)
+    return at.reshape(size, BANDS, BAND_SAMPLES)
+
+
 def _bands(fingerprint: pd.Series) -> pd.Series:
-    """Per fingerprint, hashes of ``BAND_SAMPLES`` sampled samples.
+    """Per fingerprint, hashes of ``BANDS`` draws of ``BAND_SAMPLES`` samples and their
+    places, over the whole fingerprint.
 
     Bands use the samples of the steps of two successive levels, so that texts on
     either side of a level's bound meet."""
-    r = np.random.default_rng(11)
-    picks = r.random((BANDS, BAND_SAMPLES))
-    out = []
+    codes, level, count = [np.zeros((0, BANDS, BAND_SAMPLES), np.uint64)], [], []
     for text in fingerprint:
         f = bytes.fromhex(text)
-        keys = []
+        x = np.frombuffer(f[1:], np.uint8)
+        before = len(level)
         for high in (f[0], f[0] + 1):
-            x = np.frombuffer(f[1:], np.uint8)
-            x = x[_kept(f[0], high, len(x))]
-            if not len(x):
-                continue
-            # Places are shares of a power of two, equal for texts of about equal length.
-            room = 1 << int(len(x)).bit_length()
-            for top in (room // 2, room // 4):
-                if top < 1:
-                    continue
-                at = np.minimum((picks * top).astype(int), len(x) - 1)
-                rows = x[at]
-                for b in range(BANDS):
-                    h = hashlib.blake2b(bytes([b, high]) + top.to_bytes(4, "little") + rows[b].tobytes(), digest_size=8)
-                    keys.append(int.from_bytes(h.digest(), "little", signed=True))
-        out.append(np.array(keys, np.int64))
-    return pd.Series(out)
+            y = x[_kept(f[0], high, len(x))]
+            if len(y):
+                at = _places(max(512, 1 << len(y).bit_length()))[len(y) - 1]
+                codes.append((at * 256 + y[at]).astype(np.uint64)[None])
+                level.append(high)
+        count.append(len(level) - before)
+    code = np.concatenate(codes)
+    key = np.array(level, np.uint64)[:, None] * np.uint64(BANDS) + np.arange(BANDS, dtype=np.uint64)
+    for k in range(BAND_SAMPLES):
+        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + code[:, :, k])
+    cut = np.cumsum([0, *count])
+    return pd.Series([key[a:b].reshape(-1).view(np.int64) for a, b in zip(cut, cut[1:])], dtype=object)
 
 
 def near_pairs(prints: DataFrame, least: float = LEAST) -> DataFrame:
-    """``(doc_id, class_id)``: components of documents whose fingerprints share a band of
-    sampled bits and are alike by at least ``least``; ``prints(doc_id, fingerprint)``."""
-    own = write_table(prints.select("doc_id", "fingerprint").filter("doc_id is not null").distinct(), "prints")
-    copies = own.groupBy("fingerprint").agg(F.min("doc_id").alias("item"))      # equal fingerprints are one item
-    items = write_table(copies, "items")
+    """``prints(doc_id, fingerprint, ...)`` with ``class_id`` and ``class_key``: classes
+    are components of fingerprints that share a band and are alike by at least
+    ``least``.  ``class_id`` is the smallest doc_id of the class (null if no row of it has
+    one), ``class_key`` a hash of its smallest fingerprint."""
+    own = write_table(prints, "prints")
+    items = write_table(own.groupBy("fingerprint").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
+                        .withColumn("item", F.monotonically_increasing_id()), "items")      # equal fingerprints are one item
     bands = F.pandas_udf(_bands, "array<long>")
     buckets = items.select("item", F.explode(bands("fingerprint")).alias("bucket"))
 
@@ -249,8 +264,14 @@ def near_pairs(prints: DataFrame, least: float = LEAST) -> DataFrame:
         y = items.select(F.col("item").alias("b"), F.col("fingerprint").alias("y"))
         return pairs.join(x, "a").join(y, "b").filter(near("x", "y") >= least).select("a", "b")
 
-    same = own.join(copies, "fingerprint").filter("item != doc_id").select(
-        F.col("item").alias("a"), F.col("doc_id").alias("b"))
-    label = components(bucket_links(buckets, alike).unionByName(same))
-    return own.join(label.withColumnRenamed("item", "doc_id"), "doc_id", "left").select(
-        "doc_id", F.coalesce("label", "doc_id").alias("class_id"))
+    label = components(bucket_links(buckets, alike))
+    many = label.count()
+    met = items.join(small_hint(label, many, BROADCAST_ROWS), "item", "left")
+    # A fingerprint of one row and without links is its row's own class.
+    met = write_table(met.filter("n > 1 or label is not null").select(
+        "fingerprint", "low", F.coalesce("label", "item").alias("label")), "met")
+    of = met.groupBy("label").agg(F.min("low").alias("class_id"), F.xxhash64(F.min("fingerprint")).alias("class_key"))
+    known = write_table(met.join(of, "label").select("fingerprint", "class_id", "class_key"), "classes")
+    found = own.join(small_hint(known, known.count(), BROADCAST_ROWS // 8), "fingerprint", "left")
+    return found.select(*[own[c] for c in own.columns], F.coalesce("class_id", "doc_id").alias("class_id"),
+                        F.coalesce("class_key", F.xxhash64("fingerprint")).alias("class_key"))

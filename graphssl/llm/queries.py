@@ -9,7 +9,7 @@ from graphssl.llm.bloom_dedup import exact_duplicates
 from graphssl.llm.bpe import encode_decode_digests
 from graphssl.llm.common import table
 from graphssl.llm.dart_minhash import near_duplicates
-from graphssl.llm.edit_fingerprint import fingerprints
+from graphssl.llm.edit_fingerprint import fingerprints, near_pairs
 from graphssl.llm.mixing import mix_report
 from graphssl.llm.paragraphs import remove_paragraphs
 from graphssl.llm.preference import preference_rows, swapped_replies
@@ -33,8 +33,8 @@ def op8_bloom_exact_dedup(spark, sf_dir):
 
 
 def op1_edit_fingerprints(spark, sf_dir):
-    """Fingerprints of all ``documents`` and of their edited texts."""
-    return fingerprints(table(spark, sf_dir, "documents"))
+    """Fingerprints of all ``documents`` and of their edited texts, with the classes of near ones."""
+    return near_pairs(fingerprints(table(spark, sf_dir, "documents")))
 
 
 def op2_preference_format(spark, sf_dir):

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -132,6 +133,31 @@ def test_near_pairs(make):
     assert all(c // 3 == i // 3 for i, c in got.items())
 
 
+def test_bands_see_edits_at_the_front():
+    r = np.random.default_rng(6)
+    near = met = 0
+    for n in range(8, 128):
+        x = r.integers(1, 256, n).astype(np.uint8)
+        for share in (0.05, 0.1, 0.15):
+            y = x[:n - n // 20].copy()                              # shorter, and other samples at the front
+            y[:int(share * n)] = r.integers(1, 256, int(share * n))
+            a, b = bytes(1) + x.tobytes(), bytes(1) + y.tobytes()
+            keys = [set(k) for k in edit_fingerprint._bands(pd.Series([a.hex(), b.hex()]))]
+            if edit_fingerprint.likeness(a, b) >= 0.8:
+                near, met = near + 1, met + bool(keys[0] & keys[1])
+    assert near > 300 and met >= 0.94 * near
+
+
+def test_near_classes_keep_rows_without_doc_id(make):
+    r = np.random.default_rng(7)
+    t, u = ("".join(r.choice(list("abcdefghij "), 900)) for _ in range(2))
+    rows = [(None, t, "s"), (None, t + "x", "s"), (5, u, "s"), (5, t, "s"), (4, u, "s"), (None, "", "s")]
+    got = edit_fingerprint.near_pairs(edit_fingerprint.fingerprints(make(rows))).collect()
+    assert Counter((x["doc_id"], x["class_id"], x["n_chars"]) for x in got) == Counter(
+        [(None, 5, 900), (None, 5, 901), (5, 5, 900), (5, 4, 900), (4, 4, 900), (None, None, 0)])
+    assert len({x["class_key"] for x in got}) == 3
+
+
 # -- near-duplicates --------------------------------------------------------------------------------------------
 
 def near_expected(rows):
