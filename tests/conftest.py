@@ -1,16 +1,13 @@
-import os
 import sys
 
 import pytest
 
-ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+from fixture_paths import ROOT
+
 sys.path.insert(0, ROOT)
 
 from graphssl.session import ensure_checkpoint_dir, local_session  # noqa: E402
 
-IRIS = os.path.join(ROOT, "tests", "data", "iris.csv")
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():

@@ -2,7 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF
+from fixture_paths import SF
 from graphssl.operators.bisect import (bisect_distributed, bisect_local, build_graph,
                                        divide_groups, score_groups)
 from graphssl.operators.knn import knn_exact

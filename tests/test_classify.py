@@ -2,7 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import IRIS
+from fixture_paths import IRIS
 from graphssl.operators.metrics import success_rate, with_truth
 from graphssl.plans.classifier import Params, classify
 from graphssl.sources.loaders import load_iris

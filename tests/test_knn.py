@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import IRIS, SF
+from fixture_paths import IRIS, SF
 from graphssl.operators.knn import knn_descent, knn_exact
 from graphssl.operators.metrics import neighbour_recall
 from graphssl.sources.loaders import load_embeddings, load_iris

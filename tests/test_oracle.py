@@ -3,7 +3,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF
+from fixture_paths import SF
 from graphssl.plans.catalog import QUERIES
 from graphssl.plans.oracle import SQL
 

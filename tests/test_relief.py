@@ -2,7 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import IRIS
+from fixture_paths import IRIS
 from graphssl.operators.relief import (apply_weights, labelled_rows, relief_weights, sample_key,
                                        sample_probes, weight_vectors)
 from graphssl.sources.loaders import from_rows, load_iris
