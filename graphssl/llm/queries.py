@@ -10,6 +10,7 @@ from graphssl.llm.bpe import encode_decode_digests
 from graphssl.llm.common import table
 from graphssl.llm.dart_minhash import near_duplicates
 from graphssl.llm.edit_fingerprint import fingerprints, near_pairs
+from graphssl.llm.merkle import manifest, prove, tampered_leaves
 from graphssl.llm.mixing import mix_report
 from graphssl.llm.paragraphs import remove_paragraphs
 from graphssl.llm.preference import preference_rows, swapped_replies
@@ -67,9 +68,30 @@ def op10_stupid_backoff(spark, sf_dir):
     return backoff_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    """Merkle proofs of all ``documents``, folded from the told leaves."""
+    return prove(manifest(tampered_leaves(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_edit_fingerprints, op2_preference_format, op3_hypergeometric_mix, op4_dart_minhash, op5_automaton_bpe, op6_paragraph_minhash, op7_suffix_levels,
-    op8_bloom_exact_dedup, op9_toxicity_bigru, op10_stupid_backoff)}
+    op8_bloom_exact_dedup, op9_toxicity_bigru, op10_stupid_backoff, op11_merkle_manifest)}
+
+
+def _crc32(text: str) -> str:
+    """SQL of the unsigned crc32 of an ASCII text, bit by bit."""
+    bits = (f"flatten(list_transform(string_split({text}, ''), lambda ch: "
+            "list_transform([0, 1, 2, 3, 4, 5, 6, 7], lambda j: ((ascii(ch) >> j) & 1)::BIGINT)))")
+    return (f"xor(list_reduce(list_concat([4294967295::BIGINT], {bits}), "
+            "lambda a, b: xor(a >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295)")
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR) || ':' || ({value})::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
 
 SQL = {
     "op8_bloom_exact_dedup": r"""
@@ -124,4 +146,34 @@ SELECT y.conv_id AS pair_id, n_shared, coalesce(c.prompt, '') AS prompt,
        coalesce(c.done, '') AS chosen, coalesce(c.mask, '') AS chosen_mask,
        coalesce(r.done, '') AS rejected, coalesce(r.mask, '') AS rejected_mask
 FROM y JOIN a c ON c.conv_id = y.conv_id AND c.side = 'c' JOIN a r ON r.conv_id = y.conv_id AND r.side = 'r'""",
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE
+d AS (SELECT lang, doc_id, {_leaf("n_chars")} AS leaf,
+             CASE WHEN doc_id IS NOT NULL AND {_crc32("doc_id::VARCHAR")} % 7 = 0
+                  THEN {_leaf("n_chars + 1")} ELSE {_leaf("n_chars")} END AS told FROM documents),
+p AS (SELECT row_number() OVER () AS r, *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+             count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM d),
+t(tree, level, idx, hash, n) AS (
+    SELECT tree, 0, pos, leaf, n FROM p UNION ALL
+    SELECT tree, level + 1, idx // 2, sha256(string_agg(hash, '' ORDER BY idx)), (min(n) + 1) // 2
+    FROM t WHERE n > 1 GROUP BY tree, level, idx // 2),
+u(level, idx, hash, n) AS (
+    SELECT 0, tree, hash, count(*) OVER () FROM t WHERE n = 1 UNION ALL
+    SELECT level + 1, idx // 2, sha256(string_agg(hash, '' ORDER BY idx)), (min(n) + 1) // 2
+    FROM u WHERE n > 1 GROUP BY level, idx // 2),
+s AS (SELECT r, l.level AS step, p.pos >> l.level AS at, t.hash
+      FROM p JOIN (SELECT DISTINCT tree, level FROM t WHERE n > 1) l ON l.tree = p.tree
+      LEFT JOIN t ON t.tree = p.tree AND t.level = l.level AND t.idx = xor(p.pos >> l.level, 1)
+      UNION ALL
+      SELECT r, 100 + l.level, p.tree >> l.level, u.hash
+      FROM p CROSS JOIN (SELECT DISTINCT level FROM u WHERE n > 1) l
+      LEFT JOIN u ON u.level = l.level AND u.idx = xor(p.tree >> l.level, 1)),
+a AS (SELECT r, list(CASE WHEN hash IS NULL THEN 'S' WHEN at & 1 = 1 THEN 'L' || hash ELSE 'R' || hash END ORDER BY step) AS steps,
+             string_agg(hash, '' ORDER BY step) AS proof FROM s GROUP BY r),
+x AS (SELECT p.*, a.proof, list_reduce(list_concat([told], coalesce(steps, [])), lambda h, x: sha256(
+             CASE WHEN x = 'S' THEN h WHEN x[1] = 'L' THEN x[2:] || h ELSE h || x[2:] END)) AS folded_root
+      FROM p LEFT JOIN a USING (r))
+SELECT doc_id, leaf, t.hash AS subroot, u.hash AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root,
+       folded_root = u.hash AS verified
+FROM x JOIN t ON t.tree = x.tree AND t.n = 1 JOIN u ON u.n = 1""",
 }
