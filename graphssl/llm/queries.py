@@ -161,14 +161,14 @@ u(level, idx, hash, n) AS (
     SELECT 0, tree, hash, count(*) OVER () FROM t WHERE n = 1 UNION ALL
     SELECT level + 1, idx // 2, sha256(string_agg(hash, '' ORDER BY idx)), (min(n) + 1) // 2
     FROM u WHERE n > 1 GROUP BY level, idx // 2),
-s AS (SELECT r, l.level AS step, p.pos >> l.level AS at, t.hash
+s AS (SELECT r, l.level AS step, p.pos >> l.level AS i, t.hash
       FROM p JOIN (SELECT DISTINCT tree, level FROM t WHERE n > 1) l ON l.tree = p.tree
       LEFT JOIN t ON t.tree = p.tree AND t.level = l.level AND t.idx = xor(p.pos >> l.level, 1)
       UNION ALL
       SELECT r, 100 + l.level, p.tree >> l.level, u.hash
       FROM p CROSS JOIN (SELECT DISTINCT level FROM u WHERE n > 1) l
       LEFT JOIN u ON u.level = l.level AND u.idx = xor(p.tree >> l.level, 1)),
-a AS (SELECT r, list(CASE WHEN hash IS NULL THEN 'S' WHEN at & 1 = 1 THEN 'L' || hash ELSE 'R' || hash END ORDER BY step) AS steps,
+a AS (SELECT r, list(CASE WHEN hash IS NULL THEN 'S' WHEN i & 1 = 1 THEN 'L' || hash ELSE 'R' || hash END ORDER BY step) AS steps,
              string_agg(hash, '' ORDER BY step) AS proof FROM s GROUP BY r),
 x AS (SELECT p.*, a.proof, list_reduce(list_concat([told], coalesce(steps, [])), lambda h, x: sha256(
              CASE WHEN x = 'S' THEN h WHEN x[1] = 'L' THEN x[2:] || h ELSE h || x[2:] END)) AS folded_root
