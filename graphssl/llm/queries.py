@@ -14,6 +14,7 @@ from graphssl.llm.merkle import manifest, prove, tampered_leaves
 from graphssl.llm.mixing import mix_report
 from graphssl.llm.paragraphs import remove_paragraphs
 from graphssl.llm.preference import preference_rows, swapped_replies
+from graphssl.llm.prefix_trie import prefix_trie
 from graphssl.llm.suffix_levels import remove_repeats
 from graphssl.llm.toxicity import score
 
@@ -73,9 +74,14 @@ def op11_merkle_manifest(spark, sf_dir):
     return prove(manifest(tampered_leaves(table(spark, sf_dir, "documents"))))
 
 
+def op12_prefix_trie(spark, sf_dir):
+    """The prefix trie of all ``conversations``, each rebuilt from its fifth's head."""
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_edit_fingerprints, op2_preference_format, op3_hypergeometric_mix, op4_dart_minhash, op5_automaton_bpe, op6_paragraph_minhash, op7_suffix_levels,
-    op8_bloom_exact_dedup, op9_toxicity_bigru, op10_stupid_backoff, op11_merkle_manifest)}
+    op8_bloom_exact_dedup, op9_toxicity_bigru, op10_stupid_backoff, op11_merkle_manifest, op12_prefix_trie)}
 
 
 def _crc32(text: str) -> str:
@@ -176,4 +182,28 @@ x AS (SELECT p.*, a.proof, list_reduce(list_concat([told], coalesce(steps, [])),
 SELECT doc_id, leaf, t.hash AS subroot, u.hash AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root,
        folded_root = u.hash AS verified
 FROM x JOIN t ON t.tree = x.tree AND t.n = 1 JOIN u ON u.n = 1""",
+    "op12_prefix_trie": f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+                         sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p,
+                  sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS x,
+                  strlen(coalesce(text, '')) AS b
+           FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(x ORDER BY p) AS x, list(b ORDER BY p) AS b FROM t GROUP BY conv_id),
+h AS (SELECT *, {_crc32("conv_id::VARCHAR")} % 9 AS h FROM o),
+c AS (SELECT h.conv_id, list_concat(coalesce(o.x, [])[1:h.h], h.x[h.h + 1:]) AS x,
+             list_concat(coalesce(o.b, [])[1:h.h], h.b[h.h + 1:]) AS b
+      FROM h LEFT JOIN o ON o.conv_id = h.conv_id - h.conv_id % 5),
+r AS (SELECT conv_id AS c, d AS depth, x[1:d] AS path, CASE WHEN d > 0 THEN b[d] ELSE 0 END AS bytes, len(x) = d AS ends
+      FROM (SELECT *, unnest(range(len(x) + 1)) AS d FROM c)),
+n AS MATERIALIZED (
+      SELECT path, depth, min(c) AS conv_id, count(*) AS n_convs, bool_and(ends) AS leaf, (count(*) - 1) * min(bytes) AS saved,
+             sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+      FROM r GROUP BY path, depth),
+k AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+s AS (SELECT path[1:d] AS path, sum(leaf::BIGINT) AS n_leaves, sum(saved) AS saved_tokens
+      FROM (SELECT *, unnest(range(depth + 1)) AS d FROM n) GROUP BY 1)
+SELECT n.conv_id, n.depth::BIGINT AS depth, CASE WHEN n.depth > 0 THEN u.conv_id END AS parent_conv_id, n.n_convs,
+       coalesce(k.n_children, 0) AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM n JOIN s ON s.path = n.path LEFT JOIN k ON k.path = n.path
+LEFT JOIN n u ON n.depth > 0 AND u.path = n.path[1:n.depth - 1]""",
 }
