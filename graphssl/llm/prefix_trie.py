@@ -55,13 +55,15 @@ _ELEMENTS = ["pos", *(f"{c}{k}" for k in (1, 2) for c in "wia")]
 _UNIT = [0, 1, 1, 0, 1, 1, 0]
 
 
-def combine(x, y):
-    """The monoid: ``(length, power, inverse power, hash)`` with the last three per prime."""
-    out = [x[0] + y[0]]
-    for k, p in enumerate(PRIMES):
-        (w, i, a), (v, j, b) = x[3 * k + 1:3 * k + 4], y[3 * k + 1:3 * k + 4]
-        out += [w * v % p, i * j % p, (a + w * b) % p]
-    return out
+def monoid(primes: tuple[int, int]):
+    """Its operation on ``(length, power, inverse power, hash)``, the last three per prime."""
+    def combine(x, y):
+        out = [x[0] + y[0]]
+        for k, p in enumerate(primes):
+            (w, i, a), (v, j, b) = x[3 * k + 1:3 * k + 4], y[3 * k + 1:3 * k + 4]
+            out += [w * v % p, i * j % p, (a + w * b) % p]
+        return out
+    return combine
 
 
 def stored_turns(turns: DataFrame) -> DataFrame:
@@ -81,17 +83,17 @@ def fifth_heads(turns: DataFrame) -> DataFrame:
         c, (c - c % 5).alias("base"), (F.crc32(c.cast("string").cast("binary")) % 9).alias("h"))
 
 
-def head_products(turns: DataFrame, seed: int) -> DataFrame:
+def head_products(turns: DataFrame, seed: int, primes: tuple[int, int] = PRIMES) -> DataFrame:
     """``turns`` with ``pos`` (from 1), the product of the conversation's head up to there, and
     what the turn itself adds to its hashes (``e1, e2``)."""
     rng, one, own = random.Random(seed), [F.lit(1).cast("long").alias("pos")], []
-    for k, p in enumerate(PRIMES, 1):
+    for k, p in enumerate(primes, 1):
         base = rng.randrange(2, p)
         back, value = pow(base, -1, p), F.pmod(F.xxhash64("digest", F.lit(seed), F.lit(k)), F.lit(p))
         one += [F.lit(base).cast("long").alias(f"w{k}"), F.lit(back).cast("long").alias(f"i{k}"), value.alias(f"a{k}")]
         own.append((F.col(f"w{k}") * F.lit(back) % p * value % p).alias(f"e{k}"))
     scanned = segmented_scan(turns.select("conv_id", "turn", "role", "digest", "bytes", *one), "conv_id",
-                             ["turn", "role", "digest"], _ELEMENTS, _UNIT, combine, "heads")
+                             ["turn", "role", "digest"], _ELEMENTS, _UNIT, monoid(primes), "heads")
     return scanned.select("conv_id", "digest", "bytes", *_ELEMENTS, *own)
 
 
@@ -99,7 +101,7 @@ def _packed(values):
     return values[0] * F.lit(1 << 31) + values[1]
 
 
-def prefix_rows(heads: DataFrame, splice: DataFrame) -> DataFrame:
+def prefix_rows(heads: DataFrame, splice: DataFrame, primes: tuple[int, int] = PRIMES) -> DataFrame:
     """Every prefix of every rebuilt conversation (``splice``: ``conv_id, base, h``): ``c, depth, fp, above``
     (the fingerprint one turn shorter), ``digest, bytes`` of the turn it ends in, ``last``."""
     cols, zero = _ELEMENTS[1:], F.lit(0).cast("long")
@@ -116,11 +118,11 @@ def prefix_rows(heads: DataFrame, splice: DataFrame) -> DataFrame:
         *[F.coalesce(t + c, F.lit(u).cast("long")).alias(t + c) for t in ("b_", "o_") for c, u in zip(cols, _UNIT[1:])]), "splice")
     head = heads.join(s.select("c", F.col("base").alias("conv_id"), "hb", "whole"), "conv_id").where("pos <= hb")
     head = head.select("c", F.col("pos").alias("depth"), _packed([F.col("a1"), F.col("a2")]).alias("fp"), _packed(
-        [F.pmod(F.col(f"a{k}") - F.col(f"e{k}"), F.lit(p)) for k, p in enumerate(PRIMES, 1)]).alias("above"),
+        [F.pmod(F.col(f"a{k}") - F.col(f"e{k}"), F.lit(p)) for k, p in enumerate(primes, 1)]).alias("above"),
         "digest", "bytes", "whole")
     tail = heads.join(s.withColumnRenamed("c", "conv_id").drop("base"), "conv_id").where("pos > h")
     now, above = [], []
-    for k, p in enumerate(PRIMES, 1):
+    for k, p in enumerate(primes, 1):
         # The base's head, then the tail: its products moved from place h to place hb.
         move = F.col(f"b_w{k}") * F.col(f"o_i{k}") % p
         now.append((F.col(f"b_a{k}") + move * F.pmod(F.col(f"a{k}") - F.col(f"o_a{k}"), F.lit(p))) % p)
@@ -185,14 +187,15 @@ def end_digests(rows: DataFrame) -> DataFrame:
             .mapInArrow(_digests, "depth long, fp long, ends_sha256 string"))
 
 
-def prefix_trie(turns: DataFrame, splice: DataFrame | None = None, seed: int = 1) -> DataFrame:
+def prefix_trie(turns: DataFrame, splice: DataFrame | None = None, seed: int = 1,
+                primes: tuple[int, int] = PRIMES) -> DataFrame:
     """The nodes of the trie of all conversations of ``turns`` rebuilt by ``splice`` (``conv_id, base, h``; by
     default :func:`fifth_heads`): ``conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves,
     saved_tokens, ends_sha256``."""
     stored = write_table(stored_turns(turns), "turns")
     splice = fifth_heads(stored) if splice is None else splice
     for attempt in range(seed, seed + TRIES):
-        rows = write_table(prefix_rows(head_products(stored, attempt), splice), "prefixes")
+        rows = write_table(prefix_rows(head_products(stored, attempt, primes), splice, primes), "prefixes")
         nodes = write_table(_nodes(rows), "nodes")
         if nodes.where("not one").isEmpty():
             break

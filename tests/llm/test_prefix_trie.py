@@ -88,17 +88,16 @@ def test_other_splice(spark):
 
 def test_collisions_start_again(spark, monkeypatch):
     """Primes so small that fingerprints collide: the verification finds it."""
-    monkeypatch.setattr(pt, "PRIMES", (13, 17))
     monkeypatch.setattr(pt, "TRIES", 60)
-    seeds = []
+    tried = []
     whole = pt.head_products
-    monkeypatch.setattr(pt, "head_products", lambda turns, seed: seeds.append(seed) or whole(turns, seed))
-    rows = [(c, t, "u", f"x{c % 4}{t}") for c in range(0, 40, 5) for t in range(4)]
-    assert got(pt.prefix_trie(make_turns(spark, rows))) == expected(rows)
-    monkeypatch.setattr(pt, "PRIMES", (2, 3))
+    monkeypatch.setattr(pt, "head_products", lambda turns, seed, primes: tried.append(seed) or whole(turns, seed, primes))
+    rows = [(c, t, "u", f"x{c}{t}") for c in range(0, 40, 5) for t in range(2)]
+    assert got(pt.prefix_trie(make_turns(spark, rows), primes=(5, 7))) == expected(rows)
+    assert len(tried) > 1
     monkeypatch.setattr(pt, "TRIES", 2)
     with pytest.raises(RuntimeError):
-        pt.prefix_trie(make_turns(spark, [(c, 0, "u", f"{c}") for c in range(0, 400, 5)]))
+        pt.prefix_trie(make_turns(spark, [(c, 0, "u", f"{c}") for c in range(0, 400, 5)]), primes=(3, 5))
 
 
 def test_many_ends_in_pieces(spark, monkeypatch):
