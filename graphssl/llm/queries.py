@@ -15,6 +15,7 @@ from graphssl.llm.mixing import mix_report
 from graphssl.llm.paragraphs import remove_paragraphs
 from graphssl.llm.preference import preference_rows, swapped_replies
 from graphssl.llm.prefix_trie import prefix_trie
+from graphssl.llm.semi_crf import personal_data, train
 from graphssl.llm.suffix_levels import remove_repeats
 from graphssl.llm.toxicity import score
 
@@ -79,9 +80,16 @@ def op12_prefix_trie(spark, sf_dir):
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_semi_markov_pii(spark, sf_dir):
+    """Personal data in all ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    return personal_data(docs, train(docs))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_edit_fingerprints, op2_preference_format, op3_hypergeometric_mix, op4_dart_minhash, op5_automaton_bpe, op6_paragraph_minhash, op7_suffix_levels,
-    op8_bloom_exact_dedup, op9_toxicity_bigru, op10_stupid_backoff, op11_merkle_manifest, op12_prefix_trie)}
+    op8_bloom_exact_dedup, op9_toxicity_bigru, op10_stupid_backoff, op11_merkle_manifest, op12_prefix_trie,
+    op13_semi_markov_pii)}
 
 
 def _crc32(text: str) -> str:
