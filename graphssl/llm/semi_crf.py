@@ -48,6 +48,8 @@ CARD_DIGITS, PHONE_DIGITS = (16, 19), (8, 15)
 
 #: The longest entity, in tokens and in characters.
 MOST_TOKENS, MOST_CHARS = 16, 64
+#: Tokens of a long stretch that are scored at once.
+STEP_TOKENS = 2048
 #: Probability that an added span must have.
 SURE = 0.9
 #: Training islands per kind (and of none), their longest text, passes, weight of the prior.
@@ -157,7 +159,8 @@ class Lattice:
         kind = np.array([_class(text[s]) for s, _ in bounds], np.int64)
         blocked = np.array([text[s] in "\r\n" for s, _ in bounds], bool)
         for s, e in taken:
-            blocked[max(0, np.searchsorted(self.edge, s, "right") - 1):max(0, np.searchsorted(self.edge, e, "left"))] = True
+            if s < b and a < e:
+                blocked[max(0, np.searchsorted(self.edge, s, "right") - 1):np.searchsorted(self.edge, e, "left")] = True
         hit = np.zeros(n, bool)
         for m in _TRIGGER.finditer(text, a, b):
             hit[np.searchsorted(self.edge, m.start(), "right") - 1:np.searchsorted(self.edge, m.end(), "left")] = True
@@ -181,8 +184,7 @@ class Lattice:
             return
         digit = kind == _DIGIT
         groups, digits = count(digit), count(np.where(digit, size, 0))
-        octets = count(digit & np.array([not (digit[t] and _octet(text[s:e])) if digit[t] else False
-                                         for t, (s, e) in enumerate(bounds)], bool))
+        large = count(np.array([bool(d) and not _octet(text[s:e]) for d, (s, e) in zip(digit, bounds)], bool))
         per = {c: count(kind == c) for c in (1, 2, 3, 4, 5, 6, _LETTER, _OTHER)}
         before = np.array([_around(text, int(p) - 1) for p in self.edge])
         after = np.array([_around(text, int(p)) for p in self.edge])
@@ -190,13 +192,13 @@ class Lattice:
         # Sizes of the last two digit groups.
         at = np.flatnonzero(digit)
         last = np.searchsorted(at, end) - 1
-        sizes = np.minimum(np.append(size[at], 0), 5)
+        sizes = np.minimum(np.append(size[at], [0, 0]), 5)
         tail = np.where(groups > 0, sizes[last], 0) + 6 * np.where(groups > 1, sizes[last - 1], 0)
         self.bins = np.stack([
             np.zeros_like(first), np.minimum(digits, 20), end - first, np.minimum(per[_LETTER], 8), np.minimum(per[1], 2),
             np.minimum(per[2], 6), np.minimum(per[3], 6), np.minimum(per[4], 4), np.minimum(per[5], 2), np.minimum(per[6], 2),
             np.minimum(per[_OTHER], 3), kind[first], kind[end - 1], before[first], after[end], np.minimum(groups, 6),
-            np.where(groups == 4, 1 + (octets == 0), 0), self._luhn(text, bounds, digit, first, end, digits), mask, tail], 1)
+            np.where(groups == 4, 1 + (large == 0), 0), self._luhn(text, bounds, digit, first, end, digits), mask, tail], 1)
 
     @staticmethod
     def _luhn(text, bounds, digit, first, end, digits):
@@ -265,6 +267,62 @@ def marginals(tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ahead[:, n], np.exp(start[..., None] + tables + (behind - ahead[:, n:])[:, :, None, None])
 
 
+def decode(text: str, a: int, b: int, taken: list[tuple[int, int]], weights: np.ndarray,
+           step: int = STEP_TOKENS) -> list[tuple[int, int, int, float]]:
+    """``(start, end, kind, probability)`` of the entities of the best segmentation of ``text[a:b]``.
+
+    The recursions of :func:`best` and :func:`marginals` over pieces of ``step`` tokens, whose candidates
+    are made when they are needed: what stays is a few numbers per token."""
+    edge = np.array([a, *(m.end() for m in _TOKEN.finditer(text, a, b))])
+    n = len(edge) - 1
+
+    def tables(order):
+        """Per piece its first end and the candidates by end."""
+        for begin in order:
+            low, high = max(0, begin - MOST_TOKENS), min(n, begin + step)
+            lattice = Lattice(text, int(edge[low]), int(edge[high]), taken)
+            if len(lattice.first):
+                yield begin + 1, lattice.table(lattice.scores(weights))[begin + 1 - low:]
+            else:
+                yield begin + 1, np.full((high - begin, MOST_TOKENS + 1, len(KINDS)), -np.inf)
+
+    value, ahead, back = np.zeros(n + 1), np.zeros(n + 1), np.zeros((n + 1, 3))      # length, kind, score
+    for begin, table in tables(range(0, n, step)):
+        for j, row in enumerate(table, begin):
+            most = min(j, MOST_TOKENS)
+            cut = row[1:most + 1]
+            value[j], ahead[j] = value[j - 1], ahead[j - 1]
+            if np.isfinite(cut).any():
+                got = value[j - most:j][::-1, None] + cut
+                k = int(np.argmax(got))
+                if got.flat[k] > value[j]:
+                    value[j], back[j] = got.flat[k], (k // len(KINDS) + 1, k % len(KINDS), cut.flat[k])
+                paths = ahead[j - most:j][::-1, None] + cut
+                ahead[j] = _sum_exp(np.append(paths.ravel(), ahead[j - 1])[None])[0]
+    if not back[:, 0].any():
+        return []
+    behind = np.full(n + 1, -np.inf)
+    behind[n] = 0.0
+    for begin, table in tables(reversed(range(0, n, step))):
+        for j in range(begin + len(table) - 1, begin - 1, -1):
+            most = min(j, MOST_TOKENS)
+            cut = table[j - begin, 1:most + 1]
+            behind[j - 1] = np.logaddexp(behind[j - 1], behind[j])
+            if np.isfinite(cut).any():
+                into = behind[j - most:j][::-1]
+                np.logaddexp(into, np.logaddexp.reduce(cut, axis=1) + behind[j], out=into)
+    out, j = [], n
+    while j:
+        length, kind = int(back[j][0]), int(back[j][1])
+        if length:
+            i = j - length
+            out.append((int(edge[i]), int(edge[j]), kind, float(np.exp(ahead[i] + back[j][2] + behind[j] - ahead[n]))))
+            j = i
+        else:
+            j -= 1
+    return out[::-1]
+
+
 # -- training ------------------------------------------------------------------------------------------------------
 
 def variants(kind: str, text: str) -> list[str]:
@@ -403,12 +461,8 @@ def added_spans(text: str, base: list[tuple[str, int, int]], weights: np.ndarray
             covered.append((s, e))
     out = []
     for a, b in islands(text, covered):
-        lattice = Lattice(text, a, b, [c for c in covered if c[0] < b and a < c[1]])
-        table = lattice.table(lattice.scores(weights))
-        found = best(table)
-        if found:
-            p = marginals(table[None])[1][0]
-            out += [(KINDS[k], int(lattice.edge[i]), int(lattice.edge[j])) for i, j, k in found if p[j, j - i, k] >= sure]
+        near = [c for c in covered if c[0] < b and a < c[1]]
+        out += [(KINDS[k], s, e) for s, e, k, p in decode(text, a, b, near, weights) if p >= sure]
     return out
 
 

@@ -116,6 +116,26 @@ def test_gradient():
         assert np.isclose(slope, grad[at], rtol=1e-3, atol=1e-5)
 
 
+@pytest.mark.parametrize("step", [1, 7, 20, 5000])
+def test_pieces_lose_nothing(step):
+    rng, text = random.Random(step), ""
+    for _ in range(70):
+        text += rng.choice(["12", "a", "@", " ", ".", "-", "4539148803436467", "\n"])
+    weights = np.random.default_rng(9).normal(size=(S._FIRST[-1], len(S.KINDS))) * 0.4
+    taken = [(20, 24), (40, 41)]
+    lattice = S.Lattice(text, 0, len(text), taken)
+    table = lattice.table(lattice.scores(weights))
+    found, p = S.best(table), S.marginals(table[None])[1][0]
+    got = S.decode(text, 0, len(text), taken, weights, step)
+    assert found and [x[:3] for x in got] == [(int(lattice.edge[i]), int(lattice.edge[j]), k) for i, j, k in found]
+    assert np.allclose([x[3] for x in got], [p[j, j - i, k] for i, j, k in found])
+
+
+def test_long_stretch_of_triggers():
+    text, weights = "1 2-3.4@" * 12_000, np.random.default_rng(1).normal(size=(S._FIRST[-1], len(S.KINDS))) * 0.1
+    assert S.added_spans(text, [], weights, 0.0)
+
+
 def test_islands_lose_nothing():
     """The best segmentation of the islands is that of the whole text."""
     rng = random.Random(8)
