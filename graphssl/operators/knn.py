@@ -15,27 +15,17 @@ only the local top-k per query (and per candidate label when asked).  A final
   rows per query and block -- never all pairs.
 * With a small probe side (ReliefF with a bounded ``m``) there is a single
   query block, so candidates are not replicated at all.
-
-Approximate graph (NN-Descent)
-------------------------------
-:func:`knn_descent` builds the graph with the NN-Descent rounds of Dong,
-Charikar & Li (WWW 2011) as DataFrame joins: random-projection leaves give the
-initial candidates, each round joins neighbours and reverse neighbours through
-their common vertex and keeps the best ``k``.  Candidate sets of one vertex are
-scored with the same blocked top-k, so a hub vertex never lands in one task.
 """
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sizing import bounded, join_small, small_hint
+from .sizing import bounded
 
 DEFAULT_BLOCK_ROWS = 1024
 # float64 cells one distance chunk may hold (rows x candidates x features)
@@ -71,17 +61,22 @@ def _block_distances(Q: np.ndarray, C: np.ndarray, metric: str,
 
 
 def _top_k_rows(D: np.ndarray, cid: np.ndarray, k: int):
-    """Row-wise k smallest by (distance, candidate id): ``(row idx, col idx)``."""
-    if D.shape[1] == 0:
+    """Row-wise k smallest by (distance, candidate id): ``(row idx, col idx)``, in order.
+
+    Only entries up to the row's k-th smallest distance are sorted."""
+    if D.shape[1] == 0 or D.shape[0] == 0:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    order = np.lexsort((np.broadcast_to(cid, D.shape), D), axis=1)[:, :k]
-    rows = np.repeat(np.arange(D.shape[0]), order.shape[1])
-    cols = order.reshape(-1)
-    keep = np.isfinite(D[rows, cols])
+    at = min(k, D.shape[1]) - 1
+    limit = np.partition(D, at, axis=1)[:, at:at + 1]
+    rows, cols = np.nonzero((D <= limit) & np.isfinite(D))
+    order = np.lexsort((cid[cols], D[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    first = np.searchsorted(rows, np.arange(D.shape[0]))
+    keep = np.arange(len(rows)) - first[rows] < k
     return rows[keep], cols[keep]
 
 
-def _block_result_schema(with_diff: bool, with_qlabel: bool, keys) -> T.StructType:
+def _block_result_schema(with_qlabel: bool, keys) -> T.StructType:
     fields = [T.StructField(c, T.LongType()) for c in keys] + [
         T.StructField("qid", T.LongType())]
     if with_qlabel:
@@ -89,15 +84,13 @@ def _block_result_schema(with_diff: bool, with_qlabel: bool, keys) -> T.StructTy
     fields += [
               T.StructField("cid", T.LongType()), T.StructField("clabel", T.LongType()),
               T.StructField("dist", T.DoubleType())]
-    if with_diff:
-        fields.append(T.StructField("diff", T.ArrayType(T.DoubleType())))
     return T.StructType(fields)
 
 
 def _make_block_fn(k: int, metric: str, per_label: bool, exclude_self: bool,
-                   with_diff: bool, with_qlabel: bool, keys):
+                   with_qlabel: bool, keys):
     cols = (list(keys) + ["qid"] + (["qlabel"] if with_qlabel else [])
-            + ["cid", "clabel", "dist"] + (["diff"] if with_diff else []))
+            + ["cid", "clabel", "dist"])
 
     def solve(Q, q, qi, C, c_, ci, rngs, keyvals) -> dict:
         """Local top-k of one domain's query block against one candidate block."""
@@ -122,11 +115,6 @@ def _make_block_fn(k: int, metric: str, per_label: bool, exclude_self: bool,
         out.update({"qid": qid[r], "cid": cid[c], "clabel": clabel[c], "dist": D[r, c]})
         if with_qlabel:
             out["qlabel"] = q["qlabel"][qi][r]
-        if with_diff:
-            diff = np.abs(Q[r] - C[c])
-            rr = np.asarray(rng, dtype=np.float64)
-            diff = np.where(rr > 0, diff / np.where(rr > 0, rr, 1.0), 0.0)
-            out["diff"] = list(diff)
         return out
 
     def split(pdf: pd.DataFrame) -> dict:
@@ -157,8 +145,7 @@ def _make_block_fn(k: int, metric: str, per_label: bool, exclude_self: bool,
                 parts.append(solve(qvec[qi], q, qi, cvec[ci], c, ci, rngs, kv))
         if not parts:
             return pd.DataFrame({c: [] for c in cols})
-        res = pd.DataFrame({name: (list(chain.from_iterable(p[name] for p in parts)) if name == "diff" else
-                                   np.concatenate([p[name] for p in parts])) for name in cols})
+        res = pd.DataFrame({name: np.concatenate([p[name] for p in parts]) for name in cols})
         res["clabel"] = res["clabel"].astype("Int64")
         if with_qlabel:
             res["qlabel"] = res["qlabel"].astype("Int64")
@@ -169,13 +156,13 @@ def _make_block_fn(k: int, metric: str, per_label: bool, exclude_self: bool,
 
 def blocked_top_k(queries: DataFrame, cands: DataFrame, k: int, *,
                   metric: str = "euclidean", per_label: bool = False,
-                  exclude_self: bool = True, with_diff: bool = False,
+                  exclude_self: bool = True,
                   block_rows: int = DEFAULT_BLOCK_ROWS, keys=("grp",)) -> DataFrame:
     """Top-``k`` candidates per query inside each search domain.
 
     ``queries``: ``keys..., qid, qvec`` (+ ``qlabel``; + ``rng`` array for
     ``metric="relief"``).  ``cands``: ``keys..., cid, cvec`` (+ ``clabel`` for
-    ``per_label``).  Returns ``keys..., qid[, qlabel], cid, clabel, dist[, diff],
+    ``per_label``).  Returns ``keys..., qid[, qlabel], cid, clabel, dist,
     rank`` with ``rank`` 1..k per ``(keys, qid)`` (per ``(keys, qid, clabel)``
     when ``per_label``), ordered by ``(dist, cid)``.  ``keys`` (default
     ``grp``) define a search domain.
@@ -218,10 +205,10 @@ def blocked_top_k(queries: DataFrame, cands: DataFrame, k: int, *,
     q = q.select(*[F.col(x).alias(x) for x in q.columns])
     c = c.select(*[F.col(x).alias(x) for x in c.columns])
     with_qlabel = "qlabel" in queries.columns
-    fn = _make_block_fn(k, metric, per_label, exclude_self, with_diff, with_qlabel, keys)
+    fn = _make_block_fn(k, metric, per_label, exclude_self, with_qlabel, keys)
     task = ["_big", "_task", "qb", "cb"]
     local = (q.groupBy(*task).cogroup(c.groupBy(*task))
-             .applyInPandas(fn, _block_result_schema(with_diff, with_qlabel, keys)))
+             .applyInPandas(fn, _block_result_schema(with_qlabel, keys)))
     part = keys + ["qid"] + (["clabel"] if per_label else [])
     w = Window.partitionBy(*part).orderBy("dist", "cid")
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -237,186 +224,3 @@ def knn_exact(df: DataFrame, k: int, block_rows: int = DEFAULT_BLOCK_ROWS) -> Da
     top = blocked_top_k(q, c, k, block_rows=block_rows)
     return top.select(F.col("qid").alias("id"), F.col("cid").alias("nbr"), "grp", "rank",
                       "dist", (F.lit(1.0) / (F.lit(1.0) + F.col("dist"))).alias("sim"))
-
-
-# ---------------------------------------------------------------------------
-# NN-Descent
-# ---------------------------------------------------------------------------
-
-#: Rows that one random-projection bucket holds on average (sets the code length).
-CODE_ROWS = 512
-#: Rows per slot that padding draws from.
-PAD_ROWS = 64
-
-
-def _with_rank(edges: DataFrame, k: int) -> DataFrame:
-    """Best ``k`` per id by ``(dist, nbr)``; ``row_number <= k`` is planned with
-    a map-side group limit, so a popular id is pre-trimmed before the shuffle."""
-    w = Window.partitionBy("id").orderBy("dist", "nbr")
-    return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _finish(edges: DataFrame) -> DataFrame:
-    return edges.select("id", "nbr", "grp", "rank", "dist",
-                        (F.lit(1.0) / (F.lit(1.0) + F.col("dist"))).alias("sim"))
-
-
-def _group_means(rows: DataFrame) -> DataFrame:
-    """``(grp, centre)``: element-wise mean per group, one JVM vector aggregate."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
-    m = rows.groupBy("grp").agg(Summarizer.mean(array_to_vector("features")).alias("_m"))
-    return m.select("grp", vector_to_array("_m").alias("centre"))
-
-
-def _lsh_buckets(rows: DataFrame, tables: int, seed: int) -> DataFrame:
-    """Random-hyperplane codes around each group's mean, ``tables`` codes per
-    row: ``(grp, tbl, bkt, id, features)``; ``nbits`` per row sets the code length."""
-    schema = T.StructType([T.StructField("grp", T.LongType()), T.StructField("tbl", T.LongType()),
-                           T.StructField("bkt", T.LongType()),
-                           T.StructField("id", T.LongType()),
-                           T.StructField("features", T.ArrayType(T.DoubleType()))])
-
-    def fn(batches):
-        planes = {}
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            X = _stack(pdf["features"]) - _stack(pdf["centre"])
-            nbits = pdf["nbits"].to_numpy(np.int64)
-            d, most = X.shape[1], int(nbits.max())
-            for t in range(tables):
-                code = np.zeros(len(X), np.int64)
-                for b in range(most):           # at most log2(rows / CODE_ROWS) planes
-                    if (t, b, d) not in planes:
-                        planes[(t, b, d)] = np.random.default_rng([seed, t, b, d]).standard_normal(d)
-                    code |= (((X @ planes[(t, b, d)]) > 0) & (b < nbits)).astype(np.int64) << b
-                yield pd.DataFrame({"grp": pdf["grp"].to_numpy(np.int64),
-                                    "tbl": np.full(len(X), t, np.int64), "bkt": code,
-                                    "id": pdf["id"].to_numpy(np.int64),
-                                    "features": pdf["features"]})
-
-    return rows.mapInPandas(fn, schema)
-
-
-def knn_descent(df: DataFrame, k: int, max_iter: int = 5, early_termination: float = 0.001,
-                sample_rate: float = 1.0, buckets: int = 2, seed: int = 0,
-                block_rows: int = DEFAULT_BLOCK_ROWS, pool: int | None = None,
-                code_rows: int = CODE_ROWS) -> DataFrame:
-    """G1 (approximate): NN-Descent graph ``(id, nbr, grp, rank, dist, sim)``, the same
-    method for groups of every size.
-
-    1. ``buckets`` random-projection tables whose buckets hold ``code_rows`` rows on
-       average; rows sharing a bucket are scored with :func:`blocked_top_k` (a
-       crowded bucket is just more blocks).  Rows short of neighbours get random
-       ones of their group (padding).
-    2. Up to ``max_iter`` rounds: every vertex's neighbours, reverse neighbours
-       and itself form its local set (members kept with probability
-       ``sample_rate``); the blocked top-k inside each local set proposes new
-       neighbours; the best ``pool`` per row are kept.  An entry is new in the round
-       after it came in; only local sets with a new entry are scored again, so
-       later rounds are cheaper.  Stops once fewer than ``early_termination * k *
-       n`` entries are new.
-
-    The rounds keep ``pool`` (default ``4k``) neighbours per row and the best
-    ``k`` of them are returned: a longer working list is what lets NN-Descent
-    escape poor local graphs in high intrinsic dimension.  ``block_rows`` only
-    sizes tasks; it never changes the result.
-    """
-    kk = k
-    k = max(kk, pool if pool is not None else 4 * kk)
-    from ..session import bucket_count, cut_lineage, discard, write_bucketed, write_table
-
-    rows = (df.where(~F.col("finished")) if "finished" in df.columns else df) \
-        .select("grp", "id", "features")
-    sizes = bounded(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("_n")))
-    total = sizes.agg(F.count(F.lit(1)).alias("g"), F.sum("_n").alias("n")).first()
-    if not total["n"]:
-        return _finish(rows.select("grp", "id", F.col("id").alias("nbr"), F.lit(0).alias("rank"), F.lit(0.0).alias("dist")))
-    n_rows = total["n"]
-    nbits = sizes.select("grp", F.greatest(F.lit(0), F.ceil(F.log2(F.col("_n") / F.lit(code_rows))))
-                         .cast("bigint").alias("nbits"))
-    dim = rows.select(F.size("features")).first()[0]
-    coded_in = join_small(rows.join(small_hint(nbits, total["g"]), "grp"), _group_means(rows), "grp", "inner",
-                          row_cells=dim)
-    coded = _lsh_buckets(coded_in, buckets, seed)
-    key = ["grp", "tbl", "bkt"]
-    q = coded.select(*key, F.col("id").alias("qid"), F.col("features").alias("qvec"))
-    c = coded.select(*key, F.col("id").alias("cid"), F.col("features").alias("cvec"))
-    init = blocked_top_k(q, c, k, keys=tuple(key), block_rows=block_rows)
-    g = init.groupBy("grp", F.col("qid").alias("id"), F.col("cid").alias("nbr")).agg(F.min("dist").alias("dist"))
-    # a group that is one bucket has had all its pairs compared: nothing new there
-    open_ = small_hint(nbits.select("grp", (F.col("nbits") > 0).alias("new")), total["g"])
-    g = write_table(_with_rank(g, k).drop("rank").join(open_, "grp").select("grp", "id", "nbr", "dist", "new"), "graph")
-    # written once, bucketed on the membership key: every round's join of
-    # (v, u) memberships to their vectors shuffles only the memberships
-    nbk = bucket_count(df.sparkSession, n_rows)
-    feats = rows.select(F.col("id").alias("u"), F.col("features").alias("vec"))
-    feats = (write_bucketed(feats.repartition(nbk, "u"), "u", nbk, "features")
-             if nbk > 1 else write_table(feats, "features"))
-    padded = _padding(rows, sizes, total["g"], g, kk, seed).join(feats, "u").withColumnRenamed("vec", "uvec")
-    padded = padded.join(feats.select(F.col("u").alias("id"), "vec"), "id").select(
-        "grp", "id", F.col("u").alias("nbr"),
-        F.sqrt(F.aggregate(F.zip_with("vec", "uvec", lambda x, y: (x - y) * (x - y)), F.lit(0.0),
-                           lambda z, x: z + x)).alias("dist"), F.lit(True).alias("new"))
-    g = write_table(g.unionByName(padded), "graph")
-    for rnd in range(max_iter if g.where("new").limit(1).count() else 0):
-        both = (g.select("grp", F.col("id").alias("v"), F.col("nbr").alias("u"), "new")
-                .unionByName(g.select("grp", F.col("nbr").alias("v"), F.col("id").alias("u"), "new")))
-        if sample_rate < 1.0:
-            both = both.where(F.pmod(F.xxhash64("v", "u", F.lit(seed), F.lit(rnd)), F.lit(1_000_000))
-                              < F.lit(int(sample_rate * 1_000_000)))
-        mem = both.groupBy("grp", "v", "u").agg(F.max("new").alias("new"))
-        fresh = mem.where("new").select("v").distinct()       # local sets with a new member
-        mem = mem.join(fresh, "v", "left_semi").select("grp", "v", "u")
-        mem = mem.unionByName(mem.select("grp", "v", F.col("v").alias("u")).distinct()).join(feats, "u")
-        mem = write_table(mem, "members")
-        lq = mem.select("grp", "v", F.col("u").alias("qid"), F.col("vec").alias("qvec"))
-        lc = mem.select("grp", "v", F.col("u").alias("cid"), F.col("vec").alias("cvec"))
-        local = blocked_top_k(lq, lc, k, keys=("grp", "v"), block_rows=block_rows)
-        cand = g.select("grp", "id", "nbr", "dist", F.lit(1).alias("old")).unionByName(
-            local.select("grp", F.col("qid").alias("id"), F.col("cid").alias("nbr"), "dist", F.lit(0).alias("old")))
-        cand = cand.groupBy("grp", "id", "nbr").agg(F.min("dist").alias("dist"), F.max("old").alias("old"))
-        nxt = write_table(_with_rank(cand, k).select("grp", "id", "nbr", "dist", (F.col("old") == 0).alias("new")), "graph")
-        discard(mem)
-        discard(g)
-        g = nxt
-        if g.where("new").count() <= early_termination * k * n_rows:
-            break
-    return _finish(_with_rank(g.select("grp", "id", "nbr", "dist"), kk))
-
-
-def _padding(rows: DataFrame, sizes: DataFrame, n_groups: int, g: DataFrame, k: int, seed: int) -> DataFrame:
-    """``(grp, id, u)``: for rows with fewer than ``min(k, group - 1)`` neighbours, as
-    many random rows of their group as are missing.
-
-    The rows of a group are dealt to about ``n / PAD_ROWS`` slots by hash; a short row
-    looks at the ``k + 1`` first rows of a random slot and of the next ones until it
-    has enough, so no group is ever gathered or multiplied out."""
-    have = g.groupBy("id").agg(F.count(F.lit(1)).alias("_h"), F.collect_set("nbr").alias("_has"))
-    need = F.least(F.lit(k), F.col("_n") - 1)
-    base = rows.select("grp", "id").join(small_hint(sizes, n_groups), "grp")
-    short = (base.join(have, "id", "left").withColumn("_h", F.coalesce("_h", F.lit(0)))
-             .where(F.col("_h") < need).withColumn("_has", F.coalesce("_has", F.array().cast("array<bigint>"))))
-    slots = F.ceil(F.col("_n") / F.lit(PAD_ROWS)).cast("bigint")
-    slot = base.select("grp", F.col("id").alias("u"), F.pmod(F.xxhash64("id", F.lit(seed)), slots).alias("slot"))
-    first = (slot.withColumn("_r", F.row_number().over(Window.partitionBy("grp", "slot").orderBy("u")))
-             .where(F.col("_r") <= 2 * k + 1).drop("_r"))
-    looks = short.select("grp", "id", "_has", (need - F.col("_h")).alias("_need"), F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(0), F.lit(k)), lambda i: F.pmod(F.xxhash64("id", F.lit(seed + 1)) + i, slots)))).alias("slot"))
-    met = looks.join(first, ["grp", "slot"]).where((F.col("u") != F.col("id")) & ~F.array_contains("_has", F.col("u")))
-    pick = Window.partitionBy("id").orderBy(F.xxhash64("id", "u", F.lit(seed)), "u")
-    return (met.withColumn("_r", F.row_number().over(pick)).where(F.col("_r") <= F.col("_need"))
-            .select("grp", "id", "u"))
-
-
-def knn_lsh(df: DataFrame, k: int, buckets: int = 8, seed: int = 0,
-            block_rows: int = DEFAULT_BLOCK_ROWS, code_rows: int = CODE_ROWS) -> DataFrame:
-    """G1 (random-projection LSH): the best ``k`` per row among the rows that
-    share one of its ``buckets`` random-hyperplane buckets of ``code_rows`` rows on
-    average (exact inside each bucket, crowded buckets split into blocks), padded
-    as in NN-Descent.  This is NN-Descent's seeding stage without rounds; its
-    recall grows with ``buckets`` and ``code_rows``, never with ``block_rows``."""
-    return knn_descent(df, k, max_iter=0, buckets=buckets, seed=seed, block_rows=block_rows, pool=k,
-                       code_rows=code_rows)

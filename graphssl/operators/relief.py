@@ -8,8 +8,8 @@ The reference collects every labelled row to the driver and loops there.  Here:
   salted two-phase top-m (no window ever spans a whole hot group).
 * R7/R8 hits and misses: :func:`graphssl.operators.knn.blocked_top_k` with the
   range-normalised Manhattan distance, top-k per (probe, class).
-* R9 accumulation: one signed coefficient per selected neighbour, then one vector
-  sum of the scaled differences per group.
+* R9 accumulation: one signed coefficient per winner; the winners meet their two
+  vectors again, and one vector sum of the scaled differences per group follows.
 * R10 scaling/bias and R12 application: per-group tables joined back with a
   size-checked broadcast.
 
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import multiply, ones
+from ..session import write_table
 from .knn import DEFAULT_BLOCK_ROWS, blocked_top_k
 from .sizing import join_small
 
@@ -113,7 +114,7 @@ def relief_neighbours(lab: DataFrame, probes: DataFrame, rng: DataFrame, k: int,
                       block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """R7 + R8: for every probe the ``k`` nearest labelled rows of each class
     (its own class = hits, the probe itself excluded by id; other classes =
-    misses).  ``(grp, qid, qlabel, cid, clabel, dist, diff, rank)``."""
+    misses).  ``(grp, qid, qlabel, cid, clabel, dist, rank)``: ids and distances only."""
     dim = lab.select(F.size("features")).first()
     q = join_small(probes.select("grp", F.col("id").alias("qid"),
                                  F.col("label").alias("qlabel"),
@@ -122,12 +123,16 @@ def relief_neighbours(lab: DataFrame, probes: DataFrame, rng: DataFrame, k: int,
     c = lab.select("grp", F.col("id").alias("cid"), F.col("label").alias("clabel"),
                    F.col("features").alias("cvec"))
     return blocked_top_k(q, c, k, metric="relief", per_label=True, exclude_self=True,
-                         with_diff=True, block_rows=block_rows)
+                         block_rows=block_rows)
 
 
-def raw_weights(nbrs: DataFrame, probes: DataFrame, priors: DataFrame) -> DataFrame:
+def raw_weights(nbrs: DataFrame, probes: DataFrame, lab: DataFrame, priors: DataFrame, rng: DataFrame) -> DataFrame:
     """``(grp, pos, w)`` before scaling.
 
+    Only here the winners of R7 and R8 meet their vectors again: one join for the
+    probe's, one for the neighbour's.  The differences are summed per group and
+    divided by the ranges after that.
+
     Per probe ``p`` of class ``c``: every hit adds ``-diff / (m * #hits)``,
     every miss of class ``C`` adds ``P(C) / (1 - P(c)) * diff / (m * avg)`` with
     ``avg = floor(#misses / (#classes - 1))`` (no term when it is 0);
@@ -150,11 +155,19 @@ def raw_weights(nbrs: DataFrame, probes: DataFrame, priors: DataFrame) -> DataFr
     coef = F.when(F.col("_hit"), F.lit(-1.0) / (F.col("m_eff") * F.col("n_hits"))).otherwise(
         F.when(avg > 0, F.col("p_c") / (F.lit(1.0) - F.col("p_q"))
                / (F.col("m_eff") * avg)).otherwise(F.lit(0.0)))
+    x = (x.select("grp", "qid", "cid", coef.alias("coef")).where("coef != 0")
+         .join(probes.select(F.col("id").alias("qid"), F.col("features").alias("_q")), "qid")
+         .join(lab.select(F.col("id").alias("cid"), F.col("features").alias("_c")), "cid"))
     # One vector sum per group: the rows are never exploded by feature.
-    x = x.select("grp", coef.alias("coef"), "diff")
-    scaled = array_to_vector(F.transform("diff", lambda d: d * F.col("coef")))
+    scaled = array_to_vector(F.zip_with("_q", "_c", lambda a, b: F.abs(a - b) * F.col("coef")))
     per = x.groupBy("grp").agg(vector_to_array(Summarizer.metrics("sum").summary(scaled)["sum"]).alias("_w"))
-    return per.select("grp", F.posexplode("_w").alias("pos", "w"))
+    dim = lab.select(F.size("features")).first()
+    per = join_small(per, rng, "grp", "inner", row_cells=dim[0] if dim else 1)
+    per = per.select("grp", F.zip_with("_w", "rng", lambda w, r: F.when(r > 0, w / r).otherwise(F.lit(0.0))).alias("_w"))
+    # a group whose terms all vanish (no other class is near) keeps a weight per feature
+    none = per_grp.join(per, "grp", "left_anti").join(rng, "grp").select(
+        "grp", F.transform("rng", lambda r: F.lit(0.0)).alias("_w"))
+    return per.unionByName(none).select("grp", F.posexplode("_w").alias("pos", "w"))
 
 
 def scale_weights(raw: DataFrame, bias: float = RELIEF_BIAS) -> DataFrame:
@@ -176,7 +189,7 @@ def relief_weights(df: DataFrame, m: int | None = None, k: int = 3, seed: int =
     The labelled rows (a small share of the state) and the per-class priors
     are persisted for the duration of the computation, so the size checks and
     the several consumers do not re-read the whole state; the result (one row
-    per group and feature) is materialised before they are released.
+    per group and feature) is written before they are released.
     """
     lab = labelled_rows(df).persist()
     priors = class_priors(lab).persist()
@@ -184,8 +197,7 @@ def relief_weights(df: DataFrame, m: int | None = None, k: int = 3, seed: int =
         probes = sample_probes(lab, m, seed)
         rng = range_vectors(feature_ranges(lab))
         nbrs = relief_neighbours(lab, probes, rng, k, block_rows)
-        out = scale_weights(raw_weights(nbrs, probes, priors), bias).persist()
-        out.count()
+        out = write_table(scale_weights(raw_weights(nbrs, probes, lab, priors, rng), bias), "weights")
     finally:
         priors.unpersist()
         lab.unpersist()

@@ -25,7 +25,8 @@ from ..operators import metrics as M
 from ..operators import purity as P
 from ..operators import relief as R
 from ..operators.bisect import bisect_distributed, build_graph, divide_groups, score_groups
-from ..operators.knn import knn_descent, knn_exact, knn_lsh
+from ..operators.descent import knn_descent, knn_lsh
+from ..operators.knn import knn_exact
 from ..session import ensure_checkpoint_dir, write_table
 from ..sources.loaders import load_embeddings, load_emnist, mask_labels, read_graph, write_predictions
 from .classifier import Params, classify
@@ -40,6 +41,7 @@ FINE_K = 3
 STEPS = 3          # bisect_3_steps checks single steps; the loop itself is bisect_converged
 STABLE = 2         # stable steps that freeze a group, so groups freeze at different steps
 SAMPLE_M, SAMPLE_SEED = 10, 7
+RECALL_BOUND = 0.95  # fixed value: the reference's bound on shared neighbours
 
 
 def r6(col) -> "F.Column":
@@ -178,7 +180,8 @@ def q_knn_exact(spark, sf):
 
 
 def q_knn_descent(spark, sf):
-    g = knn_descent(base(spark, sf), K)
+    """NN-Descent over the whole table as one group."""
+    g = knn_descent(base(spark, sf, 1), K)
     return g.select("id", "nbr", "grp", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -192,6 +195,15 @@ def q_neighbour_recall(spark, sf):
     return M.neighbour_recall(knn_descent(b, K), knn_exact(b, K))
 
 
+def q_descent_recall_bound(spark, sf):
+    """M4 on the approximate graph of the whole table as one group: above the reference's bound, full lists."""
+    b = base(spark, sf, 1)
+    g = write_table(knn_descent(b, K), "descent")
+    per = g.groupBy("id").agg(F.count_distinct("nbr").alias("n")).agg(F.sum((F.col("n") == K).cast("bigint")).alias("n_full"))
+    return M.neighbour_recall(g, knn_exact(b, K)).crossJoin(per).select(
+        "n_rows", "n_full", (F.col("recall") > RECALL_BOUND).alias("above_bound"))
+
+
 def q_neighbour_recall_coarse(spark, sf):
     """Neighbours inside small groups that are among the nearest of the large group."""
     slim = knn_exact(base(spark, sf, FINE_GROUPS), K)
@@ -420,6 +432,7 @@ QUERIES = {
     "knn_descent": q_knn_descent,
     "knn_lsh": q_knn_lsh,
     "neighbour_recall": q_neighbour_recall,
+    "descent_recall_bound": q_descent_recall_bound,
     "edges_symmetric": q_edges_symmetric,
     "seed_signs": q_seed_signs,
     "initial_scores": q_initial_scores,

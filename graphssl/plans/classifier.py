@@ -15,7 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from ..operators.bisect import DEFAULT_LOCAL_GROUP_ROWS, divide_groups
-from ..operators.knn import DEFAULT_BLOCK_ROWS, knn_descent, knn_exact
+from ..operators.descent import knn_descent
+from ..operators.knn import DEFAULT_BLOCK_ROWS, knn_exact
 from ..operators.labels import assign_labels, class_weights
 from ..operators.purity import compute_finished, init_state, is_finished
 from ..operators.relief import weight_features
@@ -39,7 +40,7 @@ class Params:
     graph_early_termination: float = 0.001
     graph_sample_rate: float = 1.0
     graph_buckets: int = 2
-    graph_pool: int | None = None   # NN-Descent working list (default 4k)
+    graph_pool: int | None = None   # NN-Descent working list (default 5k)
     seed: int = 0
     block_rows: int = DEFAULT_BLOCK_ROWS
     local_group_rows: int = DEFAULT_LOCAL_GROUP_ROWS

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fixture_paths import IRIS, SF
-from graphssl.operators.knn import knn_descent, knn_exact
+from graphssl.operators.descent import knn_descent, knn_lsh
+from graphssl.operators.knn import knn_exact
 from graphssl.operators.metrics import neighbour_recall
 from graphssl.sources.loaders import load_embeddings, load_iris
 
@@ -63,7 +64,6 @@ def test_descent_every_row_has_k(iris_state):
 def test_lsh_graph_has_k_per_row(spark):
     df = load_embeddings(spark, SF).withColumn("grp", F.pmod("id", F.lit(2))) \
         .withColumn("finished", F.lit(False))
-    from graphssl.operators.knn import knn_lsh
     g = knn_lsh(df, 4, code_rows=32)
     counts = {r["count"] for r in g.groupBy("id").count().collect()}
     assert counts == {4}
@@ -82,3 +82,34 @@ def test_packed_small_groups_match_brute_force(spark):
     exp = _brute(df.toPandas(), 3)
     got = {i: list(s.sort_values("rank").nbr) for i, s in g.groupby("id")}
     assert got == exp
+
+
+def test_descent_rounds_run_and_move_less(spark):
+    """One group of all rows: rounds run, each later one scores fewer pairs, none twice."""
+    df = load_embeddings(spark, "/root/testdata/sf0.01").withColumn("grp", F.lit(0).cast("bigint")).withColumn("finished", F.lit(False))
+    log = []
+    g = knn_descent(df, 5, pool=10, max_iter=8, log=log)
+    assert {r["count"] for r in g.groupBy("id").count().collect()} == {5}
+    n = df.count()
+    scored = [r["scored"] for r in log]
+    assert len(log) > 2 and scored[-1] < max(scored) / 4 and sum(scored) <= n * (n - 1) // 2
+
+
+def test_descent_starts_from_an_earlier_graph(spark):
+    df = load_embeddings(spark, SF).withColumn("grp", F.pmod("id", F.lit(2))).withColumn("finished", F.lit(False))
+    exact = knn_exact(df.withColumn("grp", F.lit(0).cast("bigint")), 30)
+    first, warm = [], []
+    knn_descent(df, 4, pool=8, buckets=1, log=first)
+    g = knn_descent(df, 4, pool=8, buckets=0, start=exact.select("id", "nbr"), log=warm)
+    assert neighbour_recall(g, knn_exact(df, 4)).first().recall > 0.95
+    assert sum(r["came"] for r in warm) < sum(r["came"] for r in first)
+    j = g.join(df.select(F.col("id").alias("nbr"), F.col("grp").alias("ngrp")), "nbr")
+    assert j.where("grp != ngrp").count() == 0
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    rows = [(i, 0, [float(i % 2), 0.0], False) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, grp long, features array<double>, finished boolean")
+    for g in (knn_exact(df, 3, block_rows=9), knn_exact(df, 3), knn_descent(df, 3, pool=39)):
+        got = g.groupBy("id").agg(F.sort_array(F.collect_list("nbr")).alias("n")).collect()
+        assert all(r["n"] == [x for x in range(40) if x % 2 == r["id"] % 2 and x != r["id"]][:3] for r in got)

@@ -2,7 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from fixture_paths import IRIS
+from fixture_paths import IRIS, SF
 from graphssl.operators.relief import (apply_weights, labelled_rows, relief_weights, sample_key,
                                        sample_probes, weight_vectors)
 from graphssl.sources.loaders import from_rows, load_iris
@@ -84,3 +84,17 @@ def test_salted_sampling_equals_plain_top_m(spark, iris_all_labelled, monkeypatc
     exp = sorted((r.grp, r.id) for r in
                  lab.withColumn("_r", F.row_number().over(w)).where("_r <= 7").collect())
     assert got == exp and len(got) == 21
+
+
+def test_windows_hold_no_vectors(spark):
+    """Ranking and counting run over ids and distances; vectors come back for the winners only."""
+    from graphssl.plans.catalog import base
+    from graphssl.operators import relief as R
+    lab = R.labelled_rows(base(spark, SF))
+    rng = R.range_vectors(R.feature_ranges(lab))
+    n = R.relief_neighbours(lab, lab, rng, 3)
+    assert not [f.name for f in n.schema if f.dataType.typeName() == "array"]
+    plan = R.raw_weights(n, lab, lab, R.class_priors(lab), rng)._jdf.queryExecution().optimizedPlan().toString()
+    for line in plan.splitlines():
+        if "Window " in line:
+            assert "features" not in line and "vec" not in line
