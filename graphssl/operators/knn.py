@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sizing import bounded
+from ..session import write_table
+from .sizing import bounded, small_hint
 
 DEFAULT_BLOCK_ROWS = 1024
 # float64 cells one distance chunk may hold (rows x candidates x features)
@@ -214,13 +215,33 @@ def blocked_top_k(queries: DataFrame, cands: DataFrame, k: int, *,
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def knn_exact(df: DataFrame, k: int, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+def knn_exact(df: DataFrame, k: int, block_rows: int = DEFAULT_BLOCK_ROWS, log: dict | None = None) -> DataFrame:
     """G1 (exact): ``(id, nbr, grp, rank, dist, sim)`` -- the ``k`` nearest other rows
     of the same group (Euclidean; ties to the smaller id) for every unfinished
-    row.  ``sim = 1 / (1 + dist)``."""
-    rows = df.where(~F.col("finished")) if "finished" in df.columns else df
-    q = rows.select("grp", F.col("id").alias("qid"), F.col("features").alias("qvec"))
-    c = rows.select("grp", F.col("id").alias("cid"), F.col("features").alias("cvec"))
-    top = blocked_top_k(q, c, k, block_rows=block_rows)
+    row.  ``sim = 1 / (1 + dist)``.
+
+    Groups of one block are packed into tasks; groups of more go through
+    :func:`graphssl.operators.pivots.pivot_top_k`, which lists the block pairs that can hold
+    neighbours (reported in ``log``) and scores each once for both directions."""
+    from .pivots import pivot_top_k
+
+    rows = (df.where(~F.col("finished")) if "finished" in df.columns else df).select("grp", "id", "features")
+    sizes = write_table(rows.groupBy("grp").agg((F.count(F.lit(1)) > block_rows).alias("_big")), "sizes")
+    kinds = sizes.groupBy("_big").agg(F.count(F.lit(1)).alias("n")).collect()        # two rows at most
+    n_groups = sum(r["n"] for r in kinds)
+    parts = []
+    for big in sorted(r["_big"] for r in kinds):
+        own = rows if len(kinds) == 1 else rows.join(
+            small_hint(sizes.where(F.col("_big") == big).select("grp"), n_groups), "grp")
+        if big:
+            parts.append(pivot_top_k(own, k, block_rows, log))
+        else:
+            parts.append(blocked_top_k(own.select("grp", F.col("id").alias("qid"), F.col("features").alias("qvec")),
+                                       own.select("grp", F.col("id").alias("cid"), F.col("features").alias("cvec")),
+                                       k, block_rows=block_rows).select("grp", "qid", "cid", "dist", "rank"))
+    if not parts:
+        return rows.select("id", F.col("id").alias("nbr"), "grp", F.lit(0).alias("rank"), F.lit(0.0).alias("dist"),
+                           F.lit(1.0).alias("sim")).where("false")
+    top = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return top.select(F.col("qid").alias("id"), F.col("cid").alias("nbr"), "grp", "rank",
                       "dist", (F.lit(1.0) / (F.lit(1.0) + F.col("dist"))).alias("sim"))

@@ -41,6 +41,7 @@ FINE_K = 3
 STEPS = 3          # bisect_3_steps checks single steps; the loop itself is bisect_converged
 STABLE = 2         # stable steps that freeze a group, so groups freeze at different steps
 SAMPLE_M, SAMPLE_SEED = 10, 7
+PIVOT_ROWS = 64    # rows per cell
 RECALL_BOUND = 0.95  # fixed value: the reference's bound on shared neighbours
 
 
@@ -179,6 +180,12 @@ def q_knn_exact(spark, sf):
                                   r6("dist").alias("dist"), r6("sim").alias("sim"))
 
 
+def q_knn_exact_pruned(spark, sf):
+    """The whole table as one group of many cells, so that the pivots' bounds decide what is scored."""
+    return knn_exact(base(spark, sf, 1), K, block_rows=PIVOT_ROWS).select(
+        "id", "nbr", F.col("rank").cast("bigint").alias("rank"), r6("dist").alias("dist"))
+
+
 def q_knn_descent(spark, sf):
     """NN-Descent over the whole table as one group."""
     g = knn_descent(base(spark, sf, 1), K)
@@ -429,6 +436,7 @@ QUERIES = {
     "apply_weights": q_apply_weights,
     "relief_sample": q_relief_sample,
     "knn_exact": q_knn_exact,
+    "knn_exact_pruned": q_knn_exact_pruned,
     "knn_descent": q_knn_descent,
     "knn_lsh": q_knn_lsh,
     "neighbour_recall": q_neighbour_recall,

@@ -264,6 +264,10 @@ slim AS (SELECT id, nbr FROM kp WHERE near QUALIFY row_number() OVER (PARTITION
 h AS (SELECT slim.id, avg(CASE WHEN wide.id IS NULL THEN 0.0 ELSE 1.0 END) AS share
       FROM slim LEFT JOIN wide ON wide.id = slim.id AND wide.nbr = slim.nbr GROUP BY slim.id)""")
     + f"SELECT count(*) AS n_rows, {_r('avg(share)')} AS recall FROM h",
+    "knn_exact_pruned": _with(_base()) + f"""SELECT a.id, b.id AS nbr,
+  row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.features, b.features), b.id) AS rank,
+  {_r('list_distance(a.features, b.features)')} AS dist
+FROM base a JOIN base b ON a.id <> b.id QUALIFY rank <= {K}""",
     "descent_recall_bound": "SELECT count(*) AS n_rows, count(*) AS n_full, TRUE AS above_bound FROM embeddings",
     "partition_totals": _with(_base()) + "SELECT count(*) AS n FROM base",
     "csv_round_trip": "SELECT CAST(label AS BIGINT) AS correct_label, count(*) AS n, "

@@ -113,3 +113,30 @@ def test_ties_go_to_the_smaller_id(spark):
     for g in (knn_exact(df, 3, block_rows=9), knn_exact(df, 3), knn_descent(df, 3, pool=39)):
         got = g.groupBy("id").agg(F.sort_array(F.collect_list("nbr")).alias("n")).collect()
         assert all(r["n"] == [x for x in range(40) if x % 2 == r["id"] % 2 and x != r["id"]][:3] for r in got)
+
+
+def test_pruned_search_scores_few_block_pairs_on_clusters(spark):
+    """Clustered rows: most block pairs are never scored, and the result is that of all pairs."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 6)) * 40
+    X = np.concatenate([c + rng.normal(size=(60, 6)) for c in centres] + [np.repeat(centres[:1], 30, 0)])   # repeated points too
+    df = spark.createDataFrame([(i, i % 2, X[i].tolist(), False) for i in range(len(X))],
+                               "id long, grp long, features array<double>, finished boolean")
+    log = {}
+    g = knn_exact(df, 4, block_rows=30, log=log).toPandas()
+    got = {i: list(s.sort_values("rank").nbr) for i, s in g.groupby("id")}
+    assert got == _brute(df.toPandas(), 4)
+    assert log["blocks"] > 12 and log["met"] < log["pairs"] / 2
+
+
+def test_pruned_and_packed_groups_together(spark):
+    df = load_embeddings(spark, SF).withColumn("grp", F.when(F.col("id") % 9 == 0, 1).otherwise(0).cast("long")) \
+        .withColumn("finished", F.lit(False))
+    g = knn_exact(df, 3, block_rows=40).toPandas()
+    got = {i: list(s.sort_values("rank").nbr) for i, s in g.groupby("id")}
+    assert got == _brute(df.toPandas(), 3)
+
+
+def test_exact_of_nothing(spark):
+    df = load_embeddings(spark, SF).withColumn("grp", F.lit(0).cast("long")).withColumn("finished", F.lit(True))
+    assert knn_exact(df, 3).collect() == [] and knn_descent(df, 3).collect() == []
