@@ -134,11 +134,14 @@ def bisect_distributed(v: DataFrame, e: DataFrame, n_groups: int, max_steps: int
                        buckets: int | None = None) -> DataFrame:
     """B7-B9 in lock-step over all groups: ``(id, grp, m, steps)``.
 
-    One vertex table is written per step: scores, old and new Laplacian values
-    after the message pass.  The uncentred score is linear in ``m`` and ``l_new``
-    with one pair of factors per group, so its means per (group, labelled) follow
-    from the sums of ``m``, ``l_new``, ``m^2`` and ``m l`` -- one aggregate -- and the
-    centred score and its sign test are column expressions over the written table.
+    A step writes one vertex table (scores, Laplacian values before and after the
+    message pass, and whether the step before changed the sign) and one table of a
+    few rows per group.  The uncentred score is linear in ``m`` and ``l_new`` with one pair
+    of factors per group, so its means per (group, labelled) follow from the sums
+    of ``m``, ``l_new``, ``m^2`` and ``m l``; the centred score is a column expression that
+    the next step reads.  The convergence test lags by a step: the sign changes of step
+    ``t`` are summed in the aggregate of step ``t + 1``, so vertices are aggregated once a step.  By then the
+    table holds the scores of step ``t``, so a group that proves stable loses nothing.
 
     A group's counter (B8) counts its own steps.  A group with ``max_stable``
     consecutive steps of a sign-change ratio of at most ``tol`` is moved to the
@@ -160,52 +163,45 @@ def bisect_distributed(v: DataFrame, e: DataFrame, n_groups: int, max_steps: int
 
         def keep(frame):
             return write_table(frame, "step")
-    written = keep(v.select("id", "grp", "lab", "m", F.col("l").cast("double").alias("l")))
-    v = written
-    groups = write_table(v.select("grp").distinct().select(
-        "grp", F.lit(0).cast("bigint").alias("stable"), F.lit(0).cast("bigint").alias("steps")), "groups")
-    done, steps, factors = [], 0, None
-    while steps < max_steps:
-        steps += 1
-        j = keep(v.join(_messages(v, e, e_hub, hubs), "id", "left").select(
-            "id", "grp", "lab", "m", "l", F.coalesce(F.col("m") - F.col("_s"), F.col("l")).alias("l_new")))
-        discard(written)
-        if factors is not None:
-            discard(factors)
-        written = j
+    v = v.select("id", "grp", "lab", "m", F.col("l").cast("double").alias("l"), F.lit(False).alias("changed"))
+    done, steps, written, state = [], 0, None, None
+    while True:
+        if steps < max_steps:
+            j = v.join(_messages(v, e, e_hub, hubs), "id", "left").withColumn(
+                "l_new", F.coalesce(F.col("m") - F.col("_s"), F.col("l"))).drop("_s")
+        else:
+            j = v.withColumn("l_new", F.col("l"))
+        j = keep(j)
         sums = j.groupBy("grp", "lab").agg(
             F.count(F.lit(1)).alias("n"), F.sum("m").alias("sm"), F.sum("l_new").alias("sl"),
-            F.sum(F.col("m") * F.col("m")).alias("smm"), F.sum(F.col("m") * F.col("l")).alias("sml"))
+            F.sum(F.col("m") * F.col("m")).alias("smm"), F.sum(F.col("m") * F.col("l")).alias("sml"),
+            F.sum(F.col("changed").cast("bigint")).alias("ch"))
         per = Window.partitionBy("grp")                   # two rows a group
         mass = F.sum("smm").over(per)
         m2 = F.when(mass > 0, F.lit(1.0) / mass).otherwise(F.lit(0.0))
         sums = (sums.withColumn("b", F.lit(-2.0) * m2)
-                .withColumn("a", F.lit(1.0) + F.lit(2.0) * m2 * m2 * F.sum("sml").over(per)))
+                .withColumn("a", F.lit(1.0) + F.lit(2.0) * m2 * m2 * F.sum("sml").over(per))
+                .withColumn("ratio", F.sum("ch").over(per) / F.sum("n").over(per)))
         mu = (F.col("a") * F.col("sm") + F.col("b") * F.col("sl")) / F.col("n")
-        factors = write_table(sums.select("grp", "lab", "a", "b", mu.alias("mu")), "factors")
-        new = j.join(small_hint(factors, 2 * n_groups), ["grp", "lab"]).select(
-            "id", "grp", "lab", "m", (F.col("a") * F.col("m") + F.col("b") * F.col("l_new") - F.col("mu")).alias("new_m"),
-            "l_new")
-        ratio = new.groupBy("grp").agg(
-            F.avg((sign("m") != sign("new_m")).cast("double")).alias("ratio"))
-        stable = F.when(F.col("ratio") > tol, F.lit(0).cast("bigint")).otherwise(F.col("stable") + 1)
-        now = write_table(groups.join(small_hint(ratio, n_groups), "grp").select(
-            "grp", stable.alias("stable"), (F.col("steps") + 1).alias("steps")), "groups")
-        discard(groups)
-        v = new.select("id", "grp", "lab", F.col("new_m").alias("m"), F.col("l_new").alias("l"))
-        count = now.agg(F.count(F.lit(1)).alias("n"),
-                        F.sum((F.col("stable") >= max_stable).cast("bigint")).alias("k")).first()
-        if count["k"] == count["n"] or steps == max_steps:
-            done.append(write_table(v.join(small_hint(now.select("grp", "steps"), n_groups), "grp")
-                                    .select("id", "grp", "m", "steps"), "scores"))
-            break
-        groups = now
+        if state is None:
+            stable = F.lit(0).cast("bigint")
+        else:
+            sums = sums.join(state.select("grp", "lab", "stable"), ["grp", "lab"])
+            stable = F.when(F.col("ratio") > tol, F.lit(0).cast("bigint")).otherwise(F.col("stable") + 1)
+        now = write_table(sums.select("grp", "lab", "a", "b", mu.alias("mu"), stable.alias("stable")).withColumn(
+            "done", (F.col("stable") >= max_stable) | F.lit(steps >= max_steps)), "state")
+        for old in (written, state):
+            if old is not None:
+                discard(old)
+        written, state = j, now
+        count = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("done").cast("bigint")).alias("k")).first()
         if count["k"]:
-            ended = small_hint(now.where(F.col("stable") >= max_stable).select("grp", "steps"), n_groups)
-            done.append(write_table(v.join(ended, "grp").select("id", "grp", "m", "steps"), "scores"))
-            groups = now.where(F.col("stable") < max_stable)
-            live = small_hint(groups.select("grp"), n_groups)
-            v, old = v.join(live, "grp"), e
+            ended = small_hint(now.where("done").select("grp").distinct(), n_groups)
+            done.append(write_table(j.join(ended, "grp").select(
+                "id", "grp", "m", F.lit(steps).cast("bigint").alias("steps")), "scores"))
+            if count["k"] == count["n"]:
+                break
+            live, old = small_hint(now.where("not done").select("grp").distinct(), n_groups), e
             left = e.join(live, "grp")
             if nb > 1:
                 e = write_bucketed(left.repartition(nb, "src"), "src", nb, "edges")
@@ -214,6 +210,13 @@ def bisect_distributed(v: DataFrame, e: DataFrame, n_groups: int, max_steps: int
             discard(old)
             if e_hub is not None:
                 e_hub = cut_lineage(e_hub.join(live, "grp"))
+        factors = now.where("not done").select("grp", "lab", "a", "b", "mu")
+        new_m = F.col("a") * F.col("m") + F.col("b") * F.col("l_new") - F.col("mu")
+        v = j.join(small_hint(factors, 2 * n_groups), ["grp", "lab"]).select(
+            "id", "grp", "lab", new_m.alias("m"), F.col("l_new").alias("l"), (sign("m") != sign(new_m)).alias("changed"))
+        steps += 1
+    for old in (written, state, e):
+        discard(old)
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
