@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,25 +105,25 @@ def bisect_local(v: DataFrame, e: DataFrame, max_steps: int = 1000, max_stable:
 
 
 def _split_hubs(e: DataFrame, nb: int):
-    """``(edges of ordinary sources, edges of hub sources, hub ids)``; the last two
-    are None without hubs.  A hub has more than ``HUB_EDGES`` edges, so there are at
+    """``(edges of ordinary sources, edges of hub sources, hub ids, their number)``; the second
+    and third are None without hubs.  A hub has more than ``HUB_EDGES`` edges, so there are at
     most ``#edges / HUB_EDGES`` of them; their edges are never dealt by source."""
-    hubs = cut_lineage(e.groupBy("src").agg(F.count(F.lit(1)).alias("_n"))
-                       .where(F.col("_n") > HUB_EDGES).select("src"))
+    hubs = write_table(e.groupBy("src").agg(F.count(F.lit(1)).alias("_n"))
+                       .where(F.col("_n") > HUB_EDGES).select("src"), "hubs")
     n_hubs = hubs.count()
     if not n_hubs:
-        return e, None, None
+        return e, None, None, 0
     hubs = small_hint(hubs, n_hubs)
     return (e.join(hubs, "src", "left_anti"),
-            cut_lineage(e.join(hubs, "src").repartition(max(nb, 2), "dst")), hubs)
+            cut_lineage(e.join(hubs, "src").repartition(max(nb, 2), "dst")), hubs, n_hubs)
 
 
-def _messages(v: DataFrame, e: DataFrame, e_hub: DataFrame | None, hubs: DataFrame | None) -> DataFrame:
+def _messages(v: DataFrame, e: DataFrame, e_hub: DataFrame | None, hubs: DataFrame | None, n_hubs: int) -> DataFrame:
     """B1: ``(id, s)``: the scaled sum of the neighbours' scores."""
     act = v.select(F.col("id").alias("src"), F.col("m").alias("_mk"))
     parts = [e.join(act, "src").select("dst", (F.col("a") * F.col("_mk")).alias("_x"))]
     if e_hub is not None:
-        parts.append(e_hub.join(F.broadcast(act.join(hubs, "src")), "src")
+        parts.append(e_hub.join(small_hint(act.join(hubs, "src"), n_hubs), "src")
                      .select("dst", (F.col("a") * F.col("_mk")).alias("_x")))
     msg = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return msg.groupBy(F.col("dst").alias("id")).agg(F.sum("_x").alias("_s"))
@@ -136,8 +136,8 @@ def bisect_distributed(v: DataFrame, e: DataFrame, n_groups: int, max_steps: int
 
     A step writes one vertex table (scores, Laplacian values before and after the
     message pass, and whether the step before changed the sign) and one table of a
-    few rows per group.  The uncentred score is linear in ``m`` and ``l_new`` with one pair
-    of factors per group, so its means per (group, labelled) follow from the sums
+    row per group.  The uncentred score is linear in ``m`` and ``l_new`` with one pair
+    of factors per group, so its means over labelled and other rows follow from the sums
     of ``m``, ``l_new``, ``m^2`` and ``m l``; the centred score is a column expression that
     the next step reads.  The convergence test lags by a step: the sign changes of step
     ``t`` are summed in the aggregate of step ``t + 1``, so vertices are aggregated once a step.  By then the
@@ -149,8 +149,12 @@ def bisect_distributed(v: DataFrame, e: DataFrame, n_groups: int, max_steps: int
     of superseded steps are dropped.
     """
     spark = v.sparkSession
+    # the graph is computed once, whatever the plans behind v and e
+    v = write_table(v.select("id", "grp", "lab", "m", F.col("l").cast("double").alias("l"), F.lit(False).alias("changed"),
+                             F.lit(0).cast("bigint").alias("stable")), "vertices")
+    whole = write_table(e.select("src", "dst", "a", "grp"), "edges")
     nb = buckets or bucket_count(spark, v.count())
-    e, e_hub, hubs = _split_hubs(e.select("src", "dst", "a", "grp"), nb)
+    e, e_hub, hubs, n_hubs = _split_hubs(whole, nb)
     if nb > 1:
         # edges bucketed on src, vertices on id: the message join reads both
         # without an exchange
@@ -159,49 +163,43 @@ def bisect_distributed(v: DataFrame, e: DataFrame, n_groups: int, max_steps: int
         def keep(frame):
             return write_bucketed(frame.repartition(nb, "id"), "id", nb, "step")
     else:
-        e = write_table(e, "edges")
+        e = e if e is whole else write_table(e, "edges")
 
         def keep(frame):
             return write_table(frame, "step")
-    v = v.select("id", "grp", "lab", "m", F.col("l").cast("double").alias("l"), F.lit(False).alias("changed"))
     done, steps, written, state = [], 0, None, None
     while True:
         if steps < max_steps:
-            j = v.join(_messages(v, e, e_hub, hubs), "id", "left").withColumn(
+            j = v.join(_messages(v, e, e_hub, hubs, n_hubs), "id", "left").withColumn(
                 "l_new", F.coalesce(F.col("m") - F.col("_s"), F.col("l"))).drop("_s")
         else:
             j = v.withColumn("l_new", F.col("l"))
         j = keep(j)
-        sums = j.groupBy("grp", "lab").agg(
-            F.count(F.lit(1)).alias("n"), F.sum("m").alias("sm"), F.sum("l_new").alias("sl"),
-            F.sum(F.col("m") * F.col("m")).alias("smm"), F.sum(F.col("m") * F.col("l")).alias("sml"),
-            F.sum(F.col("changed").cast("bigint")).alias("ch"))
-        per = Window.partitionBy("grp")                   # two rows a group
-        mass = F.sum("smm").over(per)
-        m2 = F.when(mass > 0, F.lit(1.0) / mass).otherwise(F.lit(0.0))
-        sums = (sums.withColumn("b", F.lit(-2.0) * m2)
-                .withColumn("a", F.lit(1.0) + F.lit(2.0) * m2 * m2 * F.sum("sml").over(per))
-                .withColumn("ratio", F.sum("ch").over(per) / F.sum("n").over(per)))
-        mu = (F.col("a") * F.col("sm") + F.col("b") * F.col("sl")) / F.col("n")
-        if state is None:
-            stable = F.lit(0).cast("bigint")
-        else:
-            sums = sums.join(state.select("grp", "lab", "stable"), ["grp", "lab"])
-            stable = F.when(F.col("ratio") > tol, F.lit(0).cast("bigint")).otherwise(F.col("stable") + 1)
-        now = write_table(sums.select("grp", "lab", "a", "b", mu.alias("mu"), stable.alias("stable")).withColumn(
-            "done", (F.col("stable") >= max_stable) | F.lit(steps >= max_steps)), "state")
+        # one row a group: the sums that both parts share, and those of each part
+        lab, one = F.col("lab"), F.lit(1)
+        sums = j.groupBy("grp").agg(
+            F.count(one).alias("n"), F.sum(F.col("m") * F.col("m")).alias("smm"), F.sum(F.col("m") * F.col("l")).alias("sml"),
+            F.sum(F.col("changed").cast("bigint")).alias("ch"), F.max("stable").alias("before"),
+            *[F.sum(F.when(part, c)).alias(name + tag) for tag, part in (("1", lab), ("0", ~lab))
+              for name, c in (("n", one), ("sm", F.col("m")), ("sl", F.col("l_new")))])
+        m2 = F.when(F.col("smm") > 0, F.lit(1.0) / F.col("smm")).otherwise(F.lit(0.0))
+        stable = F.when(F.lit(steps == 0) | (F.col("ch") / F.col("n") > tol), F.lit(0).cast("bigint")).otherwise(F.col("before") + 1)
+        sums = (sums.withColumn("b", F.lit(-2.0) * m2).withColumn("a", F.lit(1.0) + F.lit(2.0) * m2 * m2 * F.col("sml"))
+                .withColumn("stable", stable))
+        mu = [((F.col("a") * F.col(f"sm{i}") + F.col("b") * F.col(f"sl{i}")) / F.col(f"n{i}")).alias(f"mu{i}") for i in (0, 1)]
+        now = write_table(sums.select("grp", "a", "b", *mu, "stable", (
+            (F.col("stable") >= max_stable) | F.lit(steps >= max_steps)).alias("done")), "state")
         for old in (written, state):
             if old is not None:
                 discard(old)
         written, state = j, now
-        count = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("done").cast("bigint")).alias("k")).first()
-        if count["k"]:
-            ended = small_hint(now.where("done").select("grp").distinct(), n_groups)
+        if not now.where("done").isEmpty():
+            ended = small_hint(now.where("done").select("grp"), n_groups)
             done.append(write_table(j.join(ended, "grp").select(
                 "id", "grp", "m", F.lit(steps).cast("bigint").alias("steps")), "scores"))
-            if count["k"] == count["n"]:
+            if now.where("not done").isEmpty():
                 break
-            live, old = small_hint(now.where("not done").select("grp").distinct(), n_groups), e
+            live, old = small_hint(now.where("not done").select("grp"), n_groups), e
             left = e.join(live, "grp")
             if nb > 1:
                 e = write_bucketed(left.repartition(nb, "src"), "src", nb, "edges")
@@ -210,10 +208,11 @@ def bisect_distributed(v: DataFrame, e: DataFrame, n_groups: int, max_steps: int
             discard(old)
             if e_hub is not None:
                 e_hub = cut_lineage(e_hub.join(live, "grp"))
-        factors = now.where("not done").select("grp", "lab", "a", "b", "mu")
-        new_m = F.col("a") * F.col("m") + F.col("b") * F.col("l_new") - F.col("mu")
-        v = j.join(small_hint(factors, 2 * n_groups), ["grp", "lab"]).select(
-            "id", "grp", "lab", new_m.alias("m"), F.col("l_new").alias("l"), (sign("m") != sign(new_m)).alias("changed"))
+        factors = now.where("not done").drop("done")
+        mu = F.when(F.col("lab"), F.col("mu1")).otherwise(F.col("mu0"))
+        new_m = F.col("a") * F.col("m") + F.col("b") * F.col("l_new") - mu
+        v = j.drop("stable").join(small_hint(factors, n_groups), "grp").select(
+            "id", "grp", "lab", new_m.alias("m"), F.col("l_new").alias("l"), (sign("m") != sign(new_m)).alias("changed"), "stable")
         steps += 1
     for old in (written, state, e):
         discard(old)
