@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
@@ -55,14 +57,27 @@ def label_report(df: DataFrame) -> DataFrame:
     return df.groupBy("grp", "finished", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _count_rows(batches):
+    """One row per partition, also for one without rows."""
+    n = sum(batch.num_rows for batch in batches)
+    yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())],
+                                     names=["partition", "n"])
+
+
 def partition_rows(df: DataFrame) -> DataFrame:
-    """Rows per physical Spark partition."""
-    return (df.select(F.spark_partition_id().alias("partition"))
-            .groupBy("partition").agg(F.count(F.lit(1)).alias("n")))
+    """Rows per physical Spark partition, empty ones too.
+
+    Every task counts its rows as they stream by and emits one number; only a constant is
+    sent per row."""
+    return df.select(F.lit(True).alias("row")).mapInArrow(_count_rows, "partition int, n long")
 
 
 def partition_skew(df: DataFrame) -> DataFrame:
-    """``max / min`` rows over the non-empty physical partitions."""
+    """The largest and smallest partition, how many are empty, and ``max / mean`` rows.
+
+    ``max / min`` (``skew``) is NULL where a partition is empty."""
     return partition_rows(df).agg(
         F.max("n").alias("max_rows"), F.min("n").alias("min_rows"),
-        (F.max("n") / F.min("n")).alias("skew"))
+        F.sum((F.col("n") == 0).cast("bigint")).alias("n_empty"),
+        F.try_divide(F.max("n").cast("double"), F.min("n").cast("double")).alias("skew"),
+        F.try_divide(F.max("n").cast("double"), F.avg("n")).alias("over_mean"))

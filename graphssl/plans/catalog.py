@@ -404,6 +404,35 @@ def q_partition_totals(spark, sf):
     return D.partition_rows(base(spark, sf).repartition("id")).agg(F.sum("n").alias("n"))
 
 
+def _dealt(spark, sf):
+    """The table over 16 partitions, of which those of no remainder by 5 are empty."""
+    return base(spark, sf).repartitionById(16, F.pmod(F.col("id"), F.lit(5)).cast("int"))
+
+
+def q_partition_layout(spark, sf):
+    """D4 on a known layout: rows of every partition, empty ones too."""
+    return D.partition_rows(_dealt(spark, sf)).select(F.col("partition").cast("bigint").alias("partition"), "n")
+
+
+def q_partition_layout_skew(spark, sf):
+    """D5 on the same layout."""
+    return D.partition_skew(_dealt(spark, sf)).select("max_rows", "min_rows", "n_empty", "skew", r6("over_mean").alias("over_mean"))
+
+
+def q_stable_ids(spark, sf):
+    """Row numbers of the table written as CSV, loaded with two split sizes: equal rows and truth."""
+    e = load_embeddings(spark, sf)
+    dim = e.select(F.size("features")).first()[0]
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/csv-{uuid.uuid4().hex}"
+    e.select(F.concat_ws(",", F.col("correct_label").cast("string"), F.col("features").cast("array<string>")).alias("value")) \
+        .repartition(3).write.text(path)
+    rows, _ = load_emnist(spark, path, mask_by="id", n_features=dim)
+    again, truth = load_emnist(spark, f"{path}/*", mask_by="id", n_features=dim, partitions=5)
+    both = rows.select("id", F.col("features").alias("f"), F.col("label").alias("l")).join(again, "id").join(truth, "id")
+    same = both.where((F.col("f") == F.col("features")) & F.col("l").eqNullSafe(F.col("label")))
+    return same.select("id", r6(F.aggregate("features", F.lit(0.0), lambda z, x: z + x)).alias("total"), "correct_label", "label")
+
+
 def q_label_confusion(spark, sf):
     """M2 on the driver's binary labels (toxic as the prediction of quality)."""
     t = spark.read.parquet(f"{sf}/labels.parquet")
@@ -461,6 +490,9 @@ QUERIES = {
     "classify_report": q_classify_report,
     "evaluate_report": q_evaluate_report,
     "partition_totals": q_partition_totals,
+    "partition_layout": q_partition_layout,
+    "partition_layout_skew": q_partition_layout_skew,
+    "stable_ids": q_stable_ids,
     "label_confusion": q_label_confusion,
     "bisect_converged": q_bisect_converged,
     "classify": q_classify,

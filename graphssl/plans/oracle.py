@@ -269,6 +269,13 @@ h AS (SELECT slim.id, avg(CASE WHEN wide.id IS NULL THEN 0.0 ELSE 1.0 END) AS sh
   {_r('list_distance(a.features, b.features)')} AS dist
 FROM base a JOIN base b ON a.id <> b.id QUALIFY rank <= {K}""",
     "descent_recall_bound": "SELECT count(*) AS n_rows, count(*) AS n_full, TRUE AS above_bound FROM embeddings",
+    "partition_layout": "SELECT p AS partition, (SELECT count(*) FROM embeddings WHERE vec_id % 5 = p) AS n FROM range(16) t(p)",
+    "partition_layout_skew": "SELECT max(n) AS max_rows, CAST(0 AS BIGINT) AS min_rows, CAST(11 AS BIGINT) AS n_empty, "
+    "CAST(NULL AS DOUBLE) AS skew, round(max(n) / (sum(n) / 16.0), 6) AS over_mean "
+    "FROM (SELECT count(*) AS n FROM embeddings GROUP BY vec_id % 5)",
+    "stable_ids": "SELECT id, round(list_sum(x), 6) + 0.0 AS total, label AS correct_label, "
+    "CASE WHEN id % 100 < 8 THEN label END AS label FROM (SELECT row_number() OVER (ORDER BY x, l) - 1 AS id, x, l AS label "
+    "FROM (SELECT CAST(embedding AS DOUBLE[]) AS x, CAST(label AS BIGINT) AS l FROM embeddings))",
     "partition_totals": _with(_base()) + "SELECT count(*) AS n FROM base",
     "csv_round_trip": "SELECT CAST(label AS BIGINT) AS correct_label, count(*) AS n, "
     + "round(sum(list_sum(CAST(embedding AS DOUBLE[]))), 3) + 0.0 AS total FROM embeddings GROUP BY label",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import to_double_array
+from ..session import write_table
 
 INPUT_SCHEMA = T.StructType([
     T.StructField("id", T.LongType(), False),
@@ -63,30 +64,54 @@ def class_name_to_label(col) -> "F.Column":
             .otherwise(F.lit(IRIS_OTHER_CLASS)).cast("bigint"))
 
 
+def number_rows(df: DataFrame, id_col: str = "id") -> DataFrame:
+    """``df`` with row numbers from 0 in the order of its content (all columns, nulls first).
+
+    Two passes: rows are sorted over range partitions and written with their place in
+    the partition; one count per partition gives the offsets.  The numbers follow from the rows alone, so
+    they are the same for every split of the input, on a rerun and in every frame derived from the
+    result; rows that agree in every column may swap."""
+    spark = df.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    dealt = tied.repartitionByRange(n, *tied.columns).sortWithinPartitions(*tied.columns).drop("_tie")
+    placed = write_table(dealt.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    # the function's fixed layout: partition above bit 33, place in the partition below
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).collect()    # one row a partition
+    offsets, total = [], 0
+    for r in sorted(counts, key=lambda r: r["_part"]):
+        offsets.append((r["_part"], total))
+        total += r["n"]
+    starts = spark.createDataFrame(offsets, "_part long, _start long")
+    return (placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
+            .select((F.col("_start") + place).alias(id_col), *df.columns))
+
+
 def load_iris(spark: SparkSession, path: str, lo: int = 0, hi: int = 8,
               mask_by: str = "features") -> tuple[DataFrame, DataFrame]:
     """Iris-style CSV with header -> ``(input rows, truth)``."""
     schema = T.StructType([T.StructField(c, T.DoubleType()) for c in IRIS_FEATURES]
                           + [T.StructField("Species", T.StringType())])
     raw = spark.read.schema(schema).option("header", True).csv(path)
-    df = raw.select(
-        F.monotonically_increasing_id().alias("id"),                      # S5
+    df = number_rows(raw.select(                                          # S5
         F.array(*[F.col(c) for c in IRIS_FEATURES]).alias("features"),    # S7
-        class_name_to_label("Species").alias("correct_label"))
+        class_name_to_label("Species").alias("correct_label")))
     return split_truth(mask_labels(df, lo, hi, mask_by))
 
 
 def load_emnist(spark: SparkSession, path: str, partitions: int | None = None,
                 lo: int = 0, hi: int = 8, persist: bool = False,
                 mask_by: str = "features", n_features: int = EMNIST_PIXELS) -> tuple[DataFrame, DataFrame]:
-    """S2 (+S11): header-less CSV, column 0 = label, then ``n_features`` columns."""
-    schema = T.StructType([T.StructField("_c0", T.LongType())] + [
-        T.StructField(f"_c{i}", T.DoubleType()) for i in range(1, n_features + 1)])
-    raw = spark.read.schema(schema).option("header", False).csv(path)
-    df = raw.select(
-        F.monotonically_increasing_id().alias("id"),
-        F.array(*[F.col(f"_c{i}") for i in range(1, n_features + 1)]).alias("features"),
-        F.col("_c0").alias("correct_label"))
+    """S2 (+S11): header-less CSV, column 0 = label, then ``n_features`` numbers.
+
+    A line is split straight into one array, so that wide rows (784 pixels) never become as many
+    columns.  Empty lines are skipped; what is missing or no number is NULL; more fields are ignored."""
+    parts = F.split(F.col("value"), ",")
+    numbers = F.concat(F.transform(F.slice(parts, 2, n_features), lambda x: F.trim(x)).try_cast("array<double>"),
+                       F.array_repeat(F.lit(None).cast("double"), n_features))
+    df = number_rows(spark.read.text(path).where(F.trim("value") != "").select(
+        F.slice(numbers, 1, n_features).alias("features"), F.trim(parts[0]).try_cast("bigint").alias("correct_label")))
     df = mask_labels(df, lo, hi, mask_by)
     if partitions:
         df = df.repartition(partitions)

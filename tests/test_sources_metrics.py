@@ -108,3 +108,37 @@ def test_partition_reports(spark):
     assert sum(r.n for r in rows) == 100
     s = D.partition_skew(df).first()
     assert s.skew == pytest.approx(s.max_rows / s.min_rows)
+
+
+def test_row_numbers_follow_from_the_rows(spark):
+    from graphssl.sources.loaders import number_rows
+    rows = [(i % 7, [float(i % 5), float(i % 3)]) for i in range(200)] + [(None, [0.0, 1.0]), (None, None)]
+    df = spark.createDataFrame(rows, "label long, features array<double>")
+    one = sorted((r["id"], r["label"], r["features"]) for r in number_rows(df.repartition(1)).select("id", "label", "features").collect()
+                 if r["features"] and r["label"] is not None)
+    many = number_rows(df.repartition(13))
+    two = sorted((r["id"], r["label"], r["features"]) for r in many.collect() if r["features"] and r["label"] is not None)
+    assert one == two and sorted(r["id"] for r in many.collect()) == list(range(202))
+    assert number_rows(df.where("false")).collect() == []
+
+
+def test_wide_and_odd_csv_lines(spark, tmp_path):
+    from graphssl.sources.loaders import load_emnist
+    wide = [[k] + [(k * 31 + i) % 256 / 255 for i in range(784)] for k in range(12)]
+    (tmp_path / "wide.csv").write_text("\n".join(",".join(map(str, r)) for r in wide) + "\n\n")
+    rows, truth = load_emnist(spark, str(tmp_path / "wide.csv"))
+    got = {r["correct_label"]: r["features"] for r in rows.join(truth, "id").collect()}
+    assert got == {r[0]: r[1:] for r in wide}
+    assert rows.schema["features"].dataType.simpleString() == "array<double>"
+    (tmp_path / "odd.csv").write_text("3, 1.5,2e-3\n4,x,\n5,1\n6,1,2,3\n")
+    rows, truth = load_emnist(spark, str(tmp_path / "odd.csv"), n_features=2)
+    got = {r["correct_label"]: r["features"] for r in rows.join(truth, "id").collect()}
+    assert got == {3: [1.5, 0.002], 4: [None, None], 5: [1.0, None], 6: [1.0, 2.0]}
+
+
+def test_empty_partitions_are_reported(spark):
+    from graphssl.operators.diagnostics import partition_rows, partition_skew
+    df = spark.range(3).repartitionById(6, (F.col("id") * 2).cast("int"))
+    assert sorted((r["partition"], r["n"]) for r in partition_rows(df).collect()) == [(0, 1), (1, 0), (2, 1), (3, 0), (4, 1), (5, 0)]
+    r = partition_skew(df).first()
+    assert (r["max_rows"], r["min_rows"], r["n_empty"], r["skew"], r["over_mean"]) == (1, 0, 3, None, 2.0)
