@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphssl.session import write_table
+
 #: Bytes of text that one numpy step works on (a longer text is a step alone).
 STEP_BYTES = 1 << 20
 
@@ -48,6 +50,22 @@ def id_text(docs: DataFrame) -> DataFrame:
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``(doc, doc_id, text)`` of every row, and whether ``doc`` is ``doc_id``.
+
+    ``doc`` is a long that no two rows share and that ascends with doc_id (null first; rows that share one,
+    by the digest of their text).  It is doc_id itself where all are there and differ; else the
+    rows are sorted and written with a number."""
+    texts = id_text(docs)
+    odd = texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id is null or n > 1")
+    if odd.isEmpty():
+        return texts.select(F.col("doc_id").alias("doc"), "doc_id", "text"), True
+    order = ["doc_id", "_digest", "_tie"]
+    dealt = (texts.withColumns({"_digest": F.sha2("text", 256), "_tie": F.monotonically_increasing_id()})
+             .repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order))
+    return write_table(dealt.select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text"), "numbered"), False
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -13,9 +13,8 @@ Equal paragraphs (same words) are one item from the start, so a line that many
 documents share never forms pairs.
 
 Defined results: null text counts as empty; lines end at ``\\n``; lines without
-words are never removed; rows that share a doc_id are one document given more than once: a
-line at the same place of it repeats nothing; a null doc_id sorts first; an empty
-table gives an empty table; other columns never matter; texts are read whole.
+words are never removed; rows that share a doc_id are documents of their own, by the digest
+of their text; a null doc_id sorts first; an empty table gives an empty table; other columns never matter; texts are read whole.
 """
 
 from __future__ import annotations
@@ -29,20 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphssl.llm.common import id_text, mix64, shingles, steps, utf8, word_hashes
+from graphssl.llm.common import mix64, numbered, shingles, steps, utf8, word_hashes
 from graphssl.llm.similar import BROADCAST_ROWS, components, verified_links
 from graphssl.operators.sizing import small_hint
 from graphssl.session import write_table
 
 #: Words per shingle, similarity of near-duplicates, recall at that similarity.
 WIDTH, LEAST, RECALL = 5, 0.8, 0.995
-#: Shorter lines are left alone (lines without words).
-LEAST_WORDS = 1
+#: Removed lines of so many words are counted as paragraphs, shorter ones apart.
+LONG_WORDS = 20
 #: Bands that a paragraph may have at most.
 MOST_BANDS = 8
 
-_NULL_ID = -(1 << 63)
-
 
 def tuned(least: float = LEAST, recall: float = RECALL, most: int = MOST_BANDS) -> tuple[int, int]:
     """``(bands, rows)``: the most selective banding (most rows) with at most ``most``
@@ -66,9 +63,9 @@ def minhash(hashes: np.ndarray, row: np.ndarray, n_rows: int, k: int) -> np.ndar
 
 
 def _lines(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "place", "begin", "size", "line_key", "bands"]
+    names = ["doc", "place", "begin", "size", "words", "line_key", "bands"]
     for batch in batches:
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        ids = batch.column("doc").to_numpy(zero_copy_only=False)
         _, off = utf8(batch.column("text"))
         for i, j in steps(off):
             data, o = utf8(batch.column("text").slice(i, j - i))
@@ -78,7 +75,7 @@ def _lines(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator
             line_row = np.searchsorted(o, cut[:-1], "right") - 1
             h, line = word_hashes(data, cut)
             n_words = np.bincount(line, minlength=max(0, len(cut) - 1))
-            keep = np.flatnonzero(n_words >= LEAST_WORDS)
+            keep = np.flatnonzero(n_words > 0)
             if not len(keep):
                 continue
             new = np.full(len(n_words), -1)
@@ -103,20 +100,21 @@ def _lines(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator
             row = line_row[keep]
             yield pa.RecordBatch.from_arrays([
                 pa.array(ids[i + row]), pa.array(cut[keep] - o[row]), pa.array(cut[keep] - o[row]),
-                pa.array(cut[keep + 1] - cut[keep]), pa.array(key, pa.binary()),
+                pa.array(cut[keep + 1] - cut[keep]), pa.array(n_words[keep].astype(np.int64)), pa.array(key, pa.binary()),
                 pa.array([k[:n] for k, n in zip(keys.view(np.int64), shared)], pa.list_(pa.int64()))], names=names)
 
 
-def repeated_paragraphs(docs: DataFrame) -> DataFrame:
-    """``(doc_id, begin, size, first_doc_id)`` of every paragraph that goes, in bytes of the
-    text, with the document whose paragraph stays instead."""
+def repeated_paragraphs(docs: DataFrame, rows_of: tuple[DataFrame, bool] | None = None) -> DataFrame:
+    """``(doc, begin, size, words, first_doc_id)`` of every paragraph that goes, in bytes of the
+    text of row ``doc`` (see :func:`numbered`), with the document whose paragraph stays instead."""
     bands, rows = tuned()
-    texts = id_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NULL_ID)))
+    texts, plain = rows_of or numbered(docs)
     lines = write_table(
-        texts.mapInArrow(lambda it: _lines(it, bands, rows),
-                         "doc_id long, place long, begin long, size long, line_key binary, bands array<long>")
+        texts.select("doc", "text").mapInArrow(
+            lambda it: _lines(it, bands, rows),
+            "doc long, place long, begin long, size long, words long, line_key binary, bands array<long>")
         .withColumn("line", F.monotonically_increasing_id()), "lines")
-    first = F.min(F.struct("doc_id", "place", "line", "begin", "size"))
+    first = F.min(F.struct("doc", "place", "line", "begin", "size"))
     copies = (lines.groupBy("line_key").agg(first.alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
               .select("line_key", F.col("f.line").alias("item")))
     copies = write_table(copies, "copies")
@@ -125,10 +123,10 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     buckets = items.select(F.col("line").alias("item"), F.explode("bands").alias("bucket"))
 
     def fetch(need: DataFrame) -> DataFrame:
-        at = lines.select(F.col("line").alias("item"), "doc_id", "begin", "size").join(
+        at = lines.select(F.col("line").alias("item"), "doc", "begin", "size").join(
             small_hint(need, need.count(), BROADCAST_ROWS), "item")
         raw = F.encode("text", "UTF-8")
-        met = texts.join(small_hint(at, need.count(), BROADCAST_ROWS), "doc_id")
+        met = texts.join(small_hint(at, need.count(), BROADCAST_ROWS), "doc")
         return met.select("item", "n", F.decode(F.substring(raw, F.col("begin").cast("int") + 1, F.col("size").cast("int")),
                                                 "UTF-8").alias("text")).dropDuplicates(["item"])
 
@@ -136,18 +134,20 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     label = components(links)
     clustered = known.withColumn("item", F.coalesce("item", "line")).join(
         small_hint(label, label.count(), BROADCAST_ROWS), "item", "left").select(
-        F.coalesce("label", "item").alias("cluster"), "doc_id", "place", "begin", "size")
+        F.coalesce("label", "item").alias("cluster"), "doc", "place", "begin", "size", "words")
     clustered = write_table(clustered, "clustered")
-    head = clustered.groupBy("cluster").agg(F.min(F.struct("doc_id", "place")).alias("f"),
+    head = clustered.groupBy("cluster").agg(F.min(F.struct("doc", "place")).alias("f"),
                                             F.count(F.lit(1)).alias("n")).filter("n > 1")
-    head = write_table(head.select("cluster", F.col("f.doc_id").alias("first_doc_id"),
-                                   F.col("f.place").alias("first_place")), "heads")
+    head = head.select("cluster", F.col("f.doc").alias("first"), F.col("f.place").alias("first_place"))
+    head = head.withColumn("first_doc_id", F.col("first")) if plain else head.join(
+        texts.select(F.col("doc").alias("first"), F.col("doc_id").alias("first_doc_id")), "first")
+    head = write_table(head, "heads")
     return (clustered.join(small_hint(head, head.count(), BROADCAST_ROWS), "cluster")
-            .filter("doc_id != first_doc_id or place != first_place")
-            .select("doc_id", "begin", "size", "first_doc_id"))
+            .filter("doc != first or place != first_place")
+            .select("doc", "begin", "size", "words", "first_doc_id"))
 
 
-RESULT = "doc_id long, n_bytes long, n_paragraphs_removed long, n_removed long, first_doc_ids array<long>, kept_sha256 string"
+RESULT = "doc_id long, n_bytes long, n_paragraphs_removed long, n_short_lines_removed long, n_removed long, first_doc_ids array<long>, kept_sha256 string"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,24 +158,25 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for doc, text, gone in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "gone"))):
                 raw = text.encode()
                 spans = sorted({(g["begin"], g["size"]) for g in gone or []})
+                long = len({g["begin"] for g in gone or [] if g["words"] >= LONG_WORDS})
                 kept, end = [], 0
                 for b, n in spans:
                     kept.append(raw[end:b])
                     end = b + n
                     end += raw[end:end + 1] == b"\n"        # the line goes with its end
                 kept = b"".join([*kept, raw[end:]])
-                rows.append((doc, len(raw), len(spans), len(raw) - len(kept),
-                             sorted({g["first_doc_id"] for g in gone or []}), hashlib.sha256(kept).hexdigest()))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string()]
-            names = ["doc_id", "n_bytes", "n_paragraphs_removed", "n_removed", "first_doc_ids", "kept_sha256"]
+                rows.append((doc, len(raw), long, len(spans) - long, len(raw) - len(kept),
+                             sorted({g["first_doc_id"] for g in gone or []}, key=lambda x: (x is not None, x or 0)), hashlib.sha256(kept).hexdigest()))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string()]
+            names = ["doc_id", "n_bytes", "n_paragraphs_removed", "n_short_lines_removed", "n_removed", "first_doc_ids", "kept_sha256"]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
 
 def remove_paragraphs(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: what it loses, to whom, and the digest of what is left."""
-    gone = repeated_paragraphs(docs).groupBy("doc_id").agg(
-        F.collect_list(F.struct("begin", "size", "first_doc_id")).alias("gone"))      # a document's own lines
-    gone = write_table(gone.withColumnRenamed("doc_id", "doc"), "gone")
-    met = (id_text(docs).withColumn("doc", F.coalesce("doc_id", F.lit(_NULL_ID)))
-           .join(small_hint(gone, gone.count(), BROADCAST_ROWS // 4), "doc", "left").select("doc_id", "text", "gone"))
+    texts = numbered(docs)
+    gone = repeated_paragraphs(docs, texts).groupBy("doc").agg(
+        F.collect_list(F.struct("begin", "size", "words", "first_doc_id")).alias("gone"))      # a document's own lines
+    gone = write_table(gone, "gone")
+    met = texts[0].join(small_hint(gone, gone.count(), BROADCAST_ROWS // 4), "doc", "left").select("doc_id", "text", "gone")
     return met.mapInArrow(_cut, RESULT)

@@ -22,8 +22,7 @@ one anchor travel as one *stretch* of about 130 bytes.
 4. The settled spans meet their documents, which are cut and digested.
 
 Defined results: null text counts as empty; a null doc_id sorts first; rows that
-share a doc_id are one document given more than once (they do not repeat each
-other); texts under ``LENGTH`` bytes lose nothing; a long text is cut into
+share a doc_id are documents of their own, by the digest of their text; texts under ``LENGTH`` bytes lose nothing; a long text is cut into
 overlapping parts and loses what it would lose in one; an empty table gives an
 empty table; other columns never matter.
 """
@@ -39,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphssl.llm.common import id_text, mix64, partitions, prefix_hash, steps, utf8
+from graphssl.llm.common import mix64, numbered, partitions, prefix_hash, steps, utf8
 from graphssl.operators.sizing import small_hint
 from graphssl.session import write_table
 
@@ -55,7 +54,6 @@ BROADCAST_ROWS = 500_000
 
 _PLACE = np.uint64((1 << 23) - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_NULL_ID = -(1 << 63)
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
@@ -262,12 +260,12 @@ def _index(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({k: np.zeros(0, np.int64) for k in ("doc", "lo", "hi")})
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``(doc, lo, hi)``: the strings that start at ``lo`` to ``hi`` of a document start
-    earlier somewhere (a null doc_id as the smallest long)."""
-    spark = docs.sparkSession
+def repeated_spans(texts: DataFrame) -> DataFrame:
+    """``(doc, lo, hi)`` of ``(doc, text)``: the strings that start at ``lo`` to ``hi`` of a document start
+    earlier somewhere."""
+    spark = texts.sparkSession
     n = partitions(spark)
-    texts = id_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NULL_ID)))
+    texts = texts.select(F.col("doc").alias("doc_id"), "text")
     cut = write_table(texts.mapInArrow(lambda it: _cut(it, n), "bucket int, packed binary"), "stretches")
     local = cut.filter("bucket < 0").mapInArrow(_unpacked, "doc long, lo long, hi long")
     settled = write_table(cut.filter("bucket >= 0").groupBy("bucket").applyInPandas(
@@ -333,11 +331,11 @@ def rows_to_batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: what it loses, and the digest of what is left."""
-    spans = repeated_spans(docs).groupBy("doc").agg(
+    texts, _ = numbered(docs)
+    spans = repeated_spans(texts).groupBy("doc").agg(
         F.collect_list(F.struct("lo", "hi")).alias("s"))           # a document's own spans
     spans = spans.select("doc", F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi"))
-    met = (id_text(docs).withColumn("doc", F.coalesce("doc_id", F.lit(_NULL_ID)))
-           .join(spans, "doc", "left").select("doc_id", "text", "lo", "hi"))
+    met = texts.join(spans, "doc", "left").select("doc_id", "text", "lo", "hi")
 
     def emit(doc, raw, kept, n_spans):
         return doc, len(raw), len(raw) - len(kept), n_spans, hashlib.sha256(kept).hexdigest()

@@ -125,7 +125,7 @@ def test_automaton_on_random_merge_lists():
 
 def repeats_expected(rows):
     seen, out = set(), Counter()
-    for i, t, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+    for i, t, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, sha(r[1]))):
         b = t.encode()
         gone = bytearray(len(b))
         for p in range(len(b) - 99):
@@ -145,6 +145,15 @@ def test_suffix_levels(which, request, monkeypatch):
     assert got == repeats_expected(docs_of(df))
 
 
+def test_rows_that_share_an_id(make):
+    """Only bytes that stand elsewhere go, whatever the doc_ids."""
+    p, u, v = (" ".join(f"{c}{k}" for k in range(60)) for c in "puv")
+    for ids in ((None, None, None, 4), (1, 1, 1, 1), (2, 2, None, 3)):
+        df = make([(i, t, "s") for i, t in zip(ids, (p + u, v + p, p + u, u + "x"))])
+        got = Counter(map(tuple, suffix_levels.remove_repeats(df).collect()))
+        assert got == repeats_expected(docs_of(df))
+
+
 def test_levels_of_small_batches():
     import random
 

@@ -221,11 +221,12 @@ def test_dart_agreement_is_weighted_jaccard():
 # -- paragraphs -------------------------------------------------------------------------------------------------
 
 def paragraphs_expected(rows):
+    """Per row (in the order of doc_id, text digest) the lines that go: begin, bytes, words, first doc_id."""
     found = []
-    for i, t in rows:
+    for i, (_, t) in enumerate(rows):
         at = 0
         for line in t.encode().split(b"\n"):
-            if len(WORD.findall(line.decode())) >= paragraphs.LEAST_WORDS:
+            if WORD.findall(line.decode()):
                 found.append((i, at, line.decode()))
             at += len(line) + 1
     s = [shingles(x[2]) for x in found]
@@ -236,29 +237,42 @@ def paragraphs_expected(rows):
         members[c].append(found[k])
     gone = defaultdict(set)
     for m in members.values():
-        first = min(m, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        first = min(m)
         for i, at, line in m:
             if (i, at) != first[:2]:
-                gone[i].add((at, len(line.encode()), -(1 << 63) if first[0] is None else first[0]))
+                gone[i].add((at, len(line.encode()), len(WORD.findall(line)), rows[first[0]][0]))
     return gone
 
 
-@pytest.mark.parametrize("which", ["odd", "some", "none"])
-def test_paragraphs(which, request):
-    df = request.getfixturevalue(which)
-    rows = docs_of(df)
-    gone = paragraphs_expected(rows)
-    want = Counter()
-    for i, t in rows:
+def paragraph_rows(rows):
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256(r[1].encode()).hexdigest()))
+    gone, want = paragraphs_expected(rows), Counter()
+    for k, (i, t) in enumerate(rows):
         kept, end, raw = b"", 0, t.encode()
-        for at, n, _ in sorted(gone[i]):
+        for at, n, _, _ in sorted(gone[k], key=lambda g: g[:2]):
             kept += raw[end:at]
             end = at + n + (raw[at + n:at + n + 1] == b"\n")
         kept += raw[end:]
-        want[(i, len(raw), len({g[:2] for g in gone[i]}), len(raw) - len(kept),
-              tuple(sorted({g[2] for g in gone[i]})), hashlib.sha256(kept).hexdigest())] += 1
-    got = Counter((*r[:4], tuple(r[4]), r[5]) for r in map(tuple, paragraphs.remove_paragraphs(df).collect()))
-    assert got == want
+        long = sum(g[2] >= paragraphs.LONG_WORDS for g in gone[k])
+        firsts = tuple(sorted({g[3] for g in gone[k]}, key=lambda x: (x is not None, x or 0)))
+        want[(i, len(raw), long, len(gone[k]) - long, len(raw) - len(kept), firsts, hashlib.sha256(kept).hexdigest())] += 1
+    return want
+
+
+@pytest.mark.parametrize("which", ["odd", "some", "none"])
+def test_paragraphs(which, request):
+    df = request.getfixturevalue(which)
+    got = Counter((*r[:5], tuple(r[5]), r[6]) for r in map(tuple, paragraphs.remove_paragraphs(df).collect()))
+    assert got == paragraph_rows(docs_of(df))
+
+
+def test_rows_that_share_an_id(make):
+    """Only lines that stand elsewhere go, whatever the doc_ids."""
+    p, u, v = (" ".join(f"{c}{k}" for k in range(30)) for c in "puv")
+    for ids in ((None, None, 4), (1, 1, 1), (2, 2, None)):
+        df = make([(i, t, "s") for i, t in zip(ids, (f"{p}\n{u}", f"{v}\n{p}\nshort line", f"{u}x\nshort line"))])
+        got = Counter((*r[:5], tuple(r[5]), r[6]) for r in map(tuple, paragraphs.remove_paragraphs(df).collect()))
+        assert got == paragraph_rows(docs_of(df))
 
 
 def test_short_lines(make):
@@ -273,7 +287,7 @@ def test_short_lines(make):
     grams = [shingles(x) for _, _, x in found]
     label = classes(range(len(found)), [(a, b) for a in range(len(found)) for b in range(a) if alike(grams[a], grams[b])])
     want = {(found[k][0], found[k][1]) for k, c in label.items() if k != c}
-    got = {(x["doc_id"], x["begin"]) for x in paragraphs.repeated_paragraphs(make(rows)).collect()}
+    got = {(x["doc"], x["begin"]) for x in paragraphs.repeated_paragraphs(make(rows)).collect()}
     assert {(4, 0), (6, 0)} <= want and not {(5, 0), (7, 0)} & want and sum(i == 2 for i, _ in want) > 20
     assert got == want
 
