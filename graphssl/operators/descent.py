@@ -7,8 +7,8 @@ A neighbour list is a set of rows ``(grp, id, nbr, dist, new)``.  One round:
    list it (at most ``pool`` new and ``pool`` old ones, drawn anew each round), so a vertex that everybody
    lists has no larger meeting than any other.
 2. *Pairs.*  Of each meeting, two members are a pair if at least one of the two entries is
-   new: ids only.  Pairs are made distinct, and those of an earlier round or of the
-   lists themselves are taken out by an anti-join.
+   new: ids only.  One aggregate makes them distinct and takes out those of an earlier round
+   or of the lists themselves (an anti-join without a join).
 3. *Distances.*  What is left gets its two vectors, once per pair, and is scored in Arrow batches.
 4. *Lists.*  Pairs go both ways into the lists and the best ``pool`` stay (a
    window with a map-side limit).  An entry is new until a round has sampled it.
@@ -42,7 +42,8 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _finish(lists: DataFrame, k: int) -> DataFrame:
+def finish(lists: DataFrame, k: int) -> DataFrame:
+    """The graph ``(id, nbr, grp, rank, dist, sim)`` of the best ``k`` entries of every list."""
     return _best(lists.select("id", "nbr", "grp", "dist"), k).select(
         "id", "nbr", "grp", "rank", "dist", (F.lit(1.0) / (F.lit(1.0) + F.col("dist"))).alias("sim"))
 
@@ -169,12 +170,12 @@ def _members(lists: DataFrame, pool: int, salt: int) -> DataFrame:
 
 
 def _pairs(members: DataFrame) -> DataFrame:
-    """Distinct ``(grp, a, b)``, a < b, of meetings (at most ``4 * pool`` members each) with a new entry."""
+    """``(grp, a, b)``, a < b, of meetings (at most ``4 * pool`` members each) with a new entry."""
     met = members.groupBy("grp", "v").agg(F.collect_list(F.struct("u", "new")).alias("m"), F.max("new").alias("any"))
     left = met.where("any").select("grp", "m", F.explode("m").alias("x")).where("x.new")
     both = left.select("grp", "x", F.explode("m").alias("y")).where(
         (F.col("y.u") != F.col("x.u")) & (~F.col("y.new") | (F.col("x.u") < F.col("y.u"))))
-    return both.select("grp", F.least("x.u", "y.u").alias("a"), F.greatest("x.u", "y.u").alias("b")).distinct()
+    return both.select("grp", F.least("x.u", "y.u").alias("a"), F.greatest("x.u", "y.u").alias("b"))
 
 
 def neighbour_lists(df: DataFrame, pool: int, max_iter: int = 5, early_termination: float = 0.001, sample_rate: float = 1.0,
@@ -223,10 +224,13 @@ def neighbour_lists(df: DataFrame, pool: int, max_iter: int = 5, early_terminati
                                < F.lit(int(sample_rate * 1_000_000)))
         now = lists.withColumn("used", chosen)
         met = _pairs(_members(now, pool, seed + rnd))
-        listed = lists.select(F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b"))
+        # distinct and anti-join in one aggregate with a map-side part: a pair stays if all its rows are of this round
+        met = met.withColumn("old", F.lit(0)).unionByName(lists.select(
+            "grp", F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b"), F.lit(1).alias("old")))
         for old in scored:
-            listed = listed.unionByName(old.select("a", "b"))
-        done = write_table(score_pairs(met.join(listed, ["a", "b"], "left_anti"), vec), "scored")
+            met = met.unionByName(old.select("grp", "a", "b", F.lit(1).alias("old")))
+        met = met.groupBy("grp", "a", "b").agg(F.max("old").alias("old")).where("old = 0").drop("old")
+        done = write_table(score_pairs(met, vec), "scored")
         scored.append(done)
         had = now.select("grp", "id", "nbr", "dist", (F.col("new") & ~F.col("used")).alias("new"), F.lit(False).alias("came"))
         came = _both_ways(done).withColumns({"new": F.lit(True), "came": F.lit(True)})
@@ -257,7 +261,7 @@ def knn_descent(df: DataFrame, k: int, max_iter: int = 5, early_termination: flo
     starting bucket; ``block_rows`` only sizes tasks and never changes the result."""
     lists = neighbour_lists(df, max(k, pool or 5 * k), max_iter, early_termination, sample_rate, buckets, seed, block_rows,
                             code_rows, start, k, log)
-    return _finish(lists, k)
+    return finish(lists, k)
 
 
 def knn_lsh(df: DataFrame, k: int, buckets: int = 8, seed: int = 0,
@@ -267,4 +271,4 @@ def knn_lsh(df: DataFrame, k: int, buckets: int = 8, seed: int = 0,
     average (exact inside each bucket, crowded buckets split into blocks), padded
     as in NN-Descent.  This is NN-Descent's seeding stage without rounds; its
     recall grows with ``buckets`` and ``code_rows``, never with ``block_rows``."""
-    return _finish(neighbour_lists(df, k, 0, buckets=buckets, seed=seed, block_rows=block_rows, code_rows=code_rows), k)
+    return finish(neighbour_lists(df, k, 0, buckets=buckets, seed=seed, block_rows=block_rows, code_rows=code_rows), k)

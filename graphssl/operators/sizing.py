@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import write_table
+
 #: Rows a broadcast side may have.  Per-group tables carry a few scalars (or
 #: one feature vector) per row, so 2M rows stay well under the default
 #: ``spark.sql.autoBroadcastJoinThreshold``-style budgets of executors.
@@ -28,17 +30,12 @@ def bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, row_cells: int =
     most ``BROADCAST_MAX_CELLS`` cells when each row carries ``row_cells``
     array entries), else ``df``.
 
-    ``df`` is persisted first so the count and the later broadcast read it
-    once; a table too large to broadcast is released again (it is then joined
-    by shuffle and recomputed there rather than held in executor memory).
-    """
-    df = df.persist()
-    n = df.count()
+    ``df`` is written first (a lineage cut in the shared checkpoint folder), so the count
+    and every later join read the result instead of computing it, and nothing
+    stays cached in executor memory."""
+    df = write_table(df, "small")
     limit = min(max_rows, max(1, BROADCAST_MAX_CELLS // max(1, row_cells)))
-    if n <= limit:
-        return F.broadcast(df)
-    df.unpersist()
-    return df
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def small_hint(df: DataFrame, n_rows: int, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:

@@ -10,12 +10,12 @@ only reads scalars (is anything unfinished? the maximum group id).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
 from ..operators.bisect import DEFAULT_LOCAL_GROUP_ROWS, divide_groups
-from ..operators.descent import knn_descent
+from ..operators.descent import finish, neighbour_lists
 from ..operators.knn import DEFAULT_BLOCK_ROWS, knn_exact
 from ..operators.labels import assign_labels, class_weights
 from ..operators.purity import compute_finished, init_state, is_finished
@@ -48,16 +48,20 @@ class Params:
     original_features: bool = False  # return the input's features, not the weighted ones
 
 
-def build_knn(state: DataFrame, p: Params, iteration: int = 0) -> DataFrame:
-    """G1 on the unfinished rows: ``(id, nbr, grp, rank, dist, sim)``."""
+def build_knn(state: DataFrame, p: Params, iteration: int = 0, lists: DataFrame | None = None):
+    """G1 on the unfinished rows: ``(id, nbr, grp, rank, dist, sim)``, and the neighbour lists behind it (None for
+    the exact graph).
+
+    ``lists`` of the iteration before seed NN-Descent: what of a row's list is still in its group is scored with the
+    new features, and random rows of the group fill up the rest; buckets are only drawn for the first graph."""
     if p.graph == "exact":
-        return knn_exact(state, p.k, p.block_rows)
+        return knn_exact(state, p.k, p.block_rows), None
     if p.graph == "descent":
-        return knn_descent(state, p.k, max_iter=p.graph_max_iter,
-                           early_termination=p.graph_early_termination,
-                           sample_rate=p.graph_sample_rate, buckets=p.graph_buckets,
-                           seed=p.seed + iteration, block_rows=p.block_rows,
-                           pool=p.graph_pool)
+        pool = max(p.k, p.graph_pool or 5 * p.k)
+        lists = write_table(neighbour_lists(
+            state, pool, p.graph_max_iter, p.graph_early_termination, p.graph_sample_rate,
+            p.graph_buckets if lists is None else 0, p.seed + iteration, p.block_rows, start=lists, stop_k=p.k), "lists")
+        return finish(lists, p.k), lists
     raise ValueError(f"unknown graph method {p.graph!r}")
 
 
@@ -71,9 +75,7 @@ def classify(df: DataFrame, params: Params | None = None, **overrides):
     unlabelled).  Output rows: ``id, features (weighted), label, grp, finished,
     prediction``.
     """
-    p = params or Params()
-    for key, val in overrides.items():
-        setattr(p, key, val)
+    p = replace(params or Params(), **overrides)
     weights = cut_lineage(class_weights(df))
     if weights.isEmpty():
         raise ValueError("the input has no labelled row")
@@ -84,7 +86,7 @@ def classify(df: DataFrame, params: Params | None = None, **overrides):
         if p.validate and frame.count() != n0:
             raise AssertionError(f"row count changed in {stage}")
 
-    i = 0
+    i, lists = 0, None
     while i < p.max_iter and not is_finished(state):
         if p.weight_features:
             weighted = write_table(weight_features(state, p.relief_m, p.relief_k, p.seed + i,
@@ -92,7 +94,11 @@ def classify(df: DataFrame, params: Params | None = None, **overrides):
             discard(state)
             state = weighted
             check(state, "feature weighting")
-        knn = write_table(build_knn(state, p, i), "knn")
+        knn, found = build_knn(state, p, i, lists)
+        knn = write_table(knn, "knn")
+        if lists is not None:
+            discard(lists)
+        lists = found
         divided = divide_groups(state, knn, p.max_steps, p.max_stable, p.tol,
                                 p.local_group_rows)
         divided = write_table(compute_finished(divided, weights, p.gini_impurity, p.k), "state")
