@@ -16,7 +16,9 @@ on the steps that both keep.  Each sample is one byte of a hash of the character
 As text: two hex digits for ``s``, then two per sample, up to the text's end.
 
 ``near_pairs`` bands sampled bits, joins documents that share a band and verifies
-the Hamming likeness of whole fingerprints.
+the Hamming likeness of whole fingerprints.  Two bits of each of the first samples
+travel with a band, so that texts with a common opening and little else are told
+apart inside the join and never become pairs.
 
 The walk runs over many texts at once in numpy; texts are dealt by ranges of
 doc_id, so a document and its successor meet without a global sort.
@@ -244,6 +246,47 @@ def _bands(fingerprint: pd.Series) -> pd.Series:
     return pd.Series([key[a:b].reshape(-1).view(np.int64) for a, b in zip(cut, cut[1:])], dtype=object)
 
 
+#: Samples of a fingerprint whose two planes of bits are its sketch.
+SKETCHED = 128
+#: Columns of a sketch: the planes, as words of 64 samples, and the number of samples.
+PLANES = [f"p{i}" for i in range(SKETCHED // 32)]
+
+
+def _sketches(fingerprint: pd.Series) -> pd.Series:
+    """Per fingerprint and level (its own and the next): the planes of bits of the first
+    samples, how many samples there are, and how many at its own level."""
+    out = []
+    for text in fingerprint:
+        f = bytes.fromhex(text)
+        x = np.frombuffer(f[1:], np.uint8)
+        levels = []
+        for high in (f[0], f[0] + 1):
+            y = x[_kept(f[0], high, len(x))]
+            first = np.zeros(SKETCHED, np.uint8)
+            first[:min(len(y), SKETCHED)] = y[:SKETCHED]
+            planes = np.concatenate([np.packbits((first >> k) & 1) for k in (0, 1)]).view(np.int64)
+            levels.append([*planes.tolist(), len(y), len(x)])
+        out.append(levels)
+    return pd.Series(out, dtype=object)
+
+
+def _may_be_near(least: float):
+    """A pair of likeness ``least`` differs in at most ``1 - least`` of the samples of the longer
+    one, hence in no more of the first ones, nor in their bits (a sample beyond a text's end
+    differs from any).  Two fingerprints that meet at the next level only are held to the
+    bound of their own level, the larger."""
+    def condition():
+        words = len(PLANES) // 2
+        differ = F.lit(0)
+        for i in range(words):
+            bits = F.col(PLANES[i]).bitwiseXOR(F.col(f"_{PLANES[i]}")).bitwiseOR(
+                F.col(PLANES[words + i]).bitwiseXOR(F.col(f"_{PLANES[words + i]}")))
+            differ = differ + F.bit_count(bits)
+        long = F.when(F.col("up") & F.col("_up"), F.greatest("own", "_own")).otherwise(F.greatest("at", "_at"))
+        return F.greatest(differ, F.abs(F.col("at") - F.col("_at"))) <= F.lit(1 - least) * long + F.lit(1e-9)
+    return condition
+
+
 def near_pairs(prints: DataFrame, least: float = LEAST) -> DataFrame:
     """``prints(doc_id, fingerprint, ...)`` with ``class_id`` and ``class_key``: classes
     are components of fingerprints that share a band and are alike by at least
@@ -253,7 +296,18 @@ def near_pairs(prints: DataFrame, least: float = LEAST) -> DataFrame:
     items = write_table(own.groupBy("fingerprint").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
                         .withColumn("item", F.monotonically_increasing_id()), "items")      # equal fingerprints are one item
     bands = F.pandas_udf(_bands, "array<long>")
-    buckets = items.select("item", F.explode(bands("fingerprint")).alias("bucket"))
+    sketches = F.pandas_udf(_sketches, "array<array<long>>")
+    keyed = write_table(items.select("item", bands("fingerprint").alias("keys"), sketches("fingerprint").alias("planes")), "banded")
+    # The first bands are of the fingerprint's own level, the others of the next.
+    buckets = keyed.select("item", F.posexplode("keys").alias("nth", "bucket")).select(
+        "item", "bucket", (F.col("nth") >= BANDS).alias("up"))
+    columns = [*PLANES, "at", "own"]
+
+    def sketched(rows: DataFrame) -> DataFrame:
+        level = F.when(F.col("up"), F.col("planes")[1]).otherwise(F.col("planes")[0])
+        own = small_hint(keyed.select("item", "planes"), keyed.count(), BROADCAST_ROWS // 2)
+        return rows.join(own, "item").select(*rows.columns, *[level[i].alias(c) for i, c in enumerate(columns)])
+
 
     def alike(pairs: DataFrame) -> DataFrame:
         @F.pandas_udf("double")
@@ -264,7 +318,7 @@ def near_pairs(prints: DataFrame, least: float = LEAST) -> DataFrame:
         y = items.select(F.col("item").alias("b"), F.col("fingerprint").alias("y"))
         return pairs.join(x, "a").join(y, "b").filter(near("x", "y") >= least).select("a", "b")
 
-    label = components(bucket_links(buckets, alike))
+    label = components(bucket_links(buckets, alike, sketch=([*columns, "up"], sketched, _may_be_near(least))))
     many = label.count()
     met = items.join(small_hint(label, many, BROADCAST_ROWS), "item", "left")
     # A fingerprint of one row and without links is its row's own class.

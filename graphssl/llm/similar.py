@@ -181,38 +181,51 @@ def _open(rows: DataFrame, label: DataFrame) -> DataFrame:
     return write_table(known.join(mixed, "bucket"), "open")
 
 
-def _between(rows: DataFrame, heads: DataFrame, tested: DataFrame, least: float) -> DataFrame:
+def _between(rows: DataFrame, heads: DataFrame, tested: DataFrame, least: float,
+             sketch: tuple[list[str], Callable, Callable] | None = None) -> DataFrame:
     """The untested pairs of a leader and an item of another component that is not
     smaller, without those that cannot be similar: what two items have in common
     from a shared element on is at most one more than what either has left (their
     first shared element always passes), and they differ in at least as many
-    elements as their sketches do in bits."""
-    lead = heads.select("bucket", *[F.col(c).alias(f"_{c}") for c in ("item", "label", "size", "place", *SKETCH)])
+    elements as their sketches do in bits.  A caller's ``sketch`` says more."""
+    names, _, may_be = sketch or ([], None, lambda: F.lit(True))
+    lead = heads.select("bucket", *[F.col(c).alias(f"_{c}") for c in ("item", "label", "size", "place", *SKETCH, *names)])
     both = F.col("size") + F.col("_size")
     common = F.least(F.col("size") - F.col("place"), F.col("_size") - F.col("_place")) + 1
     differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in SKETCH), F.lit(0))
     met = (rows.join(lead, "bucket")
            .filter((F.col("label") != F.col("_label")) & (F.col("size") >= F.col("_size"))
                    & (common >= F.lit(least / (1 + least)) * both - F.lit(1e-9))
-                   & (differ <= F.lit((1 - least) / (1 + least)) * both + F.lit(1e-9)))
+                   & (differ <= F.lit((1 - least) / (1 + least)) * both + F.lit(1e-9)) & may_be())
            .select(F.least("item", "_item").alias("a"), F.greatest("item", "_item").alias("b")).distinct())
     return write_table(met.join(tested, ["a", "b"], "left_anti"), "pairs")
 
 
 def bucket_links(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame],
-                 refine: Callable[[DataFrame], DataFrame] | None = None, least: float = 0.0) -> DataFrame:
+                 refine: Callable[[DataFrame], DataFrame] | None = None, least: float = 0.0,
+                 sketch: tuple[list[str], Callable, Callable] | None = None) -> DataFrame:
     """``(a, b)`` links between similar items that share a bucket, enough of them to
     connect every component; ``buckets(bucket, item)``; ``alike`` keeps the similar
     rows of ``(a, b)``; ``refine`` gives the rows of ``prefix_elements`` for the items
-    that it is given."""
+    that it is given.  ``sketch`` names columns, adds them to the rows of buckets with more
+    than one item, and gives a condition on them and on the other item's (``_`` before
+    the name) that all similar pairs meet; pairs that do not meet it are never written."""
+    own = sketch[0] if sketch else []
     full = buckets.groupBy("bucket").agg(F.min("item").alias("low"), F.max("item").alias("high")).filter("low != high")
-    rows = write_table(buckets.join(full.select("bucket", F.col("low").alias("a")), "bucket").distinct(), "buckets")
-    tested = write_table(rows.filter("a != item").select("a", F.col("item").alias("b")).distinct(), "pairs")
+    rows = write_table(buckets.join(full.select("bucket", F.col("low").alias("a")), "bucket")
+                       .dropDuplicates(["bucket", "item"]), "buckets")
+    if sketch:
+        rows = write_table(sketch[1](rows), "sketched")
+    first = rows.filter("a != item")
+    if sketch:
+        heads = rows.filter("a = item").select("bucket", *[F.col(c).alias(f"_{c}") for c in own])
+        first = first.join(heads, "bucket").filter(sketch[2]())
+    tested = write_table(first.select("a", F.col("item").alias("b")).distinct(), "pairs")
     links = write_table(alike(tested), "verified")
     label = components(links)
     zero = F.lit(0).cast("long")
     rows = _open(rows.filter("a != item").select(
-        "bucket", "item", *[zero.alias(c) for c in ("size", "place", "rare", *SKETCH)], F.lit(True).alias("lead")), label)
+        "bucket", "item", *own, *[zero.alias(c) for c in ("size", "place", "rare", *SKETCH)], F.lit(True).alias("lead")), label)
     if refine is not None and rows.limit(1).count():
         rows = _open(refine(write_table(rows.select("item").distinct(), "crowd")), label)
     for leaders in chain([2, 16, 128], repeat(512)):    # partial limits need fewer than 1000
@@ -223,7 +236,7 @@ def bucket_links(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame],
         in_order = Window.partitionBy("bucket").orderBy("rare", "item")
         heads = write_table(rows.filter("lead").withColumn("_r", F.row_number().over(in_order))
                             .filter(F.col("_r") <= leaders), "leaders")
-        pairs = _between(rows, heads, tested, least)
+        pairs = _between(rows, heads, tested, least, sketch)
         if pairs.limit(1).count():
             links = links.unionByName(write_table(alike(pairs), "verified"))
             tested = tested.unionByName(pairs)
