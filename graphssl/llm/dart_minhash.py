@@ -16,10 +16,11 @@ Signatures are banded; documents that share a band are compared exactly
 Equal texts are one item from the start.
 
 Defined results: null text counts as empty; texts without words are similar to
-each other only if equal; a text of one to four words is one shingle; rows that
-share a doc_id are one document (its texts are alternatives); a row with a null
-doc_id is never linked, has a null class and is kept; an empty table gives an
-empty table; other columns never matter.
+each other only if equal; a text of one to four words is one shingle; rows without
+doc_id or with a shared one are documents of their own, told apart by a row number
+(null first; rows that share one, by the digest of their text); a class is
+named by the doc_id of its first row, null if that row has none, and ``class_key``
+tells such classes apart; an empty table gives an empty table; other columns never matter.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphssl.llm.common import id_text, mix64, release, shingles, steps, utf8, word_hashes
+from graphssl.llm.common import mix64, numbered, release, shingles, steps, utf8, word_hashes
 from graphssl.llm.similar import BROADCAST_ROWS, components, texts_of, verified_links
 from graphssl.operators.sizing import small_hint
 from graphssl.session import write_table
@@ -116,45 +117,79 @@ def _banded(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int
             keys = list(band_keys(sig, bands, rows))
             some = sig.any(axis=1)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("text_key"),
+                [part.column("doc"), part.column("text_key"),
                  pa.array([x if s else [] for x, s in zip(keys, some)], pa.list_(pa.int64()))],
-                names=["doc_id", "text_key", "bands"])
+                names=["doc", "text_key", "bands"])
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = LEAST,
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, class_id, class_size, kept`` (class_id: the
-    smallest doc_id of the class)."""
-    texts = id_text(docs)
+    """One row per row of ``docs``: ``doc_id, class_id, class_size, kept, class_key``
+    (class_id: the doc_id of the class's first row; class_key: its row number)."""
+    return _classes(numbered(docs), width, least, bands, rows).select(
+        "doc_id", "class_id", "class_size", "kept", "class_key")
+
+
+def _classes(rows_of: tuple[DataFrame, bool], width: int = WIDTH, least: float = LEAST,
+             bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``doc, doc_id, class_key, class_id, class_size, kept`` of rows as :func:`numbered` gives them."""
+    texts, plain = rows_of
     banded = write_table(
-        texts.withColumn("text_key", F.unhex(F.md5("text")))
-        .mapInArrow(lambda it: _banded(it, width, bands, rows), "doc_id long, text_key binary, bands array<long>"),
+        texts.select("doc", "text").withColumn("text_key", F.unhex(F.md5("text")))
+        .mapInArrow(lambda it: _banded(it, width, bands, rows), "doc long, text_key binary, bands array<long>"),
         "banded")
-    # Equal texts (and rows with one doc_id) are one item: the smallest doc_id.
-    copies = (banded.filter("doc_id is not null").groupBy("text_key")
-              .agg(F.min("doc_id").alias("item"), F.max("doc_id").alias("high")).filter("item != high"))
+    # Equal texts are one item: the smallest row.
+    copies = (banded.groupBy("text_key").agg(F.min("doc").alias("item"), F.max("doc").alias("high"))
+              .filter("item != high"))
     copies = write_table(copies, "copies")
-    item = F.coalesce("item", "doc_id")
     known = banded.join(small_hint(copies.select("text_key", "item"), copies.count(), BROADCAST_ROWS), "text_key", "left")
-    shared = write_table(known.filter("item is not null and item != doc_id").select(
-        F.col("item").alias("a"), F.col("doc_id").alias("b")), "shared")
-    buckets = (known.filter("doc_id is not null").filter("item is null or item = doc_id")
-               .select(F.col("doc_id").alias("item"), F.explode("bands").alias("bucket")))
-    links = verified_links(buckets, texts_of(texts.withColumnRenamed("doc_id", "item")), width, least)
+    shared = write_table(known.filter("item is not null and item != doc").select(
+        F.col("item").alias("a"), F.col("doc").alias("b")), "shared")
+    buckets = (known.filter("item is null or item = doc")
+               .select(F.col("doc").alias("item"), F.explode("bands").alias("bucket")))
+    links = verified_links(buckets, texts_of(texts.select(F.col("doc").alias("item"), "text")), width, least)
     label = components(links.unionByName(shared))
-    out = banded.select("doc_id").join(
-        small_hint(label, label.count(), BROADCAST_ROWS).withColumnRenamed("item", "doc_id"), "doc_id", "left")
-    out = write_table(out.select("doc_id", F.coalesce("label", "doc_id").alias("class_id")), "classes")
-    size = out.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")).filter("class_size > 1")
+    out = banded.select("doc").join(
+        small_hint(label, label.count(), BROADCAST_ROWS).withColumnRenamed("item", "doc"), "doc", "left")
+    out = write_table(out.select("doc", F.coalesce("label", "doc").alias("class_key")), "classes")
+    size = out.groupBy("class_key").agg(F.count(F.lit(1)).alias("class_size")).filter("class_size > 1")
     size = write_table(size, "sizes")
-    return out.join(small_hint(size, size.count(), BROADCAST_ROWS), "class_id", "left").select(
-        "doc_id", "class_id", F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"),
-        F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    out = out.join(small_hint(size, size.count(), BROADCAST_ROWS), "class_key", "left").select(
+        "doc", "class_key", F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"),
+        (F.col("doc") == F.col("class_key")).alias("kept"))
+    if plain:
+        return out.select(F.col("doc"), F.col("doc").alias("doc_id"), "class_key", F.col("class_key").alias("class_id"),
+                          "class_size", "kept")
+    # Names of the classes of several rows; any other row names its own.
+    ids = texts.select("doc", "doc_id")
+    first = write_table(ids.join(out.filter("kept and class_size > 1").select("doc"), "doc").select(
+        F.col("doc").alias("class_key"), F.col("doc_id").alias("class_id")), "first")
+    named = out.join(ids, "doc").join(small_hint(first, first.count(), BROADCAST_ROWS), "class_key", "left")
+    return named.select("doc", "doc_id", "class_key",
+                        F.when(F.col("kept"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+                        "class_size", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` whose document represents its class."""
-    gone = near_duplicates(docs, **how).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = write_table(gone, "gone")
-    return docs.join(small_hint(gone, gone.count(), BROADCAST_ROWS),
-                     F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` that represent their class, with their columns as they are."""
+    rows_of = numbered(docs)
+    gone = _classes(rows_of, **how).filter("not kept")
+    if rows_of[1]:
+        gone = write_table(gone.select(F.col("doc").alias("_gone")), "gone")
+        return docs.join(small_hint(gone, gone.count(), BROADCAST_ROWS),
+                         docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    # Rows are not told apart by doc_id: of each (doc_id, text) as many go as the classes lose.
+    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    lost = write_table(gone.select("doc").join(rows_of[0], "doc").groupBy(
+        F.col("doc_id").alias("_id"), digest.alias("_text")).agg(F.count(F.lit(1)).alias("_lost")), "gone")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("id"), digest.alias("key"))
+    met = packed.join(small_hint(lost, lost.count(), BROADCAST_ROWS // 4),
+                      F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_text")), "left")
+    alone = met.filter("_lost is null").select("row.*")
+    # Equal texts are of one class, so at most one row of a (doc_id, text) stays: the one
+    # with the smallest content.
+    had = met.filter("_lost is not null").groupBy("id", "key").agg(
+        F.count(F.lit(1)).alias("n"), F.max("_lost").alias("lost"),
+        F.min_by("row", F.md5(F.to_json("row").cast("binary"))).alias("row"))
+    return alone.unionByName(had.filter("n > lost").select("row.*"))

@@ -158,25 +158,58 @@ def test_near_classes_keep_rows_without_doc_id(make):
     assert len({x["class_key"] for x in got}) == 3
 
 
+def test_near_classes_against_all_pairs(spark):
+    """The components of all pairs that share a band and are alike; among them a crowd of
+    texts with the same opening."""
+    r = np.random.default_rng(9)
+    text = lambda n: "".join(r.choice(list("abcdefghij "), n))
+    opening, texts = text(900), []
+    texts += [opening + text(int(n)) for n in r.integers(100, 2200, 120)]
+    for _ in range(30):
+        t = text(int(r.integers(40, 1500)))
+        texts += [t, t + text(len(t) // 10), t[: len(t) * 9 // 10], text(len(t) // 8) + t]
+    prints = edit_fingerprint.walk(texts)
+    keys = edit_fingerprint._bands(pd.Series([p.hex() for p in prints]))
+    bands = [set(k) for k in keys]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts))
+             if prints[a] == prints[b] or bands[a] & bands[b] and edit_fingerprint.likeness(prints[a], prints[b]) >= 0.8]
+    want = classes(set(range(len(texts))), pairs)
+    df = spark.createDataFrame([(i, p.hex()) for i, p in enumerate(prints)], "doc_id long, fingerprint string")
+    got = {x["doc_id"]: x["class_id"] for x in edit_fingerprint.near_pairs(df).collect()}
+    assert got == want and 30 < len(set(want.values())) < len(texts)
+
+
 # -- near-duplicates --------------------------------------------------------------------------------------------
 
 def near_expected(rows):
-    s = [(i, shingles(t), t) for i, t in rows if i is not None]
-    same = [(a[0], b[0]) for k, a in enumerate(s) for b in s[k + 1:] if a[2] == b[2] or alike(a[1], b[1])]
-    return classes({i for i, _, _ in s}, same)
+    """``(doc_id, class_id, class_size, kept)`` of every row, by all pairs of rows."""
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).hexdigest()))
+    s = [(shingles(t or ""), t or "") for _, t in rows]
+    same = [(a, b) for a in range(len(s)) for b in range(a + 1, len(s)) if s[a][1] == s[b][1] or alike(s[a][0], s[b][0])]
+    of = classes(set(range(len(s))), same)
+    size = Counter(of.values())
+    return Counter((rows[k][0], rows[of[k]][0], size[of[k]], of[k] == k) for k in range(len(rows)))
 
 
 @pytest.mark.parametrize("which", ["odd", "some", "none"])
 def test_near_duplicates(which, request):
     df = request.getfixturevalue(which)
-    rows = docs_of(df)
-    want = near_expected(rows)
-    size = Counter(want[i] for i, _ in rows if i is not None)
+    want = near_expected(docs_of(df))
     got = Counter(map(tuple, dart_minhash.near_duplicates(df).select("doc_id", "class_id", "class_size", "kept").collect()))
-    assert got == Counter((i, want.get(i), size[want[i]] if i is not None else 1, i is None or want[i] == i) for i, _ in rows)
+    assert got == want
     kept = dart_minhash.drop_near_duplicates(df)
     assert kept.columns == df.columns
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(i for i, _ in rows if i is None or want[i] == i)
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r[0] for r in want.elements() if r[3])
+
+
+def test_rows_without_doc_id_are_near_duplicates(make):
+    words = [f"w{i}" for i in range(100)]
+    t, u = " ".join(words), " ".join([*words[:99], "other"])
+    df = make([(1, t, "s"), (None, u, "s"), (None, u, "s"), (1, u, "s"), (1, t, "s"), (2, "alone here", "s")])
+    assert Counter(map(tuple, dart_minhash.near_duplicates(df).select("doc_id", "class_id", "class_size", "kept").collect())) \
+        == near_expected(docs_of(df))
+    assert Counter((r["doc_id"], r["text"]) for r in dart_minhash.drop_near_duplicates(df).collect()) == Counter(
+        [(None, u), (2, "alone here")])
 
 
 @pytest.mark.parametrize("refined", [False, True])
