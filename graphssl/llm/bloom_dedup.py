@@ -38,6 +38,8 @@ ROWS_PER_WORD = 4
 CHUNK = 1 << 14
 #: Rows of 16 bytes that the second plane may have to be broadcast.
 BROADCAST_ROWS = 4_000_000
+#: Rows of a doc_id and a digest that may be broadcast.
+DIGEST_ROWS = 500_000
 
 
 def normalised(text: Column) -> Column:
@@ -160,14 +162,21 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns as they are."""
-    keyed = docs.withColumn("_sha", F.sha2(normalised(F.col("text")), 256))
-    gone = (exact_duplicates(docs).groupBy("doc_id", "text_sha256", "keep_id")
-            .agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("kept").cast("long")).alias("_k"))
-            .filter("_n > _k").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_s"), "_k"))
-    same = (F.col("_sha") == F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    met = keyed.join(gone, same, "left")
-    stay = met.filter("_s is null").select(docs.columns)
-    # Repeated rows with one doc_id and one text: one of them stays.
-    one = met.filter("_k > 0").dropDuplicates(["doc_id", "_sha"]).select(docs.columns)
-    return stay.unionByName(one)
+    """The rows of ``docs`` that stay, with their columns as they are.
+
+    Rows travel only where a doc_id and a text stand in several rows (the one with
+    the smallest content stays).  The others meet the digests of the rows that go, a
+    table of few columns, broadcast while it is small."""
+    found = (exact_duplicates(docs).groupBy("doc_id", "text_sha256")
+             .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("kept").cast("long")).alias("kept"))
+             .filter("n > kept"))
+    gone = write_table(found.select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_key"),
+                                    (F.col("kept") > 0).alias("_one")), "gone")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("id"),
+                         F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("key"))
+    met = packed.join(small_hint(gone, gone.count(), DIGEST_ROWS),
+                      F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
+    one = (met.filter("_one").groupBy("id", "key")
+           .agg(F.min_by("row", F.md5(F.to_json("row").cast("binary"))).alias("row")))
+    return met.filter("_one is null").select("row.*").unionByName(one.select("row.*"))

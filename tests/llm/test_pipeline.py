@@ -42,7 +42,7 @@ def test_stages(spark):
 
 def test_one_query_per_operator():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(queries.SQL) <= set(queries.QUERIES)
 
 
