@@ -72,7 +72,7 @@ class MergeAutomaton:
         self.born: dict[int, int] = {}          # the gadget that made the label
         self.lost: dict[tuple[int, int], int] = {}   # (state, label) -> the gadget that took the arc away
         self.alive = {labels[i]: i for i in byte_ids}
-        self.table: dict[tuple[int, int], bool] = {}
+        self.table: dict[int, bool] = {}         # state * 2^32 + label
 
     def gadget(self, rank: int, a: int, b: int, c: int) -> None:
         if c in self.born or (a, b) in self.lost:
@@ -106,11 +106,12 @@ class MergeAutomaton:
             copied, state = born[state], right[state]
 
     def arc(self, state: int, label: int) -> bool:
-        known = self.table.get((state, label))
+        key = (state << 32) | label
+        known = self.table.get(key)
         if known is None:
             if len(self.table) >= CACHE_ARCS:
                 self.table.clear()
-            known = self.table[state, label] = self._arc(state, label)
+            known = self.table[key] = self._arc(state, label)
         return known
 
     def finish(self) -> None:
@@ -131,7 +132,7 @@ class MergeAutomaton:
                 label = alive(word[begin:end])
                 if label is None:
                     break
-                if label != PREFIX and (not begin or known((state, label)) or arc(state, label)):
+                if label != PREFIX and (not begin or known((state << 32) | label) or arc(state, label)):
                     reached[end] = label
         out = []
         while n:

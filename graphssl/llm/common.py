@@ -6,6 +6,8 @@ White space is the ASCII set ``[\\x20\\x09-\\x0D]`` everywhere in this package.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +31,20 @@ _HELD: dict = {}
 def held(key: str, make):
     """The object of ``key``, made once per worker and kept until another is asked for."""
     if key not in _HELD:
-        _HELD.clear()
+        release()
         _HELD[key] = make()
     return _HELD[key]
 
 
 def release() -> None:
-    """Frees what another operator has kept in this worker."""
+    """Frees what another operator has kept in this worker, and gives the memory back."""
     _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):       # not every C library has it
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
