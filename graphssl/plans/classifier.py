@@ -4,13 +4,14 @@ Each outer iteration: ReliefF weights per unfinished group -> kNN graph inside
 the groups -> bisection of every unfinished group -> stopping rule.  Lineage is
 cut after each stage by writing the state (and the kNN table) as parquet into
 the shared checkpoint folder, so a lost executor only recomputes the current
-stage and the many scans of the state read only the columns they need.  The loop body never collects rows; the driver
+stage and the many scans of the state read only the columns they need.  A named run also
+survives the loss of its driver: see ``resume``.  The loop body never collects rows; the driver
 only reads scalars (is anything unfinished? the maximum group id).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame
 
@@ -20,7 +21,8 @@ from ..operators.knn import DEFAULT_BLOCK_ROWS, knn_exact
 from ..operators.labels import assign_labels, class_weights
 from ..operators.purity import compute_finished, init_state, is_finished
 from ..operators.relief import weight_features
-from ..session import cut_lineage, discard, write_table
+from ..session import (cut_lineage, discard, load_manifest, read_reference, save_manifest, table_reference,
+                       write_table)
 
 
 @dataclass
@@ -65,9 +67,22 @@ def build_knn(state: DataFrame, p: Params, iteration: int = 0, lists: DataFrame
     raise ValueError(f"unknown graph method {p.graph!r}")
 
 
-def classify(df: DataFrame, params: Params | None = None, **overrides):
+#: Parameters that may change between the parts of a resumed run.
+FREE = ("max_iter", "validate", "original_features")
+
+
+def _settings(p: Params) -> dict:
+    return {k: v for k, v in asdict(p).items() if k not in FREE}
+
+
+def classify(df: DataFrame, params: Params | None = None, resume: str | None = None, **overrides):
     """``(predictions, iterations)``.
 
+    ``resume`` names a run.  After every iteration a manifest of the state and the neighbour lists is
+    written beside the checkpoint folders (``<spark.checkpoint.dir>/runs/<name>``), and a call
+    with the name of a run that was cut off goes on after its last whole iteration, in any application
+    that sees that folder.  The input must be the same table; other parameters than ``FREE`` raise.
+
     With ``original_features`` the output carries the input's features instead of
     the weighted ones (a join on ``id``).
 
@@ -79,34 +94,47 @@ def classify(df: DataFrame, params: Params | None = None, **overrides):
     weights = cut_lineage(class_weights(df))
     if weights.isEmpty():
         raise ValueError("the input has no labelled row")
-    state = write_table(compute_finished(init_state(df), weights, p.gini_impurity, p.k), "state")
-    n0 = state.count() if p.validate else None
+    spark = df.sparkSession
+    last = load_manifest(spark, resume) if resume else None
+    i, lists = 0, None
+    if last is not None:
+        i, manifest = last
+        if manifest["settings"] != _settings(p):
+            raise ValueError(f"run {resume!r} was begun with other parameters")
+        state, lists = (read_reference(spark, manifest[k]) for k in ("state", "lists"))
+    else:
+        state = write_table(compute_finished(init_state(df), weights, p.gini_impurity, p.k), "state")
+    n0 = df.count() if p.validate else None
 
     def check(frame, stage):
         if p.validate and frame.count() != n0:
             raise AssertionError(f"row count changed in {stage}")
 
-    i, lists = 0, None
     while i < p.max_iter and not is_finished(state):
+        old = []                    # what the manifest before refers to goes after the next one is written
         if p.weight_features:
             weighted = write_table(weight_features(state, p.relief_m, p.relief_k, p.seed + i,
                                                    p.block_rows), "weighted")
-            discard(state)
+            old.append(state)
             state = weighted
             check(state, "feature weighting")
         knn, found = build_knn(state, p, i, lists)
         knn = write_table(knn, "knn")
         if lists is not None:
-            discard(lists)
+            old.append(lists)
         lists = found
         divided = divide_groups(state, knn, p.max_steps, p.max_stable, p.tol,
                                 p.local_group_rows)
         divided = write_table(compute_finished(divided, weights, p.gini_impurity, p.k), "state")
-        discard(state)
-        discard(knn)
+        old += [state, knn]
         state = divided
         check(state, "graph division")
         i += 1
+        if resume:
+            save_manifest(spark, resume, i, {"settings": _settings(p), "state": table_reference(state),
+                                             "lists": None if lists is None else table_reference(lists)})
+        for table in old:
+            discard(table)
     if p.validate and i < p.max_iter and not is_finished(state):   # C4
         raise AssertionError("loop ended with unfinished rows")
     out = assign_labels(state)

@@ -8,12 +8,14 @@ without that setting gets a scratch folder of its own.
 
 from __future__ import annotations
 
+import json
 import os
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
@@ -128,6 +130,56 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def table_reference(df: DataFrame) -> dict | None:
+    """Folder and schema of a table of :func:`write_table`, for a manifest; None for a table without files."""
+    files = df.inputFiles()
+    return {"path": files[0].rsplit("/", 1)[0], "schema": df.schema.jsonValue()} if files else None
+
+
+def read_reference(spark: SparkSession, reference: dict | None) -> DataFrame | None:
+    """The table that :func:`table_reference` described, also in another application."""
+    if reference is None:
+        return None
+    return spark.read.schema(StructType.fromJson(reference["schema"])).parquet(reference["path"])
+
+
+def _run_folder(spark: SparkSession, run: str):
+    """File system and folder of a named run.  Spark gives every application a folder of its own below the
+    configured one; a run lies beside them, so that another application finds it."""
+    if not run or "/" in run or run.startswith("."):
+        raise ValueError(f"not a name of a run: {run!r}")
+    base = ensure_checkpoint_dir(spark).rstrip("/").rsplit("/", 1)[0]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/runs/{run}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def save_manifest(spark: SparkSession, run: str, step: int, content: dict) -> None:
+    """Write the manifest of a step.  It appears whole or not at all: the file is written under another name and
+    then renamed.  A step that has a manifest is an error (two drivers on one run)."""
+    fs, folder = _run_folder(spark, run)
+    new_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    final, draft = new_path(folder, f"step-{step:08d}.json"), new_path(folder, f".draft-{uuid.uuid4().hex}")
+    out = fs.create(draft)
+    out.write(json.dumps(content).encode())
+    out.close()
+    if fs.exists(final) or not fs.rename(draft, final):
+        fs.delete(draft, False)
+        raise RuntimeError(f"step {step} of run {run!r} has been written by another driver")
+
+
+def load_manifest(spark: SparkSession, run: str) -> tuple[int, dict] | None:
+    """The last step of a run and its manifest, or None."""
+    fs, folder = _run_folder(spark, run)
+    if not fs.exists(folder):
+        return None
+    names = [f.getPath().getName() for f in fs.listStatus(folder)]
+    steps = sorted(n for n in names if n.startswith("step-") and n.endswith(".json"))
+    if not steps:
+        return None
+    text = spark.read.text(f"{folder.toString()}/{steps[-1]}", wholetext=True).first()[0]
+    return int(steps[-1][len("step-"):-len(".json")]), json.loads(text)
+
+
 _SHIPPED: set[str] = set()
 
 
