@@ -1,13 +1,19 @@
 """Substring dedup by MinHash banding of paragraphs.
 
-A paragraph is a line with a word.  Its MinHash signature over five-word shingles is
+A paragraph is a line with a word, or a sentence of five words or more of a line that has more than that
+sentence (a sentence ends after ``.``, ``!`` or ``?`` before white space, or with its line), so that
+passages set into longer lines are found.  Its MinHash signature over five-word shingles is
 banded; ``tuned`` picks the bands so that a pair at the threshold shares one with
-probability ``RECALL`` or more.  A line of so few shingles that only equal shingles
+probability ``RECALL`` or more.  A paragraph of so few shingles that only equal shingles
 reach the threshold has one band, a hash of them all; a line of fewer than five words
 is one shingle, so that it is like equal lines only.  Paragraphs that share a band are
 compared exactly (Jaccard similarity of their shingles), and the links'
 components are clusters.  Of a cluster the first paragraph (smallest doc_id, then
-place) stays; the others are removed from their documents.
+place) stays.  Other lines are removed from their documents; other sentences are where a
+run of repeated paragraphs has ``RUN_WORDS`` words (a single repeated sentence is no copied passage).
+
+A first pass over the texts packs all keys into eight bytes each and finds those that several paragraphs
+have; a second pass writes the paragraphs that have one of these, and nothing of the others.
 
 Equal paragraphs (same words) are one item from the start, so a line that many
 documents share never forms pairs.
@@ -21,9 +27,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +45,14 @@ from graphssl.session import write_table
 WIDTH, LEAST, RECALL = 5, 0.8, 0.995
 #: Removed lines of so many words are counted as paragraphs, shorter ones apart.
 LONG_WORDS = 20
+#: Words of a run of repeated sentences that goes.
+RUN_WORDS = 40
 #: Bands that a paragraph may have at most.
 MOST_BANDS = 8
+#: Codes that a task packs together, documents per chunk of codes, codes that may be broadcast (8 bytes each).
+PACKED_CODES, CHUNK_DOCS, CODE_ROWS = 2_000_000, 20_000, 4_000_000
+
+_STOP = np.isin(np.arange(256), list(b".!?"))
 
 
 def tuned(least: float = LEAST, recall: float = RECALL, most: int = MOST_BANDS) -> tuple[int, int]:
@@ -62,94 +76,207 @@ def minhash(hashes: np.ndarray, row: np.ndarray, n_rows: int, k: int) -> np.ndar
     return out
 
 
-def _lines(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    names = ["doc", "place", "begin", "size", "words", "line_key", "bands"]
+def _signed(h: np.ndarray, unit: np.ndarray, n: int, bands: int, rows: int) -> tuple[np.ndarray, ...]:
+    """Per unit of words: 16-byte key, band keys, number of bands; ``unit`` ascends and holds every unit."""
+    n_words = np.bincount(unit, minlength=n)
+    s, of = shingles(h, unit, n, WIDTH)
+    sig = minhash(s, of, n, bands * rows)
+    keys = np.zeros((n, bands), np.uint64)
+    for b in range(bands):
+        key = np.full(n, b + 1, np.uint64)
+        for r in range(rows):
+            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, b * rows + r])
+        keys[:, b] = key
+    n_shingles = np.bincount(of, minlength=n)
+    whole = np.add.reduceat(mix64(s), np.searchsorted(of, np.arange(n)))
+    few = n_shingles < (LEAST - 1e-9) * (n_shingles + 1)
+    keys[few, 0] = whole[few]
+    at = np.searchsorted(unit, np.arange(n + 1))
+    key = np.frombuffer(b"".join(hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest()
+                                 for a, b in zip(at, at[1:])), np.uint64).reshape(n, 2)
+    return key, keys, np.where(n_words < WIDTH, 0, np.where(few, 1, bands))     # equal short lines are one item
+
+
+def _units(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[tuple]:
+    """``(doc, begin, end, words, whole, key, band keys, bands)`` arrays: the lines of some rows,
+    then the sentences of lines that have several."""
     for batch in batches:
         ids = batch.column("doc").to_numpy(zero_copy_only=False)
         _, off = utf8(batch.column("text"))
         for i, j in steps(off):
             data, o = utf8(batch.column("text").slice(i, j - i))
             ends = np.flatnonzero(data == 10)
-            cut = np.unique(np.concatenate([o, ends, ends + 1]))
-            # Every stretch between two cuts is a line (or a line end, without words).
-            line_row = np.searchsorted(o, cut[:-1], "right") - 1
-            h, line = word_hashes(data, cut)
-            n_words = np.bincount(line, minlength=max(0, len(cut) - 1))
-            keep = np.flatnonzero(n_words > 0)
-            if not len(keep):
-                continue
-            new = np.full(len(n_words), -1)
-            new[keep] = np.arange(len(keep))
-            mine = new[line] >= 0
-            h, line = h[mine], new[line[mine]]
-            s, line_of = shingles(h, line, len(keep), WIDTH)
-            sig = minhash(s, line_of, len(keep), bands * rows)
-            keys = np.zeros((len(keep), bands), np.uint64)
-            for b in range(bands):
-                key = np.full(len(keep), b + 1, np.uint64)
-                for r in range(rows):
-                    key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, b * rows + r])
-                keys[:, b] = key
-            n_shingles = np.bincount(line_of, minlength=len(keep))
-            whole = np.add.reduceat(mix64(s), np.searchsorted(line_of, np.arange(len(keep))))
-            few = n_shingles < (LEAST - 1e-9) * (n_shingles + 1)
-            shared = np.where(n_words[keep] < WIDTH, 0, np.where(few, 1, bands))     # equal lines are one item
-            keys[few, 0] = whole[few]
-            at = np.searchsorted(line, np.arange(len(keep) + 1))
-            key = [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() for a, b in zip(at, at[1:])]
-            row = line_row[keep]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(ids[i + row]), pa.array(cut[keep] - o[row]), pa.array(cut[keep] - o[row]),
-                pa.array(cut[keep + 1] - cut[keep]), pa.array(n_words[keep].astype(np.int64)), pa.array(key, pa.binary()),
-                pa.array([k[:n] for k, n in zip(keys.view(np.int64), shared)], pa.list_(pa.int64()))], names=names)
+            lines = np.unique(np.concatenate([o, ends, ends + 1]))
+            white = (data == 32) | ((data >= 9) & (data <= 13))
+            stops = np.flatnonzero(_STOP[data[:-1]] & white[1:]) + 1
+            cut = np.unique(np.concatenate([lines, stops]))
+            h, part = word_hashes(data, cut)
+            line_of = np.searchsorted(lines, cut[:-1], "right") - 1
+            in_part = np.bincount(part, minlength=len(cut) - 1)
+            in_line = np.bincount(line_of[part], minlength=len(lines) - 1)
+            for whole, at, count, unit, keep in (
+                    (True, lines, in_line, line_of[part], in_line > 0),
+                    (False, cut, in_part, part, (in_part >= WIDTH) & (in_part < in_line[line_of]))):
+                keep = np.flatnonzero(keep)
+                if not len(keep):
+                    continue
+                new = np.full(len(count), -1)
+                new[keep] = np.arange(len(keep))
+                mine = new[unit] >= 0
+                signed = _signed(h[mine], new[unit[mine]], len(keep), bands, rows)
+                row = np.searchsorted(o, at[keep], "right") - 1
+                yield (ids[i + row], at[keep] - o[row], at[keep + 1] - o[row], count[keep], whole, *signed)
+
+
+def _codes(key: np.ndarray, keys: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """48-bit codes of all keys of the units, unit by unit (even: the unit's words, odd: a band),
+    the unit of each, and where each unit's codes begin."""
+    every = np.concatenate([key[:, :1], keys], axis=1)
+    there = np.arange(every.shape[1]) <= shared[:, None]
+    code = (every >> np.uint64(16)) * np.uint64(2) + (np.arange(every.shape[1]) > 0).astype(np.uint64)
+    return code[there], np.repeat(np.arange(len(key)), shared + 1), np.concatenate([[0], np.cumsum(shared + 1)])
+
+
+def _packed(batches: Iterator[pa.RecordBatch], bands: int, rows: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """``(chunk, packed)``: the codes of a task, each with 24 bits of its unit's key, by their first ``bits`` bits
+    and kind.  Of equal entries a task sends two for a unit's words, one for a band."""
+    held, size = [], 0
+
+    def flush():
+        code, tag = (np.concatenate(x) for x in zip(*held))
+        low = np.uint64(48 - bits)
+        kind = code & np.uint64(1)
+        chunk = (code >> np.uint64(1) >> low) * np.uint64(2) + kind
+        value = ((code >> np.uint64(1)) & ((np.uint64(1) << low) - np.uint64(1))) << np.uint64(24) | np.where(kind == 1, tag, np.uint64(0))
+        order = np.lexsort((value, chunk))
+        chunk, value = chunk[order], value[order]
+        same = np.concatenate([[False], (chunk[1:] == chunk[:-1]) & (value[1:] == value[:-1])])
+        third = same & np.concatenate([[False], same[:-1]])
+        keep = ~np.where(chunk & np.uint64(1) == 1, same, third)
+        chunk, value = chunk[keep], value[keep]
+        head = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
+        return pa.RecordBatch.from_arrays([pa.array(chunk[head].astype(np.int64)), pa.array(
+            [value[a:b].tobytes() for a, b in zip(head, np.append(head[1:], len(value)))], pa.binary())], names=["chunk", "packed"])
+
+    for *_, key, keys, shared in _units(batches, bands, rows):
+        code, unit, _ = _codes(key, keys, shared)
+        held.append((code, key[unit, 1] & np.uint64((1 << 24) - 1)))
+        size += len(code)
+        if size >= PACKED_CODES:
+            yield flush()
+            held, size = [], 0
+    if held:
+        yield flush()
+
+
+def _twice(bits: int):
+    def of(chunk: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        kind = int(chunk[0]) & 1
+        value = np.sort(np.frombuffer(b"".join(pdf["packed"]), np.uint64))
+        if kind:                    # a band counts once per key
+            value = value[np.concatenate([[True], value[1:] != value[:-1]])]
+        low = value >> np.uint64(24)
+        code = np.unique(low[1:][low[1:] == low[:-1]])
+        code = (np.uint64((int(chunk[0]) >> 1) << (48 - bits)) + code) * np.uint64(2) + np.uint64(kind)
+        return pd.DataFrame({"code": code.astype(np.int64)})
+    return of
+
+
+def repeated_codes(texts: DataFrame, bands: int, rows: int) -> DataFrame:
+    """``(code)`` of the words that several units have, and of the bands that units of different words share.
+
+    Only packed codes move, eight bytes each; a code with many units leaves a task as two entries at most."""
+    bits = max(8, math.ceil(math.log2(max(1, texts.count()) / CHUNK_DOCS + 1)))
+    packed = texts.select("doc", "text").mapInArrow(lambda it: _packed(it, bands, rows, bits), "chunk long, packed binary")
+    return write_table(packed.groupBy("chunk").applyInPandas(_twice(bits), "code long"), "codes")
+
+
+def _lines(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    for doc, begin, end, words, whole, key, keys, shared in _units(batches, bands, rows):
+        code, _, at = _codes(key, keys, shared)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(doc), pa.array(begin), pa.array(end - begin), pa.array(words.astype(np.int64)),
+            pa.array(np.full(len(doc), whole)), pa.array([k.tobytes() for k in key], pa.binary()),
+            pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(code.astype(np.int64)))], names=UNIT + ["codes"])
+
+
+UNIT = ["doc", "begin", "size", "words", "whole", "line_key"]
 
 
 def repeated_paragraphs(docs: DataFrame, rows_of: tuple[DataFrame, bool] | None = None) -> DataFrame:
-    """``(doc, begin, size, words, first_doc_id)`` of every paragraph that goes, in bytes of the
-    text of row ``doc`` (see :func:`numbered`), with the document whose paragraph stays instead."""
+    """``(doc, begin, size, words, whole, first_doc_id)`` of every line (``whole``) and sentence that repeats an
+    earlier one, in bytes of the text of row ``doc`` (see :func:`numbered`), with the document of the first."""
     bands, rows = tuned()
     texts, plain = rows_of or numbered(docs)
-    lines = write_table(
-        texts.select("doc", "text").mapInArrow(
-            lambda it: _lines(it, bands, rows),
-            "doc long, place long, begin long, size long, words long, line_key binary, bands array<long>")
-        .withColumn("line", F.monotonically_increasing_id()), "lines")
-    first = F.min(F.struct("doc", "place", "line", "begin", "size"))
-    copies = (lines.groupBy("line_key").agg(first.alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-              .select("line_key", F.col("f.line").alias("item")))
-    copies = write_table(copies, "copies")
-    known = lines.join(small_hint(copies, copies.count(), BROADCAST_ROWS), "line_key", "left")
-    items = known.filter("item is null or item = line")
-    buckets = items.select(F.col("line").alias("item"), F.explode("bands").alias("bucket"))
+    codes = repeated_codes(texts, bands, rows)
+    units = texts.select("doc", "text").mapInArrow(
+        lambda it: _lines(it, bands, rows),
+        "doc long, begin long, size long, words long, whole boolean, line_key binary, codes array<long>")
+    hits = write_table(units.select(*UNIT, F.explode("codes").alias("code")).join(
+        small_hint(codes, codes.count(), CODE_ROWS), "code", "left_semi"), "hits")
+    lines = write_table(hits.select(UNIT).distinct(), "lines")
+    place = F.struct("doc", "begin", (-F.col("size")).alias("less"))       # a line before its first sentence
+    items = write_table(lines.groupBy("line_key").agg(F.min(place).alias("f"))
+                        .select("line_key", F.monotonically_increasing_id().alias("item"), F.col("f.doc").alias("doc"),
+                                F.col("f.begin").alias("begin"), (-F.col("f.less")).alias("size")), "items")
+    item_of = small_hint(items.select("line_key", "item"), items.count(), BROADCAST_ROWS)
+    buckets = hits.filter("code % 2 = 1").select("line_key", F.col("code").alias("bucket")).distinct().join(
+        item_of, "line_key").select("item", "bucket")
 
     def fetch(need: DataFrame) -> DataFrame:
-        at = lines.select(F.col("line").alias("item"), "doc", "begin", "size").join(
-            small_hint(need, need.count(), BROADCAST_ROWS), "item")
+        n = need.count()
+        at = write_table(items.drop("line_key").join(small_hint(need, n, BROADCAST_ROWS), "item"), "at")
         raw = F.encode("text", "UTF-8")
-        met = texts.join(small_hint(at, need.count(), BROADCAST_ROWS), "doc")
+        met = texts.join(small_hint(at, n, BROADCAST_ROWS), "doc")
         return met.select("item", "n", F.decode(F.substring(raw, F.col("begin").cast("int") + 1, F.col("size").cast("int")),
-                                                "UTF-8").alias("text")).dropDuplicates(["item"])
+                                                "UTF-8").alias("text"))
 
     links = verified_links(buckets, fetch, WIDTH, LEAST)
     label = components(links)
-    clustered = known.withColumn("item", F.coalesce("item", "line")).join(
+    clustered = lines.join(item_of, "line_key").join(
         small_hint(label, label.count(), BROADCAST_ROWS), "item", "left").select(
-        F.coalesce("label", "item").alias("cluster"), "doc", "place", "begin", "size", "words")
+        F.coalesce("label", "item").alias("cluster"), *UNIT[:-1])
     clustered = write_table(clustered, "clustered")
-    head = clustered.groupBy("cluster").agg(F.min(F.struct("doc", "place")).alias("f"),
-                                            F.count(F.lit(1)).alias("n")).filter("n > 1")
-    head = head.select("cluster", F.col("f.doc").alias("first"), F.col("f.place").alias("first_place"))
+    head = clustered.groupBy("cluster").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    head = head.select("cluster", F.col("f.doc").alias("first"), F.col("f.begin").alias("first_begin"),
+                       (F.col("f.begin") - F.col("f.less")).alias("first_end"))
     head = head.withColumn("first_doc_id", F.col("first")) if plain else head.join(
         texts.select(F.col("doc").alias("first"), F.col("doc_id").alias("first_doc_id")), "first")
     head = write_table(head, "heads")
+    # A line and its own sentence do not repeat each other.
     return (clustered.join(small_hint(head, head.count(), BROADCAST_ROWS), "cluster")
-            .filter("doc != first or place != first_place")
-            .select("doc", "begin", "size", "words", "first_doc_id"))
+            .filter("doc != first or begin >= first_end or begin + size <= first_begin")
+            .select(*UNIT[:-1], "first_doc_id"))
 
 
 RESULT = "doc_id long, n_bytes long, n_paragraphs_removed long, n_short_lines_removed long, n_removed long, first_doc_ids array<long>, kept_sha256 string"
 
 
+def removed_spans(raw: bytes, gone: list[dict]) -> tuple[list[dict], int, int]:
+    """What goes of a text, how many paragraphs that is (lines of ``LONG_WORDS``, runs of sentences of
+    ``RUN_WORDS``), and how many shorter lines.  A run is a stretch of repeated units with fewer than ``WIDTH``
+    words between neighbours; its sentences go if its units have ``RUN_WORDS`` words together."""
+    lines = [g for g in gone if g["whole"]]
+    inside = sorted((g["begin"], g["begin"] + g["size"]) for g in lines)
+    begins = [b for b, _ in inside]
+
+    def free(g):
+        k = bisect_right(begins, g["begin"]) - 1
+        return k < 0 or inside[k][1] <= g["begin"]
+
+    parts = sorted(lines + [g for g in gone if not g["whole"] and free(g)], key=lambda g: g["begin"])
+    long = sum(g["words"] >= LONG_WORDS for g in lines)
+    out, runs, run = [], 0, []
+    for g in [*parts, None]:
+        if run and (g is None or len(raw[run[-1]["begin"] + run[-1]["size"]:g["begin"]].split()) >= WIDTH):
+            enough = sum(x["words"] for x in run) >= RUN_WORDS
+            out += [x for x in run if x["whole"] or enough]
+            runs += enough and not all(x["whole"] for x in run)
+            run = []
+        run.append(g)
+    return out, long + runs, len(lines) - long
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
@@ -157,16 +284,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for doc, text, gone in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "gone"))):
                 raw = text.encode()
-                spans = sorted({(g["begin"], g["size"]) for g in gone or []})
-                long = len({g["begin"] for g in gone or [] if g["words"] >= LONG_WORDS})
+                spans, paragraphs, short = removed_spans(raw, gone or [])
                 kept, end = [], 0
-                for b, n in spans:
-                    kept.append(raw[end:b])
-                    end = b + n
-                    end += raw[end:end + 1] == b"\n"        # the line goes with its end
+                for g in spans:
+                    kept.append(raw[end:g["begin"]])
+                    end = g["begin"] + g["size"]
+                    end += g["whole"] and raw[end:end + 1] == b"\n"        # the line goes with its end
                 kept = b"".join([*kept, raw[end:]])
-                rows.append((doc, len(raw), long, len(spans) - long, len(raw) - len(kept),
-                             sorted({g["first_doc_id"] for g in gone or []}, key=lambda x: (x is not None, x or 0)), hashlib.sha256(kept).hexdigest()))
+                rows.append((doc, len(raw), paragraphs, short, len(raw) - len(kept),
+                             sorted({g["first_doc_id"] for g in spans}, key=lambda x: (x is not None, x or 0)), hashlib.sha256(kept).hexdigest()))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string()]
             names = ["doc_id", "n_bytes", "n_paragraphs_removed", "n_short_lines_removed", "n_removed", "first_doc_ids", "kept_sha256"]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
@@ -176,7 +302,7 @@ def remove_paragraphs(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: what it loses, to whom, and the digest of what is left."""
     texts = numbered(docs)
     gone = repeated_paragraphs(docs, texts).groupBy("doc").agg(
-        F.collect_list(F.struct("begin", "size", "words", "first_doc_id")).alias("gone"))      # a document's own lines
+        F.collect_list(F.struct("begin", "size", "words", "whole", "first_doc_id")).alias("gone"))      # a document's own lines
     gone = write_table(gone, "gone")
     met = texts[0].join(small_hint(gone, gone.count(), BROADCAST_ROWS // 4), "doc", "left").select("doc_id", "text", "gone")
     return met.mapInArrow(_cut, RESULT)

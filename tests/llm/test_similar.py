@@ -253,42 +253,68 @@ def test_dart_agreement_is_weighted_jaccard():
 
 # -- paragraphs -------------------------------------------------------------------------------------------------
 
+def paragraph_units(text):
+    """``(begin, text, whole)`` of lines with a word, and of sentences of five words of longer lines, in bytes."""
+    at = 0
+    for line in text.split("\n"):
+        if WORD.findall(line):
+            yield at, line, True
+        b = at
+        for part in re.findall(r"(?s:.*?[.!?](?=[\x20\x09-\x0D])|.+\Z)", line):
+            if 5 <= len(WORD.findall(part)) < len(WORD.findall(line)):
+                yield b, part, False
+            b += len(part.encode())
+        at += len(line.encode()) + 1
+
+
 def paragraphs_expected(rows):
-    """Per row (in the order of doc_id, text digest) the lines that go: begin, bytes, words, first doc_id."""
-    found = []
-    for i, (_, t) in enumerate(rows):
-        at = 0
-        for line in t.encode().split(b"\n"):
-            if WORD.findall(line.decode()):
-                found.append((i, at, line.decode()))
-            at += len(line) + 1
-    s = [shingles(x[2]) for x in found]
-    same = [(a, b) for a in range(len(s)) for b in range(a + 1, len(s)) if alike(s[a], s[b])]
+    """Per row (in the order of doc_id, text digest) the units that repeat: begin, bytes, words, first doc_id, whole."""
+    found = [(i, at, -len(x.encode()), x, w) for i, (_, t) in enumerate(rows) for at, x, w in paragraph_units(t)]
+    s = [shingles(x[3]) for x in found]
+    by_text, having = defaultdict(list), defaultdict(list)
+    for k, x in enumerate(s):
+        by_text[frozenset(x.items())].append(k)         # equal bags of shingles: one of them meets the others
+    for bag, ks in by_text.items():
+        for g, _ in bag:
+            having[g].append(ks[0])
+    same = {(a, b) for ks in having.values() for n, a in enumerate(ks) for b in ks[n + 1:]}     # alike ones share a shingle
+    same = [(a, b) for a, b in same if alike(s[a], s[b])] + [(ks[0], k) for ks in by_text.values() for k in ks[1:]]
     label = classes(range(len(s)), same)
     members = defaultdict(list)
     for k, c in label.items():
         members[c].append(found[k])
     gone = defaultdict(set)
     for m in members.values():
-        first = min(m)
-        for i, at, line in m:
-            if (i, at) != first[:2]:
-                gone[i].add((at, len(line.encode()), len(WORD.findall(line)), rows[first[0]][0]))
+        f = min(m)
+        for i, at, less, x, whole in m:
+            if i != f[0] or at >= f[1] - f[2] or at - less <= f[1]:
+                gone[i].add((at, -less, len(WORD.findall(x)), rows[f[0]][0], whole))
     return gone
 
 
 def paragraph_rows(rows):
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256(r[1].encode()).hexdigest()))
-    gone, want = paragraphs_expected(rows), Counter()
+    repeated, want = paragraphs_expected(rows), Counter()
     for k, (i, t) in enumerate(rows):
-        kept, end, raw = b"", 0, t.encode()
-        for at, n, _, _ in sorted(gone[k], key=lambda g: g[:2]):
-            kept += raw[end:at]
-            end = at + n + (raw[at + n:at + n + 1] == b"\n")
-        kept += raw[end:]
-        long = sum(g[2] >= paragraphs.LONG_WORDS for g in gone[k])
-        firsts = tuple(sorted({g[3] for g in gone[k]}, key=lambda x: (x is not None, x or 0)))
-        want[(i, len(raw), long, len(gone[k]) - long, len(raw) - len(kept), firsts, hashlib.sha256(kept).hexdigest())] += 1
+        raw = t.encode()
+        lines = [g for g in repeated[k] if g[4]]
+        units = sorted(lines + [g for g in repeated[k] if not g[4] and not any(x[0] <= g[0] < x[0] + x[1] for x in lines)])
+        runs = []
+        for g in units:
+            if runs and len(raw[runs[-1][-1][0] + runs[-1][-1][1]:g[0]].split()) < 5:
+                runs[-1].append(g)
+            else:
+                runs.append([g])
+        big = [r for r in runs if sum(g[2] for g in r) >= paragraphs.RUN_WORDS]
+        gone = sorted({*lines, *(g for r in big for g in r)})
+        goes = np.zeros(len(raw), bool)
+        for at, n, _, _, whole in gone:
+            goes[at:at + n + (whole and raw[at + n:at + n + 1] == b"\n")] = True
+        kept = bytes(x for x, y in zip(raw, goes) if not y)
+        long = sum(g[2] >= paragraphs.LONG_WORDS for g in lines)
+        passages = sum(not all(g[4] for g in r) for r in big)
+        firsts = tuple(sorted({g[3] for g in gone}, key=lambda x: (x is not None, x or 0)))
+        want[(i, len(raw), long + passages, len(lines) - long, len(raw) - len(kept), firsts, hashlib.sha256(kept).hexdigest())] += 1
     return want
 
 
@@ -315,8 +341,7 @@ def test_short_lines(make):
     near = [" ".join([*x.split()[:-1], "other"]) for x in lines]
     rows = [(0, "\n".join(lines), "s"), (1, "\n".join(["new", *lines, "", " "]), "s"), (2, "\n".join(near), "s"),
             (3, "x y x y x y", "s"), (4, "y x y x y x", "s"), (5, "a b c d", "s"), (6, "a  b c\td", "s"), (7, "d c b a", "s")]
-    found = [(i, len("\n".join(t.split("\n")[:k]).encode()) + (k > 0), x)
-             for i, t, _ in rows for k, x in enumerate(t.split("\n")) if x.strip()]
+    found = [(i, at, x) for i, t, _ in rows for at, x, _ in paragraph_units(t)]
     grams = [shingles(x) for _, _, x in found]
     label = classes(range(len(found)), [(a, b) for a in range(len(found)) for b in range(a) if alike(grams[a], grams[b])])
     want = {(found[k][0], found[k][1]) for k, c in label.items() if k != c}
@@ -325,6 +350,26 @@ def test_short_lines(make):
     assert got == want
 
 
+def test_passages_inside_lines(make):
+    """Passages of whole sentences go wherever they are set; a single repeated sentence, and a line with its own
+    long sentence, stay."""
+    r = np.random.default_rng(8)
+
+    def text(n):
+        return " ".join(f"q{x}" for x in r.integers(0, 10 ** 6, n))
+
+    passage = ". ".join(text(n) for n in (9, 3, 12, 14, 11)) + "!"
+    single = text(15) + "."
+    rows = [(0, f"{text(8)}. {passage} {text(30)}\n{single} {text(6)}", "s"), (1, f"{text(40)} {text(9)}. {passage} {text(9)}", "s"),
+            (2, f"{passage}\n{text(9)}. {single} {text(12)}?", "s"), (3, f"{text(90)}. End", "s"),
+            (4, f"é {text(9)}. {passage}\n\n{passage} {text(7)}. {passage}", "s")]
+    df = make(rows)
+    got = Counter((*x[:5], tuple(x[5]), x[6]) for x in map(tuple, paragraphs.remove_paragraphs(df).collect()))
+    assert got == paragraph_rows(docs_of(df))
+    n = {x[0]: x[2] for x in got}
+    assert [n[k] for k in range(4)] == [0, 1, 1, 0] and n[4] >= 1
+
+
 def test_bands_reach_the_recall():
     bands, rows = paragraphs.tuned()
     assert bands <= paragraphs.MOST_BANDS and 1 - (1 - 0.8 ** rows) ** bands >= paragraphs.RECALL
