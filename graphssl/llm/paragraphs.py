@@ -1,6 +1,6 @@
 """Substring dedup by MinHash banding of paragraphs.
 
-A paragraph is a line with a word, or a sentence of five words or more of a line that has more than that
+A paragraph is a line with a word, or a sentence of eight words or more of a line that has more than that
 sentence (a sentence ends after ``.``, ``!`` or ``?`` before white space, or with its line), so that
 passages set into longer lines are found.  Its MinHash signature over five-word shingles is
 banded; ``tuned`` picks the bands so that a pair at the threshold shares one with
@@ -45,12 +45,14 @@ from graphssl.session import write_table
 WIDTH, LEAST, RECALL = 5, 0.8, 0.995
 #: Removed lines of so many words are counted as paragraphs, shorter ones apart.
 LONG_WORDS = 20
-#: Words of a run of repeated sentences that goes.
-RUN_WORDS = 40
+#: Words of a sentence that is a paragraph of its own, and of a run of repeated ones that goes.
+SENTENCE_WORDS, RUN_WORDS = 8, 30
 #: Bands that a paragraph may have at most.
 MOST_BANDS = 8
-#: Codes that a task packs together, documents per chunk of codes, codes that may be broadcast (8 bytes each).
-PACKED_CODES, CHUNK_DOCS, CODE_ROWS = 2_000_000, 20_000, 4_000_000
+#: Codes that a task packs together, documents per chunk of codes.
+PACKED_CODES, CHUNK_DOCS = 2_000_000, 20_000
+#: Codes per row of the filter, its words (16 bits a code), and codes whose filter may be broadcast (2 bytes each).
+ROW_CODES, ROW_WORDS, FILTER_CODES = 4096, 1024, 40_000_000
 
 _STOP = np.isin(np.arange(256), list(b".!?"))
 
@@ -116,7 +118,7 @@ def _units(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator
             in_line = np.bincount(line_of[part], minlength=len(lines) - 1)
             for whole, at, count, unit, keep in (
                     (True, lines, in_line, line_of[part], in_line > 0),
-                    (False, cut, in_part, part, (in_part >= WIDTH) & (in_part < in_line[line_of]))):
+                    (False, cut, in_part, part, (in_part >= SENTENCE_WORDS) & (in_part < in_line[line_of]))):
                 keep = np.flatnonzero(keep)
                 if not len(keep):
                     continue
@@ -191,6 +193,33 @@ def repeated_codes(texts: DataFrame, bands: int, rows: int) -> DataFrame:
     return write_table(packed.groupBy("chunk").applyInPandas(_twice(bits), "code long"), "codes")
 
 
+def _filter_row(row: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """The words of one row of the filter: each code sets four bits of one word."""
+    words = np.zeros(ROW_WORDS, np.int64)
+    np.bitwise_or.at(words, pdf["word"].to_numpy(), pdf["mask"].to_numpy())
+    return pd.DataFrame({"row": [int(row[0])], "bits": [words]})
+
+
+def with_repeated(units: DataFrame, codes: DataFrame) -> DataFrame:
+    """The rows of ``units(..., code)`` whose code is in ``codes``.  Up to ``FILTER_CODES`` of them go as a Bloom filter,
+    which lets a few others pass; more are joined."""
+    n = codes.count()
+    if n > FILTER_CODES:
+        return units.join(codes, "code", "left_semi")
+    n_rows = 1 << max(0, (n // ROW_CODES).bit_length())
+    h = F.xxhash64("code")
+    mask = F.lit(0).cast("long")
+    for k in range(4):
+        bit = F.shiftrightunsigned(h, 40 + 6 * k).bitwiseAND(F.lit(63)).cast("int")
+        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))
+    word = h.bitwiseAND(F.lit(ROW_WORDS - 1)).cast("int")
+    row = F.shiftrightunsigned(h, 10).bitwiseAND(F.lit(n_rows - 1)).cast("int")
+    rows = write_table(codes.select(row.alias("row"), word.alias("word"), mask.alias("mask"))
+                       .groupBy("row").applyInPandas(_filter_row, "row int, bits array<long>"), "filter")
+    met = units.join(F.broadcast(rows.toDF("_row", "_bits")), row == F.col("_row"))
+    return met.filter(F.get("_bits", word).bitwiseAND(mask) == mask).drop("_row", "_bits")
+
+
 def _lines(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     for doc, begin, end, words, whole, key, keys, shared in _units(batches, bands, rows):
         code, _, at = _codes(key, keys, shared)
@@ -212,8 +241,7 @@ def repeated_paragraphs(docs: DataFrame, rows_of: tuple[DataFrame, bool] | None
     units = texts.select("doc", "text").mapInArrow(
         lambda it: _lines(it, bands, rows),
         "doc long, begin long, size long, words long, whole boolean, line_key binary, codes array<long>")
-    hits = write_table(units.select(*UNIT, F.explode("codes").alias("code")).join(
-        small_hint(codes, codes.count(), CODE_ROWS), "code", "left_semi"), "hits")
+    hits = write_table(with_repeated(units.select(*UNIT, F.explode("codes").alias("code")), codes), "hits")
     lines = write_table(hits.select(UNIT).distinct(), "lines")
     place = F.struct("doc", "begin", (-F.col("size")).alias("less"))       # a line before its first sentence
     items = write_table(lines.groupBy("line_key").agg(F.min(place).alias("f"))
@@ -254,7 +282,7 @@ RESULT = "doc_id long, n_bytes long, n_paragraphs_removed long, n_short_lines_re
 
 def removed_spans(raw: bytes, gone: list[dict]) -> tuple[list[dict], int, int]:
     """What goes of a text, how many paragraphs that is (lines of ``LONG_WORDS``, runs of sentences of
-    ``RUN_WORDS``), and how many shorter lines.  A run is a stretch of repeated units with fewer than ``WIDTH``
+    ``RUN_WORDS``), and how many shorter lines.  A run is a stretch of repeated units with fewer than ``SENTENCE_WORDS``
     words between neighbours; its sentences go if its units have ``RUN_WORDS`` words together."""
     lines = [g for g in gone if g["whole"]]
     inside = sorted((g["begin"], g["begin"] + g["size"]) for g in lines)
@@ -268,7 +296,7 @@ def removed_spans(raw: bytes, gone: list[dict]) -> tuple[list[dict], int, int]:
     long = sum(g["words"] >= LONG_WORDS for g in lines)
     out, runs, run = [], 0, []
     for g in [*parts, None]:
-        if run and (g is None or len(raw[run[-1]["begin"] + run[-1]["size"]:g["begin"]].split()) >= WIDTH):
+        if run and (g is None or len(raw[run[-1]["begin"] + run[-1]["size"]:g["begin"]].split()) >= SENTENCE_WORDS):
             enough = sum(x["words"] for x in run) >= RUN_WORDS
             out += [x for x in run if x["whole"] or enough]
             runs += enough and not all(x["whole"] for x in run)

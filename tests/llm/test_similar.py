@@ -254,14 +254,14 @@ def test_dart_agreement_is_weighted_jaccard():
 # -- paragraphs -------------------------------------------------------------------------------------------------
 
 def paragraph_units(text):
-    """``(begin, text, whole)`` of lines with a word, and of sentences of five words of longer lines, in bytes."""
+    """``(begin, text, whole)`` of lines with a word, and of sentences of eight words of longer lines, in bytes."""
     at = 0
     for line in text.split("\n"):
         if WORD.findall(line):
             yield at, line, True
         b = at
         for part in re.findall(r"(?s:.*?[.!?](?=[\x20\x09-\x0D])|.+\Z)", line):
-            if 5 <= len(WORD.findall(part)) < len(WORD.findall(line)):
+            if paragraphs.SENTENCE_WORDS <= len(WORD.findall(part)) < len(WORD.findall(line)):
                 yield b, part, False
             b += len(part.encode())
         at += len(line.encode()) + 1
@@ -301,7 +301,7 @@ def paragraph_rows(rows):
         units = sorted(lines + [g for g in repeated[k] if not g[4] and not any(x[0] <= g[0] < x[0] + x[1] for x in lines)])
         runs = []
         for g in units:
-            if runs and len(raw[runs[-1][-1][0] + runs[-1][-1][1]:g[0]].split()) < 5:
+            if runs and len(raw[runs[-1][-1][0] + runs[-1][-1][1]:g[0]].split()) < paragraphs.SENTENCE_WORDS:
                 runs[-1].append(g)
             else:
                 runs.append([g])
