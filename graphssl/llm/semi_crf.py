@@ -470,7 +470,7 @@ def _listed(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1], x[2])))
 
 
-def _find(weights: np.ndarray):
+def _find(weights: np.ndarray, count_added: bool):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
@@ -478,7 +478,7 @@ def _find(weights: np.ndarray):
             for text in batch.column("text").to_pylist():
                 base = base_spans(text)
                 every = base + added_spans(text, base, weights)
-                kinds = [k for k, _, _ in every]
+                kinds = [k for k, _, _ in (every if count_added else base)]
                 rows.append((*(kinds.count(k) for k in KINDS), sha256(_listed(base).encode()).hexdigest(), _listed(every)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 4 + [pa.string()] * 2))],
@@ -486,7 +486,7 @@ def _find(weights: np.ndarray):
     return kernel
 
 
-def personal_data(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone`` (all spans), ``base_sha256, spans`` of every row."""
+def personal_data(docs: DataFrame, weights: np.ndarray, count_added: bool = True) -> DataFrame:
+    """``doc_id, n_email, n_ip, n_card, n_phone`` (all spans, or the base spans), ``base_sha256, spans`` (all) of every row."""
     return id_text(docs).mapInArrow(
-        _find(weights), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+        _find(weights, count_added), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

@@ -201,6 +201,24 @@ def test_query_rows(spark, make, weights):
         assert [r[f"n_{k}"] for k in S.KINDS] == [sum(x[0] == k for x in spans) for k in S.KINDS]
 
 
+def test_query_counts_base_spans(spark, make, tmp_path):
+    """The query's counts are fixed by the rules; what the field adds is in ``spans`` alone."""
+    from graphssl.llm.queries import op13_semi_markov_pii
+
+    rng = random.Random(6)
+    texts = [f"please call +1 ({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)} now" for _ in range(60)]
+    texts += ["please call (212) 555-0199 now", None, "host 10.0.0.255 up"]
+    make([(i, t, "a") for i, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = op13_semi_markov_pii(spark, str(tmp_path)).collect()
+    added = 0
+    for r in rows:
+        base = slow_spans(texts[r["doc_id"]] or "")
+        assert [r[f"n_{k}"] for k in S.KINDS] == [sum(x[0] == k for x in base) for k in S.KINDS]
+        assert r["base_sha256"] == sha256(S._listed(base).encode()).hexdigest()
+        added += len([x for x in r["spans"].split(",") if x]) - len(base)
+    assert len(rows) == len(texts) and added > 0
+
+
 def test_nothing_to_learn_from(spark, make):
     docs = make([(0, "only 12 words and 34 numbers", "a"), (1, None, "b")])
     rows = S.personal_data(docs, S.train(docs)).collect()
