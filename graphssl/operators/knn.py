@@ -31,6 +31,8 @@ from .sizing import bounded, small_hint
 DEFAULT_BLOCK_ROWS = 1024
 # float64 cells one distance chunk may hold (rows x candidates x features)
 _CHUNK_CELLS = 1 << 22
+# cells of a matrix product that one screening step looks at
+SCREEN_CELLS = 1 << 19
 
 
 def _stack(col: pd.Series) -> np.ndarray:
@@ -77,6 +79,86 @@ def _top_k_rows(D: np.ndarray, cid: np.ndarray, k: int):
     return rows[keep], cols[keep]
 
 
+def screen_slack(qq: np.ndarray, cc: np.ndarray, d: int) -> np.ndarray:
+    """Per query, a bound of the rounding error of squared distances that come from a matrix product."""
+    return 8 * np.finfo(np.float64).eps * (d + 8) * (qq + cc.max(initial=0.0))
+
+
+def squares(A: np.ndarray, aa: np.ndarray, B: np.ndarray, bb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two matrices whose product is that of all squared distances."""
+    return (np.column_stack([-2.0 * A, aa, np.ones(len(A))]),
+            np.ascontiguousarray(np.column_stack([B, np.ones(len(B)), bb]).T))
+
+
+def copies(X: np.ndarray) -> np.ndarray:
+    """A number per row that rows of equal bytes share."""
+    if not X.size:
+        return np.zeros(len(X), np.int64)
+    whole = np.ascontiguousarray(X).view(np.dtype((np.void, X.dtype.itemsize * X.shape[1])))
+    return np.unique(whole.ravel(), return_inverse=True)[1].reshape(-1)
+
+
+def few_copies(same: np.ndarray, cid: np.ndarray, k: int) -> np.ndarray:
+    """Positions, ascending, of the candidates that fewer than ``k`` copies with smaller ids stand before."""
+    order = np.lexsort((cid, same))
+    s = same[order]
+    return np.sort(order[np.arange(len(s)) - np.searchsorted(s, s) < k])
+
+
+def pair_distances(Q: np.ndarray, C: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Euclidean distances of single pairs, as :func:`_block_distances` has them."""
+    out = np.empty(len(r))
+    step = max(1, _CHUNK_CELLS // max(1, Q.shape[1]))
+    for s in range(0, len(r), step):
+        diff = Q[r[s:s + step]] - C[c[s:s + step]]
+        out[s:s + step] = np.sqrt((diff * diff).sum(axis=1))
+    return out
+
+
+def best_k(r: np.ndarray, dist: np.ndarray, cid: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the ``k`` entries of every ``r`` that are first by ``(dist, cid)``, in that order."""
+    order = np.lexsort((cid, dist, r))
+    order = order[np.isfinite(dist[order])]
+    rows = r[order]
+    return order[np.arange(len(rows)) - np.searchsorted(rows, rows) < k]
+
+
+def nearest(Q: np.ndarray, C: np.ndarray, cid: np.ndarray, k: int, not_q: np.ndarray, not_c: np.ndarray,
+            same: np.ndarray | None = None):
+    """``(row, column, dist)`` of the ``k`` nearest candidates of every query by ``(dist, cid)``, Euclidean; a
+    candidate whose ``not_c`` equals the query's ``not_q`` is none of its own.  ``same``: :func:`copies` of ``C``.
+
+    A matrix product screens: what can be among the ``k`` by more than rounding gets its distance from the
+    differences, so distances and ties are those of :func:`_block_distances`."""
+    if not len(Q) or not len(C):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        qq, cc = (Q * Q).sum(axis=1), (C * C).sum(axis=1)
+    if not (np.isfinite(qq).all() and np.isfinite(cc).all()):
+        D = _block_distances(Q, C, "euclidean", None)
+        D[not_q[:, None] == not_c[None, :]] = np.inf
+        r, c = _top_k_rows(D, cid, k)
+        return r, c, D[r, c]
+    _, times = np.unique(not_c, return_counts=True)
+    kept = few_copies(copies(C) if same is None else same, cid, k + int(times.max()))
+    C, cc, cid, own = C[kept], cc[kept], cid[kept], not_c[kept]
+    by_own = np.argsort(own, kind="stable")
+    low, high = (np.searchsorted(own[by_own], not_q, side) for side in ("left", "right"))
+    slack, step, parts = screen_slack(qq, cc, Q.shape[1]), max(1, SCREEN_CELLS // len(C)), []
+    at, left, right = min(k, len(C)) - 1, *squares(Q, qq, C, cc)
+    for s in range(0, len(Q), step):
+        S = left[s:s + step] @ right
+        n = (high - low)[s:s + step]
+        mine = np.repeat(np.arange(len(S)), n)
+        S[mine, by_own[np.arange(len(mine)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[s:s + step], n)]] = np.inf
+        limit = np.minimum(np.partition(S, at, axis=1)[:, at] + 2 * slack[s:s + step], np.finfo(np.float64).max)
+        r, c = np.divmod(np.flatnonzero(S <= limit[:, None]), S.shape[1])
+        dist = pair_distances(Q[s:s + step], C, r, c)
+        first = best_k(r, dist, cid[c], k)
+        parts.append((r[first] + s, kept[c[first]], dist[first]))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def _block_result_schema(with_qlabel: bool, keys) -> T.StructType:
     fields = [T.StructField(c, T.LongType()) for c in keys] + [
         T.StructField("qid", T.LongType())]
@@ -98,6 +180,14 @@ def _make_block_fn(k: int, metric: str, per_label: bool, exclude_self: bool,
         qid = q["qid"][qi].astype(np.int64)
         cid, clabel = c_["cid"][ci].astype(np.int64), c_["clabel"][ci]
         rng = np.asarray(rngs[qi[0]], dtype=np.float64) if metric == "relief" else None
+        if metric == "euclidean" and not per_label:
+            own = (qid, cid) if exclude_self else (np.zeros(len(qid), np.int64), np.arange(1, len(cid) + 1))
+            r, c, dist = nearest(Q, C, cid, k, *own)
+            out = {key: np.full(len(r), val, dtype=np.int64) for key, val in zip(keys, keyvals)}
+            out.update({"qid": qid[r], "cid": cid[c], "clabel": clabel[c], "dist": dist})
+            if with_qlabel:
+                out["qlabel"] = q["qlabel"][qi][r]
+            return out
         D = _block_distances(Q, C, metric, rng)
         if exclude_self:
             D[qid[:, None] == cid[None, :]] = np.inf

@@ -140,3 +140,34 @@ def test_pruned_and_packed_groups_together(spark):
 def test_exact_of_nothing(spark):
     df = load_embeddings(spark, SF).withColumn("grp", F.lit(0).cast("long")).withColumn("finished", F.lit(True))
     assert knn_exact(df, 3).collect() == [] and knn_descent(df, 3).collect() == []
+
+
+def test_tiles_meet_once_and_lose_nothing(spark):
+    """Many tiles of many blocks, with copies, no clusters and small groups: the search is that of all pairs."""
+    from graphssl.operators.pivots import pivot_top_k
+
+    rng = np.random.default_rng(11)
+    X = np.concatenate([rng.normal(size=(260, 8)), rng.normal(size=(120, 8)) * 0.01 + 30, np.repeat(rng.normal(size=(2, 8)), 25, 0),
+                        rng.normal(size=(3, 8)) * 1e6])
+    df = spark.createDataFrame([(i, i % 11 // 10, X[i].tolist()) for i in rng.permutation(len(X)).tolist()],
+                               "id long, grp long, features array<double>")
+    log = {}
+    g = pivot_top_k(df, 4, 12, log, tile_rows=50).toPandas()
+    got = {i: list(s.sort_values("rank").cid) for i, s in g.groupby("qid")}
+    assert got == _brute(df.toPandas(), 4)
+    assert log["met"] < log["pairs"]
+
+
+def test_screened_distances_are_the_plain_ones():
+    """Far from the origin, with copies and with numbers that overflow: the same neighbours and distances as all pairs."""
+    from graphssl.operators.knn import _block_distances, _top_k_rows, nearest
+
+    rng = np.random.default_rng(4)
+    for shift, scale in ((0, 1), (1e7, 1), (0, 1e-9), (0, 1e200)):
+        C = np.concatenate([rng.normal(size=(90, 5)) * scale + shift] * 2 + [np.zeros((4, 5))])
+        cid, ids = rng.permutation(len(C)), np.arange(40)
+        D = _block_distances(C[:40], C, "euclidean", None)
+        D[ids[:, None] == cid[None, :]] = np.inf
+        r, c = _top_k_rows(D, cid, 6)
+        got = nearest(C[:40], C, cid, 6, ids, cid)
+        assert np.array_equal(got[0], r) and np.array_equal(cid[got[1]], cid[c]) and np.array_equal(got[2], D[r, c])
