@@ -7,9 +7,12 @@ A neighbour list is a set of rows ``(grp, id, nbr, dist, new)``.  One round:
    list it (at most ``pool`` new and ``pool`` old ones, drawn anew each round), so a vertex that everybody
    lists has no larger meeting than any other.
 2. *Pairs.*  Of each meeting, two members are a pair if at least one of the two entries is
-   new: ids only.  One aggregate makes them distinct and takes out those of an earlier round
-   or of the lists themselves (an anti-join without a join).
+   new.  Members bring a sketch (a byte per feature, and how far the vector is from it), which bounds the pair's
+   distance from both sides; a pair that reaches neither list's last entry stays behind.
+   One aggregate makes the others distinct and takes out those of an earlier round
+   or of the lists themselves (an anti-join without a join).  Of these, a row keeps what can be among its best ``pool``.
 3. *Distances.*  What is left gets its two vectors, once per pair, and is scored in Arrow batches.
+   The sketches only leave out pairs that cannot enter a list, so the lists are those of all pairs.
 4. *Lists.*  Pairs go both ways into the lists and the best ``pool`` stay (a
    window with a map-side limit).  An entry is new until a round has sampled it.
 
@@ -169,13 +172,68 @@ def _members(lists: DataFrame, pool: int, salt: int) -> DataFrame:
     return ahead.unionByName(back)
 
 
-def _pairs(members: DataFrame) -> DataFrame:
-    """``(grp, a, b)``, a < b, of meetings (at most ``4 * pool`` members each) with a new entry."""
-    met = members.groupBy("grp", "v").agg(F.collect_list(F.struct("u", "new")).alias("m"), F.max("new").alias("any"))
-    left = met.where("any").select("grp", "m", F.explode("m").alias("x")).where("x.new")
-    both = left.select("grp", "x", F.explode("m").alias("y")).where(
-        (F.col("y.u") != F.col("x.u")) & (~F.col("y.new") | (F.col("x.u") < F.col("y.u"))))
-    return both.select("grp", F.least("x.u", "y.u").alias("a"), F.greatest("x.u", "y.u").alias("b"))
+def _sketch(batches):
+    for batch in batches:
+        if batch.num_rows:
+            X = _matrix(batch.column("vec"))
+            with np.errstate(all="ignore"):
+                scale = np.abs(X).max(axis=1, initial=0.0) / 127
+                scale[~np.isfinite(scale)] = np.nan
+                code = np.nan_to_num(np.rint(X / np.where(scale > 0, scale, 1.0)[:, None])).astype(np.int8)
+                off = np.sqrt(((X - code * scale[:, None]) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(scale), pa.array(off)],
+                                             names=["id", "code", "scale", "off"])
+
+
+def sketches(vectors: DataFrame) -> DataFrame:
+    """``(id, code, scale, off)``: the vector as bytes times ``scale``, and its distance from that."""
+    return vectors.select("id", "vec").mapInArrow(_sketch, "id long, code binary, scale double, off double")
+
+
+def _meeting(batches):
+    """The pairs of meetings that can enter a list, with bounds of their distance."""
+    for batch in batches:
+        parts = []
+        for grp, m in zip(batch.column("grp").to_pylist(), range(batch.num_rows)):
+            x = batch.column("m")[m].values
+            u, new, bound, scale, off = (x.field(f).to_numpy(zero_copy_only=False) for f in ("u", "new", "bound", "scale", "off"))
+            X = np.frombuffer(b"".join(x.field("code").to_pylist()), np.int8).reshape(len(u), -1) * scale[:, None]
+            i, j = np.nonzero(new[:, None] & (u[:, None] != u) & (~new | (u[:, None] < u)))
+            with np.errstate(all="ignore"):
+                xx = (X * X).sum(axis=1)
+                square = xx[:, None] + xx - 2.0 * (X @ X.T)
+                slack = 1e-12 * (xx[:, None] + xx)
+                apart = off[:, None] + off
+                low = (np.sqrt(np.maximum(square - slack, 0.0)) - apart) * (1 - 1e-9)
+                high = (np.sqrt(np.maximum(square + slack, 0.0)) + apart) * (1 + 1e-9)
+                keep = ~(low[i, j] > np.maximum(bound[i], bound[j]))
+            i, j = i[keep], j[keep]
+            a, b = np.minimum(u[i], u[j]), np.maximum(u[i], u[j])
+            parts.append((np.full(len(a), grp, np.int64), a, b, np.nan_to_num(low[i, j], nan=-np.inf), np.nan_to_num(high[i, j], nan=np.inf, posinf=np.inf)))
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["grp", "a", "b", "low", "high"])
+
+
+def _pairs(members: DataFrame, lists: DataFrame, sketch: DataFrame, pool: int) -> DataFrame:
+    """``(grp, a, b, low, high)``, a < b, of meetings (at most ``4 * pool`` members each) with a new entry."""
+    last = lists.groupBy("id").agg(F.when(F.count(F.lit(1)) >= pool, F.max("dist")).otherwise(F.lit(float("inf"))).alias("bound"))
+    bring = sketch.join(last, "id", "left").select(F.col("id").alias("u"), F.coalesce("bound", F.lit(float("inf"))).alias("bound"), "code", "scale", "off")
+    met = members.join(bring, "u").groupBy("grp", "v").agg(
+        F.collect_list(F.struct("u", "new", "bound", "code", "scale", "off")).alias("m"), F.max("new").alias("any"))
+    return met.where("any").select("grp", "m").mapInArrow(_meeting, "grp long, a long, b long, low double, high double")
+
+
+def _wanted(pairs: DataFrame, lists: DataFrame, pool: int) -> DataFrame:
+    """``(grp, a, b)`` of the pairs that can be among the best ``pool`` of one of their rows: ``low`` is at most the
+    ``pool``-th smallest ``high`` of the row's entries and pairs."""
+    way = [F.struct(F.col(x).alias("id"), F.col(y).alias("nbr")) for x, y in (("a", "b"), ("b", "a"))]
+    both = pairs.select("grp", F.explode(F.array(*way)).alias("_e"), "low", "high").select("grp", "_e.id", "_e.nbr", "low", "high")
+    has = lists.select("grp", "id", F.lit(None).cast("long").alias("nbr"), F.col("dist").alias("low"), F.col("dist").alias("high"))
+    w = Window.partitionBy("id")
+    ranked = both.unionByName(has).withColumn("_r", F.row_number().over(w.orderBy("high")))
+    most = F.max(F.when(F.col("_r") == pool, F.col("high"))).over(w)
+    kept = ranked.withColumn("_most", most).where("nbr is not null and (_most is null or low <= _most)")
+    return kept.select("grp", F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b")).distinct()
 
 
 def neighbour_lists(df: DataFrame, pool: int, max_iter: int = 5, early_termination: float = 0.001, sample_rate: float = 1.0,
@@ -197,6 +255,7 @@ def neighbour_lists(df: DataFrame, pool: int, max_iter: int = 5, early_terminati
     vectors = (write_bucketed(vectors.repartition(nbk, "id"), "id", nbk, "vectors")
                if nbk > 1 else write_table(vectors, "vectors"))
     vec = vectors.select("id", "vec")
+    sketch = write_table(sketches(vectors), "sketch") if max_iter else None
     seeds = None
     if buckets:
         seeds = _bucket_lists(rows, sizes, total["g"], pool, buckets, seed, block_rows, code_rows or 2 * pool)
@@ -223,13 +282,14 @@ def neighbour_lists(df: DataFrame, pool: int, max_iter: int = 5, early_terminati
             chosen = chosen & (F.pmod(F.xxhash64("id", "nbr", F.lit(seed), F.lit(rnd)), F.lit(1_000_000))
                                < F.lit(int(sample_rate * 1_000_000)))
         now = lists.withColumn("used", chosen)
-        met = _pairs(_members(now, pool, seed + rnd))
+        met = _pairs(_members(now, pool, seed + rnd), lists, sketch, pool)
         # distinct and anti-join in one aggregate with a map-side part: a pair stays if all its rows are of this round
         met = met.withColumn("old", F.lit(0)).unionByName(lists.select(
-            "grp", F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b"), F.lit(1).alias("old")))
+            "grp", F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b"), F.lit(1).alias("old")), allowMissingColumns=True)
         for old in scored:
-            met = met.unionByName(old.select("grp", "a", "b", F.lit(1).alias("old")))
-        met = met.groupBy("grp", "a", "b").agg(F.max("old").alias("old")).where("old = 0").drop("old")
+            met = met.unionByName(old.select("grp", "a", "b", F.lit(1).alias("old")), allowMissingColumns=True)
+        met = met.groupBy("grp", "a", "b").agg(F.max("old").alias("old"), F.max("low").alias("low"), F.min("high").alias("high"))
+        met = _wanted(met.where("old = 0").drop("old"), lists, pool)
         done = write_table(score_pairs(met, vec), "scored")
         scored.append(done)
         had = now.select("grp", "id", "nbr", "dist", (F.col("new") & ~F.col("used")).alias("new"), F.lit(False).alias("came"))
@@ -242,7 +302,7 @@ def neighbour_lists(df: DataFrame, pool: int, max_iter: int = 5, early_terminati
             log.append({"round": rnd, "scored": done.count(), "came": changed["came"]})
         if changed["new"] <= early_termination * (stop_k or pool) * total["n"]:
             break
-    for old in scored:
+    for old in (*scored, *([sketch] if sketch is not None else [])):
         discard(old)
     return lists
 

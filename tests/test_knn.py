@@ -171,3 +171,31 @@ def test_screened_distances_are_the_plain_ones():
         r, c = _top_k_rows(D, cid, 6)
         got = nearest(C[:40], C, cid, 6, ids, cid)
         assert np.array_equal(got[0], r) and np.array_equal(cid[got[1]], cid[c]) and np.array_equal(got[2], D[r, c])
+
+
+def test_sketches_leave_out_only_pairs_beyond_both_lists():
+    import pyarrow as pa
+
+    from graphssl.operators.descent import _meeting, _sketch
+
+    rng = np.random.default_rng(5)
+    X = np.concatenate([rng.normal(size=(40, 16)), np.zeros((2, 16)), rng.normal(size=(6, 16)) * 1e-9 + 50, [[np.nan] * 16]])
+    n, new, bound = len(X), rng.random(len(X)) < 0.5, rng.random(len(X)) * 6
+    sketch = next(_sketch([pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(list(X), pa.list_(pa.float64()))], names=["id", "vec"])]))
+    cols = {"u": sketch["id"], "new": pa.array(new), "bound": pa.array(bound), **{c: sketch[c] for c in ("code", "scale", "off")}}
+    pad = pa.StructArray.from_arrays(list(cols.values()), names=list(cols))
+    meeting = pa.RecordBatch.from_arrays([pa.array([0, 7]), pa.ListArray.from_arrays(pa.array([0, 3, n], pa.int32()), pad)], names=["grp", "m"])
+    got = next(_meeting([meeting])).to_pandas()
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(2))
+    by = {(r.grp, r.a, r.b): (r.low, r.high) for r in got.itertuples()}
+    left = 0
+    for grp, of in ((0, range(3)), (7, range(3, n))):
+        for i in of:
+            for j in of:
+                if i < j and (new[i] or new[j]):
+                    if (grp, i, j) not in by:
+                        left += 1
+                        assert D[i, j] > max(bound[i], bound[j])
+                    elif np.isfinite(D[i, j]):
+                        assert by[grp, i, j][0] <= D[i, j] <= by[grp, i, j][1]
+    assert left > 100 and all(i < j and (new[i] or new[j]) for _, i, j in by)
