@@ -57,6 +57,26 @@ def components(links: DataFrame) -> DataFrame:
     return label
 
 
+def merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` of :func:`components` after more ``links(a, b)``: only the components that these touch are
+    joined, as items of a small graph of labels."""
+    n = label.count()
+
+    def named(key: str) -> DataFrame:
+        return small_hint(label.select(F.col("item").alias(key), F.col("label").alias(f"_{key}")), n, BROADCAST_ROWS)
+
+    between = links.join(named("a"), "a", "left").join(named("b"), "b", "left").select(
+        F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    up = components(between).select(F.col("item").alias("label"), F.col("label").alias("up"))
+    many = up.count()
+    if not many:
+        return label
+    # a component is named by its smallest item, also one of a single item, which has no row yet
+    every = label.unionByName(up.select(F.col("label").alias("item"), "label")).distinct()
+    return write_table(every.join(small_hint(up, many, BROADCAST_ROWS), "label", "left").select(
+        "item", F.coalesce("up", "label").alias("label")), "labels")
+
+
 def overlap(batches: Iterator[pa.RecordBatch], width: int, least: float) -> Iterator[pa.RecordBatch]:
     """``(a, b, text_a, text_b)`` rows whose texts' shingle multisets have a Jaccard
     similarity of at least ``least``, as ``(a, b)``."""
@@ -238,9 +258,11 @@ def bucket_links(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame],
                             .filter(F.col("_r") <= leaders), "leaders")
         pairs = _between(rows, heads, tested, least, sketch)
         if pairs.limit(1).count():
-            links = links.unionByName(write_table(alike(pairs), "verified"))
+            found = write_table(alike(pairs), "verified")
             tested = tested.unionByName(pairs)
-            label = components(links)
+            if found.limit(1).count():
+                links = links.unionByName(found)
+                label = merged(label, found)
         done = heads.select("bucket", "item", F.lit(True).alias("_led"))
         rows = _open(rows.join(done, ["bucket", "item"], "left").withColumn(
             "lead", F.col("lead") & F.col("_led").isNull()).drop("_led"), label)

@@ -265,7 +265,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network | Constant:
     rows = (id_text(docs).filter(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(some), "doc_id")
             .select("doc_id", "text", "label").collect())          # at most 2 * SAMPLE rows of bounded length
     rows = sorted({(r["doc_id"], r["text"], r["label"]) for r in rows})[:4 * SAMPLE]
-    return train([r[1] for r in rows], np.array([r[2] for r in rows]))
+    model = train([r[1] for r in rows], np.array([r[2] for r in rows]))
+    del rows
+    release()           # the driver goes on with the stages that follow
+    return model
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
