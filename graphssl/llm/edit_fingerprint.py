@@ -16,12 +16,12 @@ on the steps that both keep.  Each sample is one byte of a hash of the character
 As text: two hex digits for ``s``, then two per sample, up to the text's end.
 
 ``near_pairs`` bands sampled bits, joins documents that share a band and verifies
-the Hamming likeness of whole fingerprints.  Two bits of each of the first samples
+the Hamming likeness of whole fingerprints.  Four bits of each of the first samples
 travel with a band, so that texts with a common opening and little else are told
 apart inside the join and never become pairs.
 
-The walk runs over many texts at once in numpy; texts are dealt by ranges of
-doc_id, so a document and its successor meet without a global sort.
+The walk runs over many texts at once in numpy, and an edited text's goes on from its text's; texts are dealt
+by ranges of doc_id, so a document and its successor meet without a global sort.
 
 Defined results: null text counts as empty; empty texts have the fingerprint
 ``00`` and likeness 1 to each other, 0 to any other; a null doc_id sorts first;
@@ -50,8 +50,11 @@ from graphssl.session import write_table
 SAMPLES = 128
 #: Steps whose coins are drawn together.
 BLOCK = 4096
-#: Characters that a task walks together (a longer text is walked alone).
-STEP_CHARS = 4 << 20
+#: Steps between two looks at which walks have ended or begin.
+STRIDE = 256
+#: Characters that a task walks together, as a step costs much the same for few walks as for many (a longer text is
+#: walked alone).
+STEP_CHARS = 16 << 20
 #: Bands, bits of the samples in a band, and likeness from which a pair is near.
 BANDS, BAND_SAMPLES, LEAST = 16, 8, 0.8
 
@@ -87,8 +90,11 @@ def scale_of(n: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(np.maximum(1.0, 2 * np.asarray(n) / SAMPLES))).astype(np.int64)
 
 
-def walk(texts: list[str]) -> list[bytes]:
-    """The fingerprint of every text: its level, then its samples."""
+def walk(texts: list[str], forks: dict[int, tuple[int, int]] | None = None) -> list[bytes]:
+    """The fingerprint of every text: its level, then its samples.
+
+    ``forks``: of some texts, another one without a fork (as ``(index, n)``) that begins with the same ``n``
+    characters; if both have one level, the text takes that walk's steps over them."""
     parts = [_symbols(t) for t in texts]
     length = np.array([len(p) - 1 for p in parts], np.int64)
     scale = scale_of(length)
@@ -97,14 +103,26 @@ def walk(texts: list[str]) -> list[bytes]:
     out = [bytes([s]) for s in scale]
     for s in np.unique(scale[length > 0]):
         mine = np.flatnonzero((scale == s) & (length > 0))
+        place = {int(i): k for k, i in enumerate(mine)}
+        fork = [(k, place[forks[i][0]], forks[i][1]) for i, k in place.items()
+                if forks and i in forks and forks[i][0] in place]
+        child, parent, common = np.array(fork, np.int64).reshape(-1, 3).T
+        joined = np.zeros(len(mine), np.int64)      # samples that the other walk had taken
         pointer, taken, step = start[mine].copy(), [], 0
-        alive = np.arange(len(mine))
+        alive = np.setdiff1d(np.arange(len(mine)), child)
         most = 3 * int(length[mine].max())      # few walks are longer
         while len(alive):
             first = step % BLOCK
             if not step or not first:
                 coins, levels = _coins(step // BLOCK), _levels(step, BLOCK)
-            last = min(BLOCK, first + max(most - step, 64))
+            last = min(BLOCK, first + STRIDE, first + max(most - step, 64))
+            if len(child):      # a step moves by one at most: what may reach the end of the common part goes on apart
+                walked = pointer[parent] - start[mine[parent]]
+                now = walked + (last - first) >= common
+                pointer[child[now]] = start[mine[child[now]]] + walked[now]
+                joined[child[now]] = len(taken)
+                alive = np.concatenate([alive, child[now]])
+                child, parent, common = child[~now], parent[~now], common[~now]
             at = pointer[alive]
             symbol, move = np.empty(len(at), np.uint8), np.empty(len(at), np.int64)
             for j in range(first, last):
@@ -123,7 +141,11 @@ def walk(texts: list[str]) -> list[bytes]:
             who, what = who[order], what[order]
             who, what = who[what != 0], what[what != 0]
             cut = np.searchsorted(who, np.arange(len(mine) + 1))
+            origin = {k: o for k, o, _ in fork}
             for k, i in enumerate(mine):
+                if k in origin:         # every step that is sampled gives a walk one sample until it ends
+                    o = cut[origin[k]]
+                    out[i] += what[o:o + joined[k]].tobytes()
                 out[i] += what[cut[k]:cut[k + 1]].tobytes()
     return out
 
@@ -175,9 +197,13 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = [(a, b) for a, b in zip(rows, rows[1:]) if a[0] == b[0] and not a[1]]
         texts = [a[3] for a, _ in pairs]
         edited = [edited_text(a[3], b[3]) for a, b in pairs]
-        # Successors are mostly the next pair's text, so each text is walked once.
-        distinct = list(dict.fromkeys([*texts, *edited, *(b[3] for _, b in pairs)]))
-        print_of = dict(zip(distinct, walk(distinct)))
+        # Successors are mostly the next pair's text, so each text is walked once; an edited text is walked from
+        # where it leaves its text.
+        whole = dict.fromkeys([*texts, *(b[3] for _, b in pairs)])
+        distinct = list(dict.fromkeys([*whole, *edited]))
+        place = {t: k for k, t in enumerate(distinct)}
+        forks = {place[e]: (place[t], len(t) - len(t) // 4) for t, e in zip(texts, edited) if e not in whole}
+        print_of = dict(zip(distinct, walk(distinct, forks)))
         rows = [(a[2], len(t), hashlib.sha256(e.encode()).hexdigest(), print_of[t].hex(), print_of[e].hex(),
                  likeness(print_of[t], print_of[e]), likeness(print_of[t], print_of[b[3]]))
                 for (a, b), t, e in zip(pairs, texts, edited)]
@@ -246,44 +272,53 @@ def _bands(fingerprint: pd.Series) -> pd.Series:
     return pd.Series([key[a:b].reshape(-1).view(np.int64) for a, b in zip(cut, cut[1:])], dtype=object)
 
 
-#: Samples of a fingerprint whose two planes of bits are its sketch.
-SKETCHED = 128
-#: Columns of a sketch: the planes, as words of 64 samples, and the number of samples.
-PLANES = [f"p{i}" for i in range(SKETCHED // 32)]
+#: Samples of a fingerprint whose planes of bits are its sketch, and the bits of each.
+SKETCHED, SKETCH_BITS = 128, 4
+#: Columns of a sketch: the planes of the own level as words of 64 samples, those of the next level's first
+#: 64 samples, and the numbers of samples at both.
+OWN, NEXT = [f"p{i}" for i in range(SKETCH_BITS * SKETCHED // 64)], [f"q{i}" for i in range(SKETCH_BITS)]
+PLANES = [*OWN, *NEXT, "own", "at"]
+
+
+def _planes(x: np.ndarray, n: int) -> list[int]:
+    first = np.zeros(n, np.uint8)
+    first[:min(len(x), n)] = x[:n]
+    return np.concatenate([np.packbits((first >> k) & 1) for k in range(SKETCH_BITS)]).view(np.int64).tolist()
 
 
 def _sketches(fingerprint: pd.Series) -> pd.Series:
-    """Per fingerprint and level (its own and the next): the planes of bits of the first
-    samples, how many samples there are, and how many at its own level."""
+    """Per fingerprint the values of ``PLANES``."""
     out = []
     for text in fingerprint:
         f = bytes.fromhex(text)
         x = np.frombuffer(f[1:], np.uint8)
-        levels = []
-        for high in (f[0], f[0] + 1):
-            y = x[_kept(f[0], high, len(x))]
-            first = np.zeros(SKETCHED, np.uint8)
-            first[:min(len(y), SKETCHED)] = y[:SKETCHED]
-            planes = np.concatenate([np.packbits((first >> k) & 1) for k in (0, 1)]).view(np.int64)
-            levels.append([*planes.tolist(), len(y), len(x)])
-        out.append(levels)
+        y = x[_kept(f[0], f[0] + 1, len(x))]
+        out.append([*_planes(x, SKETCHED), *_planes(y, 64), len(x), len(y)])
     return pd.Series(out, dtype=object)
 
 
 def _may_be_near(least: float):
     """A pair of likeness ``least`` differs in at most ``1 - least`` of the samples of the longer
     one, hence in no more of the first ones, nor in their bits (a sample beyond a text's end
-    differs from any).  Two fingerprints that meet at the next level only are held to the
-    bound of their own level, the larger."""
+    differs from any).  Two fingerprints of one level are compared at that level, whichever bands they share; else
+    the next level of one is the other's own."""
+    def differ(one: list[str], other: list[str]):
+        bits = F.lit(0).cast("long")
+        for x, y in zip(one, other):
+            bits = bits.bitwiseOR(F.col(x).bitwiseXOR(F.col(f"_{y}")))
+        return F.bit_count(bits)
+
     def condition():
-        words = len(PLANES) // 2
-        differ = F.lit(0)
-        for i in range(words):
-            bits = F.col(PLANES[i]).bitwiseXOR(F.col(f"_{PLANES[i]}")).bitwiseOR(
-                F.col(PLANES[words + i]).bitwiseXOR(F.col(f"_{PLANES[words + i]}")))
-            differ = differ + F.bit_count(bits)
-        long = F.when(F.col("up") & F.col("_up"), F.greatest("own", "_own")).otherwise(F.greatest("at", "_at"))
-        return F.greatest(differ, F.abs(F.col("at") - F.col("_at"))) <= F.lit(1 - least) * long + F.lit(1e-9)
+        words = len(OWN) // SKETCH_BITS
+        heads = OWN[::words]            # the first 64 samples
+        level = sum((differ(OWN[i::words], OWN[i::words]) for i in range(words)), F.lit(0))
+        cases = ((F.col("up") == F.col("_up"), level, "own", "own"),
+                 (F.col("up"), differ(NEXT, heads), "at", "own"), (F.col("_up"), differ(heads, NEXT), "own", "at"))
+        near = F.lit(False)
+        for case, bits, n, m in reversed(cases):
+            apart = F.greatest(bits, F.abs(F.col(n) - F.col(f"_{m}")))
+            near = F.when(case, apart <= F.lit(1 - least) * F.greatest(F.col(n), F.col(f"_{m}")) + F.lit(1e-9)).otherwise(near)
+        return near
     return condition
 
 
@@ -296,18 +331,15 @@ def near_pairs(prints: DataFrame, least: float = LEAST) -> DataFrame:
     items = write_table(own.groupBy("fingerprint").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
                         .withColumn("item", F.monotonically_increasing_id()), "items")      # equal fingerprints are one item
     bands = F.pandas_udf(_bands, "array<long>")
-    sketches = F.pandas_udf(_sketches, "array<array<long>>")
+    sketches = F.pandas_udf(_sketches, "array<long>")
     keyed = write_table(items.select("item", bands("fingerprint").alias("keys"), sketches("fingerprint").alias("planes")), "banded")
     # The first bands are of the fingerprint's own level, the others of the next.
     buckets = keyed.select("item", F.posexplode("keys").alias("nth", "bucket")).select(
         "item", "bucket", (F.col("nth") >= BANDS).alias("up"))
-    columns = [*PLANES, "at", "own"]
 
     def sketched(rows: DataFrame) -> DataFrame:
-        level = F.when(F.col("up"), F.col("planes")[1]).otherwise(F.col("planes")[0])
         own = small_hint(keyed.select("item", "planes"), keyed.count(), BROADCAST_ROWS // 2)
-        return rows.join(own, "item").select(*rows.columns, *[level[i].alias(c) for i, c in enumerate(columns)])
-
+        return rows.join(own, "item").select(*rows.columns, *[F.col("planes")[i].alias(c) for i, c in enumerate(PLANES)])
 
     def alike(pairs: DataFrame) -> DataFrame:
         @F.pandas_udf("double")
@@ -318,7 +350,7 @@ def near_pairs(prints: DataFrame, least: float = LEAST) -> DataFrame:
         y = items.select(F.col("item").alias("b"), F.col("fingerprint").alias("y"))
         return pairs.join(x, "a").join(y, "b").filter(near("x", "y") >= least).select("a", "b")
 
-    label = components(bucket_links(buckets, alike, sketch=([*columns, "up"], sketched, _may_be_near(least))))
+    label = components(bucket_links(buckets, alike, sketch=([*PLANES, "up"], sketched, _may_be_near(least))))
     many = label.count()
     met = items.join(small_hint(label, many, BROADCAST_ROWS), "item", "left")
     # A fingerprint of one row and without links is its row's own class.

@@ -89,6 +89,16 @@ def test_walk_step_by_step():
     assert edit_fingerprint.walk(texts) == [slow_walk(t) for t in texts]
 
 
+def test_edited_texts_go_on_from_their_texts():
+    r = np.random.default_rng(12)
+    text = lambda n: "".join(r.choice(list("abcdé "), n))
+    texts = [text(int(n)) for n in [1, 3, 4, 5, 63, 65, 130, 700, 2500, 2600, 9000, 40]]
+    edited = [edit_fingerprint.edited_text(a, b) for a, b in zip(texts, texts[1:] + texts[:1])]
+    forks = {len(texts) + i: (i, len(t) - len(t) // 4) for i, t in enumerate(texts)}
+    every = texts + edited
+    assert edit_fingerprint.walk(every, forks) == [edit_fingerprint.walk([t])[0] for t in every]
+
+
 def whole_walk(text):
     """The embedding a step at a time, up to the text's end."""
     symbols, out, at, step = edit_fingerprint._symbols(text), bytes([0]), 0, 0
@@ -179,6 +189,30 @@ def test_near_classes_against_all_pairs(spark):
     assert got == want and 30 < len(set(want.values())) < len(texts)
 
 
+def test_prints_of_one_level_are_told_apart_at_that_level(spark, monkeypatch):
+    """Equal samples at the next level are no reason to write a pair whose own level differs in 30 %."""
+    r = np.random.default_rng(14)
+    base = r.integers(1, 256, 120).astype(np.uint8)
+    free = np.flatnonzero(~edit_fingerprint._kept(3, 4, 120))
+    rows = []
+    for i in range(20):
+        x = base.copy()
+        x[r.choice(free, 45, replace=False)] = r.integers(1, 256, 45)
+        rows.append((i, (bytes([3]) + x.tobytes()).hex()))
+    written, write = [], similar.write_table
+
+    def counted(df, name="table"):
+        out = write(df, name)
+        if name == "pairs":
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(similar, "write_table", counted)
+    got = edit_fingerprint.near_pairs(spark.createDataFrame(rows, "doc_id long, fingerprint string")).collect()
+    assert {x["doc_id"]: x["class_id"] for x in got} == {i: i for i, _ in rows}
+    assert sum(written) == 0
+
+
 # -- near-duplicates --------------------------------------------------------------------------------------------
 
 def near_expected(rows):
@@ -239,6 +273,17 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {**{k: 0 for k in range(31)}, **{k: 100 for k in range(100, 160)}}
 
 
+def test_merged_components(spark):
+    """Later links join what is there: named and unnamed items, and several components at once."""
+    frame = lambda links: spark.createDataFrame(links, "a long, b long")
+    first = [(5, 6), (6, 7), (20, 21), (30, 31), (40, 41)]
+    later = [(3, 7), (21, 31), (50, 51), (2, 3), (51, 52), (6, 7), (60, 60)]
+    label = similar.merged(similar.components(frame(first)), frame(later))
+    want = {r["item"]: r["label"] for r in similar.components(frame(first + later)).collect()}
+    assert {r["item"]: r["label"] for r in label.collect()} == want and label.count() == len(want)
+    assert {r["item"]: r["label"] for r in similar.merged(label, frame([])).collect()} == want
+
+
 def test_dart_agreement_is_weighted_jaccard():
     r = np.random.default_rng(3)
     h = np.unique(r.integers(1, 1 << 63, 400).astype(np.uint64))
