@@ -19,8 +19,8 @@ table.
 Encoding a pre-split word walks its bytes once: for each end position it takes
 the label whose arc leaves the state reached where the label begins (exactly one
 exists), then reads the path back.  Words repeat, so a worker keeps the ids of
-the first words it has met, at most ``CACHE_WORDS`` of them.  Decoding emits the arc
-labels' bytes.
+the first words it has met, at most ``CACHE_WORDS`` of them (``LEAN_WORDS`` in :func:`encode`).  Decoding
+emits the arc labels' bytes.
 
 Defined results: null and empty texts have no ids and decode to ""; special
 tokens in a text become their ids, as in the library's default; repeated rows
@@ -39,17 +39,19 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from graphssl.llm.common import held, id_text
+from graphssl.llm.common import held, id_text, trim
 
 #: Fixed value: the pre-tokenizer's pattern of byte-level BPE files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words, and strings between spaces, whose ids a worker keeps; the first ones it
 #: meets are the frequent ones.
-CACHE_WORDS, CACHE_PIECES = 600_000, 250_000
+CACHE_WORDS, CACHE_PIECES = 350_000, 250_000
+#: The same where other stages have filled the executor before.
+LEAN_WORDS, LEAN_PIECES = 60_000, 120_000
 #: Marks a string that begins a label but is none.
 PREFIX = -1
 #: Arcs in the transition table before it starts anew.
-CACHE_ARCS = 2_000_000
+CACHE_ARCS = 500_000
 
 
 def byte_letters() -> list[str]:
@@ -144,7 +146,7 @@ class MergeAutomaton:
 class Tokenizer:
     """A byte-level BPE file of the tokenizers library (no normalizer, no dropout)."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, most_words: int = CACHE_WORDS, most_pieces: int = CACHE_PIECES):
         spec = json.loads(text)
         model, pre = spec["model"], spec["pre_tokenizer"]
         if model["type"] != "BPE" or pre["type"] != "ByteLevel" or spec["normalizer"] or pre["add_prefix_space"] \
@@ -171,13 +173,22 @@ class Tokenizer:
         # A space between two other characters always begins a word of the pattern;
         # so does the last one of a run of white space.  No other space is cut at.
         self._inner_space = regex.compile(r"\s (?:\s|\Z)")
-        self._word_ids = _Known(
-            lambda w: np.array(self.automaton.path(w.encode("utf-8")), np.int32).tobytes(), CACHE_WORDS)
-        self._spaced_ids = _Known(lambda piece: self._piece(" " + piece), CACHE_PIECES)
+        self._word_ids = _Known(self._word, most_words)
+        self._spaced_ids = _Known(self._spaced, most_pieces)
+
+    def _word(self, word: str) -> bytes:
+        return np.array(self.automaton.path(word.encode("utf-8")), np.int32).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         return b"".join(map(self._word_ids.__getitem__, self._words.findall(piece)))
 
+    def _spaced(self, piece: str) -> bytes:
+        """The ids of a string after a space; a single word is kept as that string only."""
+        found = self._words.findall(" " + piece)
+        if len(found) == 1 and len(self._spaced_ids) < self._spaced_ids.most:
+            return self._word(found[0])
+        return b"".join(map(self._word_ids.__getitem__, found))
+
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text."""
         parts = self._special.split(text) if self._special else [text]
@@ -234,19 +245,23 @@ class _Known(dict):
         return out
 
 
-def _tokenizer(text: str) -> Tokenizer:
+def _tokenizer(text: str, *most: int) -> Tokenizer:
     """One compiled tokenizer per worker process, until it turns to another operator."""
-    return held("tokenizer " + hashlib.sha256(text.encode()).hexdigest(), lambda: Tokenizer(text))
+    def make() -> Tokenizer:
+        tok = Tokenizer(text, *most)
+        trim()              # the parsed file has gone
+        return tok
+    return held(f"tokenizer {hashlib.sha256(text.encode()).hexdigest()} {most}", make)
 
 
-def _over_texts(docs: DataFrame, path: str, schema: str, row) -> DataFrame:
+def _over_texts(docs: DataFrame, path: str, schema: str, row, *most: int) -> DataFrame:
     """Applies ``row(tokenizer, text) -> dict`` to every text; ``path`` is read by the
-    driver, and its content (one vocabulary) is broadcast."""
+    driver, and its content (one vocabulary) is broadcast.  ``most``: strings that a worker keeps."""
     with open(path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(spec.value)
+        tok = _tokenizer(spec.value, *most)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
@@ -277,7 +292,7 @@ def _digests(tok: Tokenizer, text: str) -> dict:
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """``(doc_id, ids)`` of every row."""
-    return _over_texts(docs, path, ENCODED, _ids)
+    return _over_texts(docs, path, ENCODED, _ids, LEAN_WORDS, LEAN_PIECES)
 
 
 def encode_decode_digests(docs: DataFrame, path: str) -> DataFrame:

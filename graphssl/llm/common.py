@@ -39,6 +39,11 @@ def held(key: str, make):
 def release() -> None:
     """Frees what another operator has kept in this worker, and gives the memory back."""
     _HELD.clear()
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that this process has freed back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

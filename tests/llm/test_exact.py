@@ -75,6 +75,19 @@ def test_bpe_equals_the_library(which, request):
     assert Counter(map(tuple, bpe.encode_decode_digests(df, path).collect())) == want
 
 
+def test_bpe_keeps_few_strings():
+    """Whatever a worker keeps, the ids are the same; a word between spaces is kept once."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        text = f.read()
+    whole, lean = bpe.Tokenizer(text), bpe.Tokenizer(text, 3, 2)
+    for t in ("the quick brown fox it's 12 foxes", "a  b\n c", "", " x", "quick brown fox, again the fox", "é日本 <|endoftext|> fox"):
+        assert whole.encode(t).tolist() == lean.encode(t).tolist()
+    assert len(lean._word_ids) <= 3 and len(lean._spaced_ids) <= 2
+    once = bpe.Tokenizer(text)
+    once.encode("the quick brown fox")
+    assert set(once._spaced_ids) == {"quick", "brown", "fox"} and set(once._word_ids) == {"the"}
+
+
 def test_bpe_round_trip(odd):
     path = public_tokenizers.path("byte_bpe_50k.json")
     back = bpe.decode(bpe.encode(odd, path), path)
