@@ -12,7 +12,7 @@ is expected to hold ``ln k + 3`` darts, so a document costs its length plus abou
 ``k (ln k + 3)`` darts.  A document with an empty coordinate gets twice the bound.
 
 Signatures are banded; documents that share a band are compared exactly
-(``similar.verified_links``), and classes are the components of the links.
+(``similar.verified_classes``), and classes are the components of the links.
 Equal texts are one item from the start.
 
 Defined results: null text counts as empty; texts without words are similar to
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphssl.llm.common import mix64, numbered, release, shingles, steps, utf8, word_hashes
-from graphssl.llm.similar import BROADCAST_ROWS, components, texts_of, verified_links
+from graphssl.llm.similar import BROADCAST_ROWS, merged, texts_of, verified_classes
 from graphssl.operators.sizing import small_hint
 from graphssl.session import write_table
 
@@ -147,8 +147,8 @@ def _classes(rows_of: tuple[DataFrame, bool], width: int = WIDTH, least: float =
         F.col("item").alias("a"), F.col("doc").alias("b")), "shared")
     buckets = (known.filter("item is null or item = doc")
                .select(F.col("doc").alias("item"), F.explode("bands").alias("bucket")))
-    links = verified_links(buckets, texts_of(texts.select(F.col("doc").alias("item"), "text")), width, least)
-    label = components(links.unionByName(shared))
+    _, label = verified_classes(buckets, texts_of(texts.select(F.col("doc").alias("item"), "text")), width, least)
+    label = merged(label, shared)
     out = banded.select("doc").join(
         small_hint(label, label.count(), BROADCAST_ROWS).withColumnRenamed("item", "doc"), "doc", "left")
     out = write_table(out.select("doc", F.coalesce("label", "doc").alias("class_key")), "classes")

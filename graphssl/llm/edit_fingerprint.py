@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphssl.llm.common import id_text, mix64, with_next
-from graphssl.llm.similar import BROADCAST_ROWS, bucket_links, components
+from graphssl.llm.similar import BROADCAST_ROWS, bucket_classes
 from graphssl.operators.sizing import small_hint
 from graphssl.session import write_table
 
@@ -350,7 +350,7 @@ def near_pairs(prints: DataFrame, least: float = LEAST) -> DataFrame:
         y = items.select(F.col("item").alias("b"), F.col("fingerprint").alias("y"))
         return pairs.join(x, "a").join(y, "b").filter(near("x", "y") >= least).select("a", "b")
 
-    label = components(bucket_links(buckets, alike, sketch=([*PLANES, "up"], sketched, _may_be_near(least))))
+    _, label = bucket_classes(buckets, alike, sketch=([*PLANES, "up"], sketched, _may_be_near(least)))
     many = label.count()
     met = items.join(small_hint(label, many, BROADCAST_ROWS), "item", "left")
     # A fingerprint of one row and without links is its row's own class.

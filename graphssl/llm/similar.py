@@ -35,25 +35,28 @@ PER_SALT = 256
 
 def components(links: DataFrame) -> DataFrame:
     """``(item, label)`` of every item in ``links(a, b)``: the smallest item of its
-    component.  Each round takes the neighbours' smallest label, then the label's
-    label; labels are a written table per round, broadcast while it is small."""
+    component.  Each round hangs every item on its smallest neighbour, follows these to their
+    roots and keeps the links between different roots only, so that later rounds have
+    fewer links and at most half the items; tables are broadcast while they are small."""
     both = write_table(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
                        .filter("a != b"), "links")
-    label = write_table(both.groupBy(F.col("a").alias("item")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
-    n = label.count()
-
-    def of(key: str, value: str) -> DataFrame:
-        return small_hint(label.select(F.col("item").alias(key), F.col("label").alias(value)), n, BROADCAST_ROWS)
-
-    while n:
-        near = both.join(of("b", "near"), "b").groupBy(F.col("a").alias("item")).agg(F.min("near").alias("near"))
-        low = near.join(of("item", "old"), "item").select("item", "old", F.least("old", "near").alias("low"))
-        new = write_table(low.join(of("low", "up"), "low", "left").select(
-            "item", "old", F.least("low", F.coalesce("up", "low")).alias("label")), "labels")
-        moved = new.filter("label != old").limit(1).count()
-        label = new.select("item", "label")
-        if not moved:
-            break
+    label = None
+    while label is None or both.limit(1).count():
+        root = write_table(both.groupBy(F.col("a").alias("item")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
+        n, moved = root.count(), True
+
+        def of(key: str, value: str) -> DataFrame:
+            return small_hint(root.select(F.col("item").alias(key), F.col("label").alias(value)), n, BROADCAST_ROWS)
+
+        while n and moved:
+            new = write_table(root.join(of("label", "up"), "label").select(
+                "item", F.col("label").alias("old"), F.col("up").alias("label")), "labels")
+            moved = new.filter("label != old").limit(1).count()
+            root = new.select("item", "label")
+        label = root if label is None else write_table(label.join(of("label", "up"), "label", "left").select(
+            "item", F.coalesce("up", "label").alias("label")), "labels")
+        both = write_table(both.join(of("a", "x"), "a").join(of("b", "y"), "b").filter("x != y")
+                           .select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
     return label
 
 
@@ -136,8 +139,14 @@ def similar_pairs(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], wid
 def verified_links(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], width: int, least: float) -> DataFrame:
     """``bucket_links`` with the Jaccard similarity of the items' texts, refined by
     ``prefix_elements``."""
-    return bucket_links(buckets, lambda pairs: similar_pairs(pairs, fetch, width, least),
-                        lambda items: prefix_elements(items, fetch, width, least), least)
+    return verified_classes(buckets, fetch, width, least)[0]
+
+
+def verified_classes(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], width: int,
+                     least: float) -> tuple[DataFrame, DataFrame]:
+    """The links of ``verified_links`` and their components."""
+    return bucket_classes(buckets, lambda pairs: similar_pairs(pairs, fetch, width, least),
+                          lambda items: prefix_elements(items, fetch, width, least), least)
 
 
 def _elements(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -230,6 +239,13 @@ def bucket_links(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame],
     that it is given.  ``sketch`` names columns, adds them to the rows of buckets with more
     than one item, and gives a condition on them and on the other item's (``_`` before
     the name) that all similar pairs meet; pairs that do not meet it are never written."""
+    return bucket_classes(buckets, alike, refine, least, sketch)[0]
+
+
+def bucket_classes(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame],
+                   refine: Callable[[DataFrame], DataFrame] | None = None, least: float = 0.0,
+                   sketch: tuple[list[str], Callable, Callable] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The links of ``bucket_links`` and their components, as ``components`` gives them."""
     own = sketch[0] if sketch else []
     full = buckets.groupBy("bucket").agg(F.min("item").alias("low"), F.max("item").alias("high")).filter("low != high")
     rows = write_table(buckets.join(full.select("bucket", F.col("low").alias("a")), "bucket")
@@ -250,7 +266,7 @@ def bucket_links(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame],
         rows = _open(refine(write_table(rows.select("item").distinct(), "crowd")), label)
     for leaders in chain([2, 16, 128], repeat(512)):    # partial limits need fewer than 1000
         if not rows.limit(1).count():
-            return links
+            return links, label
         # The items with the fewest elements of their own first: what others were made
         # from connects most.  Partial limits leave at most `leaders` rows per task.
         in_order = Window.partitionBy("bucket").orderBy("rare", "item")

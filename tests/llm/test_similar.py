@@ -273,6 +273,34 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {**{k: 0 for k in range(31)}, **{k: 100 for k in range(100, 160)}}
 
 
+def test_components_keep_links_between_roots_only(spark, monkeypatch):
+    """A round hands on the links between different roots, fewer each time."""
+    sizes, write = [], similar.write_table
+
+    def counted(df, name="table"):
+        out = write(df, name)
+        sizes.extend([out.count()] if name == "links" else [])
+        return out
+    monkeypatch.setattr(similar, "write_table", counted)
+    order = np.random.default_rng(4).permutation(200).tolist()
+    links = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
+    got = {r["item"]: r["label"] for r in similar.components(links).collect()}
+    assert got == dict.fromkeys(order, 0)
+    assert len(sizes) > 1 and sizes[-1] == 0 and all(2 * y <= x for x, y in zip(sizes, sizes[1:]))
+
+
+def test_paragraphs_are_written_once_with_their_bands(odd, monkeypatch):
+    """The codes of a unit come back with the unit, and items need no further look at them."""
+    written, write = {}, paragraphs.write_table
+
+    def noted(df, name="table"):
+        written[name] = df.columns
+        return write(df, name)
+    monkeypatch.setattr(paragraphs, "write_table", noted)
+    paragraphs.repeated_paragraphs(odd)
+    assert "hits" not in written and "band0" in written["lines"] and "band0" in written["items"]
+
+
 def test_merged_components(spark):
     """Later links join what is there: named and unnamed items, and several components at once."""
     frame = lambda links: spark.createDataFrame(links, "a long, b long")
