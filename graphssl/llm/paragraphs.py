@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphssl.llm.common import mix64, numbered, shingles, steps, utf8, word_hashes
-from graphssl.llm.similar import BROADCAST_ROWS, components, verified_links
+from graphssl.llm.similar import BROADCAST_ROWS, verified_classes
 from graphssl.operators.sizing import small_hint
 from graphssl.session import write_table
 
@@ -54,6 +54,10 @@ PACKED_CODES, CHUNK_DOCS = 2_000_000, 20_000
 #: Codes per row of the filter, its words (16 bits a code), and codes whose filter may be broadcast (2 bytes each).
 ROW_CODES, ROW_WORDS, FILTER_CODES = 4096, 1024, 40_000_000
 
+#: Rows of items, or clusters, that may be broadcast (the driver holds each such table; a quarter where a
+#: row has lists).
+ITEM_ROWS = 100_000
+
 _STOP = np.isin(np.arange(256), list(b".!?"))
 
 
@@ -241,26 +245,28 @@ def repeated_paragraphs(docs: DataFrame, rows_of: tuple[DataFrame, bool] | None
     units = texts.select("doc", "text").mapInArrow(
         lambda it: _lines(it, bands, rows),
         "doc long, begin long, size long, words long, whole boolean, line_key binary, codes array<long>")
-    hits = write_table(with_repeated(units.select(*UNIT, F.explode("codes").alias("code")), codes), "hits")
-    lines = write_table(hits.select(UNIT).distinct(), "lines")
+    hits = with_repeated(units.select(*UNIT, F.posexplode("codes").alias("nth", "code")), codes)
+    # the first code is of the words, the others of the bands; both follow from the words
+    lines = write_table(hits.groupBy(UNIT).agg(*[F.max(F.when(F.col("nth") == k + 1, F.col("code"))).alias(f"band{k}")
+                                                for k in range(bands)]), "lines")
     place = F.struct("doc", "begin", (-F.col("size")).alias("less"))       # a line before its first sentence
-    items = write_table(lines.groupBy("line_key").agg(F.min(place).alias("f"))
+    every = [f"band{k}" for k in range(bands)]
+    items = write_table(lines.groupBy("line_key").agg(F.min(place).alias("f"), *[F.max(c).alias(c) for c in every])
                         .select("line_key", F.monotonically_increasing_id().alias("item"), F.col("f.doc").alias("doc"),
-                                F.col("f.begin").alias("begin"), (-F.col("f.less")).alias("size")), "items")
-    item_of = small_hint(items.select("line_key", "item"), items.count(), BROADCAST_ROWS)
-    buckets = hits.filter("code % 2 = 1").select("line_key", F.col("code").alias("bucket")).distinct().join(
-        item_of, "line_key").select("item", "bucket")
+                                F.col("f.begin").alias("begin"), (-F.col("f.less")).alias("size"), *every), "items")
+    item_of = small_hint(items.select("line_key", "item"), items.count(), ITEM_ROWS)
+    buckets = items.select("item", F.explode(F.array(*every)).alias("bucket")).filter("bucket is not null")
+    items = items.select("item", "doc", "begin", "size")
 
     def fetch(need: DataFrame) -> DataFrame:
         n = need.count()
-        at = write_table(items.drop("line_key").join(small_hint(need, n, BROADCAST_ROWS), "item"), "at")
+        at = write_table(items.join(small_hint(need, n, ITEM_ROWS), "item"), "at")
         raw = F.encode("text", "UTF-8")
-        met = texts.join(small_hint(at, n, BROADCAST_ROWS), "doc")
+        met = texts.join(small_hint(at, n, ITEM_ROWS), "doc")
         return met.select("item", "n", F.decode(F.substring(raw, F.col("begin").cast("int") + 1, F.col("size").cast("int")),
                                                 "UTF-8").alias("text"))
 
-    links = verified_links(buckets, fetch, WIDTH, LEAST)
-    label = components(links)
+    _, label = verified_classes(buckets, fetch, WIDTH, LEAST)
     clustered = lines.join(item_of, "line_key").join(
         small_hint(label, label.count(), BROADCAST_ROWS), "item", "left").select(
         F.coalesce("label", "item").alias("cluster"), *UNIT[:-1])
@@ -272,7 +278,7 @@ def repeated_paragraphs(docs: DataFrame, rows_of: tuple[DataFrame, bool] | None
         texts.select(F.col("doc").alias("first"), F.col("doc_id").alias("first_doc_id")), "first")
     head = write_table(head, "heads")
     # A line and its own sentence do not repeat each other.
-    return (clustered.join(small_hint(head, head.count(), BROADCAST_ROWS), "cluster")
+    return (clustered.join(small_hint(head, head.count(), ITEM_ROWS), "cluster")
             .filter("doc != first or begin >= first_end or begin + size <= first_begin")
             .select(*UNIT[:-1], "first_doc_id"))
 
@@ -332,5 +338,5 @@ def remove_paragraphs(docs: DataFrame) -> DataFrame:
     gone = repeated_paragraphs(docs, texts).groupBy("doc").agg(
         F.collect_list(F.struct("begin", "size", "words", "whole", "first_doc_id")).alias("gone"))      # a document's own lines
     gone = write_table(gone, "gone")
-    met = texts[0].join(small_hint(gone, gone.count(), BROADCAST_ROWS // 4), "doc", "left").select("doc_id", "text", "gone")
+    met = texts[0].join(small_hint(gone, gone.count(), ITEM_ROWS // 4), "doc", "left").select("doc_id", "text", "gone")
     return met.mapInArrow(_cut, RESULT)
