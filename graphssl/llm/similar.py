@@ -14,7 +14,7 @@ that testing all colliding pairs would give.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain, repeat
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,8 @@ BROADCAST_ROWS = 500_000
 SKETCH = [f"s{i}" for i in range(16)]
 #: Comparisons with one item that travel together (more are salted).
 PER_SALT = 256
+#: Leaders of a bucket in the first round, and how many times more there are after each round.
+FIRST_LEADERS, MORE_LEADERS = 16, 16
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -200,14 +202,21 @@ def prefix_elements(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], w
                     (F.col("place") <= prefix(2 * least / (1 + least))).alias("lead")).join(parity, "item"))
 
 
+def _ranked(rows: DataFrame) -> DataFrame:
+    """``rows`` with their ``turn`` to lead in their bucket: those with the fewest elements of their own first, as
+    what others were made from connects most.  Buckets only leave whole, so a turn holds for all rounds."""
+    return rows.withColumn("turn", F.row_number().over(
+        Window.partitionBy("bucket").orderBy(F.desc("lead"), "rare", "item")))
+
+
 def _open(rows: DataFrame, label: DataFrame) -> DataFrame:
     """``rows`` with their component as ``label``, of the buckets that hold two
     components and a row that may lead."""
     known = rows.drop("label").join(small_hint(label, label.count(), BROADCAST_ROWS), "item", "left").withColumn(
         "label", F.coalesce("label", "item"))
-    mixed = (known.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("lead").alias("z"))
-             .filter("x != y and z").select("bucket"))
-    return write_table(known.join(mixed, "bucket"), "open")
+    per = Window.partitionBy("bucket")
+    mixed = known.withColumns({"_x": F.min("label").over(per), "_y": F.max("label").over(per), "_z": F.max("lead").over(per)})
+    return write_table(mixed.filter("_x != _y and _z").drop("_x", "_y", "_z"), "open")
 
 
 def _between(rows: DataFrame, heads: DataFrame, tested: DataFrame, least: float,
@@ -247,9 +256,9 @@ def bucket_classes(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame],
                    sketch: tuple[list[str], Callable, Callable] | None = None) -> tuple[DataFrame, DataFrame]:
     """The links of ``bucket_links`` and their components, as ``components`` gives them."""
     own = sketch[0] if sketch else []
-    full = buckets.groupBy("bucket").agg(F.min("item").alias("low"), F.max("item").alias("high")).filter("low != high")
-    rows = write_table(buckets.join(full.select("bucket", F.col("low").alias("a")), "bucket")
-                       .dropDuplicates(["bucket", "item"]), "buckets")
+    per = Window.partitionBy("bucket")          # the rows move once
+    rows = write_table(buckets.withColumns({"a": F.min("item").over(per), "_high": F.max("item").over(per)})
+                       .filter("a != _high").drop("_high").dropDuplicates(["bucket", "item"]), "buckets")
     if sketch:
         rows = write_table(sketch[1](rows), "sketched")
     first = rows.filter("a != item")
@@ -264,21 +273,19 @@ def bucket_classes(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame],
         "bucket", "item", *own, *[zero.alias(c) for c in ("size", "place", "rare", *SKETCH)], F.lit(True).alias("lead")), label)
     if refine is not None and rows.limit(1).count():
         rows = _open(refine(write_table(rows.select("item").distinct(), "crowd")), label)
-    for leaders in chain([2, 16, 128], repeat(512)):    # partial limits need fewer than 1000
-        if not rows.limit(1).count():
-            return links, label
-        # The items with the fewest elements of their own first: what others were made
-        # from connects most.  Partial limits leave at most `leaders` rows per task.
-        in_order = Window.partitionBy("bucket").orderBy("rare", "item")
-        heads = write_table(rows.filter("lead").withColumn("_r", F.row_number().over(in_order))
-                            .filter(F.col("_r") <= leaders), "leaders")
-        pairs = _between(rows, heads, tested, least, sketch)
+    if not rows.limit(1).count():
+        return links, label
+    rows = _ranked(rows)
+    for last in (FIRST_LEADERS * MORE_LEADERS ** k for k in count()):
+        # Every round has many more leaders than all before it, so that the rows of a bucket are read in a few rounds,
+        # however many they are.
+        pairs = _between(rows, rows.filter(F.col("lead") & (F.col("turn") <= last)), tested, least, sketch)
         if pairs.limit(1).count():
             found = write_table(alike(pairs), "verified")
             tested = tested.unionByName(pairs)
             if found.limit(1).count():
                 links = links.unionByName(found)
                 label = merged(label, found)
-        done = heads.select("bucket", "item", F.lit(True).alias("_led"))
-        rows = _open(rows.join(done, ["bucket", "item"], "left").withColumn(
-            "lead", F.col("lead") & F.col("_led").isNull()).drop("_led"), label)
+        rows = _open(rows.withColumn("lead", F.col("lead") & (F.col("turn") > last)), label)
+        if not rows.limit(1).count():
+            return links, label

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from graphssl.llm import dart_minhash, edit_fingerprint, paragraphs, similar, toxicity
 from graphssl.llm.common import utf8
@@ -267,6 +268,18 @@ def test_hot_bucket_loses_no_component(spark, refined):
     assert {i: label.get(i, i) for i in texts} == want and len(set(want.values())) == 2
 
 
+def test_a_bucket_is_read_in_few_rounds(spark, monkeypatch):
+    """A bucket of many items, nearly all unlike: the rows of all rounds do not grow with the square of its size."""
+    n = 600
+    buckets = spark.range(n).select(F.lit(1).cast("long").alias("bucket"), F.col("id").alias("item"))
+    read, between = [], similar._between
+    monkeypatch.setattr(similar, "_between", lambda rows, *rest: read.append(rows.count()) or between(rows, *rest))
+    links, label = similar.bucket_classes(buckets, lambda pairs: pairs.filter("b - a = 550"))
+    assert sorted(map(tuple, links.collect())) == [(k, k + 550) for k in range(50)]
+    assert sorted(map(tuple, label.collect())) == sorted([(k, k) for k in range(50)] + [(k + 550, k) for k in range(50)])
+    assert len(read) <= 3 and sum(read) <= 3 * n
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 160)] + [(200, 200)]
     got = {r["item"]: r["label"] for r in similar.components(spark.createDataFrame(links, "a long, b long")).collect()}
