@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from graphssl.llm.common import mix64, numbered, shingles, steps, utf8, word_hashes
 from graphssl.llm.similar import BROADCAST_ROWS, verified_classes
 from graphssl.operators.sizing import small_hint
-from graphssl.session import write_table
+from graphssl.session import discard, write_table
 
 #: Words per shingle, similarity of near-duplicates, recall at that similarity.
 WIDTH, LEAST, RECALL = 5, 0.8, 0.995
@@ -58,6 +58,9 @@ ROW_CODES, ROW_WORDS, FILTER_CODES = 4096, 1024, 40_000_000
 #: row has lists).
 ITEM_ROWS = 100_000
 
+#: Words of 64 bits of a unit's parities.
+PARITY = ["p0", "p1"]
+
 _STOP = np.isin(np.arange(256), list(b".!?"))
 
 
@@ -83,7 +86,7 @@ def minhash(hashes: np.ndarray, row: np.ndarray, n_rows: int, k: int) -> np.ndar
 
 
 def _signed(h: np.ndarray, unit: np.ndarray, n: int, bands: int, rows: int) -> tuple[np.ndarray, ...]:
-    """Per unit of words: 16-byte key, band keys, number of bands; ``unit`` ascends and holds every unit."""
+    """Per unit of words: 16-byte key, band keys, number of bands, parities of its shingles; ``unit`` ascends and holds every unit."""
     n_words = np.bincount(unit, minlength=n)
     s, of = shingles(h, unit, n, WIDTH)
     sig = minhash(s, of, n, bands * rows)
@@ -100,11 +103,28 @@ def _signed(h: np.ndarray, unit: np.ndarray, n: int, bands: int, rows: int) -> t
     at = np.searchsorted(unit, np.arange(n + 1))
     key = np.frombuffer(b"".join(hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest()
                                  for a, b in zip(at, at[1:])), np.uint64).reshape(n, 2)
-    return key, keys, np.where(n_words < WIDTH, 0, np.where(few, 1, bands))     # equal short lines are one item
+    shared = np.where(n_words < WIDTH, 0, np.where(few, 1, bands))              # equal short lines are one item
+    return key, keys, shared, _parity(s, of, n)
+
+
+def _parity(s: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """``(n, len(PARITY))`` words with a bit per hash value: the parity of a unit's shingles there."""
+    place = (mix64(s + np.uint64(1)) % np.uint64(64 * len(PARITY))).astype(np.int64)
+    odd = np.bincount(of * 64 * len(PARITY) + place, minlength=n * 64 * len(PARITY)) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, -1), axis=1).view(np.int64)
+
+
+def _may_be_alike():
+    """What all pairs of units of a similarity of ``LEAST`` meet: they differ in few shingles, hence in no more bits
+    of their parities."""
+    size, other = (F.greatest(F.col(c) - F.lit(WIDTH - 1), F.lit(1)) for c in ("words", "_words"))
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in PARITY), F.lit(0))
+    return ((differ <= F.lit((1 - LEAST) / (1 + LEAST)) * (size + other) + F.lit(1e-6))
+            & (F.least(size, other) >= F.lit(LEAST) * F.greatest(size, other) - F.lit(1e-6)))
 
 
 def _units(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[tuple]:
-    """``(doc, begin, end, words, whole, key, band keys, bands)`` arrays: the lines of some rows,
+    """``(doc, begin, end, words, whole, key, band keys, bands, parities)`` arrays: the lines of some rows,
     then the sentences of lines that have several."""
     for batch in batches:
         ids = batch.column("doc").to_numpy(zero_copy_only=False)
@@ -164,7 +184,7 @@ def _packed(batches: Iterator[pa.RecordBatch], bands: int, rows: int, bits: int)
         return pa.RecordBatch.from_arrays([pa.array(chunk[head].astype(np.int64)), pa.array(
             [value[a:b].tobytes() for a, b in zip(head, np.append(head[1:], len(value)))], pa.binary())], names=["chunk", "packed"])
 
-    for *_, key, keys, shared in _units(batches, bands, rows):
+    for *_, key, keys, shared, _ in _units(batches, bands, rows):
         code, unit, _ = _codes(key, keys, shared)
         held.append((code, key[unit, 1] & np.uint64((1 << 24) - 1)))
         size += len(code)
@@ -225,12 +245,13 @@ def with_repeated(units: DataFrame, codes: DataFrame) -> DataFrame:
 
 
 def _lines(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    for doc, begin, end, words, whole, key, keys, shared in _units(batches, bands, rows):
+    for doc, begin, end, words, whole, key, keys, shared, parity in _units(batches, bands, rows):
         code, _, at = _codes(key, keys, shared)
         yield pa.RecordBatch.from_arrays([
             pa.array(doc), pa.array(begin), pa.array(end - begin), pa.array(words.astype(np.int64)),
             pa.array(np.full(len(doc), whole)), pa.array([k.tobytes() for k in key], pa.binary()),
-            pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(code.astype(np.int64)))], names=UNIT + ["codes"])
+            *[pa.array(np.ascontiguousarray(c)) for c in parity.T],
+            pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(code.astype(np.int64)))], names=[*UNIT, *PARITY, "codes"])
 
 
 UNIT = ["doc", "begin", "size", "words", "whole", "line_key"]
@@ -244,33 +265,41 @@ def repeated_paragraphs(docs: DataFrame, rows_of: tuple[DataFrame, bool] | None
     codes = repeated_codes(texts, bands, rows)
     units = texts.select("doc", "text").mapInArrow(
         lambda it: _lines(it, bands, rows),
-        "doc long, begin long, size long, words long, whole boolean, line_key binary, codes array<long>")
-    hits = with_repeated(units.select(*UNIT, F.posexplode("codes").alias("nth", "code")), codes)
-    # the first code is of the words, the others of the bands; both follow from the words
+        f"doc long, begin long, size long, words long, whole boolean, line_key binary, {' long, '.join(PARITY)} long, codes array<long>")
+    hits = with_repeated(units.select(*UNIT, *PARITY, F.posexplode("codes").alias("nth", "code")), codes)
+    # the first code is of the words, the others of the bands; they and the parities follow from the words
     lines = write_table(hits.groupBy(UNIT).agg(*[F.max(F.when(F.col("nth") == k + 1, F.col("code"))).alias(f"band{k}")
-                                                for k in range(bands)]), "lines")
+                                                for k in range(bands)], *[F.max(c).alias(c) for c in PARITY]), "lines")
+    discard(codes)
     place = F.struct("doc", "begin", (-F.col("size")).alias("less"))       # a line before its first sentence
     every = [f"band{k}" for k in range(bands)]
-    items = write_table(lines.groupBy("line_key").agg(F.min(place).alias("f"), *[F.max(c).alias(c) for c in every])
+    said = ["words", *PARITY]
+    items = write_table(lines.groupBy("line_key").agg(F.min(place).alias("f"), *[F.max(c).alias(c) for c in (*every, *said)])
                         .select("line_key", F.monotonically_increasing_id().alias("item"), F.col("f.doc").alias("doc"),
-                                F.col("f.begin").alias("begin"), (-F.col("f.less")).alias("size"), *every), "items")
+                                F.col("f.begin").alias("begin"), (-F.col("f.less")).alias("size"), *every, *said), "items")
     item_of = small_hint(items.select("line_key", "item"), items.count(), ITEM_ROWS)
-    buckets = items.select("item", F.explode(F.array(*every)).alias("bucket")).filter("bucket is not null")
-    items = items.select("item", "doc", "begin", "size")
+    buckets = items.select("item", *said, F.explode(F.array(*every)).alias("bucket")).filter("bucket is not null")
+    place_of = items.select("item", "doc", "begin", "size")
 
     def fetch(need: DataFrame) -> DataFrame:
         n = need.count()
-        at = write_table(items.join(small_hint(need, n, ITEM_ROWS), "item"), "at")
+        at = write_table(place_of.join(small_hint(need, n, ITEM_ROWS), "item"), "at")
         raw = F.encode("text", "UTF-8")
-        met = texts.join(small_hint(at, n, ITEM_ROWS), "doc")
+        own = texts.select("doc", "text")
+        if n > ITEM_ROWS:           # texts without such an item do not move
+            docs_of = write_table(at.select(F.col("doc").alias("code")).distinct(), "wanted")
+            own = with_repeated(own.withColumn("code", F.col("doc")), docs_of).drop("code")
+        met = own.join(small_hint(at, n, ITEM_ROWS), "doc")
         return met.select("item", "n", F.decode(F.substring(raw, F.col("begin").cast("int") + 1, F.col("size").cast("int")),
                                                 "UTF-8").alias("text"))
 
-    _, label = verified_classes(buckets, fetch, WIDTH, LEAST)
+    _, label = verified_classes(buckets, fetch, WIDTH, LEAST, (said, None, _may_be_alike))
     clustered = lines.join(item_of, "line_key").join(
         small_hint(label, label.count(), BROADCAST_ROWS), "item", "left").select(
         F.coalesce("label", "item").alias("cluster"), *UNIT[:-1])
     clustered = write_table(clustered, "clustered")
+    discard(lines)
+    discard(items)
     head = clustered.groupBy("cluster").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     head = head.select("cluster", F.col("f.doc").alias("first"), F.col("f.begin").alias("first_begin"),
                        (F.col("f.begin") - F.col("f.less")).alias("first_end"))

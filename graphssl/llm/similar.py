@@ -144,11 +144,11 @@ def verified_links(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame],
     return verified_classes(buckets, fetch, width, least)[0]
 
 
-def verified_classes(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], width: int,
-                     least: float) -> tuple[DataFrame, DataFrame]:
-    """The links of ``verified_links`` and their components."""
+def verified_classes(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], width: int, least: float,
+                     sketch: tuple[list[str], Callable | None, Callable] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The links of ``verified_links`` and their components; ``sketch`` as for ``bucket_links``."""
     return bucket_classes(buckets, lambda pairs: similar_pairs(pairs, fetch, width, least),
-                          lambda items: prefix_elements(items, fetch, width, least), least)
+                          lambda items: prefix_elements(items, fetch, width, least), least, sketch)
 
 
 def _elements(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -220,7 +220,7 @@ def _open(rows: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def _between(rows: DataFrame, heads: DataFrame, tested: DataFrame, least: float,
-             sketch: tuple[list[str], Callable, Callable] | None = None) -> DataFrame:
+             sketch: tuple[list[str], Callable | None, Callable] | None = None) -> DataFrame:
     """The untested pairs of a leader and an item of another component that is not
     smaller, without those that cannot be similar: what two items have in common
     from a shared element on is at most one more than what either has left (their
@@ -241,30 +241,33 @@ def _between(rows: DataFrame, heads: DataFrame, tested: DataFrame, least: float,
 
 def bucket_links(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame],
                  refine: Callable[[DataFrame], DataFrame] | None = None, least: float = 0.0,
-                 sketch: tuple[list[str], Callable, Callable] | None = None) -> DataFrame:
+                 sketch: tuple[list[str], Callable | None, Callable] | None = None) -> DataFrame:
     """``(a, b)`` links between similar items that share a bucket, enough of them to
     connect every component; ``buckets(bucket, item)``; ``alike`` keeps the similar
     rows of ``(a, b)``; ``refine`` gives the rows of ``prefix_elements`` for the items
     that it is given.  ``sketch`` names columns, adds them to the rows of buckets with more
-    than one item, and gives a condition on them and on the other item's (``_`` before
+    than one item (None: ``buckets`` has them), and gives a condition on them and on the other item's (``_`` before
     the name) that all similar pairs meet; pairs that do not meet it are never written."""
     return bucket_classes(buckets, alike, refine, least, sketch)[0]
 
 
 def bucket_classes(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame],
                    refine: Callable[[DataFrame], DataFrame] | None = None, least: float = 0.0,
-                   sketch: tuple[list[str], Callable, Callable] | None = None) -> tuple[DataFrame, DataFrame]:
+                   sketch: tuple[list[str], Callable | None, Callable] | None = None) -> tuple[DataFrame, DataFrame]:
     """The links of ``bucket_links`` and their components, as ``components`` gives them."""
     own = sketch[0] if sketch else []
+    there = [c for c in own if c in buckets.columns]
     per = Window.partitionBy("bucket")          # the rows move once
-    rows = write_table(buckets.withColumns({"a": F.min("item").over(per), "_high": F.max("item").over(per)})
-                       .filter("a != _high").drop("_high").dropDuplicates(["bucket", "item"]), "buckets")
-    if sketch:
+    low = buckets.withColumns({"_low": F.min(F.struct("item", *there)).over(per), "_high": F.max("item").over(per)})
+    rows = write_table(low.filter("_low.item != _high").select(
+        *buckets.columns, F.col("_low.item").alias("a"), *[F.col(f"_low.{c}").alias(f"_{c}") for c in there])
+        .dropDuplicates(["bucket", "item"]), "buckets")
+    if sketch and sketch[1]:
         rows = write_table(sketch[1](rows), "sketched")
     first = rows.filter("a != item")
     if sketch:
-        heads = rows.filter("a = item").select("bucket", *[F.col(c).alias(f"_{c}") for c in own])
-        first = first.join(heads, "bucket").filter(sketch[2]())
+        heads = rows.filter("a = item").select("bucket", *[F.col(c).alias(f"_{c}") for c in own if c not in there])
+        first = (first if len(there) == len(own) else first.join(heads, "bucket")).filter(sketch[2]())
     tested = write_table(first.select("a", F.col("item").alias("b")).distinct(), "pairs")
     links = write_table(alike(tested), "verified")
     label = components(links)
@@ -272,7 +275,7 @@ def bucket_classes(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame],
     rows = _open(rows.filter("a != item").select(
         "bucket", "item", *own, *[zero.alias(c) for c in ("size", "place", "rare", *SKETCH)], F.lit(True).alias("lead")), label)
     if refine is not None and rows.limit(1).count():
-        rows = _open(refine(write_table(rows.select("item").distinct(), "crowd")), label)
+        rows, sketch = _open(refine(write_table(rows.select("item").distinct(), "crowd")), label), None
     if not rows.limit(1).count():
         return links, label
     rows = _ranked(rows)

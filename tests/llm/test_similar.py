@@ -314,6 +314,23 @@ def test_paragraphs_are_written_once_with_their_bands(odd, monkeypatch):
     assert "hits" not in written and "band0" in written["lines"] and "band0" in written["items"]
 
 
+def test_texts_of_unlike_paragraphs_are_not_fetched(make, monkeypatch):
+    """Paragraphs that share a band but too few shingles are told apart by their parities."""
+    r = np.random.default_rng(3)
+    texts = []
+    for k in range(40):
+        base = [f"w{x}" for x in r.integers(0, 10**6, 40)]
+        near = base[:37] + ["other"] * 3
+        half = base[:22] + [f"v{x}" for x in r.integers(0, 10**6, 18)]
+        texts += [" ".join(x) for x in (base, near, half)]
+    seen, pairs = [], similar.similar_pairs
+    monkeypatch.setattr(similar, "similar_pairs", lambda p, *rest: seen.append(p.count()) or pairs(p, *rest))
+    got = {x["doc_id"]: x for x in paragraphs.remove_paragraphs(make([(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert {i for i, x in got.items() if x["n_removed"]} == {i for i in range(120) if i % 3 == 1}
+    assert all(got[i]["first_doc_ids"] == [i - 1] for i in range(1, 120, 3))
+    assert sum(seen) == 40
+
+
 def test_merged_components(spark):
     """Later links join what is there: named and unnamed items, and several components at once."""
     frame = lambda links: spark.createDataFrame(links, "a long, b long")
