@@ -80,13 +80,20 @@ def minhash(hashes: np.ndarray, row: np.ndarray, n_rows: int, k: int) -> np.ndar
     and holds every row."""
     head = np.searchsorted(row, np.arange(n_rows))
     out = np.zeros((n_rows, k), np.uint64)
+    x, y = np.empty_like(hashes), np.empty_like(hashes)
     for j in range(k):
-        out[:, j] = np.minimum.reduceat(mix64(hashes ^ np.uint64((j + 1) * 0x9E3779B97F4A7C15 % (1 << 64))), head)
+        np.bitwise_xor(hashes, np.uint64((j + 1) * 0x9E3779B97F4A7C15 % (1 << 64)), out=x)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, None)):     # mix64 without copies
+            np.right_shift(x, np.uint64(shift), out=y)
+            np.bitwise_xor(x, y, out=x)
+            if factor:
+                np.multiply(x, np.uint64(factor), out=x)
+        out[:, j] = np.minimum.reduceat(x, head)
     return out
 
 
-def _signed(h: np.ndarray, unit: np.ndarray, n: int, bands: int, rows: int) -> tuple[np.ndarray, ...]:
-    """Per unit of words: 16-byte key, band keys, number of bands, parities of its shingles; ``unit`` ascends and holds every unit."""
+def _signed(h: np.ndarray, unit: np.ndarray, n: int, bands: int, rows: int, parities: bool) -> tuple[np.ndarray | None, ...]:
+    """Per unit of words: 16-byte key, band keys, number of bands, parities of its shingles (if asked for); ``unit`` ascends and holds every unit."""
     n_words = np.bincount(unit, minlength=n)
     s, of = shingles(h, unit, n, WIDTH)
     sig = minhash(s, of, n, bands * rows)
@@ -104,7 +111,7 @@ def _signed(h: np.ndarray, unit: np.ndarray, n: int, bands: int, rows: int) -> t
     key = np.frombuffer(b"".join(hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest()
                                  for a, b in zip(at, at[1:])), np.uint64).reshape(n, 2)
     shared = np.where(n_words < WIDTH, 0, np.where(few, 1, bands))              # equal short lines are one item
-    return key, keys, shared, _parity(s, of, n)
+    return key, keys, shared, _parity(s, of, n) if parities else None
 
 
 def _parity(s: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
@@ -123,7 +130,7 @@ def _may_be_alike():
             & (F.least(size, other) >= F.lit(LEAST) * F.greatest(size, other) - F.lit(1e-6)))
 
 
-def _units(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[tuple]:
+def _units(batches: Iterator[pa.RecordBatch], bands: int, rows: int, parities: bool = False) -> Iterator[tuple]:
     """``(doc, begin, end, words, whole, key, band keys, bands, parities)`` arrays: the lines of some rows,
     then the sentences of lines that have several."""
     for batch in batches:
@@ -149,7 +156,7 @@ def _units(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator
                 new = np.full(len(count), -1)
                 new[keep] = np.arange(len(keep))
                 mine = new[unit] >= 0
-                signed = _signed(h[mine], new[unit[mine]], len(keep), bands, rows)
+                signed = _signed(h[mine], new[unit[mine]], len(keep), bands, rows, parities)
                 row = np.searchsorted(o, at[keep], "right") - 1
                 yield (ids[i + row], at[keep] - o[row], at[keep + 1] - o[row], count[keep], whole, *signed)
 
@@ -245,7 +252,7 @@ def with_repeated(units: DataFrame, codes: DataFrame) -> DataFrame:
 
 
 def _lines(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    for doc, begin, end, words, whole, key, keys, shared, parity in _units(batches, bands, rows):
+    for doc, begin, end, words, whole, key, keys, shared, parity in _units(batches, bands, rows, True):
         code, _, at = _codes(key, keys, shared)
         yield pa.RecordBatch.from_arrays([
             pa.array(doc), pa.array(begin), pa.array(end - begin), pa.array(words.astype(np.int64)),
