@@ -7,8 +7,8 @@ Two executions of the same loop, chosen per group by its vertex count:
   plan per step; vertex and edge tables are bucketed on their join keys, and
   per-group counters live in a small table.  This is what the first iteration's
   single, all-rows group runs.
-* **per group** (small groups): all steps of one group inside one
-  ``cogroup(...).applyInPandas`` task over its vertices and edges (numpy).
+* **per group** (small groups): the graph and all steps of one group inside one
+  task over its rows and kNN entries (numpy); :func:`bisect_local` takes vertices and edges.
 
 Edges never leave a group, a group counts its own steps and a frozen group never
 changes, so both give the same scores and step counts (tested).
@@ -26,7 +26,8 @@ from ..functions.vectors import sign
 from ..session import bucket_count, cut_lineage, discard, write_bucketed, write_table
 from .graph import degrees, scaled_edges, symmetric_edges
 from .labels import seed_signs
-from .sizing import bounded, join_small, small_hint
+from .local import each_group
+from .sizing import join_small, small_hint
 
 DEFAULT_LOCAL_GROUP_ROWS = 20_000
 #: A source with more edges is a hub (its edges are dealt by target).
@@ -52,6 +53,31 @@ def _sgn(x: np.ndarray) -> np.ndarray:
     return s
 
 
+def _descend(n: int, src: np.ndarray, dst: np.ndarray, a: np.ndarray, lab: np.ndarray, m: np.ndarray,
+             max_steps: int, max_stable: int, tol: float):
+    """All steps of one group over positions: ``(scores, steps)``."""
+    l = np.zeros(n)
+    has_msg = np.bincount(dst, minlength=n) > 0
+    stable, steps = 0, 0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        while steps < max_steps and stable < max_stable:
+            steps += 1
+            s = np.bincount(dst, weights=a * m[src], minlength=n)
+            l_new = np.where(has_msg, m - s, l)
+            mass = np.sum(m * m)
+            m2 = 1.0 / mass if mass > 0 else 0.0
+            l2 = np.sum(m * l)
+            raw = m - 2.0 * (m2 * l_new - m2 * m2 * l2 * m)
+            new_m = raw.copy()
+            for part in (lab, ~lab):
+                if part.any():
+                    new_m[part] = raw[part] - raw[part].mean()
+            ratio = np.count_nonzero(_sgn(m) != _sgn(new_m)) / n
+            stable = 0 if ratio > tol else stable + 1
+            m, l = new_m, l_new
+    return m, steps
+
+
 def _make_local_fn(max_steps: int, max_stable: int, tol: float):
     def fn(vp: pd.DataFrame, ep: pd.DataFrame) -> pd.DataFrame:
         if len(vp) == 0:
@@ -61,28 +87,8 @@ def _make_local_fn(max_steps: int, max_stable: int, tol: float):
         n = len(ids)
         src = np.searchsorted(ids, ep["src"].to_numpy(np.int64))
         dst = np.searchsorted(ids, ep["dst"].to_numpy(np.int64))
-        a = ep["a"].to_numpy(np.float64)
-        lab = vp["lab"].to_numpy(bool)
-        m = vp["m"].to_numpy(np.float64).copy()
-        l = np.zeros(n)
-        has_msg = np.bincount(dst, minlength=n) > 0
-        stable, steps = 0, 0
-        with np.errstate(divide="ignore", invalid="ignore"):
-            while steps < max_steps and stable < max_stable:
-                steps += 1
-                s = np.bincount(dst, weights=a * m[src], minlength=n)
-                l_new = np.where(has_msg, m - s, l)
-                mass = np.sum(m * m)
-                m2 = 1.0 / mass if mass > 0 else 0.0
-                l2 = np.sum(m * l)
-                raw = m - 2.0 * (m2 * l_new - m2 * m2 * l2 * m)
-                new_m = raw.copy()
-                for part in (lab, ~lab):
-                    if part.any():
-                        new_m[part] = raw[part] - raw[part].mean()
-                ratio = np.count_nonzero(_sgn(m) != _sgn(new_m)) / n
-                stable = 0 if ratio > tol else stable + 1
-                m, l = new_m, l_new
+        m, steps = _descend(n, src, dst, ep["a"].to_numpy(np.float64), vp["lab"].to_numpy(bool),
+                            vp["m"].to_numpy(np.float64).copy(), max_steps, max_stable, tol)
         return pd.DataFrame({"id": ids, "grp": vp["grp"].to_numpy(np.int64), "m": m,
                              "steps": np.full(n, steps, dtype=np.int64)})
 
@@ -104,6 +110,42 @@ def bisect_local(v: DataFrame, e: DataFrame, max_steps: int = 1000, max_stable:
     return vv.groupBy("grp").cogroup(ee.groupBy("grp")).applyInPandas(fn, _SCORE_SCHEMA)
 
 
+def _score_local(df: DataFrame, knn: DataFrame, parts: int, max_steps: int, max_stable: int, tol: float) -> DataFrame:
+    """G2-G6 and B9 of small groups, a group in one task: the graph of :func:`build_graph` from the rows and the kNN
+    table, then all steps.  ``(id, grp, m, steps)``."""
+
+    def solve(grp, table):
+        is_row = table.column("nbr").is_null().to_numpy(zero_copy_only=False)
+        ids = table.column("id").to_numpy()
+        label = table.column("label").to_pandas()[is_row].to_numpy()
+        order = np.argsort(ids[is_row], kind="stable")
+        v, label = ids[is_row][order], label[order]
+        n, lab = len(v), ~pd.isna(label)
+        if not n:
+            return None
+        m = np.zeros(n)
+        m[lab] = 1.0 - 2.0 * (np.unique(label[lab], return_inverse=True)[1] % 2)
+        a, b = ids[~is_row], table.column("nbr").to_pandas()[~is_row].to_numpy(np.int64)
+        w = table.column("sim").to_pandas()[~is_row].to_numpy(np.float64)
+        # ids of the graph as numbers of their own, also those of rows that are not here
+        names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        a, b = at[:len(a)], at[len(a):]
+        pair, place = np.unique(np.concatenate([a * len(names) + b, b * len(names) + a]), return_inverse=True)
+        w = np.bincount(place, weights=np.concatenate([w, w]), minlength=len(pair))
+        if len(pair):
+            a, b = np.divmod(pair, len(names))
+        d = np.bincount(b, weights=w, minlength=len(names))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            scaled = w / np.sqrt(d[a] * d[b])
+        m, steps = _descend(n, np.searchsorted(v, names[a]), np.searchsorted(v, names[b]), scaled, lab, m, max_steps, max_stable, tol)
+        return {"id": v, "grp": np.full(n, grp, np.int64), "m": m, "steps": np.full(n, steps, np.int64)}
+
+    none = F.lit(None)
+    rows = df.select("grp", "id", "label", none.cast("long").alias("nbr"), none.cast("double").alias("sim"))
+    edges = knn.select("grp", "id", none.cast("long").alias("label"), "nbr", "sim")
+    return each_group(rows.unionByName(edges), parts, solve, "id long, grp long, m double, steps long")
+
+
 def _split_hubs(e: DataFrame, nb: int):
     """``(edges of ordinary sources, edges of hub sources, hub ids, their number)``; the second
     and third are None without hubs.  A hub has more than ``HUB_EDGES`` edges, so there are at
@@ -241,20 +283,26 @@ def score_groups(df: DataFrame, knn: DataFrame, max_steps: int = 1000, max_stabl
                  local_group_rows: int = DEFAULT_LOCAL_GROUP_ROWS) -> DataFrame:
     """B9 for all unfinished groups: ``(id, grp, m, steps)``; small groups per
     task, big ones distributed."""
-    v, e = build_graph(df, knn)
-    sizes = bounded(v.groupBy("grp").agg(F.count(F.lit(1)).alias("_n")))
-    n_groups = sizes.count()
+    rows = df.where(~F.col("finished")).select("grp", "id", "label", "finished")
+    sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("_n"))
+    little = F.col("_n") <= local_group_rows
+    total = sizes.agg(F.count(F.lit(1)).alias("g"), F.sum(little.cast("int")).alias("small"),
+                      F.sum(F.when(little, F.col("_n"))).alias("rows")).first()
+    n_groups, n_small = total["g"], total["small"] or 0
+    parts = []
+    if n_small:
+        n = min(n_small, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total["rows"] // 512))
+    if n_small == n_groups:
+        return (_score_local(rows, knn, n, max_steps, max_stable, tol) if n_small
+                else rows.select("id", "grp", F.lit(0.0).alias("m"), F.lit(0).cast("bigint").alias("steps")))
     # explicit hints: joining rows to a group list on ``grp`` must never shuffle
     # the rows by group (the first iteration has a single group)
-    small = small_hint(sizes.where(F.col("_n") <= local_group_rows).select("grp"), n_groups)
-    big = small_hint(sizes.where(F.col("_n") > local_group_rows).select("grp"), n_groups)
-    parts = []
-    if not small.isEmpty():
-        parts.append(bisect_local(v.join(small, "grp"), e.join(small, "grp"),
+    small = small_hint(write_table(sizes, "sizes").where(little).select("grp"), n_groups)
+    if n_small:
+        parts.append(_score_local(rows.join(small, "grp", "left_semi"), knn.join(small, "grp", "left_semi"), n,
                                   max_steps, max_stable, tol))
-    if not big.isEmpty():
-        parts.append(bisect_distributed(v.join(big, "grp"), e.join(big, "grp"),
-                                        n_groups, max_steps, max_stable, tol))
+        rows, knn = rows.join(small, "grp", "left_anti"), knn.join(small, "grp", "left_anti")
+    parts.append(bisect_distributed(*build_graph(rows, knn), n_groups, max_steps, max_stable, tol))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -267,4 +315,4 @@ def divide_groups(df: DataFrame, knn: DataFrame, max_steps: int = 1000, max_stab
     """Split every unfinished group in two by the sign of its score."""
     max_grp = df.agg(F.max("grp")).first()[0]
     scores = score_groups(df, knn, max_steps, max_stable, tol, local_group_rows)
-    return merge_groups(df, new_group_ids(scores, max_grp))
+    return merge_groups(df, write_table(new_group_ids(scores, max_grp), "new_groups"))

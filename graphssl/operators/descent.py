@@ -16,6 +16,8 @@ A neighbour list is a set of rows ``(grp, id, nbr, dist, new)``.  One round:
 4. *Lists.*  Pairs go both ways into the lists and the best ``pool`` stay (a
    window with a map-side limit).  An entry is new until a round has sampled it.
 
+Small groups run the same rounds in one task each (:mod:`graphssl.operators.local`) where the caller asks for it.
+
 So a round costs what is new, and later rounds move less.  Lists start from random-projection
 buckets, or from the lists of an earlier graph (``start``), and are filled up with random rows.
 """
@@ -29,13 +31,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import bucket_count, discard, write_bucketed, write_table
+from . import local
 from .knn import DEFAULT_BLOCK_ROWS, blocked_top_k
+from .local import matrix
 from .sizing import small_hint
 
 #: Rows that one random-projection bucket of :func:`knn_lsh` holds on average.
 CODE_ROWS = 512
 #: Rows per slot that padding draws from.
 PAD_ROWS = 64
+#: Feature cells of a group that one task may hold.
+LOCAL_CELLS = 1 << 23
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
@@ -60,12 +66,6 @@ def _group_means(rows: DataFrame) -> DataFrame:
     return m.select("grp", vector_to_array("_m").alias("centre"))
 
 
-def _matrix(col: pa.Array) -> np.ndarray:
-    """A list column as rows of a matrix (every list has the same length)."""
-    n = len(col)
-    return col.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 0))
-
-
 def _lsh_buckets(rows: DataFrame, tables: int, seed: int) -> DataFrame:
     """Random-hyperplane codes around each group's mean, ``tables`` codes per
     row: ``(grp, tbl, bkt, id, features)``; ``nbits`` per row sets the code length."""
@@ -79,7 +79,7 @@ def _lsh_buckets(rows: DataFrame, tables: int, seed: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            X = _matrix(batch.column("features")) - _matrix(batch.column("centre"))
+            X = matrix(batch.column("features")) - matrix(batch.column("centre"))
             nbits = batch.column("nbits").to_numpy()
             d, most = X.shape[1], int(nbits.max())
             for t in range(tables):
@@ -138,7 +138,7 @@ def _padding(rows: DataFrame, sizes: DataFrame, n_groups: int, have: DataFrame,
 def _pair_distance(batches):
     for batch in batches:
         if batch.num_rows:
-            diff = _matrix(batch.column("va")) - _matrix(batch.column("vb"))
+            diff = matrix(batch.column("va")) - matrix(batch.column("vb"))
             dist = np.sqrt((diff * diff).sum(axis=1))
             yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("a"), batch.column("b"), pa.array(dist)],
                                              names=["grp", "a", "b", "dist"])
@@ -175,7 +175,7 @@ def _members(lists: DataFrame, pool: int, salt: int) -> DataFrame:
 def _sketch(batches):
     for batch in batches:
         if batch.num_rows:
-            X = _matrix(batch.column("vec"))
+            X = matrix(batch.column("vec"))
             with np.errstate(all="ignore"):
                 scale = np.abs(X).max(axis=1, initial=0.0) / 127
                 scale[~np.isfinite(scale)] = np.nan
@@ -236,73 +236,134 @@ def _wanted(pairs: DataFrame, lists: DataFrame, pool: int) -> DataFrame:
     return kept.select("grp", F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b")).distinct()
 
 
+def _local_lists(rows: DataFrame, starts: DataFrame, both: bool, parts: int, pool: int, max_iter: int, sample_rate: float, seed: int) -> DataFrame:
+    """All entries that the lists of small groups ever have, ``(grp, id, nbr, dist, came, gone, used)`` (see
+    :func:`graphssl.operators.local.descend`): a group is one task's.  ``starts``: ``(id, nbr)``."""
+
+    def solve(grp, table):
+        ids, nbrs = table.column("id").to_numpy(), table.column("nbrs").chunk(0)
+        order = np.argsort(ids, kind="stable")
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        row = np.repeat(place, nbrs.value_lengths().fill_null(0).to_numpy())
+        ids = ids[order]
+        row, nbr = local.start_pairs(ids, row, nbrs.flatten().to_numpy(zero_copy_only=False).astype(np.int64), both)
+        row, nbr, *rest = local.descend(ids, matrix(table.column("features").chunk(0))[order], row, nbr, pool, max_iter,
+                                        sample_rate, seed, PAD_ROWS)
+        return dict(zip(("grp", "id", "nbr", "dist", "came", "gone", "used"),
+                        (np.full(len(row), grp, np.int64), ids[row], ids[nbr], *rest)))
+
+    begin = starts.groupBy("id").agg(F.collect_list("nbr").alias("nbrs"))
+    return local.each_group(rows.join(begin, "id", "left").select("grp", "id", "features", "nbrs"), parts, solve,
+                            "grp long, id long, nbr long, dist double, came long, gone long, used long")
+
+
 def neighbour_lists(df: DataFrame, pool: int, max_iter: int = 5, early_termination: float = 0.001, sample_rate: float = 1.0,
                     buckets: int = 2, seed: int = 0, block_rows: int = DEFAULT_BLOCK_ROWS, code_rows: int | None = None,
-                    start: DataFrame | None = None, stop_k: int | None = None, log: list | None = None) -> DataFrame:
+                    start: DataFrame | None = None, stop_k: int | None = None, log: list | None = None,
+                    local_rows: int = 0) -> DataFrame:
     """The lists of NN-Descent, ``(grp, id, nbr, dist, new)``, ``pool`` entries per row.
 
     ``start``: ``(id, nbr)`` entries of an earlier graph; those inside a group are scored anew and
     seed the lists beside the buckets.  Rounds end when fewer than ``early_termination * stop_k * rows`` entries
-    are new.  ``log`` gets one dict per round (pairs met, pairs scored, entries new)."""
+    are new.  ``log`` gets one dict per round (pairs met, pairs scored, entries new).  Groups of at most ``local_rows`` rows
+    (unique ids; with buckets or ``start``, not both) run all rounds in one task each and keep what a list was after which
+    round, so that the rounds end for them when they end for all."""
     rows = (df.where(~F.col("finished")) if "finished" in df.columns else df).select("grp", "id", "features")
-    sizes = write_table(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("_n")), "sizes")
-    total = sizes.agg(F.count(F.lit(1)).alias("g"), F.sum("_n").alias("n")).first()
+    sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("_n"), F.max(F.size("features")).alias("_d"))
+    small = F.col("_n") <= (F.lit(0) if buckets and start is not None else F.least(F.lit(local_rows), F.lit(LOCAL_CELLS) / F.col("_d")))
+    total = sizes.agg(F.count(F.lit(1)).alias("g"), F.sum("_n").alias("n"), F.sum(F.when(small, 1).otherwise(0)).alias("small_g"),
+                      F.sum(F.when(small, F.col("_n")).otherwise(0)).alias("small_n")).first()
     if not total["n"]:
         return rows.select("grp", "id", F.col("id").alias("nbr"), F.lit(0.0).alias("dist"), F.lit(False).alias("new"))
-    # written once, bucketed on the join key: the two joins of every round shuffle pairs only
-    nbk = bucket_count(df.sparkSession, total["n"])
-    vectors = rows.select("id", "grp", F.col("features").alias("vec"))
-    vectors = (write_bucketed(vectors.repartition(nbk, "id"), "id", nbk, "vectors")
-               if nbk > 1 else write_table(vectors, "vectors"))
-    vec = vectors.select("id", "vec")
-    sketch = write_table(sketches(vectors), "sketch") if max_iter else None
-    seeds = None
+    used, seeds = [], None
+    if buckets or total["small_g"] < total["g"]:
+        sizes = write_table(sizes, "sizes")
+        used.append(sizes)
+    sizes, little = sizes.drop("_d"), sizes.where(small).select("grp")
     if buckets:
         seeds = _bucket_lists(rows, sizes, total["g"], pool, buckets, seed, block_rows, code_rows or 2 * pool)
-    if start is not None:
-        where = vectors.select("id", "grp")
-        known = (start.select(F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b")).distinct()
-                 .join(where.withColumnRenamed("id", "a"), "a")
-                 .join(where.select(F.col("id").alias("b"), F.col("grp").alias("_g")), "b").where("grp = _g").select("grp", "a", "b"))
-        warm = _both_ways(score_pairs(known, vec))
-        seeds = warm if seeds is None else (
-            seeds.unionByName(warm).groupBy("grp", "id", "nbr").agg(F.min("dist").alias("dist")))
-    if seeds is None:
-        seeds = rows.select("grp", "id", F.col("id").alias("nbr"), F.lit(0.0).alias("dist")).where("false")
-    seeds = write_table(_best(seeds, pool).drop("rank"), "seeds")
-    filled = _padding(rows, sizes, total["g"], seeds, pool, seed).withColumnsRenamed({"id": "a", "nbr": "b"})
-    filled = score_pairs(filled, vec).withColumnsRenamed({"a": "id", "b": "nbr"})
-    # a row that lists its whole group has nobody left to meet
-    open_ = small_hint(sizes.select("grp", (F.col("_n") > pool + 1).alias("new")), total["g"])
-    lists = write_table(seeds.unionByName(filled).join(open_, "grp").select("grp", "id", "nbr", "dist", "new"), "lists")
-    scored: list[DataFrame] = []
-    for rnd in range(max_iter):
-        chosen = F.col("new")
-        if sample_rate < 1.0:
-            chosen = chosen & (F.pmod(F.xxhash64("id", "nbr", F.lit(seed), F.lit(rnd)), F.lit(1_000_000))
-                               < F.lit(int(sample_rate * 1_000_000)))
-        now = lists.withColumn("used", chosen)
-        met = _pairs(_members(now, pool, seed + rnd), lists, sketch, pool)
-        # distinct and anti-join in one aggregate with a map-side part: a pair stays if all its rows are of this round
-        met = met.withColumn("old", F.lit(0)).unionByName(lists.select(
-            "grp", F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b"), F.lit(1).alias("old")), allowMissingColumns=True)
-        for old in scored:
-            met = met.unionByName(old.select("grp", "a", "b", F.lit(1).alias("old")), allowMissingColumns=True)
-        met = met.groupBy("grp", "a", "b").agg(F.max("old").alias("old"), F.max("low").alias("low"), F.min("high").alias("high"))
-        met = _wanted(met.where("old = 0").drop("old"), lists, pool)
-        done = write_table(score_pairs(met, vec), "scored")
-        scored.append(done)
-        had = now.select("grp", "id", "nbr", "dist", (F.col("new") & ~F.col("used")).alias("new"), F.lit(False).alias("came"))
-        came = _both_ways(done).withColumns({"new": F.lit(True), "came": F.lit(True)})
-        nxt = write_table(_best(had.unionByName(came), pool).drop("rank"), "lists")
-        discard(lists)
-        lists = nxt.drop("came")
-        changed = nxt.agg(F.sum(F.col("came").cast("long")).alias("came"), F.sum(F.col("new").cast("long")).alias("new")).first()
-        if log is not None:
-            log.append({"round": rnd, "scored": done.count(), "came": changed["came"]})
-        if changed["new"] <= early_termination * (stop_k or pool) * total["n"]:
-            break
-    for old in (*scored, *([sketch] if sketch is not None else [])):
+    entries, left = None, [0] * max_iter          # of small groups; entries that are new after each round
+    if total["small_g"]:
+        if seeds is not None:
+            seeds = write_table(seeds, "seeds")
+            used.append(seeds)
+        mine = rows if total["small_g"] == total["g"] else rows.join(small_hint(little, total["g"]), "grp", "left_semi")
+        parts = min(total["small_g"], int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total["small_n"] // 512))
+        entries = write_table(_local_lists(mine, (start if seeds is None else seeds).select("id", "nbr") if start is not None or seeds is not None
+                                           else rows.select("id", F.col("id").alias("nbr")).where("false"),
+                                           start is not None, parts, pool, max_iter, sample_rate, seed), "entries")
+        if max_iter:
+            left = list(entries.agg(*[F.sum(((F.col("came") <= r) & (F.col("gone") > r) & (F.col("used") > r)).cast("long"))
+                                      for r in range(max_iter)]).first())
+    enough, last = early_termination * (stop_k or pool) * total["n"], max_iter - 1
+    if total["small_g"] == total["g"]:
+        last = next((r for r in range(max_iter) if left[r] <= enough), last)
+        lists = None
+    else:
+        if entries is not None:
+            rows = rows.join(small_hint(little, total["g"]), "grp", "left_anti")
+            sizes = sizes.join(small_hint(little, total["g"]), "grp", "left_anti")
+            seeds = seeds if seeds is None else seeds.join(small_hint(little, total["g"]), "grp", "left_anti")
+        # written once, bucketed on the join key: the two joins of every round shuffle pairs only
+        nbk = bucket_count(df.sparkSession, total["n"] - total["small_n"])
+        vectors = rows.select("id", "grp", F.col("features").alias("vec"))
+        vectors = (write_bucketed(vectors.repartition(nbk, "id"), "id", nbk, "vectors")
+                   if nbk > 1 else write_table(vectors, "vectors"))
+        vec = vectors.select("id", "vec")
+        sketch = write_table(sketches(vectors), "sketch") if max_iter else None
+        if start is not None:
+            where = vectors.select("id", "grp")
+            known = (start.select(F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b")).distinct()
+                     .join(where.withColumnRenamed("id", "a"), "a")
+                     .join(where.select(F.col("id").alias("b"), F.col("grp").alias("_g")), "b").where("grp = _g").select("grp", "a", "b"))
+            warm = _both_ways(score_pairs(known, vec))
+            seeds = warm if seeds is None else (
+                seeds.unionByName(warm).groupBy("grp", "id", "nbr").agg(F.min("dist").alias("dist")))
+        if seeds is None:
+            seeds = rows.select("grp", "id", F.col("id").alias("nbr"), F.lit(0.0).alias("dist")).where("false")
+        seeds = write_table(_best(seeds, pool).drop("rank"), "seeds")
+        filled = _padding(rows, sizes, total["g"], seeds, pool, seed).withColumnsRenamed({"id": "a", "nbr": "b"})
+        filled = score_pairs(filled, vec).withColumnsRenamed({"a": "id", "b": "nbr"})
+        # a row that lists its whole group has nobody left to meet
+        open_ = small_hint(sizes.select("grp", (F.col("_n") > pool + 1).alias("new")), total["g"])
+        lists = write_table(seeds.unionByName(filled).join(open_, "grp").select("grp", "id", "nbr", "dist", "new"), "lists")
+        scored: list[DataFrame] = []
+        for rnd in range(max_iter):
+            chosen = F.col("new")
+            if sample_rate < 1.0:
+                chosen = chosen & (F.pmod(F.xxhash64("id", "nbr", F.lit(seed), F.lit(rnd)), F.lit(1_000_000))
+                                   < F.lit(int(sample_rate * 1_000_000)))
+            now = lists.withColumn("used", chosen)
+            met = _pairs(_members(now, pool, seed + rnd), lists, sketch, pool)
+            # distinct and anti-join in one aggregate with a map-side part: a pair stays if all its rows are of this round
+            met = met.withColumn("old", F.lit(0)).unionByName(lists.select(
+                "grp", F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b"), F.lit(1).alias("old")), allowMissingColumns=True)
+            for old in scored:
+                met = met.unionByName(old.select("grp", "a", "b", F.lit(1).alias("old")), allowMissingColumns=True)
+            met = met.groupBy("grp", "a", "b").agg(F.max("old").alias("old"), F.max("low").alias("low"), F.min("high").alias("high"))
+            met = _wanted(met.where("old = 0").drop("old"), lists, pool)
+            done = write_table(score_pairs(met, vec), "scored")
+            scored.append(done)
+            had = now.select("grp", "id", "nbr", "dist", (F.col("new") & ~F.col("used")).alias("new"), F.lit(False).alias("came"))
+            came = _both_ways(done).withColumns({"new": F.lit(True), "came": F.lit(True)})
+            nxt = write_table(_best(had.unionByName(came), pool).drop("rank"), "lists")
+            discard(lists)
+            lists = nxt.drop("came")
+            changed = nxt.agg(F.sum(F.col("came").cast("long")).alias("came"), F.sum(F.col("new").cast("long")).alias("new")).first()
+            if log is not None:
+                log.append({"round": rnd, "scored": done.count(), "came": changed["came"]})
+            if changed["new"] + left[rnd] <= enough:
+                last = rnd
+                break
+        for old in (*scored, seeds, vectors, *([sketch] if sketch is not None else [])):
+            discard(old)
+    if entries is not None:
+        own = entries.where((F.col("came") <= last) & (F.col("gone") > last)).select(
+            "grp", "id", "nbr", "dist", (F.col("used") > last).alias("new"))
+        lists = write_table(own if lists is None else own.unionByName(lists), "lists")
+        used.append(entries)
+    for old in used:
         discard(old)
     return lists
 

@@ -25,7 +25,7 @@ def group_label_mass(df: DataFrame, weights: DataFrame) -> DataFrame:
     (``label``/``mass`` are NULL for the unlabelled count of a group)."""
     per_label = (df.where(~F.col("finished"))
                  .groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n")))
-    w = bounded(weights.select("label", "weight"))
+    w = bounded(weights).select("label", "weight")
     return (per_label.join(w, "label", "left")
             .select("grp", "label", "n", (F.col("n") * F.col("weight")).alias("mass")))
 

@@ -20,6 +20,7 @@ all-ones weights; the probe sample is seeded and deterministic.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import multiply, ones
 from ..session import write_table
+from . import local
 from .knn import DEFAULT_BLOCK_ROWS, blocked_top_k
-from .sizing import join_small
+from .sizing import join_small, small_hint
 
 #: Bias of the reference's final re-scaling (fixed value).
 RELIEF_BIAS = 0.1
@@ -36,6 +38,8 @@ RELIEF_BIAS = 0.1
 _SAMPLE_SALT_ROWS = 1 << 16
 #: Salts that one phase merges.
 _SALT_FAN = 64
+#: Feature differences (probes x labelled rows x features) of a group that one task may take.
+LOCAL_DIFFERENCES = 1 << 31
 
 
 def labelled_rows(df: DataFrame) -> DataFrame:
@@ -181,23 +185,55 @@ def scale_weights(raw: DataFrame, bias: float = RELIEF_BIAS) -> DataFrame:
         "grp", "pos", F.when(F.col("_mx") > 0, scaled).otherwise(F.lit(1.0)).alias("weight"))
 
 
+def _local_weights(lab: DataFrame, parts: int, m: int | None, k: int, seed: int, bias: float) -> DataFrame:
+    """R2-R10 of small groups, a group in one task: ``(grp, pos, weight)``."""
+
+    def solve(grp, table):
+        ids = table.column("id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        w = local.relief(ids[order], local.matrix(table.column("features").chunk(0))[order], table.column("label").to_numpy()[order],
+                         m, k, seed, bias)
+        return None if w is None else {"grp": np.full(len(w), grp, np.int64), "pos": np.arange(len(w), dtype=np.int32), "weight": w}
+
+    return local.each_group(lab, parts, solve, "grp long, pos int, weight double")
+
+
 def relief_weights(df: DataFrame, m: int | None = None, k: int = 3, seed: int = 0,
                    bias: float = RELIEF_BIAS,
-                   block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                   block_rows: int = DEFAULT_BLOCK_ROWS, local_rows: int = 0) -> DataFrame:
     """``(grp, pos, weight)`` for every unfinished group with >= 2 classes.
 
     The labelled rows (a small share of the state) and the per-class priors
     are persisted for the duration of the computation, so the size checks and
     the several consumers do not re-read the whole state; the result (one row
     per group and feature) is written before they are released.
+
+    Groups of at most ``local_rows`` labelled rows (unique ids), and of few enough
+    differences, are solved in one task each (:func:`graphssl.operators.local.relief`).
     """
-    lab = labelled_rows(df).persist()
+    rows, parts = labelled_rows(df), []
+    if local_rows:
+        sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("_n"), F.max(F.size("features")).alias("_d"))
+        probes = F.col("_n") if m is None else F.least(F.col("_n"), F.lit(m))
+        small = (F.col("_n") <= local_rows) & (F.col("_n") * probes * F.col("_d") <= LOCAL_DIFFERENCES)
+        total = sizes.agg(F.count(F.lit(1)).alias("g"), F.sum(F.when(small, 1).otherwise(0)).alias("small_g"),
+                          F.sum(F.when(small, F.col("_n")).otherwise(0)).alias("small_n")).first()
+        whole = total["small_g"] == total["g"]
+        little = None if whole else small_hint(write_table(sizes, "sizes").where(small).select("grp"), total["g"])
+        if total["small_g"]:
+            n = min(total["small_g"], int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total["small_n"] // 128))
+            parts.append(_local_weights(rows if whole else rows.join(little, "grp", "left_semi"), n, m, k, seed, bias))
+        if whole and parts:
+            return write_table(parts[0], "weights")
+        rows = rows if whole else rows.join(little, "grp", "left_anti")
+    lab = rows.persist()
     priors = class_priors(lab).persist()
     try:
         probes = sample_probes(lab, m, seed)
         rng = range_vectors(feature_ranges(lab))
         nbrs = relief_neighbours(lab, probes, rng, k, block_rows)
-        out = write_table(scale_weights(raw_weights(nbrs, probes, lab, priors, rng), bias), "weights")
+        parts.append(scale_weights(raw_weights(nbrs, probes, lab, priors, rng), bias))
+        out = write_table(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), "weights")
     finally:
         priors.unpersist()
         lab.unpersist()
@@ -222,6 +258,6 @@ def apply_weights(df: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def weight_features(df: DataFrame, m: int | None = None, k: int = 3, seed: int = 0,
-                    block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                    block_rows: int = DEFAULT_BLOCK_ROWS, local_rows: int = 0) -> DataFrame:
     """R11 + R12 composed: weights from unfinished labelled rows, applied to all."""
-    return apply_weights(df, relief_weights(df, m, k, seed, block_rows=block_rows))
+    return apply_weights(df, relief_weights(df, m, k, seed, block_rows=block_rows, local_rows=local_rows))

@@ -33,9 +33,15 @@ def bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, row_cells: int =
     ``df`` is written first (a lineage cut in the shared checkpoint folder), so the count
     and every later join read the result instead of computing it, and nothing
     stays cached in executor memory."""
+    if getattr(df, "_bounded_rows", max_rows + 1) <= max_rows:
+        return df
     df = write_table(df, "small")
-    limit = min(max_rows, max(1, BROADCAST_MAX_CELLS // max(1, row_cells)))
-    return F.broadcast(df) if df.count() <= limit else df
+    limit, n = min(max_rows, max(1, BROADCAST_MAX_CELLS // max(1, row_cells))), df.count()
+    if n > limit:
+        return df
+    df = F.broadcast(df)
+    df._bounded_rows = n * max(1, row_cells)     # what has been measured is not measured again
+    return df
 
 
 def small_hint(df: DataFrame, n_rows: int, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:

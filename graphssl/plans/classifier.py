@@ -21,7 +21,8 @@ from ..operators.knn import DEFAULT_BLOCK_ROWS, knn_exact
 from ..operators.labels import assign_labels, class_weights
 from ..operators.purity import compute_finished, init_state, is_finished
 from ..operators.relief import weight_features
-from ..session import (cut_lineage, discard, load_manifest, read_reference, save_manifest, table_reference,
+from ..operators.sizing import bounded
+from ..session import (discard, load_manifest, read_reference, save_manifest, table_reference,
                        write_table)
 
 
@@ -60,9 +61,10 @@ def build_knn(state: DataFrame, p: Params, iteration: int = 0, lists: DataFrame
         return knn_exact(state, p.k, p.block_rows), None
     if p.graph == "descent":
         pool = max(p.k, p.graph_pool or 5 * p.k)
-        lists = write_table(neighbour_lists(
+        lists = neighbour_lists(
             state, pool, p.graph_max_iter, p.graph_early_termination, p.graph_sample_rate,
-            p.graph_buckets if lists is None else 0, p.seed + iteration, p.block_rows, start=lists, stop_k=p.k), "lists")
+            p.graph_buckets if lists is None else 0, p.seed + iteration, p.block_rows, start=lists, stop_k=p.k,
+            local_rows=p.local_group_rows)
         return finish(lists, p.k), lists
     raise ValueError(f"unknown graph method {p.graph!r}")
 
@@ -91,7 +93,7 @@ def classify(df: DataFrame, params: Params | None = None, resume: str | None = N
     prediction``.
     """
     p = replace(params or Params(), **overrides)
-    weights = cut_lineage(class_weights(df))
+    weights = bounded(class_weights(df))
     if weights.isEmpty():
         raise ValueError("the input has no labelled row")
     spark = df.sparkSession
@@ -114,7 +116,7 @@ def classify(df: DataFrame, params: Params | None = None, resume: str | None = N
         old = []                    # what the manifest before refers to goes after the next one is written
         if p.weight_features:
             weighted = write_table(weight_features(state, p.relief_m, p.relief_k, p.seed + i,
-                                                   p.block_rows), "weighted")
+                                                   p.block_rows, p.local_group_rows), "weighted")
             old.append(state)
             state = weighted
             check(state, "feature weighting")
@@ -125,9 +127,8 @@ def classify(df: DataFrame, params: Params | None = None, resume: str | None = N
         lists = found
         divided = divide_groups(state, knn, p.max_steps, p.max_stable, p.tol,
                                 p.local_group_rows)
-        divided = write_table(compute_finished(divided, weights, p.gini_impurity, p.k), "state")
-        old += [state, knn]
-        state = divided
+        old += [divided, knn]       # the tables that the division reads: the state and the new group of every row
+        state = write_table(compute_finished(divided, weights, p.gini_impurity, p.k), "state")
         check(state, "graph division")
         i += 1
         if resume:
