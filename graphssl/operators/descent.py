@@ -40,8 +40,9 @@ from .sizing import small_hint
 CODE_ROWS = 512
 #: Rows per slot that padding draws from.
 PAD_ROWS = 64
-#: Feature cells of a group that one task may hold.
-LOCAL_CELLS = 1 << 23
+#: Rows and feature cells of a group that one task may take.  Its screening grows with the square of the rows; up to here
+#: one core is no slower than the plans of all rounds on several.
+LOCAL_ROWS, LOCAL_CELLS = 1 << 16, 1 << 22
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:

@@ -159,6 +159,61 @@ def nearest(Q: np.ndarray, C: np.ndarray, cid: np.ndarray, k: int, not_q: np.nda
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
+def _rough_relief(Q: np.ndarray, C: np.ndarray, rng: np.ndarray):
+    """``(range-normalised Manhattan distances in float32, a bound of their error)``; None if a value is not finite."""
+    safe, some = np.where(rng > 0, rng, 1.0), ~(rng <= 0)
+    with np.errstate(all="ignore"):
+        mid = C.mean(axis=0)
+        q, c = ((X[:, some] - mid[some]) / safe[some] for X in (Q, C))
+        widest = max(np.abs(x).max(axis=0, initial=0.0).sum() for x in (q, c))
+        moved = 4 * np.finfo(np.float64).eps * (np.abs(np.concatenate([Q[:1], C[:1], mid[None]])).max(axis=0)[some] / safe[some]).sum()
+    if not np.isfinite(widest) or widest > 1e30 or not np.isfinite(moved):
+        return None
+    q, c = q.astype(np.float32), np.ascontiguousarray(c.T.astype(np.float32))
+    out = np.zeros((len(q), c.shape[1]), np.float32)
+    step = max(1, (1 << 16) // max(1, c.shape[1]))
+    gap = np.empty((step, c.shape[1]), np.float32)
+    for s in range(0, len(q), step):
+        to, t = out[s:s + step], gap[:len(q) - s]
+        for j in range(len(c)):
+            np.subtract(q[s:s + step, j, None], c[j], out=t)
+            np.abs(t, out=t)
+            to += t
+    return out, 8 * np.finfo(np.float32).eps * (Q.shape[1] + 8) * 2 * widest + moved
+
+
+def nearest_by_class(Q: np.ndarray, C: np.ndarray, rng: np.ndarray, cid: np.ndarray, classes: list, k: int, own: np.ndarray):
+    """``(row, column, dist)`` of the ``k`` nearest candidates of every query in each of ``classes`` (columns), by the
+    range-normalised Manhattan distance and ``cid``; ``own`` pairs are left out.
+
+    Rough distances screen; what can be among the ``k`` gets the distance that :func:`_block_distances` has."""
+    rough, parts = _rough_relief(Q, C, rng), []
+    if rough is None:
+        D = _block_distances(Q, C, "relief", rng)
+        D[own] = np.inf
+        for idx in classes:
+            r, c = _top_k_rows(D[:, idx], cid[idx], k)
+            parts.append((r, idx[c], D[r, idx[c]]))
+        return tuple(np.concatenate(x) for x in zip(*parts))
+    A, slack = rough
+    A[own] = np.inf
+    safe, zero = np.where(rng > 0, rng, 1.0), rng <= 0
+    for idx in classes:
+        S = A[:, idx]
+        limit = np.partition(S, min(k, len(idx)) - 1, axis=1)[:, min(k, len(idx)) - 1].astype(np.float64) + 2 * slack
+        limit = np.minimum(limit * (1 + 1e-6), np.finfo(np.float32).max).astype(np.float32)
+        r, c = np.divmod(np.flatnonzero(S <= limit[:, None]), len(idx))
+        c, dist = idx[c], np.empty(len(r))
+        step = max(1, _CHUNK_CELLS // max(1, Q.shape[1]))
+        for s in range(0, len(r), step):
+            nd = np.abs(Q[r[s:s + step]] - C[c[s:s + step]]) / safe
+            nd[:, zero] = 0.0
+            dist[s:s + step] = nd.sum(axis=1)
+        first = best_k(r, dist, cid[c], k)
+        parts.append((r[first], c[first], dist[first]))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def _block_result_schema(with_qlabel: bool, keys) -> T.StructType:
     fields = [T.StructField(c, T.LongType()) for c in keys] + [
         T.StructField("qid", T.LongType())]
@@ -188,22 +243,28 @@ def _make_block_fn(k: int, metric: str, per_label: bool, exclude_self: bool,
             if with_qlabel:
                 out["qlabel"] = q["qlabel"][qi][r]
             return out
-        D = _block_distances(Q, C, metric, rng)
-        if exclude_self:
-            D[qid[:, None] == cid[None, :]] = np.inf
-        picks = []
-        if per_label:
+        if metric == "relief" and per_label:
             lab = pd.Series(clabel)
-            for _, idx in lab.groupby(lab, dropna=False).indices.items():
-                idx = np.asarray(idx)
-                r, c = _top_k_rows(D[:, idx], cid[idx], k)
-                picks.append((r, idx[c]))
+            own = qid[:, None] == cid[None, :] if exclude_self else np.zeros((len(qid), len(cid)), bool)
+            r, c, dist = nearest_by_class(Q, C, rng, cid, [np.asarray(idx) for idx in lab.groupby(lab, dropna=False).indices.values()], k, own)
         else:
-            picks.append(_top_k_rows(D, cid, k))
-        r = np.concatenate([p[0] for p in picks])
-        c = np.concatenate([p[1] for p in picks])
+            D = _block_distances(Q, C, metric, rng)
+            if exclude_self:
+                D[qid[:, None] == cid[None, :]] = np.inf
+            picks = []
+            if per_label:
+                lab = pd.Series(clabel)
+                for _, idx in lab.groupby(lab, dropna=False).indices.items():
+                    idx = np.asarray(idx)
+                    r, c = _top_k_rows(D[:, idx], cid[idx], k)
+                    picks.append((r, idx[c]))
+            else:
+                picks.append(_top_k_rows(D, cid, k))
+            r = np.concatenate([p[0] for p in picks])
+            c = np.concatenate([p[1] for p in picks])
+            dist = D[r, c]
         out = {key: np.full(len(r), val, dtype=np.int64) for key, val in zip(keys, keyvals)}
-        out.update({"qid": qid[r], "cid": cid[c], "clabel": clabel[c], "dist": D[r, c]})
+        out.update({"qid": qid[r], "cid": cid[c], "clabel": clabel[c], "dist": dist})
         if with_qlabel:
             out["qlabel"] = q["qlabel"][qi][r]
         return out

@@ -14,14 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .knn import _block_distances, _top_k_rows, pair_distances, screen_slack, squares
+from .knn import nearest_by_class, pair_distances, squares
 
 #: Output rows that are handed on together.
 _OUT_ROWS = 1 << 14
 #: Cells of the row blocks that a kernel looks at.
 _BLOCK_CELLS = 1 << 21
 #: Pairs that cost as much as one, if their distances are only screened by a matrix product.
-_SCREEN_GAIN = 14
+_SCREEN_GAIN = 100
 #: A round later than every other.
 NEVER = 1 << 30
 
@@ -105,6 +105,11 @@ def _ranked(row: np.ndarray, dist: np.ndarray, nbr: np.ndarray, k: int) -> np.nd
     return order[np.arange(len(rows)) - np.searchsorted(rows, rows) < k]
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def _padded(v: np.ndarray, u: np.ndarray, n: int, fill: int) -> np.ndarray:
     """``(n, widest)``: the ``u`` of every ``v``, then ``fill``.  ``v`` ascends."""
     count = np.bincount(v, minlength=n)
@@ -160,8 +165,41 @@ def _meetings(ids, row, nbr, now, old, pool: int, salt: int):
         order = np.lexsort((u, h, v))
         s = v[order]
         back = order[np.arange(len(s)) - np.searchsorted(s, s) < pool]
-        members.append(np.unique(np.concatenate([row[part] * n + nbr[part], v[back] * n + u[back]])))
-    return np.unique(np.concatenate(members)), members[0]
+        members.append(_distinct(np.concatenate([row[part] * n + nbr[part], v[back] * n + u[back]])))
+    return _distinct(np.concatenate(members)), members[0]
+
+
+def _screen(X: np.ndarray):
+    """``(squares of distances of rows s..e to all rows, by one float32 product; a bound of their error per row)``."""
+    with np.errstate(all="ignore"):
+        Z = X - X.mean(axis=0)
+        zz = (Z * Z).sum(axis=1)
+        if not np.isfinite(zz).all() or not 1e-20 < zz.max() < 1e30:
+            return None, None
+        moved = 4 * np.sqrt(X.shape[1]) * np.finfo(np.float64).eps * np.abs(X).max()
+    slack = 8 * np.finfo(np.float32).eps * (X.shape[1] + 8) * (zz + zz.max()) + 8 * np.sqrt(zz.max()) * moved + moved * moved
+    left, right = (x.astype(np.float32) for x in squares(Z, zz, Z, zz))
+    return lambda s, e: left[s:e] @ right, slack
+
+
+def _screened(mark, S, bound, slack, row, dist, pool: int):
+    """``(row, column)`` of the marked pairs that can be among the best ``pool`` of their row and its entries ``(row, dist)``."""
+    limit = np.square(bound) * (1 + 1e-12) + slack
+    mark &= S <= np.minimum(limit * (1 + 1e-6), np.finfo(np.float32).max).astype(np.float32)[:, None]
+    at = np.flatnonzero(mark)
+    r, u = np.divmod(at, S.shape[1])
+    if not len(r):
+        return r, u
+    found = S.reshape(-1)[at].astype(np.float64)
+    count, have = np.bincount(r, minlength=len(S)), np.bincount(row, minlength=len(S))
+    table = np.full((len(S), int((count + have).max())), np.inf)
+    table[r, np.arange(len(r)) - (np.cumsum(count) - count)[r]] = found
+    table[row, np.arange(len(row)) - (np.cumsum(have) - have)[row] + count[row]] = np.square(dist) * (1 + 1e-12)
+    if table.shape[1] > pool:
+        limit = np.partition(table, pool - 1, axis=1)[:, pool - 1] + 2 * slack
+        keep = ~(found > limit[r])
+        r, u = r[keep], u[keep]
+    return r, u
 
 
 def descend(ids: np.ndarray, X: np.ndarray, row: np.ndarray, nbr: np.ndarray, pool: int, max_iter: int,
@@ -186,11 +224,7 @@ def descend(ids: np.ndarray, X: np.ndarray, row: np.ndarray, nbr: np.ndarray, po
     came = np.full(len(row), -1)
     used = np.full(len(row), NEVER if n > pool + 1 else -1)
     gone: list[tuple] = []
-    with np.errstate(over="ignore", invalid="ignore"):
-        xx = (X * X).sum(axis=1)
-    screen = bool(np.isfinite(xx).all())
-    if screen:
-        slack, (left, right) = screen_slack(xx, xx, X.shape[1]), squares(X, xx, X, xx)
+    screen, slack = _screen(X) if n > 64 and max_iter else (None, None)
     for rnd in range(max_iter):
         now = used == NEVER
         if not now.any():
@@ -217,7 +251,7 @@ def descend(ids: np.ndarray, X: np.ndarray, row: np.ndarray, nbr: np.ndarray, po
         bound[np.isnan(bound)] = np.inf
         listed = np.argsort(nbr, kind="stable")
         listed_at = np.searchsorted(nbr[listed], np.arange(n + 1))
-        step = max(1, _BLOCK_CELLS // (n + 1))
+        step = max(min(n, 256), _BLOCK_CELLS // (n + 1))
         new_r, new_u, new_d = [], [], []
         for s in range(0, n, step):
             e = min(n, s + step)
@@ -234,11 +268,10 @@ def descend(ids: np.ndarray, X: np.ndarray, row: np.ndarray, nbr: np.ndarray, po
             by = listed[listed_at[s]:listed_at[e]]
             mark[nbr[by] - s, row[by]] = False
             mark = mark[:, :n]
-            if screen and np.count_nonzero(mark) * _SCREEN_GAIN > mark.size:
-                with np.errstate(over="ignore"):
-                    limit = np.square(bound[s:e]) * (1 + 1e-12) + 2 * slack[s:e]
-                mark &= left[s:e] @ right <= limit[:, None]
-            r, u = np.nonzero(mark)
+            if screen is not None and np.count_nonzero(mark) * _SCREEN_GAIN > mark.size:
+                r, u = _screened(mark, screen(s, e), bound[s:e], slack[s:e], row[at[s]:at[e]] - s, dist[at[s]:at[e]], pool)
+            else:
+                r, u = np.divmod(np.flatnonzero(mark), n)
             d = pair_distances(X, X, r + s, u)
             keep = ~(d > bound[s:e][r])
             new_r.append(r[keep] + s)
@@ -267,7 +300,7 @@ def start_pairs(ids: np.ndarray, row: np.ndarray, nbr_ids: np.ndarray, both: boo
     key = row[inside] * n + nbr[inside]
     if both:
         key = np.append(key, nbr[inside] * n + row[inside])
-    key = np.unique(key)
+    key = _distinct(key)
     return key // n, key % n
 
 
@@ -287,19 +320,12 @@ def relief(ids: np.ndarray, X: np.ndarray, label: np.ndarray, m: int | None, k:
         p = 2147483647
         h = ((ids % p * 48271 + seed % p + 1) % p * 69621) % p
         probes = np.sort(np.lexsort((ids, h))[:m])
-    total = np.zeros(d)
+    total, of_class = np.zeros(d), [np.flatnonzero(cls == c) for c in range(len(classes))]
     step = max(1, _BLOCK_CELLS // max(n, d * k * len(classes)))
     with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
         for s in range(0, len(probes), step):
             q = probes[s:s + step]
-            D = _block_distances(X[q], X, "relief", rng)
-            D[ids[q][:, None] == ids[None, :]] = np.inf
-            picks = []
-            for c in range(len(classes)):
-                of = np.flatnonzero(cls == c)
-                r, at = _top_k_rows(D[:, of], ids[of], k)
-                picks.append((r, of[at]))
-            r, c = (np.concatenate(x) for x in zip(*picks))
+            r, c, _ = nearest_by_class(X[q], X, rng, ids, of_class, k, ids[q][:, None] == ids[None, :])
             hit = cls[c] == cls[q][r]
             n_hits, n_miss = np.bincount(r[hit], minlength=len(q)), np.bincount(r[~hit], minlength=len(q))
             avg = np.floor(n_miss / (len(classes) - 1))[r]

@@ -16,7 +16,7 @@ from dataclasses import asdict, dataclass, replace
 from pyspark.sql import DataFrame
 
 from ..operators.bisect import DEFAULT_LOCAL_GROUP_ROWS, divide_groups
-from ..operators.descent import finish, neighbour_lists
+from ..operators.descent import LOCAL_ROWS, finish, neighbour_lists
 from ..operators.knn import DEFAULT_BLOCK_ROWS, knn_exact
 from ..operators.labels import assign_labels, class_weights
 from ..operators.purity import compute_finished, init_state, is_finished
@@ -64,7 +64,7 @@ def build_knn(state: DataFrame, p: Params, iteration: int = 0, lists: DataFrame
         lists = neighbour_lists(
             state, pool, p.graph_max_iter, p.graph_early_termination, p.graph_sample_rate,
             p.graph_buckets if lists is None else 0, p.seed + iteration, p.block_rows, start=lists, stop_k=p.k,
-            local_rows=p.local_group_rows)
+            local_rows=LOCAL_ROWS if p.local_group_rows else 0)
         return finish(lists, p.k), lists
     raise ValueError(f"unknown graph method {p.graph!r}")
 
