@@ -320,7 +320,7 @@ def relief(ids: np.ndarray, X: np.ndarray, label: np.ndarray, m: int | None, k:
         p = 2147483647
         h = ((ids % p * 48271 + seed % p + 1) % p * 69621) % p
         probes = np.sort(np.lexsort((ids, h))[:m])
-    total, of_class = np.zeros(d), [np.flatnonzero(cls == c) for c in range(len(classes))]
+    mean, terms, of_class = np.zeros(d), np.zeros(d), [np.flatnonzero(cls == c) for c in range(len(classes))]
     step = max(1, _BLOCK_CELLS // max(n, d * k * len(classes)))
     with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
         for s in range(0, len(probes), step):
@@ -331,8 +331,14 @@ def relief(ids: np.ndarray, X: np.ndarray, label: np.ndarray, m: int | None, k:
             avg = np.floor(n_miss / (len(classes) - 1))[r]
             coef = np.where(hit, -1.0 / (len(probes) * n_hits[r]),
                             np.where(avg > 0, prior[cls[c]] / (1.0 - prior[cls[q][r]]) / (len(probes) * avg), 0.0))
-            some = coef != 0
-            total += (np.abs(X[q[r[some]]] - X[c[some]]) * coef[some][:, None]).sum(axis=0)
+            some = np.lexsort((cls[c], r))
+            some = some[coef[some] != 0]
+            step_by = np.abs(X[q[r[some]]] - X[c[some]]) * coef[some][:, None]
+            # the sum of Spark's Summarizer, a running mean, in order of probe and class: the same last bits
+            for x, nz in zip(step_by, step_by != 0):
+                terms += nz
+                mean += np.divide(x - mean, terms, out=np.zeros(d), where=nz)
+        total = mean * terms
         w = np.where(rng > 0, total / rng, 0.0)
         w = np.where(np.isnan(w), 0.0, w)
         return np.maximum(0.0, (w / w.max() + bias) / (1.0 + bias)) if w.max() > 0 else np.ones(d)
